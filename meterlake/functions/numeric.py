@@ -10,8 +10,11 @@ _FLOATS = (T.DoubleType, T.FloatType)
 
 
 def r(c, scale: int = 2) -> Column:
-    """Round half to even, like a pandas frame ``.round(n)``."""
-    return F.bround(_col(c), scale)
+    """Round like numpy / pandas ``.round(n)``: scale, round half to even
+    (``rint``), scale back. (``bround`` rounds the decimal text instead and
+    differs from numpy on values such as 10.254999999999999.)"""
+    f = float(10 ** scale)
+    return F.rint(_col(c) * f) / f
 
 
 def div(a, b) -> Column:
@@ -21,7 +24,7 @@ def div(a, b) -> Column:
 
 def pct(count, total, scale: int = 2) -> Column:
     """``round(count / total * 100, scale)`` with a NULL-safe divisor."""
-    return F.bround(F.try_divide(_col(count).cast("double"), _col(total)) * 100.0, scale)
+    return r(F.try_divide(_col(count).cast("double"), _col(total)) * 100.0, scale)
 
 
 def nan_to_null(c) -> Column:

@@ -40,14 +40,18 @@ def chunk_of(ts: Column, chunk: str) -> Column:
 
 
 def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = None,
-               key=KEY, order=ORDER, chunk: str | None = "day", prefix: str = "prev_") -> DataFrame:
+               key=KEY, order=ORDER, chunk: str | None = "day", prefix: str = "prev_",
+               keep_chunk: bool = False) -> DataFrame:
     """Add ``prev_<c>`` (previous row's value) for every column in ``lag``,
     ``out`` = running sum of ``cumsum[out]`` (NULL where the input is NULL),
-    and a 1-based ``row_number`` column, per ``key`` in ``order``."""
+    and a 1-based ``row_number`` column, per ``key`` in ``order``.
+
+    ``keep_chunk`` keeps the ``_chunk`` column; a following ``sequential`` call
+    on the result then reuses the existing (meter, chunk) partitioning."""
     lag = list(lag)
     cumsum = dict(cumsum or {})
     keys = [key] if isinstance(key, str) else list(key)
-    base_cols = df.columns
+    base_cols = [c for c in df.columns if c != _CH]
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -58,7 +62,7 @@ def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = N
             extra.append(F.row_number().over(w).alias(row_number))
         return df.select(*base_cols, *extra)
 
-    d = df.withColumn(_CH, chunk_of(F.col(order[0]), chunk))
+    d = df if _CH in df.columns else df.withColumn(_CH, chunk_of(F.col(order[0]), chunk))
     wl = Window.partitionBy(*keys, _CH).orderBy(*order)
     wlr = wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = d.select(
@@ -82,7 +86,7 @@ def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = N
     carry_cols += [F.coalesce(F.sum("_s_" + o).over(before), F.lit(0)).alias("_off_" + o) for o in cumsum]
     carry = summary.select(*keys, _CH, *carry_cols)
     j = x.join(carry, [*keys, _CH], "inner")
-    out = [F.col(c) for c in base_cols]
+    out = [F.col(c) for c in base_cols] + ([F.col(_CH)] if keep_chunk else [])
     out += [F.when(F.col("_rn") == 1, F.col("_carry").getField(c)).otherwise(F.col("_l_" + c)).alias(prefix + c)
             for c in lag]
     out += [F.when(F.col(c).isNull(), F.lit(None)).otherwise(F.col("_cs_" + o) + F.col("_off_" + o)).alias(o)

@@ -78,8 +78,8 @@ FROM daily_totals GROUP BY meter_id, weekday""", DAILY_TOTALS_CTE))(on_readings(
 
 register("weekday_weekend", with_mr("""
 SELECT meter_id, round_even(wd, 2) AS weekday_avg, round_even(we, 2) AS weekend_avg,
-       round_even(we - wd, 2) + 0.0 AS difference,
-       round_even((we - wd) / nullif(wd, 0) * 100.0, 1) + 0.0 AS difference_percent
+       round_even(we - wd, 2) AS difference,
+       round_even((we - wd) / nullif(wd, 0) * 100.0, 1) AS difference_percent
 FROM (SELECT meter_id, avg(CASE WHEN NOT is_weekend THEN total_energy END) AS wd,
              avg(CASE WHEN is_weekend THEN total_energy END) AS we
       FROM daily_totals GROUP BY 1)""", DAILY_TOTALS_CTE))(on_readings(C.weekday_weekend))
