@@ -96,16 +96,15 @@ def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = N
     return j.select(*out)
 
 
-def rolling(df: DataFrame, col: str, n: int = 60, aggs=None, *, key=KEY, order=ORDER,
+def rolling(df: DataFrame, aggs: dict, n: int = 60, *, key=KEY, order=ORDER,
             chunk: str | None = "day", block: int = 1 << 16) -> DataFrame:
     """Row-based trailing window of ``n`` rows (current row included, at least
-    one row): adds ``aggs`` = {out name: aggregate function name}."""
-    aggs = aggs or {f"rolling_mean": "avg", f"rolling_std": "stddev_samp"}
+    one row). ``aggs`` = {out name: (aggregate function name, column)}."""
     keys = [key] if isinstance(key, str) else list(key)
-    fns = {name: getattr(F, fn) for name, fn in aggs.items()}
+    fns = {name: getattr(F, fn)(col) for name, (fn, col) in aggs.items()}
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), Window.currentRow)
-        return df.select("*", *[fn(col).over(w).alias(name) for name, fn in fns.items()])
+        return df.select("*", *[e.over(w).alias(name) for name, e in fns.items()])
     if block < n - 1:
         raise ValueError("block must hold at least n-1 rows")
     base_cols = df.columns
@@ -115,7 +114,7 @@ def rolling(df: DataFrame, col: str, n: int = 60, aggs=None, *, key=KEY, order=O
             .withColumn("_b", F.col("_b") + 1).withColumn("_copy", F.lit(True)))
     u = g.unionByName(tail)
     w = Window.partitionBy(*keys, "_b").orderBy("_g").rowsBetween(-(n - 1), Window.currentRow)
-    res = u.select(*base_cols, "_copy", *[fn(col).over(w).alias(name) for name, fn in fns.items()])
+    res = u.select(*base_cols, "_copy", *[e.over(w).alias(name) for name, e in fns.items()])
     return res.where(~F.col("_copy")).drop("_copy")
 
 

@@ -76,3 +76,167 @@ SELECT meter_id, 'low', r_lo, hour, CAST(hour AS VARCHAR) || ':00', round_even(a
 x AS (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY avg_power DESC, hour) AS r_hi,
              row_number() OVER (PARTITION BY meter_id ORDER BY avg_power, hour) AS r_lo
       FROM h WHERE avg_power IS NOT NULL)"""))(on_readings(A.top_hours))
+
+# --------------------------------------------------------------------------
+# anomalies
+# --------------------------------------------------------------------------
+from meterlake.operators import anomalies as H  # noqa: E402
+
+
+def _voltage_ctes(k: float) -> str:
+    return f"""
+vs AS (SELECT meter_id, count(*) AS n, avg(voltage) AS v_mean, stddev_samp(voltage) AS v_std
+       FROM meter_readings GROUP BY 1),
+vx AS (SELECT m.*, vs.n, vs.v_mean, vs.v_std,
+              (voltage < 198 OR voltage > 242) AS is_out_of_range, voltage < 198 AS is_low, voltage > 242 AS is_high,
+              (voltage < v_mean - {k!r} * v_std OR voltage > v_mean + {k!r} * v_std) AS is_outlier,
+              (voltage < v_mean * 0.9 AND voltage >= 198) AS is_sag,
+              (voltage > v_mean * 1.1 AND voltage <= 242) AS is_swell
+       FROM meter_readings m JOIN vs USING (meter_id)),
+vg AS (SELECT meter_id, any_value(n) AS n, any_value(v_mean) AS v_mean, any_value(v_std) AS v_std,
+              min(voltage) AS vmin, max(voltage) AS vmax,
+              count(*) FILTER (WHERE is_out_of_range) AS out_of_range_count,
+              count(*) FILTER (WHERE is_low) AS low_count, count(*) FILTER (WHERE is_high) AS high_count,
+              count(*) FILTER (WHERE is_outlier) AS outlier_count,
+              count(*) FILTER (WHERE is_sag) AS sag_count, count(*) FILTER (WHERE is_swell) AS swell_count
+       FROM vx GROUP BY 1),
+vf AS (SELECT meter_id, n AS total_records, round_even(v_mean, 2) AS voltage_mean, round_even(v_std, 2) AS voltage_std,
+              round_even(vmin, 2) AS voltage_min, round_even(vmax, 2) AS voltage_max,
+              out_of_range_count, round_even(CAST(out_of_range_count AS DOUBLE) / n * 100.0, 2) AS out_of_range_percent,
+              CASE WHEN CAST(out_of_range_count AS DOUBLE) / n > 0.05 THEN 'high' ELSE 'medium' END AS out_of_range_severity,
+              low_count, high_count, outlier_count,
+              sag_count, round_even(CAST(sag_count AS DOUBLE) / n * 100.0, 2) AS sag_percent,
+              swell_count, round_even(CAST(swell_count AS DOUBLE) / n * 100.0, 2) AS swell_percent,
+              CASE WHEN CAST(out_of_range_count AS DOUBLE) / n < 0.01 THEN 'normal' ELSE 'attention' END AS voltage_status
+       FROM vg)"""
+
+
+POWER_CTES = STEPS_CTE + """,
+ps AS (SELECT meter_id, count(*) AS n, avg(active_power) AS p_mean, stddev_samp(active_power) AS p_std,
+              min(active_power) AS p_min, max(active_power) AS p_max, quantile_cont(active_power, 0.95) AS p_q95
+       FROM meter_readings GROUP BY 1),
+pa AS (SELECT s.meter_id,
+              count(*) FILTER (WHERE abs(power_step) > p_std * 3) AS sudden_count,
+              count(*) FILTER (WHERE power_step > p_std * 5) AS spike_count,
+              count(*) FILTER (WHERE power_step < -p_std * 5) AS drop_count,
+              max(CASE WHEN power_step > p_std * 5 THEN power_step END) AS max_spike_raw,
+              min(CASE WHEN power_step < -p_std * 5 THEN power_step END) AS min_drop_raw
+       FROM steps s JOIN ps USING (meter_id) GROUP BY 1),
+pw AS (SELECT meter_id, round_even(p_mean, 2) AS power_mean, round_even(p_std, 2) AS power_std,
+              round_even(p_min, 2) AS power_min, round_even(p_max, 2) AS power_max,
+              round_even(p_q95, 2) AS high_power_threshold,
+              sudden_count, round_even(CAST(sudden_count AS DOUBLE) / n * 100.0, 2) AS sudden_percent,
+              spike_count, round_even(CAST(spike_count AS DOUBLE) / n * 100.0, 2) AS spike_percent,
+              round_even(max_spike_raw, 2) AS max_spike,
+              drop_count, round_even(CAST(drop_count AS DOUBLE) / n * 100.0, 2) AS drop_percent,
+              round_even(abs(min_drop_raw), 2) AS max_drop,
+              CASE WHEN spike_count > 0 THEN 'abnormal' ELSE 'normal' END AS power_status
+       FROM pa JOIN ps USING (meter_id))"""
+
+from meterlake.queries_meter import DAILY_TOTALS_CTE  # noqa: E402
+
+CONSUMPTION_CTES = DAILY_TOTALS_CTE + """,
+dz0 AS (SELECT *, avg(total_energy) OVER (PARTITION BY meter_id) AS d_mean,
+               stddev_pop(total_energy) OVER (PARTITION BY meter_id) AS d_std FROM daily_totals),
+dz AS (SELECT *, CASE WHEN d_std > 0 THEN (total_energy - d_mean) / d_std ELSE 0.0 END AS z FROM dz0),
+cg AS (SELECT meter_id, any_value(d_mean) AS d_mean, any_value(d_std) AS d_std,
+              avg(CASE WHEN NOT is_weekend THEN total_energy END) AS wd,
+              avg(CASE WHEN is_weekend THEN total_energy END) AS we,
+              count(*) FILTER (WHERE abs(z) > 2) AS abnormal_days
+       FROM dz GROUP BY 1),
+cs AS (SELECT meter_id, round_even(d_mean, 2) AS daily_mean, round_even(d_std, 2) AS daily_std,
+              round_even(wd, 2) AS weekday_avg, round_even(we, 2) AS weekend_avg,
+              round_even(CASE WHEN wd > 0 THEN we / wd ELSE 0.0 END, 2) AS ratio,
+              coalesce(CASE WHEN wd > 0 THEN we / wd ELSE 0.0 END > 1.3, false) AS pattern_anomaly,
+              abnormal_days,
+              CASE WHEN abnormal_days > 1 THEN 'abnormal' ELSE 'normal' END AS consumption_status
+       FROM cg)"""
+
+ANOMALY_TYPES_SQL = dims.sql_values([(t[0], t[1], t[2], t[5]) for t in dims.ANOMALY_TYPES],
+                                    ["type", "source", "description", "recommendation"])
+
+UNION_CTES = _voltage_ctes(3.0) + ",\n" + POWER_CTES + ",\n" + CONSUMPTION_CTES + """,
+j AS (SELECT * FROM vf FULL JOIN pw USING (meter_id) FULL JOIN cs USING (meter_id)),
+u0 AS (
+  SELECT meter_id, 1 AS ord, 'voltage_out_of_range' AS type, out_of_range_count AS count,
+         out_of_range_percent AS percentage, out_of_range_severity AS severity, CAST(NULL AS DOUBLE) AS magnitude
+  FROM j WHERE out_of_range_count > 0
+  UNION ALL SELECT meter_id, 2, 'voltage_sag', sag_count, sag_percent, 'medium', NULL FROM j WHERE sag_count > 0
+  UNION ALL SELECT meter_id, 3, 'voltage_swell', swell_count, swell_percent, 'medium', NULL FROM j WHERE swell_count > 0
+  UNION ALL SELECT meter_id, 4, 'sudden_power_change', sudden_count, sudden_percent, 'medium', NULL FROM j WHERE sudden_count > 0
+  UNION ALL SELECT meter_id, 5, 'power_spike', spike_count, spike_percent, 'high', max_spike FROM j WHERE spike_count > 0
+  UNION ALL SELECT meter_id, 6, 'power_drop', drop_count, drop_percent, 'medium', max_drop FROM j WHERE drop_count > 0
+  UNION ALL SELECT meter_id, 7, 'daily_consumption_anomaly', abnormal_days, NULL, NULL, NULL FROM j WHERE abnormal_days > 0
+  UNION ALL SELECT meter_id, 8, 'usage_pattern_anomaly', NULL, NULL, NULL, ratio FROM j WHERE pattern_anomaly),
+anomaly_union AS (
+  SELECT u0.meter_id, CAST(u0.ord AS BIGINT) AS ord, t.source, u0.type, CAST(u0.count AS DOUBLE) AS count,
+         CAST(u0.percentage AS DOUBLE) AS percentage, CAST(u0.severity AS VARCHAR) AS severity,
+         CAST(u0.magnitude AS DOUBLE) AS magnitude, t.description, t.recommendation
+  FROM u0 JOIN """ + ANOMALY_TYPES_SQL + " USING (type))"
+
+register("voltage_flags", with_mr("SELECT * FROM vf", _voltage_ctes(3.0)))(on_readings(H.voltage_flags))
+
+register("voltage_outliers", with_mr("""
+SELECT meter_id, round_even(any_value(v_mean - 1.5 * v_std), 2) AS lower_bound,
+       round_even(any_value(v_mean + 1.5 * v_std), 2) AS upper_bound,
+       count(*) FILTER (WHERE voltage < v_mean - 1.5 * v_std OR voltage > v_mean + 1.5 * v_std) AS outlier_count,
+       count(*) FILTER (WHERE voltage < v_mean - 1.5 * v_std) AS below_count,
+       count(*) FILTER (WHERE voltage > v_mean + 1.5 * v_std) AS above_count
+FROM vx GROUP BY 1""", _voltage_ctes(1.5)))(on_readings(H.voltage_outliers, std_threshold=1.5))
+
+register("voltage_samples", with_mr(f"""
+SELECT meter_id, type, sample_rank, strftime(ts, '{TS_SQL}') AS ts, voltage FROM (
+  SELECT *, row_number() OVER (PARTITION BY meter_id, type ORDER BY ts, seq) AS sample_rank FROM (
+    SELECT meter_id, ts, seq, voltage, 'voltage_out_of_range' AS type, 5 AS k FROM vx WHERE is_out_of_range
+    UNION ALL SELECT meter_id, ts, seq, voltage, 'voltage_sag', 3 FROM vx WHERE is_sag
+    UNION ALL SELECT meter_id, ts, seq, voltage, 'voltage_swell', 3 FROM vx WHERE is_swell) s) t
+WHERE sample_rank <= k""", _voltage_ctes(3.0)))(on_readings(H.voltage_samples))
+
+register("high_power_threshold", with_mr("""
+SELECT meter_id, round_even(any_value(p_q95), 2) AS high_power_threshold,
+       count(*) FILTER (WHERE active_power > p_q95) AS above_threshold_count
+FROM meter_readings JOIN ps USING (meter_id) GROUP BY 1""", POWER_CTES))(on_readings(H.high_power_threshold))
+
+register("power_step_anomalies", with_mr("SELECT * FROM pw", POWER_CTES))(on_readings(H.power_step_anomalies))
+
+register("rolling_power", with_mr(f"""
+SELECT meter_id, seq, strftime(ts, '{TS_SQL}') AS ts, active_power,
+       round_even(s / c / 100.0, 6) AS rolling_mean,
+       round_even(sqrt(CASE WHEN c > 1 THEN (c * s2 - s * s) / (c * (c - 1)) END) / 100.0, 6) AS rolling_std
+FROM (SELECT *, sum(cw) OVER w AS s, count(cw) OVER w AS c, sum(cw * cw) OVER w AS s2
+      FROM (SELECT *, CAST(round_even(active_power * 100.0, 0) AS BIGINT) AS cw FROM meter_readings) x
+      WINDOW w AS (PARTITION BY meter_id ORDER BY ts, seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) y"""))(
+    on_readings(H.rolling_power))
+
+register("daily_zscore", with_mr("""
+SELECT meter_id, CAST(date AS VARCHAR) AS date, round_even(total_energy, 2) AS energy,
+       round_even(z, 2) AS z_score, CASE WHEN z > 0 THEN 'high' ELSE 'low' END AS deviation
+FROM dz WHERE abs(z) > 2""", CONSUMPTION_CTES))(on_readings(H.daily_zscore))
+
+register("weekend_pattern", with_mr("SELECT * FROM cs", CONSUMPTION_CTES))(on_readings(H.consumption_summary))
+
+register("anomaly_union", with_mr("SELECT * FROM anomaly_union", UNION_CTES))(on_readings(H.anomaly_union))
+
+register("alerts_high", with_mr("SELECT * FROM anomaly_union WHERE severity = 'high'", UNION_CTES))(
+    on_readings(H.alerts, view="high"))
+
+register("alert_level", with_mr("""
+SELECT meters.meter_id,
+       CASE WHEN coalesce(high_priority, 0) > 0 THEN 'high' WHEN coalesce(medium_priority, 0) > 3 THEN 'medium'
+            WHEN coalesce(total_anomalies, 0) > 0 THEN 'low' ELSE 'none' END AS alert_level,
+       coalesce(total_anomalies, 0) AS total_anomalies, coalesce(high_priority, 0) AS high_priority,
+       coalesce(medium_priority, 0) AS medium_priority, coalesce(voltage_anomalies, 0) AS voltage_anomalies,
+       coalesce(power_anomalies, 0) AS power_anomalies, coalesce(consumption_anomalies, 0) AS consumption_anomalies,
+       voltage_status, power_status, consumption_status, coalesce(recommended_actions, '') AS recommended_actions
+FROM (SELECT meter_id, voltage_status, power_status, consumption_status FROM j) meters
+LEFT JOIN (
+  SELECT meter_id, count(*) AS total_anomalies,
+         count(*) FILTER (WHERE severity = 'high') AS high_priority,
+         count(*) FILTER (WHERE severity = 'medium') AS medium_priority,
+         count(*) FILTER (WHERE source = 'voltage') AS voltage_anomalies,
+         count(*) FILTER (WHERE source = 'power') AS power_anomalies,
+         count(*) FILTER (WHERE source = 'consumption') AS consumption_anomalies,
+         string_agg(recommendation, ' | ' ORDER BY ord) FILTER (WHERE rk <= 5 AND recommendation IS NOT NULL)
+           AS recommended_actions
+  FROM (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY ord) AS rk FROM anomaly_union) a
+  GROUP BY 1) g USING (meter_id)""", UNION_CTES))(on_readings(H.alert_level))
