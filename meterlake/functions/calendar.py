@@ -29,9 +29,9 @@ def period_of(hour) -> Column:
     """Day period code for an hour column: [0,6) night, [6,12) morning, [12,18) afternoon, else evening."""
     h = _c(hour)
     out = None
-    for code, start, *_ in reversed(dims.PERIODS):
-        out = F.when(h >= start, F.lit(code)) if out is None else F.when(h >= start, F.lit(code)).otherwise(out)
-    return out
+    for code, start, *_ in dims.PERIODS:  # later (higher) starts wrap, so they are tested first
+        out = F.lit(code) if out is None else F.when(h >= start, F.lit(code)).otherwise(out)
+    return F.when(h.isNotNull(), out)
 
 
 def period_label(code, kind: str = "zh") -> Column:

@@ -122,3 +122,99 @@ FROM (
          round_even(avg(active_power), 2) AS power_mean, round_even(stddev_samp(active_power), 2) AS power_std,
          round_even(min(active_power), 2) AS power_min, round_even(max(active_power), 2) AS power_max
   FROM meter_readings GROUP BY 1)"""))(on_readings(P.power_quality))
+
+# --------------------------------------------------------------------------
+# efficiency
+# --------------------------------------------------------------------------
+from meterlake import dims  # noqa: E402
+from meterlake.operators import efficiency as E  # noqa: E402
+
+
+def _level_case(appliance: str, col: str) -> str:
+    whens = " ".join(f"WHEN {col} >= {lo} AND {col} <= {hi} THEN '{lvl}'" for lvl, lo, hi in E._bands(appliance))
+    return f"CASE {whens} ELSE 'unknown' END"
+
+
+def _appliance_eff_sql() -> str:
+    aggs, parts = [], []
+    scores = " ".join(f"WHEN '{k}' THEN {v}" for k, v in dims.LEVEL_SCORES.items())
+    suggs = " ".join(f"WHEN '{k}' THEN '{' | '.join(v)}'" for k, v in dims.LEVEL_SUGGESTIONS.items())
+    for i, a in enumerate(dims.EFFICIENCY_APPLIANCES):
+        lo, hi = E.prefilter_range(a)
+        cond = f"active_power >= {lo!r} AND active_power <= {hi!r}"
+        aggs.append(f"count(*) FILTER (WHERE {cond}) AS n{i}, avg(CASE WHEN {cond} THEN active_power END) AS p{i}, "
+                    f"coalesce(sum(CASE WHEN {cond} THEN energy END), 0) AS e{i}")
+        lvl = _level_case(a, f"p{i}")
+        parts.append(
+            f"SELECT meter_id, '{a}' AS appliance, '{E.NAMES[a]}' AS appliance_name, "
+            f"CASE WHEN n{i} > 0 THEN 'running' ELSE 'not_running' END AS status, "
+            f"CASE WHEN n{i} > 0 THEN {lvl} END AS efficiency_level, "
+            f"CASE WHEN n{i} > 0 THEN CAST(coalesce(CASE {lvl} {scores} END, 0) AS BIGINT) END AS efficiency_score, "
+            f"CASE WHEN n{i} > 0 THEN round_even(p{i}, 2) END AS avg_power, "
+            f"CASE WHEN n{i} > 0 THEN round_even(e{i}, 2) END AS total_energy, "
+            f"CASE WHEN n{i} > 0 THEN round_even(e{i} / 30.0, 2) END AS estimated_daily_usage, "
+            f"CASE WHEN n{i} > 0 THEN round_even(CAST(n{i} AS DOUBLE) / 60.0, 1) END AS operating_hours, "
+            f"CASE WHEN n{i} > 0 THEN coalesce(CASE {lvl} {suggs} END, '') END AS suggestions FROM g")
+    return with_mr("\nUNION ALL\n".join(parts),
+                   f"g AS (SELECT meter_id, {', '.join(aggs)} FROM meter_readings GROUP BY 1)")
+
+
+register("appliance_efficiency", _appliance_eff_sql())(on_readings(E.appliance_efficiency))
+
+
+def _overall_sql(calibrated: bool) -> str:
+    energy = "te * 1000.0" if calibrated else "te"
+    scale = "" if calibrated else " * 100"
+    return with_mr("""
+SELECT meter_id, round_even(score, 1) AS overall_score, round_even(raw, 1) AS raw_score,
+       CASE WHEN score >= 85 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 55 THEN 'fair' ELSE 'poor' END
+         AS efficiency_level,
+       round_even(eu, 3) AS energy_utilization, round_even(lf, 3) AS load_factor, round_even(blr, 3) AS base_load_ratio,
+       round_even(avg, 2) AS average_power, round_even(peak, 2) AS peak_power,
+       coalesce(round_even(base, 2), 0.0) AS base_load, round_even(te, 2) AS total_energy,
+       coalesce(nullif(concat_ws(',', CASE WHEN lf < 0.5 THEN 'low_load_factor' END,
+                                      CASE WHEN blr > 0.3 THEN 'high_base_load' END,
+                                      CASE WHEN peak > avg * 3 THEN 'high_peak' END), ''), 'ok') AS suggestions,
+       CASE WHEN score >= 85 THEN 'green' WHEN score >= 70 THEN 'amber' ELSE 'red' END AS gauge_color
+FROM (SELECT *, least(100.0, greatest(0.0, raw)) AS score
+      FROM (SELECT *, (eu * 40 + lf * 35 + (1 - blr) * 25)""" + scale + """ AS raw
+            FROM (SELECT *, CASE WHEN avg > 0 THEN """ + energy + """ / (avg * n / 60.0) ELSE 0.0 END AS eu,
+                            CASE WHEN peak > 0 THEN avg / peak ELSE 0.0 END AS lf,
+                            CASE WHEN avg > 0 THEN base / avg ELSE 0.0 END AS blr
+                  FROM (SELECT meter_id, count(*) AS n, coalesce(sum(energy), 0) AS te, avg(active_power) AS avg,
+                               max(active_power) AS peak,
+                               avg(CASE WHEN active_power < 100 THEN active_power END) AS base
+                        FROM meter_readings GROUP BY 1) g) x) y) z""")
+
+
+register("overall_efficiency", _overall_sql(False))(on_readings(E.overall_efficiency))
+register("overall_efficiency_calibrated", _overall_sql(True))(on_readings(E.overall_efficiency, calibrated=True))
+
+_PERIOD_CASE = ("CASE WHEN hour(ts) >= 18 THEN 'evening' WHEN hour(ts) >= 12 THEN 'afternoon' "
+                "WHEN hour(ts) >= 6 THEN 'morning' ELSE 'night' END")
+PERIOD_EFF_CTE = f"""
+pg AS (SELECT meter_id, {_PERIOD_CASE} AS period,
+              round_even(avg(active_power), 2) AS avg_power, round_even(stddev_samp(active_power), 2) AS power_std,
+              round_even(max(active_power), 2) AS peak_power, round_even(coalesce(sum(energy), 0), 2) AS total_energy,
+              round_even(avg(power_factor), 2) AS avg_power_factor
+       FROM meter_readings WHERE ts IS NOT NULL GROUP BY 1, 2),
+pe AS (SELECT meter_id, period,
+              CASE period {' '.join(f"WHEN '{c}' THEN '{zh}'" for c, _s, zh, _ch in dims.PERIODS)} END AS period_label,
+              avg_power, power_std, peak_power, total_energy, avg_power_factor,
+              greatest(0.0, round_even(100.0 - CASE WHEN avg_power_factor < 0.9 THEN (0.9 - avg_power_factor) * 50 ELSE 0.0 END
+                                             - CASE WHEN power_std > avg_power * 0.5 THEN 10.0 ELSE 0.0 END, 1))
+                AS efficiency_score
+       FROM pg)"""
+
+register("period_efficiency", with_mr("SELECT * FROM pe", PERIOD_EFF_CTE))(on_readings(E.period_efficiency))
+
+_TIE_SQL = dims.sql_values(sorted(dims.PERIOD_TIE_ORDER.items()), ["period", "tie"])
+register("best_worst_period", with_mr(f"""
+SELECT meter_id,
+       first(period ORDER BY avg_power ASC, tie ASC) AS best_period,
+       first(avg_power ORDER BY avg_power ASC, tie ASC) AS best_avg_power,
+       first(efficiency_score ORDER BY avg_power ASC, tie ASC) AS best_score,
+       first(period ORDER BY avg_power DESC, tie ASC) AS worst_period,
+       first(avg_power ORDER BY avg_power DESC, tie ASC) AS worst_avg_power,
+       first(efficiency_score ORDER BY avg_power DESC, tie ASC) AS worst_score
+FROM pe JOIN {_TIE_SQL} USING (period) GROUP BY 1""", PERIOD_EFF_CTE))(on_readings(E.best_worst_period))
