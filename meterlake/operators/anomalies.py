@@ -20,7 +20,8 @@ from meterlake.operators.segments import power_steps
 from meterlake.plans.ordered import rolling, top_n_per_group
 
 K = "meter_id"
-V = F.col("voltage")
+def _V():
+    return F.col("voltage")
 
 
 def voltage_stats(m: DataFrame) -> DataFrame:
@@ -35,11 +36,11 @@ def _with_voltage_flags(m: DataFrame, std_threshold: float) -> DataFrame:
     hi = F.col("v_mean") + std_threshold * F.col("v_std")
     return x.select(
         "*",
-        ((V < dims.V_MIN) | (V > dims.V_MAX)).alias("is_out_of_range"),
-        (V < dims.V_MIN).alias("is_low"), (V > dims.V_MAX).alias("is_high"),
-        ((V < lo) | (V > hi)).alias("is_outlier"),
-        ((V < F.col("v_mean") * 0.9) & (V >= dims.V_MIN)).alias("is_sag"),
-        ((V > F.col("v_mean") * 1.1) & (V <= dims.V_MAX)).alias("is_swell"))
+        ((_V() < dims.V_MIN) | (_V() > dims.V_MAX)).alias("is_out_of_range"),
+        (_V() < dims.V_MIN).alias("is_low"), (_V() > dims.V_MAX).alias("is_high"),
+        ((_V() < lo) | (_V() > hi)).alias("is_outlier"),
+        ((_V() < F.col("v_mean") * 0.9) & (_V() >= dims.V_MIN)).alias("is_sag"),
+        ((_V() > F.col("v_mean") * 1.1) & (_V() <= dims.V_MAX)).alias("is_swell"))
 
 
 def voltage_flags(m: DataFrame, std_threshold: float = 3.0) -> DataFrame:
@@ -74,8 +75,8 @@ def voltage_outliers(m: DataFrame, std_threshold: float = 3.0) -> DataFrame:
     hi = F.col("v_mean") + std_threshold * F.col("v_std")
     return x.groupBy(K).agg(
         r(F.first(lo)).alias("lower_bound"), r(F.first(hi)).alias("upper_bound"),
-        F.count_if((V < lo) | (V > hi)).alias("outlier_count"),
-        F.count_if(V < lo).alias("below_count"), F.count_if(V > hi).alias("above_count"))
+        F.count_if((_V() < lo) | (_V() > hi)).alias("outlier_count"),
+        F.count_if(_V() < lo).alias("below_count"), F.count_if(_V() > hi).alias("above_count"))
 
 
 def voltage_samples(m: DataFrame, std_threshold: float = 3.0, n_out: int = 5, n_sag: int = 3) -> DataFrame:

@@ -16,7 +16,8 @@ from meterlake.functions.calendar import hour_of, period_label, period_of
 from meterlake.functions.numeric import div, r
 
 K = "meter_id"
-P = F.col("active_power")
+def _P():
+    return F.col("active_power")
 NAMES = {c: n for c, n, *_ in dims.APPLIANCES}
 
 
@@ -53,10 +54,10 @@ def appliance_efficiency(m: DataFrame, appliances=None, prefilter: str = "excell
     aggs = []
     for i, a in enumerate(appliances):
         lo, hi = prefilter_range(a, prefilter)
-        inb = (P >= lo) & (P <= hi)
-        aggs += [F.count_if(inb).alias(f"n{i}"), F.avg(F.when(inb, P)).alias(f"p{i}"),
+        inb = (_P() >= lo) & (_P() <= hi)
+        aggs += [F.count_if(inb).alias(f"n{i}"), F.avg(F.when(inb, _P())).alias(f"p{i}"),
                  F.coalesce(F.sum(F.when(inb, F.col("energy"))), F.lit(0.0)).alias(f"e{i}"),
-                 level_of(a, F.avg(F.when(inb, P))).alias(f"l{i}")]
+                 level_of(a, F.avg(F.when(inb, _P()))).alias(f"l{i}")]
     g = m.groupBy(K).agg(*aggs)
     rows = F.array(*[F.struct(F.lit(a).alias("appliance"), F.lit(NAMES[a]).alias("appliance_name"),
                               F.col(f"n{i}").alias("n"), F.col(f"p{i}").alias("p"),
@@ -85,7 +86,7 @@ def overall_efficiency(m: DataFrame, calibrated: bool = False) -> DataFrame:
     kWh to Wh and drops the extra x100."""
     g = m.groupBy(K).agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("energy"), F.lit(0.0)).alias("te"),
-        F.avg(P).alias("avg"), F.max(P).alias("peak"), F.avg(F.when(P < 100, P)).alias("base"))
+        F.avg(_P()).alias("avg"), F.max(_P()).alias("peak"), F.avg(F.when(_P() < 100, _P())).alias("base"))
     avg, n, peak = F.col("avg"), F.col("n"), F.col("peak")
     energy = F.col("te") * 1000.0 if calibrated else F.col("te")
     eu = F.when(avg > 0, div(energy, avg * n / 60.0)).otherwise(F.lit(0.0))
@@ -119,8 +120,8 @@ def period_efficiency(m: DataFrame) -> DataFrame:
     std > 0.5 * mean, floored at 0."""
     g = (m.where(F.col("ts").isNotNull())
          .groupBy(K, period_of(hour_of("ts")).alias("period"))
-         .agg(r(F.avg(P)).alias("avg_power"), r(F.stddev_samp(P)).alias("power_std"),
-              r(F.max(P)).alias("peak_power"), r(F.coalesce(F.sum("energy"), F.lit(0.0))).alias("total_energy"),
+         .agg(r(F.avg(_P())).alias("avg_power"), r(F.stddev_samp(_P())).alias("power_std"),
+              r(F.max(_P())).alias("peak_power"), r(F.coalesce(F.sum("energy"), F.lit(0.0))).alias("total_energy"),
               r(F.avg("power_factor")).alias("avg_power_factor")))
     pf, sd, av = F.col("avg_power_factor"), F.col("power_std"), F.col("avg_power")
     score = (F.lit(100.0) - F.when(pf < 0.9, (F.lit(0.9) - pf) * 50).otherwise(F.lit(0.0))

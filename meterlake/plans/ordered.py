@@ -35,7 +35,7 @@ def chunk_of(ts: Column, chunk: str) -> Column:
     if chunk == "day":
         return F.to_date(ts)
     if chunk in ("hour", "minute", "week", "month"):
-        return F.date_trunc(chunk, ts)
+        return F.date_trunc(chunk, ts).cast("timestamp_ntz")
     raise ValueError(f"unknown chunk unit {chunk!r}")
 
 

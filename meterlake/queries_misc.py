@@ -1 +1,225 @@
-"""Registered queries over the other driver tables (inventory, conversations, training sets)."""
+"""Registered queries: derived columns, chart data, training sets, inventories, conversations."""
+
+from __future__ import annotations
+
+from meterlake import dims
+from meterlake.catalog import TS_SQL, on_readings, register, with_mr
+from meterlake.operators import chartdata as K
+from meterlake.operators import derived as D
+from meterlake.operators import features as L
+from meterlake.operators import inventory as M
+from meterlake.queries_detect import SEGMENTS_CTE
+from meterlake.sources.events import (FILE_INVENTORY_SQL, OBJECT_KEYS_SQL, file_inventory, object_keys,
+                                      read_table)
+
+PERIOD_CASE = ("CASE WHEN hour(ts) >= 18 THEN 'evening' WHEN hour(ts) >= 12 THEN 'afternoon' "
+               "WHEN hour(ts) >= 6 THEN 'morning' ELSE 'night' END")
+
+# ---------------------------------------------------------------- C1-C13, C5/C6
+register("derived_columns", with_mr(f"""
+SELECT meter_id, seq, strftime(ts, '{TS_SQL}') AS ts,
+       round_even(CASE WHEN voltage > 0 THEN active_power / voltage ELSE 0.0 END, 4) AS current_from_power,
+       round_even(active_power * tan(acos(power_factor)), 4) AS reactive_from_pf,
+       round_even(active_power * 0.3, 4) AS reactive_simplified,
+       round_even(coalesce(active_power / nullif(sqrt(active_power * active_power + reactive_power * reactive_power), 0),
+                           0.95), 4) AS pf_from_pq,
+       round_even(active_power * 1.0 / 60.0 / 1000.0, 6) AS interval_energy,
+       CASE WHEN voltage IS NULL THEN NULL ELSE least(greatest(voltage, 198.0), 242.0) END AS voltage_clipped,
+       CASE WHEN active_power > 1000 THEN 'high' WHEN active_power > 300 THEN 'medium' ELSE 'low' END AS power_class,
+       CASE WHEN active_power > 2000 THEN 'high' WHEN active_power > 500 THEN 'medium' ELSE 'low' END AS power_class_mixed,
+       CAST(CAST(ts AS DATE) AS VARCHAR) AS date, CAST(hour(ts) AS BIGINT) AS hour,
+       CAST(isodow(ts) - 1 AS BIGINT) AS weekday, (isodow(ts) - 1) IN (5, 6) AS is_weekend,
+       {PERIOD_CASE} AS period,
+       CAST(CASE WHEN month(ts) IN (6, 7, 8) AND hour(ts) BETWEEN 12 AND 16 THEN 1.3
+                 WHEN month(ts) IN (12, 1, 2) AND (hour(ts) BETWEEN 6 AND 9 OR hour(ts) BETWEEN 17 AND 21) THEN 1.5
+                 ELSE 1.0 END AS DOUBLE) AS season_factor,
+       (['winter', 'spring', 'summer', 'autumn'])[CAST((month(ts) % 12) // 3 + 1 AS INTEGER)] AS season,
+       CAST(hour(ts) AS VARCHAR) || ':00' AS hour_label,
+       active_power IS NOT NULL AND active_power >= 0 AND active_power <= 50000 AS is_valid_power
+FROM meter_readings"""))(on_readings(D.derived_columns))
+
+register("energy_register", with_mr(f"""
+SELECT meter_id, seq, strftime(ts, '{TS_SQL}') AS ts, round_even(energy, 7) AS energy,
+       round_even(register, 7) AS register,
+       round_even(CASE WHEN prev IS NULL THEN register WHEN register - prev < 0 THEN register
+                       ELSE register - prev END, 7) AS energy_from_register
+FROM (SELECT *, lag(register) OVER (PARTITION BY meter_id ORDER BY ts, seq) AS prev
+      FROM (SELECT meter_id, seq, ts, energy,
+                   sum(energy) OVER (PARTITION BY meter_id ORDER BY ts, seq
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS register
+            FROM meter_readings) x) y"""))(on_readings(D.energy_register))
+
+# ---------------------------------------------------------------- K1-K8
+register("trend_tail", with_mr(f"""
+SELECT meter_id, seq, strftime(ts, '{TS_SQL}') AS ts, active_power, voltage, "current", tail_rank,
+       round_even(sum(CAST(round_even(active_power * 100.0, 0) AS BIGINT)) OVER (PARTITION BY meter_id)
+                  / count(active_power) OVER (PARTITION BY meter_id) / 100.0, 2) AS tail_mean_power
+FROM (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY ts DESC, seq DESC) AS tail_rank
+      FROM meter_readings) t
+WHERE tail_rank <= 200"""))(on_readings(K.trend_tail))
+
+register("daily_bars", with_mr("""
+SELECT meter_id, CAST(date AS VARCHAR) AS date, round_even(e, 2) AS total_energy,
+       round_even(avg(e) OVER (PARTITION BY meter_id), 2) AS average_energy,
+       row_number() OVER (PARTITION BY meter_id ORDER BY e DESC, date) = 1 AS is_max,
+       row_number() OVER (PARTITION BY meter_id ORDER BY e, date) = 1 AS is_min
+FROM (SELECT meter_id, CAST(ts AS DATE) AS date, coalesce(sum(energy), 0) AS e
+      FROM meter_readings WHERE ts IS NOT NULL GROUP BY 1, 2) d"""))(on_readings(K.daily_bars))
+
+register("hourly_curve", with_mr("""
+SELECT meter_id, hour, round_even(a, 2) AS avg_power, round_even(s, 2) AS power_std, round_even(mn, 2) AS min_power,
+       round_even(mx, 2) AS max_power, round_even(e, 2) AS total_energy,
+       round_even(a - s, 2) AS band_low, round_even(a + s, 2) AS band_high,
+       row_number() OVER (PARTITION BY meter_id ORDER BY a DESC, hour) = 1 AS is_peak,
+       row_number() OVER (PARTITION BY meter_id ORDER BY a, hour) = 1 AS is_valley
+FROM (SELECT meter_id, CAST(hour(ts) AS BIGINT) AS hour, avg(active_power) AS a, stddev_samp(active_power) AS s,
+             min(active_power) AS mn, max(active_power) AS mx, coalesce(sum(energy), 0) AS e
+      FROM meter_readings WHERE ts IS NOT NULL GROUP BY 1, 2) h"""))(on_readings(K.hourly_curve))
+
+_CHART_LABEL = "CASE period " + " ".join(f"WHEN '{c}' THEN '{ch}'" for c, _s, _zh, ch in dims.PERIODS) + " END"
+register("period_share", with_mr(f"""
+SELECT meter_id, period, {_CHART_LABEL} AS period_label, round_even(e, 4) AS total_energy,
+       round_even(e / sum(e) OVER (PARTITION BY meter_id) * 100.0, 1) AS share_percent
+FROM (SELECT meter_id, {PERIOD_CASE} AS period, coalesce(sum(energy), 0) AS e
+      FROM meter_readings WHERE ts IS NOT NULL GROUP BY 1, 2) p"""))(on_readings(K.period_share))
+
+
+def _hist_sql(col: str, bins: int) -> str:
+    return with_mr(f"""
+SELECT g.meter_id, g.bin, round_even(lo + (bin - 1) * ((hi - lo) / {bins}), 4) AS bin_start,
+       round_even(lo + bin * ((hi - lo) / {bins}), 4) AS bin_end, coalesce(c.count, 0) AS count
+FROM (SELECT meter_id, lo, hi, CAST(unnest(range(1, {bins + 1})) AS BIGINT) AS bin FROM s) g
+LEFT JOIN (SELECT m.meter_id,
+                  CAST(least(floor((m.{col} - s.lo) * {bins} / (s.hi - s.lo)), {bins - 1}) + 1 AS BIGINT) AS bin,
+                  count(*) AS count
+           FROM meter_readings m JOIN s USING (meter_id) WHERE m.{col} IS NOT NULL GROUP BY 1, 2) c
+USING (meter_id, bin)""", f"""
+s AS (SELECT meter_id, CASE WHEN min({col}) = max({col}) THEN min({col}) - 0.5 ELSE min({col}) END AS lo,
+             CASE WHEN min({col}) = max({col}) THEN max({col}) + 0.5 ELSE max({col}) END AS hi
+      FROM meter_readings GROUP BY 1)""")
+
+
+register("voltage_histogram", _hist_sql("voltage", 50))(on_readings(K.voltage_histogram))
+register("pf_histogram", _hist_sql("power_factor", 30))(on_readings(K.pf_histogram))
+
+register("quality_scatter", with_mr(f"""
+SELECT meter_id, seq, strftime(ts, '{TS_SQL}') AS ts, active_power, reactive_power, power_factor
+FROM meter_readings"""))(on_readings(K.quality_scatter))
+
+register("every_tenth", with_mr(f"""
+SELECT meter_id, seq, strftime(ts, '{TS_SQL}') AS ts, power_factor, CAST(rn - 1 AS BIGINT) AS position
+FROM (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY ts, seq) AS rn FROM meter_readings) x
+WHERE (rn - 1) % 10 = 0"""))(on_readings(K.every_nth, n=10))
+
+# ---------------------------------------------------------------- L1-L6
+_TO_ID = "CASE e.event_type " + " ".join(f"WHEN '{k}' THEN '{a}'" for k, a in dims.EVENT_TYPE_APPLIANCE.items()) + " END"
+_NAME = dict(dims.TRAIN_LABELS)
+_TO_NAME = "CASE e.event_type " + " ".join(f"WHEN '{k}' THEN '{_NAME[a]}'"
+                                           for k, a in dims.EVENT_TYPE_APPLIANCE.items()) + " END"
+SAMPLES_CTE = f"""
+samples AS (SELECT m.*, {_TO_ID} AS appliance_id, {_TO_NAME} AS appliance_name
+            FROM meter_readings m JOIN events e ON e.event_id = m.seq)"""
+
+
+def on_samples(op, **kw):
+    return lambda spark, sf_dir: op(L.samples_from_events(read_table(spark, sf_dir, "events")), **kw)
+
+
+_LABELS_SQL = dims.sql_values([(c, i) for i, (c, _n) in enumerate(dims.TRAIN_LABELS)], ["appliance_id", "label"])
+register("label_encoding", with_mr(f"""
+SELECT s.meter_id, s.seq, s.appliance_id, CAST(t.label AS BIGINT) AS label
+FROM samples s LEFT JOIN {_LABELS_SQL} ON s.appliance_id = t.appliance_id""", SAMPLES_CTE))(
+    on_samples(L.label_encoding))
+
+register("class_stats", with_mr("""
+SELECT appliance_name, count(*) AS samples,
+       round_even(avg(active_power), 2) AS power_mean, round_even(stddev_samp(active_power), 2) AS power_std,
+       round_even(min(active_power), 2) AS power_min, round_even(max(active_power), 2) AS power_max,
+       round_even(avg(voltage), 2) AS voltage_mean, round_even(avg("current"), 2) AS current_mean,
+       round_even(avg(power_factor), 2) AS power_factor_mean
+FROM samples GROUP BY 1""", SAMPLES_CTE))(on_samples(L.class_stats))
+
+register("feature_matrix", with_mr("""
+SELECT cp.meter_id, cp.seq, cp.active_power AS power, voltage, "current", power_factor, reactive_power,
+       CAST(hour(ts) AS BIGINT) AS hour, CAST((isodow(ts) - 1) IN (5, 6) AS BIGINT) AS is_weekend,
+       duration_minutes, coalesce(round_even(power_std, 2), 0.0) AS power_std
+FROM cp JOIN (SELECT meter_id, segment_id, count(*) AS duration_minutes, stddev_samp(active_power) AS power_std
+              FROM cp GROUP BY 1, 2) seg USING (meter_id, segment_id)""", SEGMENTS_CTE))(
+    on_samples(L.feature_matrix))
+
+register("sequences", with_mr(f"""
+SELECT meter_id, CAST(floor((rn - 1) / 60) AS BIGINT) AS sequence_id, CAST((rn - 1) % 60 AS BIGINT) AS step, seq,
+       strftime(ts, '{TS_SQL}') AS ts, active_power AS power, voltage, "current", power_factor, reactive_power
+FROM (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY ts, seq) AS rn,
+             count(*) OVER (PARTITION BY meter_id) AS n FROM meter_readings) x
+WHERE rn <= floor(n / 60) * 60"""))(on_readings(L.sequences))
+
+SUPERPOSITION_SQL = f"""
+SELECT strftime(date_trunc('hour', ts), '{TS_SQL}') AS timestamp, 'mixed' AS appliance_id,
+       array_to_string(list_sort(list_distinct(list(appliance_name))), '+') AS appliance_name,
+       count(DISTINCT appliance_id) AS n_devices, round_even(sum(active_power), 2) AS power,
+       CASE WHEN sum(active_power) > 2000 THEN 'high' WHEN sum(active_power) > 500 THEN 'medium' ELSE 'low' END
+         AS power_range_category
+FROM samples WHERE appliance_id <> 'mixed' GROUP BY date_trunc('hour', ts)"""
+register("load_superposition", with_mr(SUPERPOSITION_SQL, SAMPLES_CTE))(on_samples(L.load_superposition))
+
+register("training_set", with_mr(f"""
+SELECT strftime(ts, '{TS_SQL}') AS timestamp, appliance_id, appliance_name, round_even(active_power, 2) AS power,
+       CASE WHEN active_power > 1000 THEN 'high' WHEN active_power > 300 THEN 'medium' ELSE 'low' END
+         AS power_range_category
+FROM samples WHERE appliance_id <> 'mixed'
+UNION ALL
+SELECT timestamp, appliance_id, appliance_name, power, power_range_category FROM ({SUPERPOSITION_SQL}) mix""",
+    SAMPLES_CTE))(on_samples(L.training_set))
+
+# ---------------------------------------------------------------- A8, A9, M1-M4, N1
+_CATEGORY = "CASE " + " ".join(
+    f"WHEN x IN ({', '.join(repr(e) for e in exts)}) THEN '{cat}'" for cat, exts in dims.FILE_TYPES.items()) \
+    + " ELSE 'default' END"
+_BASE = ("regexp_extract(regexp_extract(regexp_extract(regexp_replace(path, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*', ''),"
+         " '^[^?#]*', 0), '([^/]*)$', 1), '^[^;]*', 0)")
+register("file_category", f"""WITH {FILE_INVENTORY_SQL.strip()}
+SELECT path, source, {_CATEGORY.replace('x IN', "lower(regexp_replace(ext, '^\\.+', '')) IN")} AS category,
+       ext AS extension, starts_with(path, 'http://') OR starts_with(path, 'https://') AS is_remote
+FROM (SELECT *, regexp_extract({_BASE}, '^\\.*[^.].*(\\.[^.]*)$', 1) AS ext FROM file_inventory) f""")(
+    lambda spark, sf_dir: M.classify_files(file_inventory(spark, sf_dir)))
+
+_REASON = ("CASE WHEN key IS NULL OR regexp_matches(key, '^\\s*$') THEN 'empty' "
+           "WHEN strlen(key) > 1024 THEN 'too_long' "
+           "WHEN starts_with(key, '/') OR ends_with(key, '/') THEN 'slash_edge' "
+           "WHEN strpos(key, '//') > 0 THEN 'double_slash' "
+           "WHEN NOT regexp_matches(key, '^[A-Za-z0-9._\\-/]+$') THEN 'bad_char' END")
+KEYS_CTE = OBJECT_KEYS_SQL.strip() + f""",
+checked AS (SELECT *, {_REASON} AS reason FROM object_keys)"""
+register("key_validation", f"""WITH {KEYS_CTE}
+SELECT key_id, key, size, reason IS NULL AS valid, reason,
+       CASE WHEN reason = 'bad_char' THEN regexp_extract(key, '[^A-Za-z0-9._\\-/]', 0) END AS bad_char
+FROM checked""")(lambda spark, sf_dir: M.validate_keys(object_keys(spark, sf_dir)))
+
+register("key_page", f"""WITH {KEYS_CTE}
+SELECT key, CAST(page_rank AS BIGINT) AS page_rank, n > 100 AS is_truncated,
+       CASE WHEN n > 100 THEN max(key) OVER () END AS next_token
+FROM (SELECT key, row_number() OVER (ORDER BY key) AS page_rank, count(*) OVER () AS n
+      FROM (SELECT key FROM checked WHERE reason IS NULL AND starts_with(key, 'view/') ORDER BY key LIMIT 101) t) p
+WHERE page_rank <= 100""")(
+    lambda spark, sf_dir: M.list_page(M.validate_keys(object_keys(spark, sf_dir)).where("valid"),
+                                      prefix="view/", max_keys=100))
+
+register("size_check", f"""WITH {OBJECT_KEYS_SQL.strip()}
+SELECT key_id, key, size, coalesce(size <= {dims.MAX_FILE_BYTES}, false) AS accepted,
+       CASE WHEN size IS NULL THEN 'unknown_size' WHEN size > {dims.MAX_FILE_BYTES} THEN 'too_large' END AS reject_reason
+FROM object_keys""")(lambda spark, sf_dir: M.with_size_check(object_keys(spark, sf_dir)))
+
+_SUFFIX = "regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1)"
+_LAST = "regexp_extract(path, '([^/]*)$', 1)"
+register("unique_keys", f"""WITH {FILE_INVENTORY_SQL.strip()}
+SELECT path AS name, substr({_LAST}, 1, length({_LAST}) - length({_SUFFIX})) || '_' || substr(sha256(path), 1, 8)
+       || lower({_SUFFIX}) AS object_key
+FROM file_inventory WHERE source = 'events'""")(
+    lambda spark, sf_dir: M.unique_keys(file_inventory(spark, sf_dir).where("source = 'events'")
+                                        .selectExpr("path AS name")))
+
+register("last_messages", """
+SELECT conv_id, turn, role, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) c
+WHERE rn <= 3""")(lambda spark, sf_dir: M.last_messages(read_table(spark, sf_dir, "conversations"), n=3))

@@ -18,11 +18,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def meter_readings_from_events(events: DataFrame) -> DataFrame:
+def meter_readings_from_events(events: DataFrame, keep=()) -> DataFrame:
+    """``keep``: extra ``events`` columns carried along (e.g. ``event_type``)."""
     seq = F.col("event_id")
     meter = F.col("user_id") % 10
     uplift = F.when((meter == 3) & (F.weekday("ts") >= 5), F.lit(1.6)).otherwise(F.lit(1.0))
-    base = events.select(seq.alias("seq"), meter.alias("meter_id"), "ts", "value", uplift.alias("uplift"))
+    base = events.select(seq.alias("seq"), meter.alias("meter_id"), "ts", "value", uplift.alias("uplift"), *keep)
     volt = F.lit(190.0) + ((F.col("seq") * 37) % 61).cast("double")
     power = F.col("value") * 7.0 * F.col("uplift")
     pf = F.lit(0.80) + ((F.col("seq") * 13) % 20).cast("double") / 100.0
@@ -34,6 +35,7 @@ def meter_readings_from_events(events: DataFrame) -> DataFrame:
         r(power * F.tan(F.acos(pf)), 2).alias("reactive_power"),
         pf.alias("power_factor"),
         (power / 60.0 / 1000.0).alias("energy"),
+        *keep,
     )
 
 
