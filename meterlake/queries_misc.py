@@ -223,3 +223,23 @@ register("last_messages", """
 SELECT conv_id, turn, role, text FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) c
 WHERE rn <= 3""")(lambda spark, sf_dir: M.last_messages(read_table(spark, sf_dir, "conversations"), n=3))
+
+# ---------------------------------------------------------------- J1-J5 (composites)
+from meterlake.catalog import ORACLE  # noqa: E402
+from meterlake.plans import reports as J  # noqa: E402
+
+register("consumption_report", f"""
+SELECT d.meter_id, d.total_days, d.total_energy, d.avg_daily_energy, d.max_day, d.max_daily_energy, d.min_day,
+       d.min_daily_energy, h.peak_hours, h.valley_hours, pv.peak_valley_ratio, w.weekday_avg, w.weekend_avg,
+       w.difference_percent, q.voltage_stability, q.voltage_mean, q.voltage_std, q.out_of_range_percent,
+       q.pf_assessment, q.pf_mean, q.low_pf_percent, q.power_mean, q.power_std
+FROM ({ORACLE['daily_summary']}) d
+LEFT JOIN ({ORACLE['peak_valley_hours']}) h USING (meter_id)
+LEFT JOIN ({ORACLE['peak_valley_ratio']}) pv USING (meter_id)
+LEFT JOIN ({ORACLE['weekday_weekend']}) w USING (meter_id)
+LEFT JOIN ({ORACLE['power_quality']}) q USING (meter_id)""")(on_readings(J.consumption_report))
+
+# text and JSON renderings: formatting differs between engines, so rows-only checks
+register("consumption_report_text")(on_readings(J.consumption_report_text))
+register("analysis_json")(on_readings(J.analysis_json))
+register("load_summary")(on_readings(J.load_summary))
