@@ -72,7 +72,7 @@ def appliance_efficiency(m: DataFrame, appliances=None, prefilter: str = "excell
     return x.select(
         K, "appliance", "appliance_name",
         F.when(running, F.lit("running")).otherwise(F.lit("not_running")).alias("status"),
-        on(F.col("lvl")).alias("efficiency_level"), on(score).cast("long").alias("efficiency_score"),
+        on(F.col("lvl")).alias("efficiency_level"), on(score).cast("double").alias("efficiency_score"),
         on(r("p")).alias("avg_power"), on(r("e")).alias("total_energy"),
         on(r(F.col("e") / 30.0)).alias("estimated_daily_usage"),
         on(r(F.col("n") / 60.0, 1)).alias("operating_hours"),

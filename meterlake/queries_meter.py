@@ -149,7 +149,7 @@ def _appliance_eff_sql() -> str:
             f"SELECT meter_id, '{a}' AS appliance, '{E.NAMES[a]}' AS appliance_name, "
             f"CASE WHEN n{i} > 0 THEN 'running' ELSE 'not_running' END AS status, "
             f"CASE WHEN n{i} > 0 THEN {lvl} END AS efficiency_level, "
-            f"CASE WHEN n{i} > 0 THEN CAST(coalesce(CASE {lvl} {scores} END, 0) AS BIGINT) END AS efficiency_score, "
+            f"CASE WHEN n{i} > 0 THEN CAST(coalesce(CASE {lvl} {scores} END, 0) AS DOUBLE) END AS efficiency_score, "
             f"CASE WHEN n{i} > 0 THEN round_even(p{i}, 2) END AS avg_power, "
             f"CASE WHEN n{i} > 0 THEN round_even(e{i}, 2) END AS total_energy, "
             f"CASE WHEN n{i} > 0 THEN round_even(e{i} / 30.0, 2) END AS estimated_daily_usage, "
