@@ -12,26 +12,28 @@ _SCHEME_NETLOC = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*"
 
 
 def url_path(url) -> Column:
-    """Path part of a URL or local path: drop scheme and host, query and fragment."""
-    rest = F.regexp_replace(_c(url), _SCHEME_NETLOC, "")
-    return F.regexp_extract(rest, r"^[^?#]*", 0)
+    """Path part of a URL or local path: drop scheme and host, query and fragment.
+    (``substring_index`` rather than end-anchored regexes: linear in the length.)"""
+    u = _c(url)
+    rest = F.when(F.instr(u, "://") > 0, F.regexp_replace(u, _SCHEME_NETLOC, "")).otherwise(u)
+    return F.substring_index(F.substring_index(rest, "?", 1), "#", 1)
 
 
 def base_name(url) -> Column:
     """Last path component, without ``;params``."""
-    last = F.regexp_extract(url_path(url), r"([^/]*)$", 1)
-    return F.regexp_extract(last, r"^[^;]*", 0)
+    return F.substring_index(F.substring_index(url_path(url), "/", -1), ";", 1)
 
 
 def split_ext(name) -> Column:
     """Extension with its dot, in original case; leading dots never start an
     extension ('.bashrc' has none, 'a.tar.gz' gives '.gz', 'a.' gives '.')."""
-    return F.regexp_extract(_c(name), r"^\.*[^.].*(\.[^.]*)$", 1)
+    stem = F.ltrim(_c(name), F.lit("."))
+    return F.when(F.instr(stem, ".") > 0, F.concat(F.lit("."), F.substring_index(stem, ".", -1))).otherwise(F.lit(""))
 
 
 def file_category(url) -> Column:
     """image / video / audio / document / default by lower-cased extension."""
-    ext = F.lower(F.regexp_replace(split_ext(base_name(url)), r"^\.+", ""))
+    ext = F.lower(F.substring(split_ext(base_name(url)), 2, 1 << 20))
     out = F.lit("default")
     for cat in reversed(list(dims.FILE_TYPES)):
         out = F.when(ext.isin(*dims.FILE_TYPES[cat]), F.lit(cat)).otherwise(out)

@@ -17,7 +17,7 @@ from meterlake import dims
 from meterlake.functions.numeric import div, pct, r
 from meterlake.operators.consumption import daily_totals
 from meterlake.operators.segments import power_steps
-from meterlake.plans.ordered import rolling, top_n_per_group
+from meterlake.plans.ordered import rolling
 
 K = "meter_id"
 def _V():
@@ -116,19 +116,20 @@ def high_power_threshold(m: DataFrame, q: float = 0.95, approx: bool = False) ->
 def power_step_anomalies(m: DataFrame, chunk: str | None = "day") -> DataFrame:
     """H8-H13 per meter: sudden changes |step| > 3 std, spikes step > 5 std,
     drops step < -5 std (std = sample std of the meter's power), counts,
-    shares, largest spike / drop, q0.95 threshold and power status."""
+    shares, largest spike / drop, q0.95 threshold and power status. The
+    per-meter statistics ride along the one join with the steps."""
     s = power_stats(m)
     st = power_steps(m.select(K, "seq", "ts", "active_power"), chunk=chunk)
-    x = st.join(s.select(K, "p_std"), K)
+    x = st.join(s, K)
     step, sd = F.col("power_step"), F.col("p_std")
     g = x.groupBy(K).agg(
+        *[F.first(c).alias(c) for c in ("n", "p_mean", "p_std", "p_min", "p_max", "p_q95")],
         F.count_if(F.abs(step) > sd * 3).alias("sudden_count"),
         F.count_if(step > sd * 5).alias("spike_count"),
         F.count_if(step < -sd * 5).alias("drop_count"),
         F.max(F.when(step > sd * 5, step)).alias("_max_spike"),
         F.min(F.when(step < -sd * 5, step)).alias("_min_drop"))
-    j = g.join(s, K)
-    return j.select(
+    return g.select(
         K, r("p_mean").alias("power_mean"), r("p_std").alias("power_std"),
         r("p_min").alias("power_min"), r("p_max").alias("power_max"),
         r("p_q95").alias("high_power_threshold"),
@@ -191,82 +192,77 @@ def consumption_summary(m: DataFrame, z_threshold: float = 2.0, ratio_threshold:
         F.when(F.col("abnormal_days") > 1, F.lit("abnormal")).otherwise(F.lit("normal")).alias("consumption_status"))
 
 
-def _catalogue_cols(t: str):
-    return [F.lit(dims.ANOMALY_ORD[t]).alias("ord"), F.lit(t).alias("type")]
-
-
-def anomaly_union(m: DataFrame, std_threshold: float = 3.0, chunk: str | None = "day") -> DataFrame:
-    """Every detected anomaly of every meter in one schema, in the fixed
-    order voltage, power, consumption. Built from three one-row-per-meter
-    summaries; each candidate row is kept only when its anomaly is present."""
+def anomaly_summary(m: DataFrame, std_threshold: float = 3.0, chunk: str | None = "day") -> DataFrame:
+    """The three detectors side by side, one row per meter (each computed once)."""
     vf = voltage_flags(m, std_threshold)
     pw = power_step_anomalies(m, chunk)
     cs = consumption_summary(m)
-    j = vf.join(pw, K, "full").join(cs, K, "full")
+    return vf.join(pw, K, "full").join(cs, K, "full")
 
-    def cand(t, present, count, percent, severity, magnitude):
-        return F.struct(F.lit(dims.ANOMALY_ORD[t]).alias("ord"), F.lit(t).alias("type"),
-                        present.alias("present"), count.cast("double").alias("count"),
-                        percent.cast("double").alias("percentage"), severity.cast("string").alias("severity"),
-                        magnitude.cast("double").alias("magnitude"))
+
+def _candidates():
+    """All eight possible anomalies of a summary row, in catalogue order, with
+    a ``present`` flag; the unified anomaly schema."""
     none = F.lit(None)
-    rows = F.array(
-        cand("voltage_out_of_range", F.col("out_of_range_count") > 0, F.col("out_of_range_count"),
-             F.col("out_of_range_percent"), F.col("out_of_range_severity"), none),
-        cand("voltage_sag", F.col("sag_count") > 0, F.col("sag_count"), F.col("sag_percent"), F.lit("medium"), none),
-        cand("voltage_swell", F.col("swell_count") > 0, F.col("swell_count"), F.col("swell_percent"),
-             F.lit("medium"), none),
-        cand("sudden_power_change", F.col("sudden_count") > 0, F.col("sudden_count"), F.col("sudden_percent"),
+
+    def cand(t, present, count, percent, severity, magnitude):
+        _t, source, desc, _sev, _causes, rec = dims.ANOMALY_TYPES[dims.ANOMALY_ORD[t] - 1]
+        return F.struct(F.lit(dims.ANOMALY_ORD[t]).cast("long").alias("ord"), F.lit(source).alias("source"),
+                        F.lit(t).alias("type"), F.coalesce(present, F.lit(False)).alias("present"),
+                        count.cast("double").alias("count"), percent.cast("double").alias("percentage"),
+                        severity.cast("string").alias("severity"), magnitude.cast("double").alias("magnitude"),
+                        F.lit(desc).alias("description"), F.lit(rec).cast("string").alias("recommendation"))
+    c = F.col
+    return F.array(
+        cand("voltage_out_of_range", c("out_of_range_count") > 0, c("out_of_range_count"),
+             c("out_of_range_percent"), c("out_of_range_severity"), none),
+        cand("voltage_sag", c("sag_count") > 0, c("sag_count"), c("sag_percent"), F.lit("medium"), none),
+        cand("voltage_swell", c("swell_count") > 0, c("swell_count"), c("swell_percent"), F.lit("medium"), none),
+        cand("sudden_power_change", c("sudden_count") > 0, c("sudden_count"), c("sudden_percent"),
              F.lit("medium"), none),
-        cand("power_spike", F.col("spike_count") > 0, F.col("spike_count"), F.col("spike_percent"),
-             F.lit("high"), F.col("max_spike")),
-        cand("power_drop", F.col("drop_count") > 0, F.col("drop_count"), F.col("drop_percent"),
-             F.lit("medium"), F.col("max_drop")),
-        cand("daily_consumption_anomaly", F.col("abnormal_days") > 0, F.col("abnormal_days"), none, none, none),
-        cand("usage_pattern_anomaly", F.col("pattern_anomaly"), none, none, none, F.col("ratio")),
+        cand("power_spike", c("spike_count") > 0, c("spike_count"), c("spike_percent"), F.lit("high"),
+             c("max_spike")),
+        cand("power_drop", c("drop_count") > 0, c("drop_count"), c("drop_percent"), F.lit("medium"), c("max_drop")),
+        cand("daily_consumption_anomaly", c("abnormal_days") > 0, c("abnormal_days"), none, none, none),
+        cand("usage_pattern_anomaly", c("pattern_anomaly"), none, none, none, c("ratio")),
     )
-    x = j.select(K, F.inline(rows)).where(F.col("present")).drop("present")
-    src = F.create_map(*[v for t in dims.ANOMALY_TYPES for v in (F.lit(t[0]), F.lit(t[1]))])
-    desc = F.create_map(*[v for t in dims.ANOMALY_TYPES for v in (F.lit(t[0]), F.lit(t[2]))])
-    rec = F.create_map(*[v for t in dims.ANOMALY_TYPES if t[5] for v in (F.lit(t[0]), F.lit(t[5]))])
-    return x.select(K, F.col("ord").cast("long").alias("ord"), src[F.col("type")].alias("source"), "type",
-                    "count", "percentage", "severity", "magnitude",
-                    desc[F.col("type")].alias("description"), rec[F.col("type")].alias("recommendation"))
+
+
+def anomaly_union(m: DataFrame, std_threshold: float = 3.0, chunk: str | None = "day",
+                  summary: DataFrame | None = None) -> DataFrame:
+    """Every detected anomaly of every meter in one schema, in the fixed
+    order voltage, power, consumption (``ord``)."""
+    j = summary if summary is not None else anomaly_summary(m, std_threshold, chunk)
+    present = F.filter(_candidates(), lambda a: a["present"])
+    return j.select(K, F.inline(present)).drop("present")
 
 
 def alert_level(m: DataFrame, std_threshold: float = 3.0, chunk: str | None = "day",
-                max_actions: int = 5) -> DataFrame:
-    """H17 + H18: per meter (all meters, also clean ones) overall alert level,
+                max_actions: int = 5, summary: DataFrame | None = None, details: int = 0) -> DataFrame:
+    """H17 + H18: per meter (clean meters included) the overall alert level,
     counts by severity and source, the three statuses and the recommendations
-    of the first five anomalies."""
-    vf = voltage_flags(m, std_threshold)
-    pw = power_step_anomalies(m, chunk)
-    cs = consumption_summary(m)
-    u = anomaly_union(m, std_threshold, chunk)
-    g = u.groupBy(K).agg(
-        F.count(F.lit(1)).alias("total_anomalies"),
-        F.count_if(F.col("severity") == "high").alias("high_priority"),
-        F.count_if(F.col("severity") == "medium").alias("medium_priority"),
-        F.count_if(F.col("source") == "voltage").alias("voltage_anomalies"),
-        F.count_if(F.col("source") == "power").alias("power_anomalies"),
-        F.count_if(F.col("source") == "consumption").alias("consumption_anomalies"),
-        F.array_sort(F.collect_list(F.struct("ord", "recommendation"))).alias("_recs"))
-    meters = vf.select(K, "voltage_status").join(pw.select(K, "power_status"), K, "full") \
-        .join(cs.select(K, "consumption_status"), K, "full")
-    j = meters.join(g, K, "left")
-    cnt = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    level = (F.when(cnt("high_priority") > 0, F.lit("high"))
-             .when(cnt("medium_priority") > 3, F.lit("medium"))
-             .when(cnt("total_anomalies") > 0, F.lit("low")).otherwise(F.lit("none")))
-    first = F.slice(F.coalesce(F.col("_recs"), F.array()), 1, max_actions)
-    actions = F.transform(F.filter(first, lambda s: s["recommendation"].isNotNull()), lambda s: s["recommendation"])
-    return j.select(K, level.alias("alert_level"), cnt("total_anomalies").alias("total_anomalies"),
-                    cnt("high_priority").alias("high_priority"), cnt("medium_priority").alias("medium_priority"),
-                    cnt("voltage_anomalies").alias("voltage_anomalies"),
-                    cnt("power_anomalies").alias("power_anomalies"),
-                    cnt("consumption_anomalies").alias("consumption_anomalies"),
+    of the first five anomalies (``details`` > 0 adds the first ``details``
+    anomalies as an array). One projection over the summary row: no
+    re-aggregation and no join back."""
+    j = summary if summary is not None else anomaly_summary(m, std_threshold, chunk)
+    present = F.filter(_candidates(), lambda a: a["present"])
+    n = lambda f: F.size(F.filter(present, f)).cast("long")
+    total = F.size(present).cast("long")
+    high = n(lambda a: a["severity"] == "high")
+    medium = n(lambda a: a["severity"] == "medium")
+    level = (F.when(high > 0, F.lit("high")).when(medium > 3, F.lit("medium"))
+             .when(total > 0, F.lit("low")).otherwise(F.lit("none")))
+    recs = F.transform(F.filter(F.slice(present, 1, max_actions), lambda a: a["recommendation"].isNotNull()),
+                       lambda a: a["recommendation"])
+    return j.select(K, level.alias("alert_level"), total.alias("total_anomalies"), high.alias("high_priority"),
+                    medium.alias("medium_priority"),
+                    n(lambda a: a["source"] == "voltage").alias("voltage_anomalies"),
+                    n(lambda a: a["source"] == "power").alias("power_anomalies"),
+                    n(lambda a: a["source"] == "consumption").alias("consumption_anomalies"),
                     "voltage_status", "power_status", "consumption_status",
-                    F.array_join(actions, " | ").alias("recommended_actions"))
+                    F.array_join(recs, " | ").alias("recommended_actions"),
+                    *([F.slice(F.transform(present, lambda a: a.dropFields("present")), 1, details).alias("details")]
+                      if details else []))
 
 
 def alerts(m: DataFrame, view: str = "all", **kw) -> DataFrame:
@@ -279,5 +275,5 @@ def alerts(m: DataFrame, view: str = "all", **kw) -> DataFrame:
 
 
 __all__ = ["voltage_flags", "voltage_outliers", "voltage_samples", "power_stats", "high_power_threshold",
-           "power_step_anomalies", "rolling_power", "daily_zscore", "consumption_summary", "anomaly_union",
-           "alert_level", "alerts", "top_n_per_group"]
+           "power_step_anomalies", "rolling_power", "daily_zscore", "consumption_summary", "anomaly_summary",
+           "anomaly_union", "alert_level", "alerts"]

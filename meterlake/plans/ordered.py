@@ -7,11 +7,14 @@ two-level plan when ``chunk`` is set (default ``'day'``):
 
 1. local windows over ``(meter_id, chunk)`` — chunk = ``date_trunc(chunk, ts)``,
    so a hot meter is spread over as many tasks as it has chunks;
-2. a per-chunk summary (row count, last row, partial sums) computed from the
-   same, already partitioned rows (the shuffle is reused, the source is read
-   once), then a window over that summary per meter — one row per chunk, tiny;
+2. a per-chunk summary (row count, last row, partial sums). Catalyst prunes
+   the local window out of this branch, so it becomes a partial aggregate
+   straight off a second, column-pruned scan: combined map-side, only one row
+   per (meter, chunk, task) is shuffled. A window over the summary per meter
+   (one row per chunk, tiny) turns it into carried values;
 3. the carried values (previous chunk's last row, count / sum offsets) are
-   joined back on ``(meter_id, chunk)``; the large side keeps its partitioning.
+   joined back on ``(meter_id, chunk)``; the large side keeps its
+   (meter, chunk) partitioning, so the readings are shuffled exactly once.
 
 The results equal the plain window exactly (lag, row_number) or up to float
 summation order (running sums); ``chunk=None`` selects the plain window.

@@ -58,12 +58,8 @@ def analysis_json(m: DataFrame, chunk: str | None = "day") -> DataFrame:
     rng = P.data_range(m)
     daily = C.daily_summary(m).select(K, "total_days", "total_energy", "avg_daily_energy", "max_day", "min_day")
     eff = E.overall_efficiency(m).select(K, "overall_score", "efficiency_level", "load_factor", "base_load_ratio")
-    alert = H.alert_level(m, chunk=chunk)
-    det = (H.anomaly_union(m, chunk=chunk).groupBy(K)
-           .agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", "type", "source", "count", "percentage",
-                                                              "severity", "magnitude", "description",
-                                                              "recommendation"))), 1, 10).alias("details")))
-    j = (rng.join(daily, K, "left").join(eff, K, "left").join(alert, K, "left").join(det, K, "left"))
+    alert = H.alert_level(m, chunk=chunk, details=10)  # first ten anomalies from the same summary row
+    j = rng.join(daily, K, "left").join(eff, K, "left").join(alert, K, "left")
     doc = F.struct(
         F.struct("start", "end", "total_records").alias("data_summary"),
         F.struct("total_days", "total_energy", "avg_daily_energy", "max_day", "min_day").alias("daily"),
