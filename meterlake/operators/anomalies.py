@@ -18,6 +18,7 @@ from meterlake.functions.numeric import div, pct, r
 from meterlake.operators.consumption import daily_totals
 from meterlake.operators.segments import power_steps
 from meterlake.plans.ordered import rolling
+from meterlake.plans.quantiles import exact_quantile
 
 K = "meter_id"
 def _V():
@@ -94,20 +95,26 @@ def voltage_samples(m: DataFrame, std_threshold: float = 3.0, n_out: int = 5, n_
     return u.select(K, "type", F.col("sample_rank").cast("long").alias("sample_rank"), "ts", "voltage")
 
 
-def power_stats(m: DataFrame, q: float = 0.95, approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Per-meter power statistics incl. the q0.95 high-power threshold.
-    Exact percentile by default (reference parity); ``approx=True`` switches to
-    a bounded-memory GK sketch for very large single meters."""
+def power_stats(m: DataFrame, q: float = 0.95, method: str = "selection") -> DataFrame:
+    """Per-meter power statistics incl. the exact q0.95 high-power threshold
+    (H12). ``method='selection'`` (default) finds the exact percentile with
+    bounded memory per meter (plans.quantiles); ``'aggregate'`` uses Spark's
+    ``percentile`` (one pass, but it buffers every distinct value of a meter);
+    ``'approx'`` uses ``percentile_approx`` (GK sketch, not exact)."""
     P = F.col("active_power")
-    thr = F.percentile_approx(P, q, accuracy) if approx else F.percentile(P, q)
-    return m.groupBy(K).agg(F.count(F.lit(1)).alias("n"), F.avg(P).alias("p_mean"),
-                            F.stddev_samp(P).alias("p_std"), F.min(P).alias("p_min"), F.max(P).alias("p_max"),
-                            thr.alias("p_q95"))
+    base = [F.count(F.lit(1)).alias("n"), F.avg(P).alias("p_mean"), F.stddev_samp(P).alias("p_std"),
+            F.min(P).alias("p_min"), F.max(P).alias("p_max")]
+    if method == "aggregate":
+        return m.groupBy(K).agg(*base, F.percentile(P, q).alias("p_q95"))
+    if method == "approx":
+        return m.groupBy(K).agg(*base, F.percentile_approx(P, q, 10000).cast("double").alias("p_q95"))
+    thr = exact_quantile(m, K, "active_power", q, out="p_q95")
+    return m.groupBy(K).agg(*base).join(thr, K, "left")
 
 
-def high_power_threshold(m: DataFrame, q: float = 0.95, approx: bool = False) -> DataFrame:
+def high_power_threshold(m: DataFrame, q: float = 0.95, method: str = "selection") -> DataFrame:
     """q0.95 of power per meter and the readings above it."""
-    s = power_stats(m, q, approx)
+    s = power_stats(m, q, method)
     x = m.select(K, "active_power").join(s.select(K, "p_q95"), K)
     return x.groupBy(K).agg(r(F.first("p_q95")).alias("high_power_threshold"),
                             F.count_if(F.col("active_power") > F.col("p_q95")).alias("above_threshold_count"))

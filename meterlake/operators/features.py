@@ -46,11 +46,10 @@ def feature_matrix(samples: DataFrame, threshold: float = 50.0, chunk: str | Non
     """L2: the nine model features per sample. ``duration_minutes`` and
     ``power_std`` describe the power segment the reading belongs to (segment
     aggregates joined back on (meter, segment), not a window per segment)."""
-    cp = change_points(samples, threshold, chunk).select(K, "seq", "segment_id")
-    seg = (cp.join(samples.select(K, "seq", "active_power"), [K, "seq"])
-           .groupBy(K, "segment_id").agg(F.count(F.lit(1)).alias("duration_minutes"),
-                                         F.stddev_samp("active_power").alias("power_std")))
-    x = samples.join(cp, [K, "seq"]).join(seg, [K, "segment_id"])
+    cp = change_points(samples, threshold, chunk, keep=("voltage", "current", "power_factor", "reactive_power"))
+    seg = cp.groupBy(K, "segment_id").agg(F.count(F.lit(1)).alias("duration_minutes"),
+                                          F.stddev_samp("active_power").alias("power_std"))
+    x = cp.join(seg, [K, "segment_id"])
     return x.select(K, "seq", F.col("active_power").alias("power"), "voltage", "current", "power_factor",
                     "reactive_power", hour_of("ts").cast("long").alias("hour"),
                     is_weekend("ts").cast("long").alias("is_weekend"), "duration_minutes",

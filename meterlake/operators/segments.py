@@ -23,9 +23,10 @@ def power_steps(m: DataFrame, chunk: str | None = "day", keep_chunk: bool = Fals
     return x.withColumn("power_step", F.col("active_power") - F.col("prev_active_power")).drop("prev_active_power")
 
 
-def change_points(m: DataFrame, threshold: float = 50.0, chunk: str | None = "day") -> DataFrame:
-    """Readings with ``segment_id``, ``power_diff`` = |step| and ``is_change``."""
-    x = power_steps(m.select(K, "seq", "ts", "active_power"), chunk=chunk, keep_chunk=True)
+def change_points(m: DataFrame, threshold: float = 50.0, chunk: str | None = "day", keep=()) -> DataFrame:
+    """Readings with ``segment_id``, ``power_diff`` = |step| and ``is_change``
+    (plus the ``keep`` columns of the input)."""
+    x = power_steps(m.select(K, "seq", "ts", "active_power", *keep), chunk=chunk, keep_chunk=True)
     x = (x.withColumn("power_diff", F.abs("power_step"))
           .withColumn("is_change", F.when(F.col("power_diff") > threshold, F.lit(1)).otherwise(F.lit(0))))
     return sequential(x, cumsum={"segment_id": "is_change"}, chunk=chunk)

@@ -73,3 +73,18 @@ def test_fleet_equals_union_of_single_meters(spark):
     for k in range(3):
         parts_a += collect(H.alert_level(m.where(F.col("meter_id") == k)), ("meter_id",))
     assert whole_a == sorted(parts_a)
+
+
+def test_exact_quantile_equals_spark_percentile(spark):
+    from meterlake.plans.quantiles import exact_quantile
+    rnd = random.Random(11)
+    rows = []
+    for k, n in enumerate([1, 2, 3, 40, 900]):
+        for _ in range(n):
+            rows.append((k, rnd.choice([rnd.uniform(-50, 3000), 5.0, round(rnd.uniform(0, 10), 2)])))
+    df = spark.createDataFrame(rows, "k long, v double")
+    for q in (0.0, 0.2, 0.8, 0.95, 1.0):
+        want = {r.k: r.p for r in df.groupBy("k").agg(F.percentile("v", q).alias("p")).collect()}
+        for buckets, rounds in ((4096, 2), (2, 4), (5, 1)):
+            got = {r.k: r.quantile for r in exact_quantile(df, "k", "v", q, buckets=buckets, rounds=rounds).collect()}
+            assert got == want
