@@ -19,10 +19,24 @@ from meterlake.plans.ordered import sequential
 from meterlake.schema import MEASURES, TIME_FORMAT
 
 FORMATS = ("csv", "parquet", "json", "orc")
+_SUFFIX_FORMAT = {".csv": "csv", ".txt": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "json",
+                  ".orc": "orc"}
 
 
-def read_meter_raw(spark: SparkSession, path, fmt: str = "csv") -> DataFrame:
-    """Scan meter files without touching the values (A1, A2)."""
+def infer_format(path: str, default: str = "csv") -> str:
+    """A2: table format from the file suffix (directories and unknown suffixes: ``default``)."""
+    low = path.lower().rstrip("/")
+    for suffix, fmt in _SUFFIX_FORMAT.items():
+        if low.endswith(suffix):
+            return fmt
+    return default
+
+
+def read_meter_raw(spark: SparkSession, path, fmt: str | None = "csv") -> DataFrame:
+    """Scan meter files without touching the values (A1, A2); ``fmt=None``
+    picks the format from the suffix of the (first) path."""
+    if fmt is None:
+        fmt = infer_format(path if isinstance(path, str) else list(path)[0])
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format {fmt!r}; expected one of {FORMATS}")
     reader = spark.read.format(fmt)
@@ -68,13 +82,13 @@ def split_rejects(df: DataFrame):
     return df.where(F.col("ts").isNotNull()), df.where(F.col("ts").isNull())
 
 
-def read_meter(spark: SparkSession, path, fmt: str = "csv", **kw) -> DataFrame:
+def read_meter(spark: SparkSession, path, fmt: str | None = "csv", **kw) -> DataFrame:
     """Scan + normalise; rows with an unparsable time are dropped (see ``split_rejects``)."""
     good, _ = split_rejects(normalise(read_meter_raw(spark, path, fmt), **kw))
     return good
 
 
-def load_meter_data(spark: SparkSession, path, fmt: str = "csv", **kw) -> dict:
+def load_meter_data(spark: SparkSession, path, fmt: str | None = "csv", **kw) -> dict:
     """Status record instead of an exception for a missing path or unreadable file (A3)."""
     try:
         df = read_meter(spark, path, fmt, **kw)

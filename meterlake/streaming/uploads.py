@@ -51,10 +51,11 @@ def analyse_uploads(spark: SparkSession, input_dir: str, output_dir: str, checkp
 
 def daily_energy_stream(raw: DataFrame, meter_col: str | None = None, watermark: str = "2 days") -> DataFrame:
     """Incremental F1: per meter and event-time day, energy and power stats;
-    a day is final once the watermark passes it (append mode)."""
+    a day is final once the watermark passes it (append mode). Event time is a
+    session-zone TIMESTAMP (watermarks need one); day windows start at 00:00 UTC."""
     mid = F.col(meter_col) if meter_col else F.col("_metadata.file_name")
     x = raw.select(mid.alias("meter_id"),
-                   F.try_to_timestamp(F.col("timestamp"), F.lit(TIME_FORMAT)).cast("timestamp_ntz").alias("ts"),
+                   F.try_to_timestamp(F.col("timestamp"), F.lit(TIME_FORMAT)).alias("ts"),
                    F.col("active_power").try_cast("double").alias("active_power"),
                    F.col("energy").try_cast("double").alias("energy"))
     return (x.where(F.col("ts").isNotNull()).withWatermark("ts", watermark)

@@ -85,3 +85,36 @@ def test_upload_stream_analyses_new_files(spark):
     q.awaitTermination(120)
     docs = spark.read.json(out).collect()
     assert len(docs) == 1 and docs[0].meter_id == "meterA.csv"
+
+
+def test_format_inference_and_parquet_round_trip(spark):
+    from meterlake.sources.meter import infer_format
+    assert [infer_format(p) for p in ["a/b.CSV", "x.parquet", "y.jsonl", "z.orc", "dir/"]] == \
+        ["csv", "parquet", "json", "orc", "csv"]
+    d = tempfile.mkdtemp(prefix="ml-io-")
+    _csv(d, "m5.csv", ["2024-03-15 00:00:00,220,1,100,30,0.95,0.002"])
+    raw = read_meter_raw(spark, d)
+    out = tempfile.mkdtemp(prefix="ml-pq-") + "/m5.parquet"
+    raw.write.parquet(out)
+    m = read_meter(spark, out, fmt=None)
+    assert m.first().active_power == 100.0
+
+
+def test_reference_labels(spark):
+    from meterlake.functions.labels import with_reference_labels
+    from meterlake.operators.profile import power_quality
+    from conftest import readings
+    q = with_reference_labels(power_quality(readings(spark, [100.0, 120.0]))).first()
+    assert q.voltage_stability_label == "良好" and q.pf_assessment_label == "良好"
+
+
+def test_daily_energy_stream_with_watermark(spark):
+    from meterlake.streaming.uploads import daily_energy_stream, meter_file_stream
+    inp = tempfile.mkdtemp(prefix="ml-in-")
+    _csv(inp, "meterB.csv", [f"2024-03-{15 + i // 4} {6 * (i % 4):02d}:00:00,220,1,100,30,0.95,0.5" for i in range(8)])
+    stream = daily_energy_stream(meter_file_stream(spark, inp))
+    q = (stream.writeStream.outputMode("update").format("memory").queryName("daily_energy_test")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="ml-ck-")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = sorted((str(r.day.start)[:10], r.total_energy, r.readings) for r in spark.table("daily_energy_test").collect())
+    assert got == [("2024-03-15", 2.0, 4), ("2024-03-16", 2.0, 4)]
