@@ -21,10 +21,13 @@ from meterlake.plans.ordered import rolling
 from meterlake.plans.quantiles import exact_quantile
 
 K = "meter_id"
+
+
 def _V():
     return F.col("voltage")
 
 
+
 def voltage_stats(m: DataFrame) -> DataFrame:
     return m.groupBy(K).agg(F.count(F.lit(1)).alias("n"), F.avg("voltage").alias("v_mean"),
                             F.stddev_samp("voltage").alias("v_std"))

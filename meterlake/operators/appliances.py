@@ -23,7 +23,7 @@ def _dim(df: DataFrame) -> DataFrame:
     return dims.appliance_df(df.sparkSession)
 
 
-def _band(c):
+def _band():
     return F.concat(F.col("p_lo").cast("string"), F.lit("-"), F.col("p_hi").cast("string"), F.lit("W"))
 
 
@@ -37,7 +37,7 @@ def match_by_power(requests: DataFrame, power: str = "power", top: int = 3, keys
     j = requests.join(_dim(requests), (p >= F.col("p_lo")) & (p <= F.col("p_hi")))
     conf = r((F.lit(0.6) + F.lit(0.4) * ((p - F.col("p_lo")) / (F.col("p_hi") - F.col("p_lo")))) * 100.0, 1)
     j = j.select(*keys, "appliance", "appliance_name", "ord", conf.alias("confidence"),
-                 _band(p).alias("power_match"))
+                 _band().alias("power_match"))
     ranked = top_n_per_group(j, keys, [F.col("confidence").desc(), F.col("ord")], top)
     return ranked.select(*keys, F.col("rank").cast("long").alias("rank"), "appliance", "appliance_name",
                          "confidence", "power_match")

@@ -16,10 +16,13 @@ from meterlake.functions.numeric import r
 from meterlake.plans.ordered import sequential, top_n_per_group
 
 K = "meter_id"
+
+
 def _P():
     return F.col("active_power")
 
 
+
 def _centi(c):
     # exact 0.01-resolution integer view of a reading (order-independent sums)
     return F.rint(F.col(c) * 100.0).cast("long")

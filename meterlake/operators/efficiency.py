@@ -16,8 +16,12 @@ from meterlake.functions.calendar import hour_of, period_label, period_of
 from meterlake.functions.numeric import div, r
 
 K = "meter_id"
+
+
 def _P():
     return F.col("active_power")
+
+
 NAMES = {c: n for c, n, *_ in dims.APPLIANCES}
 
 

@@ -31,7 +31,7 @@ _CARRY = ("_n", "_pos", "_t", "_base", "_next")
 
 
 def exact_quantile(df: DataFrame, keys, col: str, q: float, out: str = "quantile",
-                   buckets: int = 16384, rounds: int = 1) -> DataFrame:
+                   buckets: int = 8192, rounds: int = 2) -> DataFrame:
     keys = [keys] if isinstance(keys, str) else list(keys)
     x = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
     st = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))

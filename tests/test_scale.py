@@ -88,3 +88,39 @@ def test_exact_quantile_equals_spark_percentile(spark):
         for buckets, rounds in ((4096, 2), (2, 4), (5, 1)):
             got = {r.k: r.quantile for r in exact_quantile(df, "k", "v", q, buckets=buckets, rounds=rounds).collect()}
             assert got == want
+
+
+def test_hot_meter_is_spread_over_tasks(spark):
+    """One meter holds most rows: the plain per-meter window puts all of them in
+    one task, the chunked plan spreads them over (meter, day) partitions."""
+    import datetime as dt
+    base = dt.datetime(2024, 3, 1)
+    data = [{"meter_id": 0, "seq": i, "ts": base + dt.timedelta(minutes=20 * i), "active_power": float(i % 97)}
+            for i in range(3000)]
+    data += [{"meter_id": k, "seq": i, "ts": base + dt.timedelta(minutes=60 * i), "active_power": 1.0}
+             for k in (1, 2) for i in range(100)]
+    m = readings(spark, data)
+    # emulate large inputs: no partition coalescing, and no broadcast of the
+    # (here tiny) readings side, which would hand the output the carry side's layout
+    keys = ["spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    spark.conf.set(keys[0], "false")
+    spark.conf.set(keys[1], "-1")
+    spark.conf.set(keys[2], "-1")
+    try:
+        def biggest(df):
+            # aggregate the lag column too, so the window is not pruned away
+            sizes = (df.groupBy(F.spark_partition_id().alias("p"))
+                     .agg(F.count(F.lit(1)).alias("n"), F.max("prev_active_power").alias("x")).collect())
+            return max(r["n"] for r in sizes)
+        plain = biggest(sequential(m, lag=["active_power"], chunk=None))
+        chunked = biggest(sequential(m, lag=["active_power"], chunk="day"))
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert plain >= 3000
+    assert chunked < plain / 2
