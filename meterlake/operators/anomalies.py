@@ -85,16 +85,18 @@ def voltage_outliers(m: DataFrame, std_threshold: float = 3.0) -> DataFrame:
 
 def voltage_samples(m: DataFrame, std_threshold: float = 3.0, n_out: int = 5, n_sag: int = 3) -> DataFrame:
     """First readings (time order) of each voltage anomaly: 5 out-of-range, 3
-    sags, 3 swells. Filter first, then a per-group limit."""
+    sags, 3 swells. Flags are computed once, each flagged reading is fanned out
+    to its anomaly types, then a per-(meter, type) limit keeps the first ones."""
     x = _with_voltage_flags(m, std_threshold)
-    parts = []
-    for flag, typ, k in (("is_out_of_range", "voltage_out_of_range", n_out),
-                         ("is_sag", "voltage_sag", n_sag), ("is_swell", "voltage_swell", n_sag)):
-        parts.append(x.where(F.col(flag)).select(K, "ts", "seq", "voltage", F.lit(typ).alias("type"),
-                                                 F.lit(k).alias("_k")))
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    kinds = F.array(F.when(F.col("is_out_of_range"), F.lit("voltage_out_of_range")),
+                    F.when(F.col("is_sag"), F.lit("voltage_sag")), F.when(F.col("is_swell"), F.lit("voltage_swell")))
+    u = (x.where(F.col("is_out_of_range") | F.col("is_sag") | F.col("is_swell"))
+         .select(K, "ts", "seq", "voltage", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("type")))
+    k = F.when(F.col("type") == "voltage_out_of_range", F.lit(n_out)).otherwise(F.lit(n_sag))
     w = Window.partitionBy(K, "type").orderBy("ts", "seq")
-    u = u.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= F.col("_k"))
+    # a literal bound first, so the optimizer plans a per-group limit before the shuffle
+    u = (u.withColumn("sample_rank", F.row_number().over(w))
+         .where(F.col("sample_rank") <= max(n_out, n_sag)).where(F.col("sample_rank") <= k))
     return u.select(K, "type", F.col("sample_rank").cast("long").alias("sample_rank"), "ts", "voltage")
 
 

@@ -92,15 +92,14 @@ def hourly_mean_power(m: DataFrame) -> DataFrame:
 
 def top_hours(m: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` hours with the highest and the lowest mean power (lower
-    hour first on ties), with the rounded mean and an ``h:00`` label."""
+    hour first on ties), with the rounded mean and an ``h:00`` label. Both
+    rankings come from one pass over the (at most 24) hour rows per meter."""
     h = hourly_mean_power(m).where(F.col("avg_power").isNotNull())
     w_hi = Window.partitionBy(K).orderBy(F.col("avg_power").desc(), F.col("hour"))
     w_lo = Window.partitionBy(K).orderBy(F.col("avg_power"), F.col("hour"))
     x = h.select("*", F.row_number().over(w_hi).alias("r_hi"), F.row_number().over(w_lo).alias("r_lo"))
-    peak = x.where(F.col("r_hi") <= n).select(K, F.lit("peak").alias("kind"), F.col("r_hi").alias("rank"),
-                                             "hour", "avg_power")
-    low = x.where(F.col("r_lo") <= n).select(K, F.lit("low").alias("kind"), F.col("r_lo").alias("rank"),
-                                            "hour", "avg_power")
-    return peak.unionByName(low).select(K, "kind", F.col("rank").cast("long").alias("rank"), "hour",
-                                        hour_label(F.col("hour")).alias("hour_label"),
-                                        r("avg_power").alias("avg_power"))
+    both = F.array(F.struct(F.lit("peak").alias("kind"), F.col("r_hi").alias("rank")),
+                   F.struct(F.lit("low").alias("kind"), F.col("r_lo").alias("rank")))
+    y = x.select(K, "hour", "avg_power", F.inline(both)).where(F.col("rank") <= n)
+    return y.select(K, "kind", F.col("rank").cast("long").alias("rank"), "hour",
+                    hour_label(F.col("hour")).alias("hour_label"), r("avg_power").alias("avg_power"))
