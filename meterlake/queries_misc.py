@@ -243,3 +243,8 @@ LEFT JOIN ({ORACLE['power_quality']}) q USING (meter_id)""")(on_readings(J.consu
 register("consumption_report_text")(on_readings(J.consumption_report_text))
 register("analysis_json")(on_readings(J.analysis_json))
 register("load_summary")(on_readings(J.load_summary))
+
+register("efficiency_overview", f"""
+SELECT o.*, b.best_period, b.best_avg_power, b.best_score, b.worst_period, b.worst_avg_power, b.worst_score
+FROM ({ORACLE['overall_efficiency']}) o
+LEFT JOIN ({ORACLE['best_worst_period']}) b USING (meter_id)""")(on_readings(J.efficiency_view))

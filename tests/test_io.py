@@ -74,6 +74,10 @@ def test_dispatchers(spark):
     m = read_meter(spark, d)
     assert "peak_hours" in analyze(m, "unknown-kind").columns
     assert "hour" in analyze(m, "hourly").columns
+    from meterlake.plans.reports import efficiency_view
+    one = efficiency_view(m, "tv").collect()
+    assert len(one) == 1 and one[0].appliance == "tv" and one[0].status == "running"
+    assert "best_period" in efficiency_view(m).columns
 
 
 def test_upload_stream_analyses_new_files(spark):
