@@ -31,12 +31,22 @@ _CARRY = ("_n", "_pos", "_t", "_base", "_next")
 
 
 def exact_quantile(df: DataFrame, keys, col: str, q: float, out: str = "quantile",
-                   buckets: int = 8192, rounds: int = 2) -> DataFrame:
+                   buckets: int = 8192, rounds: int = 2, extra_aggs=()) -> DataFrame:
+    """``extra_aggs``: aggregate columns over ``df`` computed in the first pass
+    and returned next to the quantile (saves the caller a scan)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
+    extra_aggs = list(extra_aggs)
     x = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
-    st = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    if extra_aggs:
+        # first pass over all rows (NULL values included, as the extra aggregates expect)
+        st = df.groupBy(*keys).agg(F.count(F.col(col)).alias("_n"), F.min(col).cast("double").alias("_lo"),
+                                   F.max(col).cast("double").alias("_hi"), *extra_aggs)
+    else:
+        st = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    extra = [c for c in st.columns if c not in set(keys) | {"_n", "_lo", "_hi"}]
+    carry = _CARRY + tuple(extra)
     pos = (F.col("_n") - 1) * float(q)
-    state = st.select(*keys, "_n", "_lo", "_hi", pos.alias("_pos"), F.floor(pos).cast("long").alias("_t"),
+    state = st.select(*keys, "_n", "_lo", "_hi", *extra, pos.alias("_pos"), F.floor(pos).cast("long").alias("_t"),
                       F.lit(0).cast("long").alias("_base"), F.lit(None).cast("double").alias("_next"))
     for _ in range(rounds):
         j = x.join(state, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
@@ -45,16 +55,16 @@ def exact_quantile(df: DataFrame, keys, col: str, q: float, out: str = "quantile
                                       F.lit(buckets - 1))).otherwise(F.lit(0))
         c = j.groupBy(*keys, b.alias("_b")).agg(
             F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"),
-            *[F.first(k).alias(k) for k in _CARRY])
+            *[F.first(k).alias(k) for k in carry])
         w = Window.partitionBy(*keys).orderBy("_b")
         c = c.select("*", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_cum"),
                      F.lead("_bmin").over(w).alias("_nb"))
         below = F.col("_base") + F.col("_cum") - F.col("_c")
         sel = c.where((below <= F.col("_t")) & (F.col("_t") < F.col("_base") + F.col("_cum")))
-        state = sel.select(*keys, "_n", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"), "_pos", "_t",
-                           below.alias("_base"), F.coalesce(F.col("_nb"), F.col("_next")).alias("_next"))
+        state = sel.select(*keys, "_n", *extra, F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"), "_pos",
+                           "_t", below.alias("_base"), F.coalesce(F.col("_nb"), F.col("_next")).alias("_next"))
     j = x.join(state, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    d = j.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"), *[F.first(k).alias(k) for k in _CARRY])
+    d = j.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"), *[F.first(k).alias(k) for k in carry])
     w = Window.partitionBy(*keys).orderBy("_v")
     d = d.select("*", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_cum"),
                  F.lead("_v").over(w).alias("_nv"))
@@ -65,4 +75,8 @@ def exact_quantile(df: DataFrame, keys, col: str, q: float, out: str = "quantile
     lower, higher = F.col("_t"), F.ceil(F.col("_pos"))
     value = (F.when(higher == lower, vt).when(vt1 == vt, vt)
              .otherwise((higher.cast("double") - F.col("_pos")) * vt + (F.col("_pos") - lower.cast("double")) * vt1))
-    return hit.select(*keys, value.alias(out))
+    res = hit.select(*keys, value.alias(out), *extra)
+    if extra:
+        # groups without a single value keep their row (NULL quantile), like ``percentile``
+        res = res.unionByName(st.where(F.col("_n") == 0).select(*keys, F.lit(None).cast("double").alias(out), *extra))
+    return res
