@@ -26,8 +26,11 @@ the next block, so every frame is complete and every task holds at most
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEY = "meter_id"
 ORDER = ("ts", "seq")
@@ -42,6 +45,24 @@ def chunk_of(ts: Column, chunk: str) -> Column:
     raise ValueError(f"unknown chunk unit {chunk!r}")
 
 
+def _order_key(d: DataFrame, order) -> Column | None:
+    """One DECIMAL(38,0) that sorts exactly like (ts, seq) inside a chunk:
+    microseconds since the chunk start x 1e20 + (seq + 2^63). A decimal is a
+    mutable aggregation-buffer type, so ``max_by`` on it stays a hash aggregate
+    (a struct key would force a sort of every input split). None when the
+    order columns are not (timestamp, integral)."""
+    if len(order) != 2:
+        return None
+    t, s = (d.schema[c].dataType for c in order)
+    if not isinstance(t, (T.TimestampNTZType, T.TimestampType)) or \
+            not isinstance(s, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return None
+    start = F.col(_CH).cast("timestamp_ntz") if isinstance(t, T.TimestampNTZType) else F.col(_CH).cast("timestamp")
+    micros = F.timestamp_diff("MICROSECOND", start, F.col(order[0])).cast("decimal(18,0)")
+    seq = F.col(order[1]).cast("decimal(20,0)") + F.lit(Decimal(2 ** 63))
+    return (micros * F.lit(Decimal(10 ** 20)) + seq).cast("decimal(38,0)")
+
+
 def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = None,
                key=KEY, order=ORDER, chunk: str | None = "day", prefix: str = "prev_",
                keep_chunk: bool = False) -> DataFrame:
@@ -75,12 +96,19 @@ def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = N
         *[F.sum(c).over(wlr).alias("_cs_" + o) for o, c in cumsum.items()],
     )
     aggs = [F.max("_rn").alias("_n")]
-    if lag:
+    key = _order_key(d, order)
+    numeric_lags = all(isinstance(d.schema[c].dataType, T.NumericType) for c in lag)
+    if lag and key is not None and numeric_lags:
+        # one hash-aggregatable max_by per column, packed into the struct afterwards
+        aggs += [F.max_by(F.col(c), key).alias("_last_" + c) for c in lag]
+    elif lag:
         aggs.append(F.max_by(F.struct(*[F.col(c) for c in lag]),
                              F.struct(*[F.col(c) for c in order])).alias("_last"))
     aggs += [F.coalesce(F.sum(c), F.lit(0).cast(d.schema[c].dataType)).alias("_s_" + o)
              for o, c in cumsum.items()]
     summary = x.groupBy(*keys, _CH).agg(*aggs)
+    if lag and "_last" not in summary.columns:
+        summary = summary.withColumn("_last", F.struct(*[F.col("_last_" + c).alias(c) for c in lag]))
     wc = Window.partitionBy(*keys).orderBy(_CH)
     before = wc.rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n")]
