@@ -122,3 +122,18 @@ def test_daily_energy_stream_with_watermark(spark):
     q.awaitTermination(120)
     got = sorted((str(r.day.start)[:10], r.total_energy, r.readings) for r in spark.table("daily_energy_test").collect())
     assert got == [("2024-03-15", 2.0, 4), ("2024-03-16", 2.0, 4)]
+
+
+def test_fleet_report_job(spark):
+    from meterlake.plans.batch import run_fleet_report
+    inp = tempfile.mkdtemp(prefix="ml-in-")
+    for k in ("m1", "m2"):
+        _csv(inp, f"{k}.csv", [f"2024-03-{15 + i // 24} {i % 24:02d}:00:00,{215 + i % 9},1,{100 + 37 * (i % 11)},30,0.95,0.002"
+                               for i in range(72)] + ["bad time,220,1,100,30,0.95,0.002"])
+    out = tempfile.mkdtemp(prefix="ml-job-")
+    written = run_fleet_report(spark, inp, out)
+    assert spark.read.parquet(written["readings"]).count() == 144
+    assert spark.read.parquet(written["rejects"]).count() == 2
+    alerts = spark.read.parquet(written["alert_level"]).collect()
+    assert sorted(r.meter_id for r in alerts) == ["m1.csv", "m2.csv"]
+    assert spark.read.text(written["analysis_json"]).count() == 2
