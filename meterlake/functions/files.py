@@ -65,15 +65,21 @@ def key_bad_char(key) -> Column:
     return F.regexp_extract(_c(key), dims.KEY_BAD_CHAR_PATTERN, 0)
 
 
+def _name_part(name) -> Column:
+    """Final path component the way ``pathlib`` sees it: trailing slashes and
+    ``.`` components are dropped first ('dir/.' -> 'dir', '.' -> '')."""
+    last = F.substring_index(F.regexp_replace(_c(name), r"(/+\.?)+$", ""), "/", -1)
+    return F.when(last == ".", F.lit("")).otherwise(last)
+
+
 def name_suffix(name) -> Column:
     """Suffix of the last path component: from its last dot, if that dot is
     neither the first nor the last character."""
-    last = F.regexp_extract(_c(name), r"([^/]*)$", 1)
-    return F.regexp_extract(last, r"^.+(\.[^.]+)$", 1)
+    return F.regexp_extract(_name_part(name), r"^.+(\.[^.]+)$", 1)
 
 
 def name_stem(name) -> Column:
-    last = F.regexp_extract(_c(name), r"([^/]*)$", 1)
+    last = _name_part(name)
     return last.substr(F.lit(1), F.length(last) - F.length(name_suffix(name)))
 
 

@@ -210,8 +210,9 @@ SELECT key_id, key, size, coalesce(size <= {dims.MAX_FILE_BYTES}, false) AS acce
        CASE WHEN size IS NULL THEN 'unknown_size' WHEN size > {dims.MAX_FILE_BYTES} THEN 'too_large' END AS reject_reason
 FROM object_keys""")(lambda spark, sf_dir: M.with_size_check(object_keys(spark, sf_dir)))
 
-_SUFFIX = "regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1)"
-_LAST = "regexp_extract(path, '([^/]*)$', 1)"
+_LAST = ("(CASE WHEN regexp_extract(regexp_replace(path, '(/+\\.?)+$', ''), '([^/]*)$', 1) = '.' THEN '' "
+         "ELSE regexp_extract(regexp_replace(path, '(/+\\.?)+$', ''), '([^/]*)$', 1) END)")
+_SUFFIX = f"regexp_extract({_LAST}, '^.+(\\.[^.]+)$', 1)"
 register("unique_keys", f"""WITH {FILE_INVENTORY_SQL.strip()}
 SELECT path AS name, substr({_LAST}, 1, length({_LAST}) - length({_SUFFIX})) || '_' || substr(sha256(path), 1, 8)
        || lower({_SUFFIX}) AS object_key
