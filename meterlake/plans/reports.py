@@ -112,3 +112,18 @@ def analyze(m: DataFrame, kind: str = "full") -> DataFrame:
     if kind == "quality":
         return P.power_quality(m)
     return consumption_report(m)
+
+
+CHARTS = ("trend", "daily", "hourly", "period", "voltage", "power_factor", "scatter", "pf_series")
+
+
+def chart_data(m: DataFrame, kind: str, **kw):
+    """The table behind one chart (K1-K8); an unknown kind gives ``None``
+    (the reference draws nothing for it)."""
+    from meterlake.operators import chartdata as K
+    table = {
+        "trend": K.trend_tail, "daily": K.daily_bars, "hourly": K.hourly_curve, "period": K.period_share,
+        "voltage": K.voltage_histogram, "power_factor": K.pf_histogram, "scatter": K.quality_scatter,
+        "pf_series": K.every_nth,
+    }.get(kind)
+    return table(m, **kw) if table else None

@@ -78,6 +78,9 @@ def test_dispatchers(spark):
     one = efficiency_view(m, "tv").collect()
     assert len(one) == 1 and one[0].appliance == "tv" and one[0].status == "running"
     assert "best_period" in efficiency_view(m).columns
+    from meterlake.plans.reports import CHARTS, chart_data
+    assert chart_data(m, "pie-of-the-day") is None
+    assert all(chart_data(m, k).count() >= 1 for k in CHARTS)
 
 
 def test_upload_stream_analyses_new_files(spark):
