@@ -126,7 +126,7 @@ def high_power_threshold(m: DataFrame, q: float = 0.95, method: str = "selection
                             F.count_if(F.col("active_power") > F.col("p_q95")).alias("above_threshold_count"))
 
 
-def power_step_anomalies(m: DataFrame, chunk: str | None = "day") -> DataFrame:
+def power_step_anomalies(m: DataFrame, chunk: str | None = "auto") -> DataFrame:
     """H8-H13 per meter: sudden changes |step| > 3 std, spikes step > 5 std,
     drops step < -5 std (std = sample std of the meter's power), counts,
     shares, largest spike / drop, q0.95 threshold and power status. The
@@ -152,7 +152,7 @@ def power_step_anomalies(m: DataFrame, chunk: str | None = "day") -> DataFrame:
         F.when(F.col("spike_count") > 0, F.lit("abnormal")).otherwise(F.lit("normal")).alias("power_status"))
 
 
-def rolling_power(m: DataFrame, n: int = 60, chunk: str | None = "day", block: int = 1 << 16) -> DataFrame:
+def rolling_power(m: DataFrame, n: int = 60, chunk: str | None = "auto", block: int = 1 << 16) -> DataFrame:
     """H7: trailing 60-row mean / sample std of power (rows, not time, at least
     one row). Readings are taken at 0.01 W resolution: frames sum exact integer
     centiwatts, so the result does not depend on summation order (chunked and
@@ -207,7 +207,7 @@ def consumption_summary(m: DataFrame, z_threshold: float = 2.0, ratio_threshold:
         F.when(F.col("abnormal_days") > 1, F.lit("abnormal")).otherwise(F.lit("normal")).alias("consumption_status"))
 
 
-def anomaly_summary(m: DataFrame, std_threshold: float = 3.0, chunk: str | None = "day") -> DataFrame:
+def anomaly_summary(m: DataFrame, std_threshold: float = 3.0, chunk: str | None = "auto") -> DataFrame:
     """The three detectors side by side, one row per meter (each computed once)."""
     vf = voltage_flags(m, std_threshold)
     pw = power_step_anomalies(m, chunk)
@@ -243,7 +243,7 @@ def _candidates():
     )
 
 
-def anomaly_union(m: DataFrame, std_threshold: float = 3.0, chunk: str | None = "day",
+def anomaly_union(m: DataFrame, std_threshold: float = 3.0, chunk: str | None = "auto",
                   summary: DataFrame | None = None) -> DataFrame:
     """Every detected anomaly of every meter in one schema, in the fixed
     order voltage, power, consumption (``ord``)."""
@@ -252,7 +252,7 @@ def anomaly_union(m: DataFrame, std_threshold: float = 3.0, chunk: str | None =
     return j.select(K, F.inline(present)).drop("present")
 
 
-def alert_level(m: DataFrame, std_threshold: float = 3.0, chunk: str | None = "day",
+def alert_level(m: DataFrame, std_threshold: float = 3.0, chunk: str | None = "auto",
                 max_actions: int = 5, summary: DataFrame | None = None, details: int = 0) -> DataFrame:
     """H17 + H18: per meter (clean meters included) the overall alert level,
     counts by severity and source, the three statuses and the recommendations

@@ -64,7 +64,7 @@ def match_by_segment(segs: DataFrame, top: int = 3) -> DataFrame:
                          "appliance", "appliance_name", "confidence")
 
 
-def segment_matches(m: DataFrame, threshold: float = 50.0, chunk: str | None = "day") -> DataFrame:
+def segment_matches(m: DataFrame, threshold: float = 50.0, chunk: str | None = "auto") -> DataFrame:
     return match_by_segment(_segments(m, threshold, chunk))
 
 

@@ -106,7 +106,7 @@ def quality_scatter(m: DataFrame, fraction: float | None = None, seed: int = 42)
     return x.sample(fraction=fraction, seed=seed) if fraction else x
 
 
-def every_nth(m: DataFrame, n: int = 10, chunk: str | None = "day") -> DataFrame:
+def every_nth(m: DataFrame, n: int = 10, chunk: str | None = "auto") -> DataFrame:
     """K8: rows 0, n, 2n, ... of each meter in time order (systematic sample)."""
     x = sequential(m.select(K, "seq", "ts", "power_factor"), row_number="_rn", chunk=chunk)
     return x.where((F.col("_rn") - 1) % n == 0).select(K, "seq", "ts", "power_factor",

@@ -33,7 +33,7 @@ def derived_columns(m: DataFrame, minutes: float = 1.0) -> DataFrame:
         dv.is_valid_power().alias("is_valid_power"))
 
 
-def energy_register(m: DataFrame, chunk: str | None = "day") -> DataFrame:
+def energy_register(m: DataFrame, chunk: str | None = "auto") -> DataFrame:
     """C5 then C6: the running register per meter and the per-interval values
     recovered from it (a round trip; equal up to float rounding)."""
     x = sequential(m.select(K, "seq", "ts", "energy"), cumsum={"register": "energy"}, chunk=chunk)

@@ -42,7 +42,7 @@ def union_samples(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def feature_matrix(samples: DataFrame, threshold: float = 50.0, chunk: str | None = "day") -> DataFrame:
+def feature_matrix(samples: DataFrame, threshold: float = 50.0, chunk: str | None = "auto") -> DataFrame:
     """L2: the nine model features per sample. ``duration_minutes`` and
     ``power_std`` describe the power segment the reading belongs to (segment
     aggregates joined back on (meter, segment), not a window per segment)."""
@@ -73,7 +73,7 @@ def class_stats(samples: DataFrame) -> DataFrame:
         r(F.avg("power_factor")).alias("power_factor_mean"))
 
 
-def sequences(m: DataFrame, length: int = 60, chunk: str | None = "day") -> DataFrame:
+def sequences(m: DataFrame, length: int = 60, chunk: str | None = "auto") -> DataFrame:
     """Cut each meter's readings into consecutive sequences of ``length``
     steps; an incomplete tail is dropped."""
     x = sequential(m, row_number="_rn", chunk=chunk)

@@ -17,13 +17,13 @@ from meterlake.plans.ordered import sequential
 K = "meter_id"
 
 
-def power_steps(m: DataFrame, chunk: str | None = "day", keep_chunk: bool = False) -> DataFrame:
+def power_steps(m: DataFrame, chunk: str | None = "auto", keep_chunk: bool = False) -> DataFrame:
     """``power_step`` = P - previous P (NULL on a meter's first row)."""
     x = sequential(m, lag=["active_power"], chunk=chunk, keep_chunk=keep_chunk)
     return x.withColumn("power_step", F.col("active_power") - F.col("prev_active_power")).drop("prev_active_power")
 
 
-def change_points(m: DataFrame, threshold: float = 50.0, chunk: str | None = "day", keep=()) -> DataFrame:
+def change_points(m: DataFrame, threshold: float = 50.0, chunk: str | None = "auto", keep=()) -> DataFrame:
     """Readings with ``segment_id``, ``power_diff`` = |step| and ``is_change``
     (plus the ``keep`` columns of the input)."""
     x = power_steps(m.select(K, "seq", "ts", "active_power", *keep), chunk=chunk, keep_chunk=True)
@@ -32,7 +32,7 @@ def change_points(m: DataFrame, threshold: float = 50.0, chunk: str | None = "da
     return sequential(x, cumsum={"segment_id": "is_change"}, chunk=chunk)
 
 
-def segments(m: DataFrame, threshold: float = 50.0, chunk: str | None = "day") -> DataFrame:
+def segments(m: DataFrame, threshold: float = 50.0, chunk: str | None = "auto") -> DataFrame:
     """One row per segment; ``duration_minutes`` is the row count and
     ``power_change`` the largest |step| inside it, including the step that
     opened it (NULL for a lone first row)."""

@@ -37,6 +37,19 @@ ORDER = ("ts", "seq")
 _CH = "_chunk"
 
 
+CHUNK_CONF = "meterlake.chunk"
+
+
+def resolve_chunk(df: DataFrame, chunk: str | None) -> str | None:
+    """``'auto'``: the session setting ``meterlake.chunk`` (default ``'day'``;
+    ``'hour'`` / ``'minute'`` for very dense meters, ``'none'`` for plain
+    per-meter windows). Any other value is used as given."""
+    if chunk != "auto":
+        return chunk
+    value = (df.sparkSession.conf.get(CHUNK_CONF, "day") or "day").strip().lower()
+    return None if value in ("none", "plain", "") else value
+
+
 def chunk_of(ts: Column, chunk: str) -> Column:
     if chunk == "day":
         return F.to_date(ts)
@@ -64,7 +77,7 @@ def _order_key(d: DataFrame, order) -> Column | None:
 
 
 def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = None,
-               key=KEY, order=ORDER, chunk: str | None = "day", prefix: str = "prev_",
+               key=KEY, order=ORDER, chunk: str | None = "auto", prefix: str = "prev_",
                keep_chunk: bool = False) -> DataFrame:
     """Add ``prev_<c>`` (previous row's value) for every column in ``lag``,
     ``out`` = running sum of ``cumsum[out]`` (NULL where the input is NULL),
@@ -72,6 +85,7 @@ def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = N
 
     ``keep_chunk`` keeps the ``_chunk`` column; a following ``sequential`` call
     on the result then reuses the existing (meter, chunk) partitioning."""
+    chunk = resolve_chunk(df, chunk)
     lag = list(lag)
     cumsum = dict(cumsum or {})
     keys = [key] if isinstance(key, str) else list(key)
@@ -128,9 +142,10 @@ def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = N
 
 
 def rolling(df: DataFrame, aggs: dict, n: int = 60, *, key=KEY, order=ORDER,
-            chunk: str | None = "day", block: int = 1 << 16) -> DataFrame:
+            chunk: str | None = "auto", block: int = 1 << 16) -> DataFrame:
     """Row-based trailing window of ``n`` rows (current row included, at least
     one row). ``aggs`` = {out name: (aggregate function name, column)}."""
+    chunk = resolve_chunk(df, chunk)
     keys = [key] if isinstance(key, str) else list(key)
     fns = {name: getattr(F, fn)(col) for name, (fn, col) in aggs.items()}
     if chunk is None:

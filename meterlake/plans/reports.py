@@ -52,7 +52,7 @@ def consumption_report_text(m: DataFrame) -> DataFrame:
     return r.select(K, text.alias("report"))
 
 
-def analysis_json(m: DataFrame, chunk: str | None = "day") -> DataFrame:
+def analysis_json(m: DataFrame, chunk: str | None = "auto") -> DataFrame:
     """The file-analysis result (summary, daily, efficiency, alerts with the
     anomaly details) as one JSON document per meter."""
     rng = P.data_range(m)

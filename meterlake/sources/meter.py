@@ -48,7 +48,7 @@ def read_meter_raw(spark: SparkSession, path, fmt: str | None = "csv") -> DataFr
 
 def normalise(raw: DataFrame, meter_id: str | None = None, time_col: str = "timestamp",
               time_format: str = TIME_FORMAT, energy: str = "interval",
-              interval_minutes: float = 1.0, chunk: str | None = "day") -> DataFrame:
+              interval_minutes: float = 1.0, chunk: str | None = "auto") -> DataFrame:
     """Raw scan -> ``meter_readings`` (meter_id, seq, ts, measures...).
 
     * ``meter_id``: name of an id column; default is the source file name.
@@ -98,7 +98,7 @@ def load_meter_data(spark: SparkSession, path, fmt: str | None = "csv", **kw) ->
         return {"success": False, "error": str(e).splitlines()[0], "data": None}
 
 
-def register_to_interval(df: DataFrame, col: str = "energy", chunk: str | None = "day") -> DataFrame:
+def register_to_interval(df: DataFrame, col: str = "energy", chunk: str | None = "auto") -> DataFrame:
     """Cumulative register -> per-interval energy. The first row keeps the
     register value; a negative step (meter reset) restarts from the new value."""
     x = sequential(df, lag=[col], chunk=chunk)
@@ -108,6 +108,6 @@ def register_to_interval(df: DataFrame, col: str = "energy", chunk: str | None =
 
 
 def interval_to_register(df: DataFrame, col: str = "energy", out: str = "energy_register",
-                         chunk: str | None = "day") -> DataFrame:
+                         chunk: str | None = "auto") -> DataFrame:
     """Running register (cumulative sum per meter in time order)."""
     return sequential(df, cumsum={out: col}, chunk=chunk)

@@ -34,7 +34,7 @@ def meter_file_stream(spark: SparkSession, input_dir: str, fmt: str = "csv",
 
 
 def analyse_uploads(spark: SparkSession, input_dir: str, output_dir: str, checkpoint: str | None = None,
-                    available_now: bool = True, chunk: str | None = "day"):
+                    available_now: bool = True, chunk: str | None = "auto"):
     """Start the upload-analysis stream; returns the ``StreamingQuery``."""
     checkpoint = checkpoint or ensure_checkpoint_dir(spark).rstrip("/") + "/meterlake-uploads"
     raw = meter_file_stream(spark, input_dir).select("*", F.col("_metadata.file_name").alias("_file"))

@@ -124,3 +124,19 @@ def test_hot_meter_is_spread_over_tasks(spark):
                 spark.conf.set(k, v)
     assert plain >= 3000
     assert chunked < plain / 2
+
+
+def test_chunk_unit_from_session_setting(spark):
+    from meterlake.plans.ordered import resolve_chunk
+    m = fleet(spark, n=20)
+    assert resolve_chunk(m, "auto") == "day" and resolve_chunk(m, None) is None
+    spark.conf.set("meterlake.chunk", "hour")
+    try:
+        assert resolve_chunk(m, "auto") == "hour"
+        spark.conf.set("meterlake.chunk", "none")
+        assert resolve_chunk(m, "auto") is None
+        a = collect(S.segments(m, 50.0).select("meter_id", "segment_id", "duration_minutes"), ("meter_id", "segment_id"))
+    finally:
+        spark.conf.unset("meterlake.chunk")
+    b = collect(S.segments(m, 50.0).select("meter_id", "segment_id", "duration_minutes"), ("meter_id", "segment_id"))
+    assert a == b
