@@ -14,8 +14,20 @@ from pyspark.sql import functions as F
 from meterlake.functions.numeric import r
 
 
+# Schemas of the driver tables this package reads (identical at every scale
+# factor); an explicit schema spares the footer reads of schema inference.
+TABLE_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read
+    if name in TABLE_SCHEMAS:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def meter_readings_from_events(events: DataFrame, keep=()) -> DataFrame:
