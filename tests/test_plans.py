@@ -33,3 +33,17 @@ def test_ordered_windows_are_chunked(spark):
 def test_per_group_limit_for_tails(spark):
     p = E.queries()["trend_tail"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in p
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_single_partition_funnel(spark, name):
+    """No query moves its data through one partition; the only global top-k is
+    the listing page, bounded by max_keys + 1 rows."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = plan(E.queries()[name](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "SinglePartition" not in p
+    if name != "key_page":
+        assert "TakeOrderedAndProject" not in p
