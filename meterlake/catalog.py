@@ -31,6 +31,9 @@ def register(name: str, sql: str | None = None):
 def flat(df: DataFrame) -> DataFrame:
     """Registered outputs carry dates as 'yyyy-MM-dd' and times as
     'yyyy-MM-dd HH:mm:ss.SSSSSS' strings, so both engines print them alike."""
+    if not any(f.dataType.typeName() == "date" or f.dataType.typeName().startswith("timestamp")
+               for f in df.schema.fields):
+        return df
     cols = []
     for f in df.schema.fields:
         t = f.dataType.typeName()

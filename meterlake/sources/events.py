@@ -31,16 +31,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def meter_readings_from_events(events: DataFrame, keep=()) -> DataFrame:
-    """``keep``: extra ``events`` columns carried along (e.g. ``event_type``)."""
+    """``keep``: extra ``events`` columns carried along (e.g. ``event_type``).
+    One projection straight off the scan."""
     seq = F.col("event_id")
     meter = F.col("user_id") % 10
     uplift = F.when((meter == 3) & (F.weekday("ts") >= 5), F.lit(1.6)).otherwise(F.lit(1.0))
-    base = events.select(seq.alias("seq"), meter.alias("meter_id"), "ts", "value", uplift.alias("uplift"), *keep)
-    volt = F.lit(190.0) + ((F.col("seq") * 37) % 61).cast("double")
-    power = F.col("value") * 7.0 * F.col("uplift")
-    pf = F.lit(0.80) + ((F.col("seq") * 13) % 20).cast("double") / 100.0
-    return base.select(
-        "meter_id", "seq", "ts",
+    volt = F.lit(190.0) + ((seq * 37) % 61).cast("double")
+    power = F.col("value") * 7.0 * uplift
+    pf = F.lit(0.80) + ((seq * 13) % 20).cast("double") / 100.0
+    return events.select(
+        meter.alias("meter_id"), seq.alias("seq"), "ts",
         volt.alias("voltage"),
         (power / volt).alias("current"),
         power.alias("active_power"),
