@@ -109,7 +109,7 @@ def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = N
         *[F.lag(c).over(wl).alias("_l_" + c) for c in lag],
         *[F.sum(c).over(wlr).alias("_cs_" + o) for o, c in cumsum.items()],
     )
-    aggs = [F.max("_rn").alias("_n")]
+    aggs = [F.max("_rn").alias("_rows")]
     key = _order_key(d, order)
     numeric_lags = all(isinstance(d.schema[c].dataType, T.NumericType) for c in lag)
     if lag and key is not None and numeric_lags:
@@ -118,26 +118,26 @@ def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = N
     elif lag:
         aggs.append(F.max_by(F.struct(*[F.col(c) for c in lag]),
                              F.struct(*[F.col(c) for c in order])).alias("_last"))
-    aggs += [F.coalesce(F.sum(c), F.lit(0).cast(d.schema[c].dataType)).alias("_s_" + o)
+    aggs += [F.coalesce(F.sum(c), F.lit(0).cast(d.schema[c].dataType)).alias("_csum_" + o)
              for o, c in cumsum.items()]
     summary = x.groupBy(*keys, _CH).agg(*aggs)
     if lag and "_last" not in summary.columns:
         summary = summary.withColumn("_last", F.struct(*[F.col("_last_" + c).alias(c) for c in lag]))
     wc = Window.partitionBy(*keys).orderBy(_CH)
     before = wc.rowsBetween(Window.unboundedPreceding, -1)
-    carry_cols = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n")]
+    carry_cols = [F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before")]
     if lag:
         carry_cols.append(F.lag("_last").over(wc).alias("_carry"))
-    carry_cols += [F.coalesce(F.sum("_s_" + o).over(before), F.lit(0)).alias("_off_" + o) for o in cumsum]
+    carry_cols += [F.coalesce(F.sum("_csum_" + o).over(before), F.lit(0)).alias("_cbefore_" + o) for o in cumsum]
     carry = summary.select(*keys, _CH, *carry_cols)
     j = x.join(carry, [*keys, _CH], "inner")
     out = [F.col(c) for c in base_cols] + ([F.col(_CH)] if keep_chunk else [])
     out += [F.when(F.col("_rn") == 1, F.col("_carry").getField(c)).otherwise(F.col("_l_" + c)).alias(prefix + c)
             for c in lag]
-    out += [F.when(F.col(c).isNull(), F.lit(None)).otherwise(F.col("_cs_" + o) + F.col("_off_" + o)).alias(o)
+    out += [F.when(F.col(c).isNull(), F.lit(None)).otherwise(F.col("_cs_" + o) + F.col("_cbefore_" + o)).alias(o)
             for o, c in cumsum.items()]
     if row_number:
-        out.append((F.col("_rn") + F.col("_off_n")).alias(row_number))
+        out.append((F.col("_rn") + F.col("_rows_before")).alias(row_number))
     return j.select(*out)
 
 

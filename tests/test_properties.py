@@ -46,3 +46,26 @@ def test_rounding_matches_numpy(spark, xs, n):
     got = [row.y for row in df.select(r("x", n).alias("y")).collect()]
     want = [float(np.round(x, n)) for x in xs]
     assert all(g == w or (g == 0.0 and w == 0.0) for g, w in zip(got, want))
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3000), st.one_of(st.none(), st.floats(0, 5000))),
+                min_size=1, max_size=120),
+       st.sampled_from(["day", "hour"]))
+def test_chunked_sequential_equals_plain_window(spark, rows, unit):
+    """(meter, minute offset, power) rows with repeated timestamps, multi-day gaps and NULLs."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from conftest import readings
+    from meterlake.plans.ordered import sequential
+    base = dt.datetime(2024, 3, 1)
+    data = [{"meter_id": k, "seq": i, "ts": base + dt.timedelta(minutes=7 * off), "active_power": p}
+            for i, (k, off, p) in enumerate(rows)]
+    m = readings(spark, data).withColumn("one", F.lit(1))
+    kw = dict(lag=["active_power"], cumsum={"n": "one"}, row_number="rn")
+    cols = ["meter_id", "seq", "prev_active_power", "n", "rn"]
+    plain = sorted(tuple(r) for r in sequential(m, chunk=None, **kw).select(*cols).collect())
+    chunked = sorted(tuple(r) for r in sequential(m, chunk=unit, **kw).select(*cols).collect())
+    assert chunked == plain
