@@ -69,3 +69,18 @@ def test_chunked_sequential_equals_plain_window(spark, rows, unit):
     plain = sorted(tuple(r) for r in sequential(m, chunk=None, **kw).select(*cols).collect())
     chunked = sorted(tuple(r) for r in sequential(m, chunk=unit, **kw).select(*cols).collect())
     assert chunked == plain
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.sampled_from([0.0, 1.5, 2.0, 1e6]),
+                                                          st.floats(-1e4, 1e4))), min_size=1, max_size=150),
+       st.sampled_from([0.0, 0.2, 0.5, 0.8, 0.95, 1.0]), st.sampled_from([(2, 3), (8192, 2), (5, 1)]))
+def test_exact_quantile_equals_percentile(spark, rows, q, shape):
+    from pyspark.sql import functions as F
+
+    from meterlake.plans.quantiles import exact_quantile
+    df = spark.createDataFrame(rows, "k long, v double")
+    buckets, rounds = shape
+    want = {r.k: r.p for r in df.groupBy("k").agg(F.percentile("v", q).alias("p")).collect() if r.p is not None}
+    got = {r.k: r.quantile for r in exact_quantile(df, "k", "v", q, buckets=buckets, rounds=rounds).collect()}
+    assert got == want
