@@ -84,3 +84,37 @@ def test_exact_quantile_equals_percentile(spark, rows, q, shape):
     want = {r.k: r.p for r in df.groupBy("k").agg(F.percentile("v", q).alias("p")).collect() if r.p is not None}
     got = {r.k: r.quantile for r in exact_quantile(df, "k", "v", q, buckets=buckets, rounds=rounds).collect()}
     assert got == want
+
+
+def _brute_segments(powers, threshold):
+    """Plain-Python segmentation of one series (file order = list order)."""
+    diffs = [None] + [abs(b - a) for a, b in zip(powers, powers[1:])]
+    starts = [0] + [i for i, d in enumerate(diffs) if d is not None and d > threshold]
+    ends = starts[1:] + [len(powers)]
+    out = []
+    for sid, (a, b) in enumerate(zip(starts, ends)):
+        seg, ds = powers[a:b], [d for d in diffs[a:b] if d is not None]
+        r2 = lambda x: float(np.round(x, 2))  # noqa: E731  (pandas rounding)
+        out.append((sid, a, b - 1, b - a, r2(sum(seg) / len(seg)), r2(max(seg)), r2(min(seg)),
+                    r2(max(ds)) if ds else None))
+    return out
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.sampled_from([0.0, 10.0, 55.5, 100.0, 120.25, 400.0, 1000.0, 1049.99, 1500.0]),
+                min_size=1, max_size=80),
+       st.sampled_from(["day", None]))
+def test_segments_match_brute_force(spark, powers, chunk):
+    import datetime as dt
+
+    from conftest import readings
+    from meterlake.operators.segments import segments
+    base = dt.datetime(2024, 3, 1, 20, 0)
+    m = readings(spark, [{"seq": i, "ts": base + dt.timedelta(minutes=11 * i), "active_power": p}
+                         for i, p in enumerate(powers)])
+    got = sorted(segments(m, 50.0, chunk=chunk).collect(), key=lambda r: r.segment_id)
+    want = _brute_segments(powers, 50.0)
+    t = lambda i: base + dt.timedelta(minutes=11 * i)
+    assert [(r.segment_id, r.start_time, r.end_time, r.duration_minutes, r.avg_power, r.max_power, r.min_power,
+             r.power_change) for r in got] == \
+        [(sid, t(a), t(b), n, av, mx, mn, pc) for sid, a, b, n, av, mx, mn, pc in want]
