@@ -118,3 +118,77 @@ def test_segments_match_brute_force(spark, powers, chunk):
     assert [(r.segment_id, r.start_time, r.end_time, r.duration_minutes, r.avg_power, r.max_power, r.min_power,
              r.power_change) for r in got] == \
         [(sid, t(a), t(b), n, av, mx, mn, pc) for sid, a, b, n, av, mx, mn, pc in want]
+
+
+def _brute_alert(volts, powers, energies, days):
+    """One meter, rows in time order; days[i] = (date, weekday). Returns
+    (alert level, total, high, medium, statuses, present anomaly types)."""
+    n = len(volts)
+    v = np.array(volts)
+    vm, vs = v.mean(), (v.std(ddof=1) if n > 1 else float("nan"))
+    out = int(((v < 198) | (v > 242)).sum())
+    sag = int(((v < vm * 0.9) & (v >= 198)).sum())
+    swell = int(((v > vm * 1.1) & (v <= 242)).sum())
+    found = []
+    if out:
+        found.append(("voltage_out_of_range", "high" if out / n > 0.05 else "medium"))
+    if sag:
+        found.append(("voltage_sag", "medium"))
+    if swell:
+        found.append(("voltage_swell", "medium"))
+    p = np.array(powers)
+    ps = p.std(ddof=1) if n > 1 else float("nan")
+    d = np.diff(p)
+    if (np.abs(d) > ps * 3).sum():
+        found.append(("sudden_power_change", "medium"))
+    if (d > ps * 5).sum():
+        found.append(("power_spike", "high"))
+    if (d < -ps * 5).sum():
+        found.append(("power_drop", "medium"))
+    totals, weekend = {}, {}
+    for e, (day, wd) in zip(energies, days):
+        totals[day] = totals.get(day, 0.0) + e
+        weekend[day] = wd >= 5
+    t = np.array([totals[k] for k in sorted(totals)])
+    sd = t.std()
+    z = (t - t.mean()) / sd if sd > 0 else np.zeros(len(t))
+    abnormal = int((np.abs(z) > 2).sum())
+    if abnormal:
+        found.append(("daily_consumption_anomaly", None))
+    wd_vals = [totals[k] for k in totals if not weekend[k]]
+    we_vals = [totals[k] for k in totals if weekend[k]]
+    wd_avg = np.mean(wd_vals) if wd_vals else float("nan")
+    we_avg = np.mean(we_vals) if we_vals else float("nan")
+    ratio = we_avg / wd_avg if wd_avg > 0 else 0
+    if ratio > 1.3:
+        found.append(("usage_pattern_anomaly", None))
+    high = sum(1 for _, s in found if s == "high")
+    medium = sum(1 for _, s in found if s == "medium")
+    level = "high" if high else "medium" if medium > 3 else "low" if found else "none"
+    statuses = ("normal" if out / n < 0.01 else "attention",
+                "abnormal" if any(t_ == "power_spike" for t_, _ in found) else "normal",
+                "abnormal" if abnormal > 1 else "normal")
+    return level, len(found), high, medium, statuses, [t_ for t_, _ in found]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([185.0, 199.0, 205.0, 220.0, 238.0, 245.0]),
+                          st.sampled_from([20.0, 80.0, 150.0, 900.0, 2500.0, 4000.0])), min_size=3, max_size=90),
+       st.integers(min_value=1, max_value=600))
+def test_alert_level_matches_brute_force(spark, rows, step_minutes):
+    import datetime as dt
+
+    from conftest import readings
+    from meterlake.operators.anomalies import alert_level, anomaly_union
+    base = dt.datetime(2024, 3, 14, 5, 0)
+    ts = [base + dt.timedelta(minutes=step_minutes * i) for i in range(len(rows))]
+    data = [{"seq": i, "ts": t, "voltage": v, "active_power": p, "energy": p / 60000.0}
+            for i, (t, (v, p)) in enumerate(zip(ts, rows))]
+    m = readings(spark, data)
+    level, total, high, medium, statuses, types = _brute_alert(
+        [v for v, _ in rows], [p for _, p in rows], [p / 60000.0 for _, p in rows],
+        [(t.date(), t.weekday()) for t in ts])
+    a = alert_level(m).collect()[0]
+    assert (a.alert_level, a.total_anomalies, a.high_priority, a.medium_priority) == (level, total, high, medium)
+    assert (a.voltage_status, a.power_status, a.consumption_status) == statuses
+    assert [r.type for r in sorted(anomaly_union(m).collect(), key=lambda r: r.ord)] == types
