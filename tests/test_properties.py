@@ -192,3 +192,47 @@ def test_alert_level_matches_brute_force(spark, rows, step_minutes):
     assert (a.alert_level, a.total_anomalies, a.high_priority, a.medium_priority) == (level, total, high, medium)
     assert (a.voltage_status, a.power_status, a.consumption_status) == statuses
     assert [r.type for r in sorted(anomaly_union(m).collect(), key=lambda r: r.ord)] == types
+
+
+def _brute_consumption(ts, energies):
+    r2 = lambda x: float(np.round(x, 2))
+    days, hours = {}, {}
+    for t, e in zip(ts, energies):
+        days[t.date()] = days.get(t.date(), 0.0) + e
+        hours[t.hour] = hours.get(t.hour, 0.0) + e
+    dr = {k: r2(v) for k, v in days.items()}                    # rounded daily totals
+    order = sorted(dr)
+    mx = max(dr.values())
+    mn = min(dr.values())
+    summary = (len(dr), r2(np.mean(list(dr.values()))), r2(sum(dr.values())),
+               str(next(k for k in order if dr[k] == mx)), str(next(k for k in order if dr[k] == mn)))
+    hr = {h: r2(v) for h, v in hours.items()}                   # rounded hour totals
+    vals = np.array([hr[h] for h in sorted(hr)])
+    pt, vt = np.quantile(vals, 0.8), np.quantile(vals, 0.2)
+    peaks = ",".join(str(h) for h in sorted(hr) if hr[h] >= pt)
+    valleys = ",".join(str(h) for h in sorted(hr) if hr[h] <= vt)
+    wd = [v for k, v in days.items() if k.weekday() < 5]
+    we = [v for k, v in days.items() if k.weekday() >= 5]
+    pct = None
+    if wd and we and np.mean(wd) != 0:
+        pct = float(np.round((np.mean(we) - np.mean(wd)) / np.mean(wd) * 100, 1))
+    return summary, (peaks, valleys), pct
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.sampled_from([0.0, 0.01, 0.05, 0.1, 0.25, 1.0]), min_size=2, max_size=120),
+       st.integers(min_value=13, max_value=400))
+def test_consumption_matches_brute_force(spark, energies, step_minutes):
+    import datetime as dt
+
+    from conftest import readings
+    from meterlake.operators import consumption as C
+    base = dt.datetime(2024, 3, 13, 7, 0)
+    ts = [base + dt.timedelta(minutes=step_minutes * i) for i in range(len(energies))]
+    m = readings(spark, [{"seq": i, "ts": t, "energy": e} for i, (t, e) in enumerate(zip(ts, energies))])
+    summary, (peaks, valleys), pct = _brute_consumption(ts, energies)
+    s = C.daily_summary(m).collect()[0]
+    assert (s.total_days, s.avg_daily_energy, s.total_energy, str(s.max_day), str(s.min_day)) == summary
+    h = C.peak_valley_hours(m).collect()[0]
+    assert (h.peak_hours, h.valley_hours) == (peaks, valleys)
+    assert C.weekday_weekend(m).collect()[0].difference_percent == pct
