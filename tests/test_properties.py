@@ -236,3 +236,31 @@ def test_consumption_matches_brute_force(spark, energies, step_minutes):
     h = C.peak_valley_hours(m).collect()[0]
     assert (h.peak_hours, h.valley_hours) == (peaks, valleys)
     assert C.weekday_weekend(m).collect()[0].difference_percent == pct
+
+
+def _brute_overall(powers, energies, calibrated):
+    p = np.array(powers)
+    n, te, avg, peak = len(p), float(np.sum(energies)), p.mean(), p.max()
+    base = p[p < 100].mean() if (p < 100).any() else float("nan")
+    e = te * 1000 if calibrated else te
+    eu = e / (avg * n / 60) if avg > 0 else 0
+    lf = avg / peak if peak > 0 else 0
+    blr = base / avg if avg > 0 else 0
+    raw = eu * 40 + lf * 35 + (1 - blr) * 25
+    if not calibrated:
+        raw *= 100
+    score = 0.0 if np.isnan(raw) else min(100.0, max(0.0, raw))
+    level = "excellent" if score >= 85 else "good" if score >= 70 else "fair" if score >= 55 else "poor"
+    return float(np.round(score, 1)), level, float(np.round(lf, 3))
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.sampled_from([30.0, 95.0, 150.0, 800.0, 1200.0, 2600.0]), min_size=1, max_size=60),
+       st.booleans())
+def test_overall_efficiency_matches_brute_force(spark, powers, calibrated):
+    from conftest import readings
+    from meterlake.operators.efficiency import overall_efficiency
+    energies = [p / 60000.0 for p in powers]
+    m = readings(spark, [{"seq": i, "active_power": p, "energy": e} for i, (p, e) in enumerate(zip(powers, energies))])
+    o = overall_efficiency(m, calibrated=calibrated).collect()[0]
+    assert (o.overall_score, o.efficiency_level, o.load_factor) == _brute_overall(powers, energies, calibrated)
