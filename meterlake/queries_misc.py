@@ -243,7 +243,14 @@ LEFT JOIN ({ORACLE['power_quality']}) q USING (meter_id)""")(on_readings(J.consu
 # text and JSON renderings: formatting differs between engines, so rows-only checks
 register("consumption_report_text")(on_readings(J.consumption_report_text))
 register("analysis_json")(on_readings(J.analysis_json))
-register("load_summary")(on_readings(J.load_summary))
+_STAT_LINE = ("\"column\" || ': mean ' || CAST(mean AS VARCHAR) || ', std ' || CAST(std AS VARCHAR) || "
+              "', min ' || CAST(min AS VARCHAR) || ', max ' || CAST(max AS VARCHAR)")
+register("load_summary", f"""
+SELECT r.meter_id,
+       CAST(r.total_records AS VARCHAR) || ' readings from ' || r.start || ' to ' || r."end" || '; ' || s.stats AS summary
+FROM ({ORACLE['data_range']}) r
+LEFT JOIN (SELECT meter_id, string_agg({_STAT_LINE}, '; ' ORDER BY {_STAT_LINE}) AS stats
+           FROM ({ORACLE['profile_stats']}) p GROUP BY 1) s USING (meter_id)""")(on_readings(J.load_summary))
 
 register("efficiency_overview", f"""
 SELECT o.*, b.best_period, b.best_avg_power, b.best_score, b.worst_period, b.worst_avg_power, b.worst_score
