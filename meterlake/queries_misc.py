@@ -241,7 +241,25 @@ LEFT JOIN ({ORACLE['weekday_weekend']}) w USING (meter_id)
 LEFT JOIN ({ORACLE['power_quality']}) q USING (meter_id)""")(on_readings(J.consumption_report))
 
 # text and JSON renderings: formatting differs between engines, so rows-only checks
-register("consumption_report_text")(on_readings(J.consumption_report_text))
+def _report_text_sql() -> str:
+    """The text report assembled in SQL: numbers and NULLs rendered as Java's
+    ``format_string('%s')`` does for these rounded values."""
+    v = lambda c: f"coalesce(CAST({c} AS VARCHAR), 'null')"
+    hours = lambda c: f"array_to_string(list_transform(string_split({c}, ','), lambda h: h || ':00'), ', ')"
+    parts = ["'Consumption report\n- period: '", v("total_days"), "' days\n- total: '", v("total_energy"),
+             "' kWh\n- daily mean: '", v("avg_daily_energy"), "' kWh\n- highest day: '", v("max_day"), "' ('",
+             v("max_daily_energy"), "' kWh)\n- lowest day: '", v("min_day"), "' ('", v("min_daily_energy"),
+             "' kWh)\n- peak hours: '", hours("peak_hours"), "'\n- valley hours: '", hours("valley_hours"),
+             "'\n- peak/valley ratio: '", v("peak_valley_ratio"), "'\n- weekday mean: '", v("weekday_avg"),
+             "' kWh, weekend mean: '", v("weekend_avg"), "' kWh, difference: '", v("difference_percent"),
+             "'%\n- voltage: '", v("voltage_stability"), "' (mean '", v("voltage_mean"), "'V, std '",
+             v("voltage_std"), "'V, out of range '", v("out_of_range_percent"), "'%)\n- power factor: '",
+             v("pf_assessment"), "' (mean '", v("pf_mean"), "', low '", v("low_pf_percent"),
+             "'%)\n- mean power: '", v("power_mean"), "'W, std '", v("power_std"), "'W'"]
+    return f"SELECT meter_id, {' || '.join(parts)} AS report FROM ({ORACLE['consumption_report']}) c"
+
+
+register("consumption_report_text", _report_text_sql())(on_readings(J.consumption_report_text))
 register("analysis_json")(on_readings(J.analysis_json))
 _STAT_LINE = ("\"column\" || ': mean ' || CAST(mean AS VARCHAR) || ', std ' || CAST(std AS VARCHAR) || "
               "', min ' || CAST(min AS VARCHAR) || ', max ' || CAST(max AS VARCHAR)")
