@@ -67,7 +67,8 @@ def analysis_json(m: DataFrame, chunk: str | None = "auto") -> DataFrame:
         F.struct("alert_level", "total_anomalies", "high_priority", "medium_priority", "voltage_status",
                  "power_status", "consumption_status", "recommended_actions",
                  F.coalesce(F.col("details"), F.array()).alias("details")).alias("alerts"))
-    return j.select(K, F.to_json(doc).alias("analysis"))
+    # NULL fields stay in the document (explicit nulls, as in the reference's JSON)
+    return j.select(K, F.to_json(doc, {"ignoreNullFields": "false"}).alias("analysis"))
 
 
 def load_summary(m: DataFrame) -> DataFrame:

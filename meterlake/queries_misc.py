@@ -260,7 +260,25 @@ def _report_text_sql() -> str:
 
 
 register("consumption_report_text", _report_text_sql())(on_readings(J.consumption_report_text))
-register("analysis_json")(on_readings(J.analysis_json))
+_DETAIL = ", ".join(f"'{f}': {f}" for f in ("ord", "source", "type", "count", "percentage", "severity", "magnitude",
+                                             "description", "recommendation"))
+register("analysis_json", f"""
+SELECT r.meter_id, CAST(to_json({{
+  'data_summary': {{'start': r.start, 'end': r."end", 'total_records': r.total_records}},
+  'daily': {{'total_days': d.total_days, 'total_energy': d.total_energy, 'avg_daily_energy': d.avg_daily_energy,
+             'max_day': d.max_day, 'min_day': d.min_day}},
+  'efficiency': {{'overall_score': e.overall_score, 'efficiency_level': e.efficiency_level,
+                  'load_factor': e.load_factor, 'base_load_ratio': e.base_load_ratio}},
+  'alerts': {{'alert_level': a.alert_level, 'total_anomalies': a.total_anomalies, 'high_priority': a.high_priority,
+              'medium_priority': a.medium_priority, 'voltage_status': a.voltage_status,
+              'power_status': a.power_status, 'consumption_status': a.consumption_status,
+              'recommended_actions': a.recommended_actions, 'details': coalesce(t.details, [])}}}}) AS VARCHAR) AS analysis
+FROM ({ORACLE['data_range']}) r
+LEFT JOIN ({ORACLE['daily_summary']}) d USING (meter_id)
+LEFT JOIN ({ORACLE['overall_efficiency']}) e USING (meter_id)
+LEFT JOIN ({ORACLE['alert_level']}) a USING (meter_id)
+LEFT JOIN (SELECT meter_id, list({{{_DETAIL}}} ORDER BY ord)[1:10] AS details
+           FROM ({ORACLE['anomaly_union']}) u GROUP BY 1) t USING (meter_id)""")(on_readings(J.analysis_json))
 _STAT_LINE = ("\"column\" || ': mean ' || CAST(mean AS VARCHAR) || ', std ' || CAST(std AS VARCHAR) || "
               "', min ' || CAST(min AS VARCHAR) || ', max ' || CAST(max AS VARCHAR)")
 register("load_summary", f"""
