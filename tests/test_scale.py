@@ -140,3 +140,12 @@ def test_chunk_unit_from_session_setting(spark):
         spark.conf.unset("meterlake.chunk")
     b = collect(S.segments(m, 50.0).select("meter_id", "segment_id", "duration_minutes"), ("meter_id", "segment_id"))
     assert a == b
+
+
+def test_rolling_block_equal_to_frame_tail(spark):
+    """block = n - 1: every row of a block is copied into the next one."""
+    m = fleet(spark, n=60)
+    aggs = {"c": ("count", "active_power"), "mx": ("max", "active_power")}
+    plain = rolling(m, aggs, 5, chunk=None).select("meter_id", "seq", "c", "mx")
+    edge = rolling(m, aggs, 5, chunk="day", block=4).select("meter_id", "seq", "c", "mx")
+    assert collect(edge) == collect(plain)

@@ -183,3 +183,20 @@ def test_profile_and_null_counts(spark):
 def test_single_row_std_is_null(spark):
     q = one(P.power_quality(readings(spark, [100.0])))
     assert q.voltage_std is None and q.voltage_stability == "good"
+
+
+def test_clean_nan_recurses_into_structs_and_arrays(spark):
+    df = spark.createDataFrame([((1.0, float("nan")), [float("inf"), 2.0], "x")],
+                               "s struct<a: double, b: double>, arr array<double>, t string")
+    row = clean_nan(df).first()
+    assert (row.s.a, row.s.b) == (1.0, None) and list(row.arr) == [None, 2.0] and row.t == "x"
+
+
+def test_season_labels_and_factor(spark):
+    from meterlake.functions.calendar import season_factor, season_name
+    rows = [("2024-01-15 07:00:00",), ("2024-07-01 13:00:00",), ("2024-04-01 13:00:00",), ("2024-12-01 20:00:00",)]
+    df = spark.createDataFrame(rows, "t string").select(F.to_timestamp_ntz("t").alias("ts"))
+    got = [(r.f, r.s, r.legacy) for r in df.select(season_factor().alias("f"), season_name().alias("s"),
+                                                    season_name(legacy_labels=True).alias("legacy")).collect()]
+    assert got == [(1.5, "winter", "spring"), (1.3, "summer", "autumn"), (1.0, "spring", "summer"),
+                   (1.5, "winter", "spring")]
