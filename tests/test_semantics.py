@@ -200,3 +200,25 @@ def test_season_labels_and_factor(spark):
                                                     season_name(legacy_labels=True).alias("legacy")).collect()]
     assert got == [(1.5, "winter", "spring"), (1.3, "summer", "autumn"), (1.0, "spring", "summer"),
                    (1.5, "winter", "spring")]
+
+
+def test_derived_column_edge_cases(spark):
+    from meterlake.functions import derive as dv
+    df = spark.createDataFrame([(0.0, 0.0, 0.0), (500.0, 0.0, 220.0), (2500.0, 750.0, -1.0)],
+                               "p double, q double, v double")
+    got = df.select(dv.current_from_power("p", "v").alias("i"), dv.pf_from_pq("p", "q").alias("pf"),
+                    dv.power_class("p").alias("c"), dv.power_class("p", 2000.0, 500.0).alias("cm")).collect()
+    assert [(r.i, r.c, r.cm) for r in got] == [(0.0, "low", "low"), (500.0 / 220.0, "medium", "low"),
+                                              (0.0, "high", "high")]
+    assert got[0].pf == 0.95 and got[1].pf == 1.0
+
+
+def test_register_round_trip_with_gap_and_reset(spark):
+    from meterlake.sources.meter import register_to_interval
+    regs = [1.0, 1.5, None, 2.5, 0.2, 0.4]          # a missing reading, then a meter reset
+    df = spark.createDataFrame([("a", i, f"2024-03-15 00:0{i}:00", e) for i, e in enumerate(regs)],
+                               "meter_id string, seq long, t string, energy double") \
+        .select("meter_id", "seq", F.to_timestamp_ntz("t").alias("ts"), "energy")
+    got = [r.energy for r in register_to_interval(df).orderBy("seq").collect()]
+    assert got[0] == 1.0 and got[1] == 0.5 and got[2] is None
+    assert got[4] == 0.2 and round(got[5], 9) == 0.2
