@@ -140,3 +140,22 @@ def test_fleet_report_job(spark):
     alerts = spark.read.parquet(written["alert_level"]).collect()
     assert sorted(r.meter_id for r in alerts) == ["m1.csv", "m2.csv"]
     assert spark.read.text(written["analysis_json"]).count() == 2
+
+
+def test_analysis_json_keeps_null_fields(spark):
+    from conftest import readings
+    m = readings(spark, [100.0] * 5 + [3000.0] + [100.0] * 5)
+    doc = json.loads(analysis_json(m).first().analysis)
+    details = doc["alerts"]["details"]
+    assert details and all("recommendation" in d and "magnitude" in d for d in details)
+    assert any(d["magnitude"] is None for d in details) or any(d["recommendation"] is None for d in details)
+
+
+def test_identify_ranks_and_labels(spark):
+    from meterlake.functions.labels import with_reference_labels
+    req = spark.createDataFrame([(150.0,), (1200.0,)], "power double")
+    got = {(r.power, r["rank"]): r.appliance for r in identify(req).collect()}
+    assert got[(150.0, 1)] == "refrigerator" and got[(1200.0, 1)] == "microwave" and len(got) == 6
+    lab = with_reference_labels(spark.createDataFrame([("night", "Sun", "high")], "period string, day string, "
+                                                                                   "alert_level string")).first()
+    assert (lab.period_label, lab.day_label, lab.alert_level_label) == ("凌晨", "周日", "🔴 高")
