@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import decontaminate, language_id, near_dup, sentencepiece_codec, toxicity
+from meterlake.llm import ann, decontaminate, language_id, licenses, near_dup, pii, secrets, sentencepiece_codec, toxicity
 from meterlake.llm.common import table
 
+#: Key of the surrogates in the registered queries; a deployment passes its own secret.
+PII_KEY = "meterlake"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -28,6 +31,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query("op1_ann")
+def op1(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 @query("op2_decontaminate")
 def op2(spark, sf_dir):
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -48,6 +57,27 @@ def op5(spark, sf_dir):
     return sentencepiece_codec.token_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+@query("op6_license_scan", licenses.oracle())
+def op6(spark, sf_dir):
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 @query("op8_toxicity")
 def op8(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_secret_scan", secrets.oracle())
+def op9(spark, sf_dir):
+    return secrets.secrets_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii")
+def op10(spark, sf_dir):
+    return pii.pii_report(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)

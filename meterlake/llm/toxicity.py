@@ -164,21 +164,23 @@ def _features(counts, weak, words, chance: float) -> np.ndarray:
                             np.minimum(counts, CAP) ** 0.5])
 
 
-@F.pandas_udf("sketch long, patterns array<string>")
-def _sketch(texts: pd.Series) -> pd.DataFrame:
-    """Words and stems of each text (``#2``: those that occur twice), and the smallest hash of its words."""
-    sketches, patterns = [], []
-    for t in texts:
-        words = Counter(w for w in TOKEN.findall((t or "").lower()) if w not in ENDS)
-        sketches.append(min((xxhash.xxh3_64_intdigest(w) >> 1 for w in words), default=0))
-        seen: Counter = Counter()
-        for w, n in words.items():
-            if len(w) >= STEM[0]:
-                seen[w + "$"] += n
-                for k in range(STEM[0], min(STEM[-1], len(w)) + 1):
-                    seen[w[:k]] += n
-        patterns.append([*seen, *(p + "#2" for p, n in seen.items() if n > 1)])
-    return pd.DataFrame({"sketch": sketches, "patterns": patterns})
+def _sketch_udf():
+    @F.pandas_udf("sketch long, patterns array<string>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        """Words and stems of each text (``#2``: those that occur twice), and the smallest hash of its words."""
+        sketches, patterns = [], []
+        for t in texts:
+            words = Counter(w for w in TOKEN.findall((t or "").lower()) if w not in ENDS)
+            sketches.append(min((xxhash.xxh3_64_intdigest(w) >> 1 for w in words), default=0))
+            seen: Counter = Counter()
+            for w, n in words.items():
+                if len(w) >= STEM[0]:
+                    seen[w + "$"] += n
+                    for k in range(STEM[0], min(STEM[-1], len(w)) + 1):
+                        seen[w[:k]] += n
+            patterns.append([*seen, *(p + "#2" for p, n in seen.items() if n > 1)])
+        return pd.DataFrame({"sketch": sketches, "patterns": patterns})
+    return sketch
 
 
 def learn_insults(some: DataFrame, max_lexicon: int) -> list[tuple[str, int]]:
@@ -237,7 +239,7 @@ def _event_udf(patterns):
 
 def fit(labelled: DataFrame, max_lexicon: int = MAX_LEXICON) -> dict:
     """Lexicon and event weights from a bounded sample of (text, toxic) rows."""
-    some = cut(labelled.select(F.col("toxic").cast("int").alias("toxic"), "text").withColumn("s", _sketch("text")))
+    some = cut(labelled.select(F.col("toxic").cast("int").alias("toxic"), "text").withColumn("s", _sketch_udf()("text")))
     patterns = lexicon(learn_insults(some, max_lexicon))
     held = some.sparkSession.sparkContext.broadcast(patterns)
     # one small row per sketch and label of the bounded sample
