@@ -7,11 +7,12 @@
    into bands; representatives that share a band are candidates.
 3. In every bucket the first member is compared with the others; links are confirmed on
    the full sets with ``intersection * 100 >= threshold * union``.
-4. Links are grouped by star contraction (distributed union-find). Buckets that still
-   hold several groups are taken up again, with four times as many members acting as
-   centres each round, until every pair of different groups that shares a bucket was
-   compared. A round emits at most (centres x members) rows per bucket and pairs inside
-   one group are never emitted, so a bucket of near copies costs one pass.
+4. Links are grouped by star contraction (distributed union-find). In buckets that still
+   hold several groups, each member outside the largest group is compared with a member of
+   it, drawn anew for every bucket; so a bucket of near copies costs a few linear passes.
+   Then all remaining pairs of different groups in a bucket are compared by their
+   signatures, in bounded blocks, and those that agree like similar sets are confirmed.
+   Pairs inside one group are never built.
 
 With 40 bands of 6 slots a pair at similarity 0.80 shares no band with probability 5e-6.
 
@@ -36,6 +37,10 @@ from meterlake.llm.common import WordHash, blank_words, cut, mix64, shingle_keys
 BANDS, ROWS = 40, 6
 #: Elements whose permutations are held at once (bytes = elements * slots).
 CHUNK = 100_000
+#: Rounds that compare with the largest group of a bucket before the exhaustive one.
+TURNS = 1
+#: Members of a bucket in one block of the exhaustive round.
+PAIR_BLOCK = 1024
 
 _U = np.uint64
 
@@ -100,18 +105,21 @@ def _fingerprint(keys: np.ndarray) -> bytes:
 
 
 def _signature_udf(shingle: int, bands: int, rows: int):
-    @F.pandas_udf("n long, fp binary, bands array<long>")
+    @F.pandas_udf("n long, fp binary, bands array<long>, sketch binary")
     def signature(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memo = WordHash()
         for batch in texts:
-            ns, fps, keys = [], [], []
+            ns, fps, keys, sketches = [], [], [], []
             for at in range(0, len(batch), 256):
                 sets = [shingle_keys(memo.array(blank_words(t)), shingle) for t in batch.iloc[at:at + 256]]
-                b = _band_keys(_signatures(sets, bands * rows), bands, rows)
+                sig = _signatures(sets, bands * rows)
+                b = _band_keys(sig, bands, rows)
                 ns += [len(s) for s in sets]
                 fps += [_fingerprint(s) if len(s) else None for s in sets]
                 keys += [x if len(s) else None for x, s in zip(b, sets, strict=True)]
-            yield pd.DataFrame({"n": ns, "fp": fps, "bands": keys})
+                low = (sig & _U(255)).astype(np.uint8)
+                sketches += [x.tobytes() if len(s) else None for x, s in zip(low, sets, strict=True)]
+            yield pd.DataFrame({"n": ns, "fp": fps, "bands": keys, "sketch": sketches})
     return signature
 
 
@@ -122,7 +130,8 @@ def _set_udf(shingle: int):
         for batch in texts:
             sets = [shingle_keys(memo.array(blank_words(t)), shingle) for t in batch]
             yield pd.DataFrame({"fp": [_fingerprint(s) for s in sets], "keys": [s.view(np.int64) for s in sets]})
-    return full_set
+    # evaluated once, above the join that leaves only the candidates
+    return full_set.asNondeterministic()
 
 
 def group_links(links: DataFrame) -> DataFrame:
@@ -148,8 +157,8 @@ def group_links(links: DataFrame) -> DataFrame:
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold."""
-    joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("keys").alias("ka")), "a") \
-        .join(sets.select(F.col("fp").alias("b"), F.col("keys").alias("kb")), "b")
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a") \
+        .join(sets.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
     both = F.size(F.array_intersect("ka", "kb"))
     return joined.withColumn("both", both) \
         .where(F.col("both") * 100 >= (F.size("ka") + F.size("kb") - F.col("both")) * threshold).select("a", "b")
@@ -160,59 +169,98 @@ def _fits(a: str, b: str, threshold: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
 
 
+def _largest_group_pairs(members: DataFrame, threshold: int, turn: int) -> DataFrame:
+    """Every member outside its bucket's largest group against one member of that group, drawn anew each turn."""
+    groups = members.groupBy("key", "root").agg(F.count("*").alias("size"), F.min_by(
+        F.struct("node", "n"), F.xxhash64("node", "key", F.lit(turn))).alias("one"))
+    largest = groups.groupBy("key").agg(F.max_by(F.struct("root", "one"), "size").alias("top"), F.count("*").alias("groups")) \
+        .where("groups > 1").select("key", F.col("top.root").alias("top_root"), F.col("top.one.node").alias("a"), F.col("top.one.n").alias("na"))
+    return members.join(largest, "key").where((F.col("root") != F.col("top_root")) & _fits("n", "na", threshold)) \
+        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
+def _alike(threshold: int, slots: int):
+    """Pairs of a bucket's block pair whose signatures agree as those of similar sets do.
+
+    The agreement of ``slots`` slots (one byte each) has a variance of t(1-t)/slots at most,
+    and of half that for sets smaller than the signature, as its slots are correlated. At
+    4.5 deviations below the threshold a link is missed with probability 3e-6."""
+    t = threshold / 100
+    spread = 4.5 * (t * (1 - t) / slots) ** 0.5
+
+    def alike(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        left, right = (pdf[pdf["block"] == x] for x in (lo, hi))
+        a, b = (np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), slots) for x in (left, right))
+        na, nb, ra, rb, ia, ib = (x[c].to_numpy() for c in ("n", "root", "node") for x in (left, right))
+        out = []
+        for i in range(0, len(a), 64):
+            rows = slice(i, i + 64)
+            ok = (ra[rows, None] != rb) & (np.minimum(na[rows, None], nb) * 100 >= np.maximum(na[rows, None], nb) * threshold)
+            if lo == hi:
+                ok &= ia[rows, None] < ib
+            x, y = np.nonzero(ok)
+            for at in range(0, len(x), 65536):
+                p, q = x[at:at + 65536] + i, y[at:at + 65536]
+                small = na[p] + nb[q] <= slots
+                good = (a[p] == b[q]).sum(axis=1) >= (t - spread * np.where(small, 0.5 ** 0.5, 1.0)) * slots
+                out.append(np.column_stack([ia[p[good]], ib[q[good]]]))
+        found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"a": found.min(axis=1), "b": found.max(axis=1)} if len(found) else {"a": [], "b": []}).astype("int64")
+    return alike
+
+
+def _all_pairs_alike(members: DataFrame, sketches: DataFrame, threshold: int, slots: int) -> DataFrame:
+    """Pairs of different groups in a bucket, block against block, kept where the signatures are alike."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    held = members.join(sizes, "key").join(sketches, "node") \
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "root", "sketch") \
+        .groupBy("key", "lo", "hi").applyInPandas(_alike(threshold, slots), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document row."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(ids.withColumn("s", _signature_udf(shingle, bands, rows)("text")).select("doc_id", "s.n", "s.fp", "s.bands"))
+    signed = cut(ids.withColumn("s", _signature_udf(shingle, bands, rows)("text")).select("doc_id", "s.n", "s.fp", "s.bands", "s.sketch"))
+    # the node number is fixed by the checkpoint
     classes = cut(signed.where("fp is not null").groupBy("fp")
-                  .agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.count("*").alias("copies"),
-                       F.first("bands").alias("bands")))
-    cells = classes.select("fp", "n", F.posexplode("bands").alias("band", "key"))
-    shared = cells.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("fp").alias("centre"),
-                                              F.min(F.struct("fp", "n")).alias("first")).where("members > 1")
-    cells = cut(cells.join(shared.select("band", "key", "members", "centre", F.col("first.n").alias("centre_n")), ["band", "key"]))
-    pairs = cut(cells.where((F.col("fp") != F.col("centre")) & _fits("n", "centre_n", threshold))
-                .select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct())
-    wide = cells.where("members > 2")
-    links, roots = None, None
-    sets = tested = None
-    reach = 1
-    if not pairs.isEmpty() or not wide.isEmpty():
-        need = classes.join(cells.select("fp").distinct(), "fp", "left_semi")
-        texts = ids.join(need.select(F.col("first_id").alias("want")).distinct(),
-                         F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
-        sets = cut(texts.withColumn("s", _set_udf(shingle)("text")).select("s.fp", "s.keys")
-                   .join(need.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("keys").alias("keys")))
-        links = cut(_similar(pairs, sets, threshold))
-        tested = pairs
+                  .agg(F.min("doc_id").alias("first_id"), F.first("n").cast("int").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+                  .withColumn("node", F.monotonically_increasing_id()))
+    # one exchange serves the bucket totals and the join that drops buckets of one member
+    cells = classes.select(F.explode("bands").alias("key"), "node", "n").repartition("key")
+    shared = cells.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("c")).where("members > 1") \
+        .select("key", "members", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
+    cells = cut(cells.join(shared, "key"))
+    tested = cut(cells.where((F.col("node") != F.col("centre")) & _fits("n", "centre_n", threshold))
+                 .select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    roots = None
+    if not tested.isEmpty():
+        need = cut(classes.join(cells.select("node").distinct(), "node", "left_semi").select("node", "fp", "first_id"))
+        texts = ids.join(need.select(F.col("first_id").alias("want")).distinct(), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
+        sets = cut(texts.select(_set_udf(shingle)("text").alias("s")).select("s.fp", "s.keys").join(need, "fp")
+                   .groupBy("node").agg(F.first("keys").alias("keys")))
+        links = cut(_similar(tested, sets, threshold))
         roots = group_links(links)
-        while True:
-            grouped = wide.where(F.col("members") > reach + 1).join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
-                .withColumn("root", F.coalesce("root", "fp"))
-            open_ = grouped.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-            rest = grouped.join(open_.select("band", "key"), ["band", "key"], "left_semi")
-            ranked = cut(rest.select("band", "key", "fp", "n", "members", "root", F.expr(
-                "row_number() over (partition by band, key order by fp) - 1").alias("rank")))
-            if ranked.isEmpty():
-                break
-            centres = ranked.where((F.col("rank") >= reach) & (F.col("rank") < 5 * reach)) \
-                .select("band", "key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"),
-                        F.col("rank").alias("ka"))
-            pairs = centres.join(ranked, ["band", "key"]) \
-                .where((F.col("rank") > F.col("ka")) & (F.col("root") != F.col("ra")) & _fits("n", "na", threshold)) \
-                .select("a", F.col("fp").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-            pairs = cut(pairs)
+        wide = cells.where("members > 2").select("key", "node", "n")
+        for turn in range(TURNS + 1):
+            members = wide.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+            wide = cut(members.join(split, "key", "left_semi"))
+            pairs = _largest_group_pairs(wide, threshold, turn) if turn < TURNS else \
+                _all_pairs_alike(wide, classes.select("node", "sketch"), threshold, bands * rows)
+            wide = wide.select("key", "node", "n")
+            pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
             more = cut(_similar(pairs, sets, threshold))
             if not more.isEmpty():
                 links = cut(links.unionAll(more))
                 roots = group_links(links)
-            tested = cut(tested.unionAll(pairs))
-            wide = ranked.select("band", "key", "fp", "n", "members")
-            reach *= 5
-    named = classes.select("fp", "first_id", "copies")
+            tested = pairs if turn == TURNS else cut(tested.unionAll(pairs))
+    named = classes.select("fp", "node", "first_id")
     if roots is not None:
-        named = named.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
         named = named.join(least, "root").select("fp", "component_id")
     else:
