@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import ann, decontaminate, language_id, licenses, near_dup, pii, secrets, sentencepiece_codec, toxicity
+from meterlake.llm import ann, decontaminate, katz_lm, language_id, licenses, near_dup, pii, secrets, sentencepiece_codec, toxicity
 from meterlake.llm.common import table
 
 #: Key of the surrogates in the registered queries; a deployment passes its own secret.
@@ -62,6 +62,11 @@ def op6(spark, sf_dir):
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+@query("op7_katz_lm")
+def op7(spark, sf_dir):
+    return katz_lm.language_model_report(table(spark, sf_dir, "documents"))
+
+
 @query("op8_toxicity")
 def op8(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
