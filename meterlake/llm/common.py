@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterlake.session import ensure_checkpoint_dir
 
 #: Entries a per-task word memo may hold before it is emptied (memory bound).
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 250_000
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from meterlake.llm.common import WordHash, blank_words, id_bucket, mix64
 
 #: Tokens of one block, input bytes that one partition of the counts stands for, largest discounted count.
-BLOCK_TOKENS, TABLE_BYTES, MAX_R = 2_000_000, 20 << 20, 5
+BLOCK_TOKENS, TABLE_BYTES, MAX_R = 1_000_000, 20 << 20, 5
 #: Part of a count that counts above MAX_R give to unseen words.
 KEPT = 0.05
 #: Bits of the filter of histories.
@@ -117,7 +117,9 @@ class _Table:
     """Counts of one partition, merged from its blocks."""
 
     def __init__(self, payloads: list[bytes]):
-        self.blocks = [pickle.loads(p) for p in payloads]
+        self.blocks = []
+        while payloads:  # the packed form goes as the arrays come
+            self.blocks.append(pickle.loads(payloads.pop()))
         words, keys, trained = [], [], []
         for _, w, n, h, times, doc, flags, size, _ in self.blocks:
             word = np.repeat(w, n)
@@ -130,9 +132,12 @@ class _Table:
             trained.append(total[end] - total[end - times])
         self.edges = np.cumsum([0] + [len(k) for k in keys])
         trained = np.concatenate(trained)
-        self.word, self.word_at = np.unique(np.concatenate(words), return_inverse=True)
-        _, first, self.key_at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        self.first = first
+        self.word, at = np.unique(np.concatenate(words), return_inverse=True)
+        self.word_at = at.astype(np.int32)
+        del words, at
+        _, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        self.first, self.key_at = first, at.astype(np.int32)
+        del keys, at
         self.word_count = np.bincount(self.word_at, weights=trained, minlength=len(self.word)).astype(np.int64)
         self.key_count = np.bincount(self.key_at, weights=trained, minlength=len(first)).astype(np.int64)
 
@@ -144,7 +149,8 @@ def _by_part(rows: Iterator[tuple]) -> Iterator[tuple[int, list]]:
     groups = defaultdict(list)
     for k, v in rows:
         groups[k].append(v)
-    yield from groups.items()
+    while groups:
+        yield groups.popitem()
 
 
 def _gather(rows: Iterator[tuple]) -> Iterator[dict]:
