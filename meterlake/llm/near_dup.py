@@ -11,8 +11,8 @@
    hold several groups, each member outside the largest group is compared with a member of
    it, drawn anew for every bucket; so a bucket of near copies costs a few linear passes.
    Then all remaining pairs of different groups in a bucket are compared by their
-   signatures, in bounded blocks, and those that agree like similar sets are confirmed.
-   Pairs inside one group are never built.
+   signatures, in bounded blocks, and those that agree like similar sets are confirmed
+   there. Pairs inside one group are never built, and only links leave a block.
 
 With 40 bands of 6 slots a pair at similarity 0.80 shares no band with probability 5e-6.
 
@@ -41,6 +41,8 @@ CHUNK = 100_000
 TURNS = 1
 #: Members of a bucket in one block of the exhaustive round.
 PAIR_BLOCK = 1024
+#: Shingles of such a block, about.
+BLOCK_SHINGLES = 500_000
 
 _U = np.uint64
 
@@ -180,7 +182,8 @@ def _largest_group_pairs(members: DataFrame, threshold: int, turn: int) -> DataF
 
 
 def _alike(threshold: int, slots: int):
-    """Pairs of a bucket's block pair whose signatures agree as those of similar sets do.
+    """Links of a bucket's block pair: pairs whose signatures agree as those of similar sets
+    do, confirmed on the full sets where they lie, so that only links leave the block.
 
     The agreement of ``slots`` slots (one byte each) has a variance of t(1-t)/slots at most,
     and of half that for sets smaller than the signature, as its slots are correlated. At
@@ -193,6 +196,7 @@ def _alike(threshold: int, slots: int):
         left, right = (pdf[pdf["block"] == x] for x in (lo, hi))
         a, b = (np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), slots) for x in (left, right))
         na, nb, ra, rb, ia, ib = (x[c].to_numpy() for c in ("n", "root", "node") for x in (left, right))
+        ka, kb = left["keys"].to_list(), right["keys"].to_list()
         out = []
         for i in range(0, len(a), 64):
             rows = slice(i, i + 64)
@@ -204,19 +208,26 @@ def _alike(threshold: int, slots: int):
                 p, q = x[at:at + 65536] + i, y[at:at + 65536]
                 small = na[p] + nb[q] <= slots
                 good = (a[p] == b[q]).sum(axis=1) >= (t - spread * np.where(small, 0.5 ** 0.5, 1.0)) * slots
-                out.append(np.column_stack([ia[p[good]], ib[q[good]]]))
+                p, q = p[good], q[good]
+                for one in np.unique(p):  # one set against all its partners
+                    with_ = q[p == one]
+                    sizes = nb[with_]
+                    both = np.add.reduceat(np.isin(np.concatenate([kb[j] for j in with_]), ka[one]).astype(np.int64),
+                                           np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                    linked = with_[both * 100 >= (na[one] + sizes - both) * threshold]
+                    out.append(np.column_stack([np.full(len(linked), ia[one]), ib[linked]]))
         found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": found.min(axis=1), "b": found.max(axis=1)} if len(found) else {"a": [], "b": []}).astype("int64")
     return alike
 
 
-def _all_pairs_alike(members: DataFrame, sketches: DataFrame, threshold: int, slots: int) -> DataFrame:
-    """Pairs of different groups in a bucket, block against block, kept where the signatures are alike."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
-    held = members.join(sizes, "key").join(sketches, "node") \
+def _links_between_groups(members: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int, slots: int) -> DataFrame:
+    """Links between different groups of a bucket, block against block."""
+    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / PAIR_BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    held = members.join(sizes, "key").join(sketches, "node").join(sets, "node") \
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "root", "sketch") \
+    return held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "root", "sketch", "keys") \
         .groupBy("key", "lo", "hi").applyInPandas(_alike(threshold, slots), "a long, b long").distinct()
 
 
@@ -249,15 +260,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             members = wide.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
             wide = cut(members.join(split, "key", "left_semi"))
-            pairs = _largest_group_pairs(wide, threshold, turn) if turn < TURNS else \
-                _all_pairs_alike(wide, classes.select("node", "sketch"), threshold, bands * rows)
+            if turn == TURNS:
+                more = _links_between_groups(wide, classes.select("node", "sketch"), sets, threshold, bands * rows)
+            else:
+                pairs = cut(_largest_group_pairs(wide, threshold, turn).join(tested, ["a", "b"], "left_anti"))
+                more = _similar(pairs, sets, threshold)
+            more = cut(more)
             wide = wide.select("key", "node", "n")
-            pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-            more = cut(_similar(pairs, sets, threshold))
             if not more.isEmpty():
                 links = cut(links.unionAll(more))
                 roots = group_links(links)
-            tested = pairs if turn == TURNS else cut(tested.unionAll(pairs))
     named = classes.select("fp", "node", "first_id")
     if roots is not None:
         named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
