@@ -99,8 +99,8 @@ def load_superposition(samples: DataFrame, slot: str = "hour") -> DataFrame:
 
 
 def training_set(samples: DataFrame, slot: str = "hour") -> DataFrame:
-    """L1 over L6: single-device samples plus the mixed samples of every slot."""
-    single = samples.where(F.col("appliance_id") != "mixed").select(
+    """L1 over L6: all labelled samples, mixed ones too, plus the mixed samples of every slot."""
+    single = samples.select(
         F.col("ts").alias("timestamp"), "appliance_id", "appliance_name", r("active_power").alias("power"),
         power_class(F.col("active_power")).alias("power_range_category"))
     mixed = load_superposition(samples, slot).drop("n_devices")

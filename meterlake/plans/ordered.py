@@ -71,7 +71,7 @@ def _order_key(d: DataFrame, order) -> Column | None:
             not isinstance(s, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return None
     start = F.col(_CH).cast("timestamp_ntz") if isinstance(t, T.TimestampNTZType) else F.col(_CH).cast("timestamp")
-    micros = F.timestamp_diff("MICROSECOND", start, F.col(order[0])).cast("decimal(18,0)")
+    micros = F.coalesce(F.timestamp_diff("MICROSECOND", start, F.col(order[0])), F.lit(0)).cast("decimal(18,0)")
     seq = F.col(order[1]).cast("decimal(20,0)") + F.lit(Decimal(2 ** 63))
     return (micros * F.lit(Decimal(10 ** 20)) + seq).cast("decimal(38,0)")
 
@@ -100,7 +100,10 @@ def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = N
             extra.append(F.row_number().over(w).alias(row_number))
         return df.select(*base_cols, *extra)
 
-    d = df if _CH in df.columns else df.withColumn(_CH, chunk_of(F.col(order[0]), chunk))
+    # rows without a time form one chunk that sorts first, as NULLs do in the plain window
+    first = F.lit("0001-01-01")
+    d = df if _CH in df.columns else df.withColumn(_CH, chunk_of(F.col(order[0]), chunk)) \
+        .withColumn(_CH, F.coalesce(_CH, first.cast("date") if chunk == "day" else first.cast("timestamp_ntz")))
     wl = Window.partitionBy(*keys, _CH).orderBy(*order)
     wlr = wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = d.select(

@@ -167,7 +167,7 @@ register("training_set", with_mr(f"""
 SELECT strftime(ts, '{TS_SQL}') AS timestamp, appliance_id, appliance_name, round_even(active_power, 2) AS power,
        CASE WHEN active_power > 1000 THEN 'high' WHEN active_power > 300 THEN 'medium' ELSE 'low' END
          AS power_range_category
-FROM samples WHERE appliance_id <> 'mixed'
+FROM samples
 UNION ALL
 SELECT timestamp, appliance_id, appliance_name, power, power_range_category FROM ({SUPERPOSITION_SQL}) mix""",
     SAMPLES_CTE))(on_samples(L.training_set))
@@ -216,9 +216,8 @@ _SUFFIX = f"regexp_extract({_LAST}, '^.+(\\.[^.]+)$', 1)"
 register("unique_keys", f"""WITH {FILE_INVENTORY_SQL.strip()}
 SELECT path AS name, substr({_LAST}, 1, length({_LAST}) - length({_SUFFIX})) || '_' || substr(sha256(path), 1, 8)
        || lower({_SUFFIX}) AS object_key
-FROM file_inventory WHERE source = 'events'""")(
-    lambda spark, sf_dir: M.unique_keys(file_inventory(spark, sf_dir).where("source = 'events'")
-                                        .selectExpr("path AS name")))
+FROM file_inventory""")(
+    lambda spark, sf_dir: M.unique_keys(file_inventory(spark, sf_dir).selectExpr("path AS name")))
 
 register("last_messages", """
 SELECT conv_id, turn, role, text FROM (
@@ -240,7 +239,7 @@ LEFT JOIN ({ORACLE['peak_valley_ratio']}) pv USING (meter_id)
 LEFT JOIN ({ORACLE['weekday_weekend']}) w USING (meter_id)
 LEFT JOIN ({ORACLE['power_quality']}) q USING (meter_id)""")(on_readings(J.consumption_report))
 
-# text and JSON renderings: formatting differs between engines, so rows-only checks
+# text and JSON renderings
 def _report_text_sql() -> str:
     """The text report assembled in SQL: numbers and NULLs rendered as Java's
     ``format_string('%s')`` does for these rounded values."""

@@ -2,6 +2,7 @@
 import pytest
 
 import __spark_entry__ as E
+from meterlake.catalog import ORACLE, QUERIES
 from oracle_util import duck, rows
 
 SF = "/root/testdata/sf0.001"
@@ -18,10 +19,10 @@ def test_every_query_has_a_callable():
     assert len(q) >= 50
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, con, name):
-    sp = E.queries()[name](spark, SF).toPandas()
-    dk = con.execute(E.oracle_sql()[name]).df()
+    sp = QUERIES[name](spark, SF).toPandas()
+    dk = con.execute(ORACLE[name]).df()
     sc, sr = rows(sp)
     dc, dr = rows(dk)
     assert sc == dc
@@ -29,12 +30,6 @@ def test_matches_oracle(spark, con, name):
     assert sr == dr
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
-def test_rows_only_queries_run(spark, name):
-    df = E.queries()[name](spark, SF)
-    assert df.count() > 0
-
-
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0

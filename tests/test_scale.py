@@ -39,6 +39,15 @@ def test_lag_rownumber_cumsum_equal_plain(spark):
         assert collect(chunked) == collect(plain)
 
 
+def test_rows_without_a_time_are_kept(spark):
+    """NULL times sort first, in the chunked plan as in the plain one."""
+    df = fleet(spark, n=60, meters=2).withColumn("ts", F.when(F.col("seq") % 5 != 0, F.col("ts")))
+    kw = {"lag": ["active_power"], "cumsum": {"total": "seq"}, "row_number": "rn"}
+    chunked, plain = (sequential(df, chunk=c, **kw) for c in ("day", None))
+    assert chunked.count() == 120
+    assert collect(chunked) == collect(plain)
+
+
 def test_rolling_blocks_equal_plain(spark):
     m = fleet(spark, n=120)
     aggs = {"s": ("sum", "active_power"), "c": ("count", "active_power")}
