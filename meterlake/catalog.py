@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlake.functions.numeric import r
 from meterlake.sources.events import MR_SQL, meter_readings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +56,11 @@ def on_readings(op, **kw):
     return lambda spark, sf_dir: op(meter_readings(spark, sf_dir), **kw)
 
 
+def rounded(df: DataFrame, scale: int, *cols: str) -> DataFrame:
+    """Round only for the comparison between engines; operators return full values."""
+    return df.withColumns({c: r(c, scale) for c in cols})
+
+
 def with_mr(body: str, ctes: str = "") -> str:
     """Oracle SQL over the ``meter_readings`` recipe (plus extra CTEs)."""
     extra = f",\n{ctes}" if ctes else ""

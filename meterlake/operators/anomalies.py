@@ -154,20 +154,12 @@ def power_step_anomalies(m: DataFrame, chunk: str | None = "auto") -> DataFrame:
 
 def rolling_power(m: DataFrame, n: int = 60, chunk: str | None = "auto", block: int = 1 << 16) -> DataFrame:
     """H7: trailing 60-row mean / sample std of power (rows, not time, at least
-    one row). Readings are taken at 0.01 W resolution: frames sum exact integer
-    centiwatts, so the result does not depend on summation order (chunked and
-    plain plans, and other engines, agree bit for bit)."""
-    dec = "decimal(38,0)"  # squares and the variance numerator never overflow
-    cw = F.rint(F.col("active_power") * 100.0).cast("long")
-    x = m.select(K, "seq", "ts", "active_power", cw.alias("_cw"), (cw.cast(dec) * cw.cast(dec)).cast(dec).alias("_cw2"))
-    x = rolling(x, {"_s": ("sum", "_cw"), "_c": ("count", "_cw"), "_s2": ("sum", "_cw2")}, n,
+    one row). Every frame holds the same rows in the same order in both plans, so
+    chunked and plain results agree bit for bit."""
+    x = rolling(m.select(K, "seq", "ts", "active_power"),
+                {"rolling_mean": ("avg", "active_power"), "rolling_std": ("stddev_samp", "active_power")}, n,
                 chunk=chunk, block=block)
-    s, s2, c = F.col("_s"), F.col("_s2"), F.col("_c")
-    mean = s / c / 100.0
-    num = (c.cast(dec) * s2 - s.cast(dec) * s.cast(dec)).cast(dec)
-    var = F.when(c > 1, num.cast("double") / (c * (c - 1)))
-    return x.select(K, "seq", "ts", "active_power", r(mean, 6).alias("rolling_mean"),
-                    r(F.sqrt(var) / 100.0, 6).alias("rolling_std"))
+    return x.select(K, "seq", "ts", "active_power", "rolling_mean", "rolling_std")
 
 
 def _daily_z(m: DataFrame) -> DataFrame:

@@ -23,17 +23,12 @@ def _P():
 
 
 
-def _centi(c):
-    # exact 0.01-resolution integer view of a reading (order-independent sums)
-    return F.rint(F.col(c) * 100.0).cast("long")
-
-
 def trend_tail(m: DataFrame, n: int = 200) -> DataFrame:
     """K1: the last ``n`` readings of each meter (a per-group limit, planned as
     WindowGroupLimit) with the mean power of that slice."""
     t = top_n_per_group(m, K, [F.col("ts").desc(), F.col("seq").desc()], n, "tail_rank")
     w = Window.partitionBy(K)
-    mean = F.sum(_centi("active_power")).over(w) / F.count("active_power").over(w) / 100.0
+    mean = F.avg("active_power").over(w)
     return t.select(K, "seq", "ts", "active_power", "voltage", "current",
                     F.col("tail_rank").cast("long").alias("tail_rank"), r(mean).alias("tail_mean_power"))
 

@@ -40,7 +40,4 @@ def energy_register(m: DataFrame, chunk: str | None = "auto") -> DataFrame:
     y = sequential(x, lag=["register"], chunk=chunk)
     step = F.col("register") - F.col("prev_register")
     back = F.when(F.col("prev_register").isNull(), F.col("register")).when(step < 0, F.col("register")).otherwise(step)
-    # 7 dp: with readings in whole cents x 7/60000 kWh, registers x 1e6 are
-    # multiples of 1/6 (exact rounding ties); x 1e7 they are thirds (no ties)
-    return y.select(K, "seq", "ts", r("energy", 7).alias("energy"), r("register", 7).alias("register"),
-                    r(back, 7).alias("energy_from_register"))
+    return y.select(K, "seq", "ts", "energy", "register", back.alias("energy_from_register"))

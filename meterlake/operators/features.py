@@ -86,16 +86,18 @@ def sequences(m: DataFrame, length: int = 60, chunk: str | None = "auto") -> Dat
 
 
 def load_superposition(samples: DataFrame, slot: str = "hour") -> DataFrame:
-    """Concurrent loads of a time slot summed into one mixed sample whose
-    name joins the distinct device names with '+' (at most the dictionary's
-    size per slot)."""
+    """Loads running in the same household (meter) and time slot: one mean power
+    per device, summed into one mixed sample whose name joins the distinct device
+    names with '+' (at most the dictionary's size per slot)."""
     single = samples.where(F.col("appliance_id") != "mixed")
-    g = single.groupBy(F.date_trunc(slot, "ts").cast("timestamp_ntz").alias("timestamp")).agg(
-        F.sum("active_power").alias("_p"),
+    devices = single.groupBy(K, F.date_trunc(slot, "ts").cast("timestamp_ntz").alias("timestamp"),
+                             "appliance_id", "appliance_name").agg(F.avg("active_power").alias("_p"))
+    g = devices.groupBy(K, "timestamp").agg(
+        F.sum("_p").alias("_p"),
         F.array_join(F.array_sort(F.collect_set("appliance_name")), "+").alias("appliance_name"),
         F.count_distinct("appliance_id").alias("n_devices"))
-    return g.select("timestamp", F.lit("mixed").alias("appliance_id"), "appliance_name", "n_devices",
-                    r("_p").alias("power"), power_class(F.col("_p"), 2000.0, 500.0).alias("power_range_category"))
+    return g.select(K, "timestamp", F.lit("mixed").alias("appliance_id"), "appliance_name", "n_devices",
+                    F.col("_p").alias("power"), power_class(F.col("_p"), 2000.0, 500.0).alias("power_range_category"))
 
 
 def training_set(samples: DataFrame, slot: str = "hour") -> DataFrame:
@@ -103,5 +105,5 @@ def training_set(samples: DataFrame, slot: str = "hour") -> DataFrame:
     single = samples.select(
         F.col("ts").alias("timestamp"), "appliance_id", "appliance_name", r("active_power").alias("power"),
         power_class(F.col("active_power")).alias("power_range_category"))
-    mixed = load_superposition(samples, slot).drop("n_devices")
+    mixed = load_superposition(samples, slot).drop(K, "n_devices")
     return union_samples(single, mixed)

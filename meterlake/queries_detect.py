@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from meterlake import dims
-from meterlake.catalog import TS_SQL, on_readings, register, with_mr
+from meterlake.catalog import TS_SQL, on_readings, register, rounded, with_mr
 from meterlake.operators import appliances as A
 from meterlake.operators import segments as S
 
@@ -201,12 +201,12 @@ register("power_step_anomalies", with_mr("SELECT * FROM pw", POWER_CTES))(on_rea
 
 register("rolling_power", with_mr(f"""
 SELECT meter_id, seq, strftime(ts, '{TS_SQL}') AS ts, active_power,
-       round_even(s / c / 100.0, 6) AS rolling_mean,
-       round_even(sqrt(CASE WHEN c > 1 THEN (c * s2 - s * s) / (c * (c - 1)) END) / 100.0, 6) AS rolling_std
-FROM (SELECT *, sum(cw) OVER w AS s, count(cw) OVER w AS c, sum(cw * cw) OVER w AS s2
-      FROM (SELECT *, CAST(round_even(active_power * 100.0, 0) AS BIGINT) AS cw FROM meter_readings) x
-      WINDOW w AS (PARTITION BY meter_id ORDER BY ts, seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) y"""))(
-    on_readings(H.rolling_power))
+       round_even(avg(active_power) OVER w, 7) AS rolling_mean,
+       round_even(stddev_samp(active_power) OVER w, 5) AS rolling_std
+FROM meter_readings
+WINDOW w AS (PARTITION BY meter_id ORDER BY ts, seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"""))(
+    # means of cent readings over up to 60 rows tie at 6 dp and fewer
+    on_readings(lambda m: rounded(rounded(H.rolling_power(m), 7, "rolling_mean"), 5, "rolling_std")))
 
 register("daily_zscore", with_mr("""
 SELECT meter_id, CAST(date AS VARCHAR) AS date, round_even(total_energy, 2) AS energy,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from meterlake import dims
-from meterlake.catalog import TS_SQL, on_readings, register, with_mr
+from meterlake.catalog import TS_SQL, on_readings, register, rounded, with_mr
 from meterlake.operators import chartdata as K
 from meterlake.operators import derived as D
 from meterlake.operators import features as L
@@ -47,13 +47,15 @@ FROM (SELECT *, lag(register) OVER (PARTITION BY meter_id ORDER BY ts, seq) AS p
       FROM (SELECT meter_id, seq, ts, energy,
                    sum(energy) OVER (PARTITION BY meter_id ORDER BY ts, seq
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS register
-            FROM meter_readings) x) y"""))(on_readings(D.energy_register))
+            FROM meter_readings) x) y"""))(
+    # 7 dp: with readings in whole cents x 7/60000 kWh, registers x 1e6 are
+    # multiples of 1/6 (exact rounding ties); x 1e7 they are thirds (no ties)
+    on_readings(lambda m: rounded(D.energy_register(m), 7, "energy", "register", "energy_from_register")))
 
 # ---------------------------------------------------------------- K1-K8
 register("trend_tail", with_mr(f"""
 SELECT meter_id, seq, strftime(ts, '{TS_SQL}') AS ts, active_power, voltage, "current", tail_rank,
-       round_even(sum(CAST(round_even(active_power * 100.0, 0) AS BIGINT)) OVER (PARTITION BY meter_id)
-                  / count(active_power) OVER (PARTITION BY meter_id) / 100.0, 2) AS tail_mean_power
+       round_even(avg(active_power) OVER (PARTITION BY meter_id), 2) AS tail_mean_power
 FROM (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY ts DESC, seq DESC) AS tail_rank
       FROM meter_readings) t
 WHERE tail_rank <= 200"""))(on_readings(K.trend_tail))
@@ -155,13 +157,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY ts, seq) AS rn
 WHERE rn <= floor(n / 60) * 60"""))(on_readings(L.sequences))
 
 SUPERPOSITION_SQL = f"""
-SELECT strftime(date_trunc('hour', ts), '{TS_SQL}') AS timestamp, 'mixed' AS appliance_id,
+SELECT meter_id, strftime(slot, '{TS_SQL}') AS timestamp, 'mixed' AS appliance_id,
        array_to_string(list_sort(list_distinct(list(appliance_name))), '+') AS appliance_name,
-       count(DISTINCT appliance_id) AS n_devices, round_even(sum(active_power), 2) AS power,
-       CASE WHEN sum(active_power) > 2000 THEN 'high' WHEN sum(active_power) > 500 THEN 'medium' ELSE 'low' END
-         AS power_range_category
-FROM samples WHERE appliance_id <> 'mixed' GROUP BY date_trunc('hour', ts)"""
-register("load_superposition", with_mr(SUPERPOSITION_SQL, SAMPLES_CTE))(on_samples(L.load_superposition))
+       count(DISTINCT appliance_id) AS n_devices, round_even(sum(p), 6) AS power,
+       CASE WHEN sum(p) > 2000 THEN 'high' WHEN sum(p) > 500 THEN 'medium' ELSE 'low' END AS power_range_category
+FROM (SELECT meter_id, date_trunc('hour', ts) AS slot, appliance_id, appliance_name, avg(active_power) AS p
+      FROM samples WHERE appliance_id <> 'mixed' GROUP BY ALL) devices
+GROUP BY meter_id, slot"""
+register("load_superposition", with_mr(SUPERPOSITION_SQL, SAMPLES_CTE))(
+    # 6 dp: sums of means over few cent readings tie at fewer places
+    on_samples(lambda s: rounded(L.load_superposition(s), 6, "power")))
 
 register("training_set", with_mr(f"""
 SELECT strftime(ts, '{TS_SQL}') AS timestamp, appliance_id, appliance_name, round_even(active_power, 2) AS power,
@@ -170,7 +175,7 @@ SELECT strftime(ts, '{TS_SQL}') AS timestamp, appliance_id, appliance_name, roun
 FROM samples
 UNION ALL
 SELECT timestamp, appliance_id, appliance_name, power, power_range_category FROM ({SUPERPOSITION_SQL}) mix""",
-    SAMPLES_CTE))(on_samples(L.training_set))
+    SAMPLES_CTE))(on_samples(lambda s: rounded(L.training_set(s), 6, "power")))
 
 # ---------------------------------------------------------------- A8, A9, M1-M4, N1
 _CATEGORY = "CASE " + " ".join(

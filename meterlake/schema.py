@@ -22,3 +22,6 @@ MEASURES = ["voltage", "current", "active_power", "reactive_power", "power_facto
 READINGS_COLUMNS = ["meter_id", "seq", "ts"] + MEASURES
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# formats a time column may use, tried in order (file loads)
+TIME_FORMATS = (TIME_FORMAT, "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "yyyyMMdd HH:mm:ss",
+                "yyyy/MM/dd")

@@ -1,22 +1,28 @@
 """Meter file scans (A1-A4, A7) and normalisation into ``meter_readings``.
 
-Files are read by column *name* (header), values are cast with ``try_cast`` so
+Files are read by column *name*: CSV paths are grouped by header line and every group is
+scanned with its own schema, so files may order or omit columns as they like. Values are cast with ``try_cast`` so
 a bad cell becomes NULL instead of failing the job, and time strings are parsed
-with ``try_to_timestamp``; rows whose time does not parse go to a rejects frame.
+by a list of formats, then by Spark's ISO cast; rows whose time does not parse go to a
+rejects frame.
 Many files / a directory / a glob form one fleet: ``meter_id`` comes from a
 column or from the file name.
 """
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterlake.functions.derive import interval_energy
 from meterlake.functions.numeric import nan_to_null
 from meterlake.plans.ordered import sequential
-from meterlake.schema import MEASURES, TIME_FORMAT
+from meterlake.schema import MEASURES, TIME_FORMATS
 
 FORMATS = ("csv", "parquet", "json", "orc")
 _SUFFIX_FORMAT = {".csv": "csv", ".txt": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "json",
@@ -34,36 +40,80 @@ def infer_format(path: str, default: str = "csv") -> str:
 
 def read_meter_raw(spark: SparkSession, path, fmt: str | None = "csv") -> DataFrame:
     """Scan meter files without touching the values (A1, A2); ``fmt=None``
-    picks the format from the suffix of the (first) path."""
+    picks the format from the suffix, which all paths must share. ``_file`` is
+    the source file's name; ``_has_energy`` tells CSV files with that column."""
+    paths = [path] if isinstance(path, str) else list(path)
     if fmt is None:
-        fmt = infer_format(path if isinstance(path, str) else list(path)[0])
+        found = {infer_format(p) for p in paths}
+        if len(found) != 1:
+            raise ValueError(f"one format per scan, got {sorted(found)}")
+        fmt = found.pop()
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format {fmt!r}; expected one of {FORMATS}")
-    reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("mode", "PERMISSIVE")
-    paths = [path] if isinstance(path, str) else list(path)
-    return reader.load(paths)
+        return _read_csv(spark, paths)
+    return spark.read.format(fmt).load(paths).withColumn("_file", F.col("_metadata.file_name"))
+
+
+def csv_headers(spark: SparkSession, paths) -> dict[tuple, list]:
+    """{header: files}: the first line of every file, read through the input's own
+    file system (a few bytes per file; the rows stay with the executors)."""
+    files = [r.path for r in spark.read.format("binaryFile").load(list(paths)).select("path").collect()]
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    groups: dict[tuple, list] = {}
+    for file in sorted(files):
+        p = jvm.org.apache.hadoop.fs.Path(file)
+        stream = p.getFileSystem(conf).open(p)
+        codec = codecs.getCodec(p)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
+            codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        try:
+            line = reader.readLine()
+        finally:
+            reader.close()
+        if line:  # an empty file has neither header nor rows
+            names = next(csv.reader([line.lstrip("\ufeff")]))
+            groups.setdefault(tuple(n.strip() for n in names), []).append(file)
+    return groups
+
+
+def _read_csv(spark: SparkSession, paths) -> DataFrame:
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    groups = csv_headers(spark, paths)
+    if any(len(set(names)) < len(names) or "" in names for names in groups):
+        raise ValueError("a CSV header has empty or repeated names")
+    if not groups:
+        return reader.csv(paths).withColumn("_file", F.col("_metadata.file_name"))
+    frames = [reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(files)
+              .withColumn("_file", F.col("_metadata.file_name")).withColumn("_has_energy", F.lit("energy" in names))
+              for names, files in groups.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def normalise(raw: DataFrame, meter_id: str | None = None, time_col: str = "timestamp",
-              time_format: str = TIME_FORMAT, energy: str = "interval",
+              time_format=TIME_FORMATS, energy: str = "interval",
               interval_minutes: float = 1.0, chunk: str | None = "auto") -> DataFrame:
     """Raw scan -> ``meter_readings`` (meter_id, seq, ts, measures...).
 
     * ``meter_id``: name of an id column; default is the source file name.
-    * measures are cast by name, NaN/Inf become NULL (A7), missing ``energy`` is
-      derived from power (C4), ``energy='register'`` converts a cumulative
-      register into per-interval values (C6).
+    * ``time_format``: one format or several, tried in order, then the ISO cast.
+    * measures are cast by name, NaN/Inf become NULL (A7); rows of files without an
+      ``energy`` column get it from power (C4), ``energy='register'`` converts a
+      cumulative register into per-interval values (C6). Rows without a time take no
+      part in that: they keep the register value, for the rejects.
     * ``seq`` keeps file order (used only to break timestamp ties).
     """
     cols = set(raw.columns)
-    mid = F.col(meter_id) if meter_id else F.col("_metadata.file_name")
+    mid = F.col(meter_id or ("_file" if "_file" in cols else "_metadata.file_name"))
+    formats = [time_format] if isinstance(time_format, str) else list(time_format)
     ts_raw = F.col(time_col)
     ts = ts_raw if dict(raw.dtypes).get(time_col, "").startswith("timestamp") \
-        else F.try_to_timestamp(ts_raw.cast("string"), F.lit(time_format))
+        else parse_time(ts_raw, formats)
     sel = [mid.alias("meter_id"), F.monotonically_increasing_id().alias("seq"),
            ts.cast("timestamp_ntz").alias("ts")]
+    if "_has_energy" in cols:
+        sel.append(F.col("_has_energy"))
     for m in MEASURES:
         if m in cols:
             sel.append(nan_to_null(F.col(m).try_cast("double")).alias(m))
@@ -72,11 +122,24 @@ def normalise(raw: DataFrame, meter_id: str | None = None, time_col: str = "time
     df = raw.select(*sel)
     if "energy" not in cols:
         df = df.withColumn("energy", interval_energy("active_power", interval_minutes))
+    elif "_has_energy" in cols:
+        df = df.withColumn("energy", F.when(F.col("_has_energy"), F.col("energy"))
+                           .otherwise(interval_energy("active_power", interval_minutes))).drop("_has_energy")
     if energy == "register":
-        df = register_to_interval(df, chunk=chunk)
+        timeless = F.col("ts").isNull()
+        df = register_to_interval(df.withColumn("_no_ts", timeless).withColumn("_raw", F.col("energy")),
+                                  chunk=chunk, key=("meter_id", "_no_ts"))
+        df = df.withColumn("energy", F.when(F.col("_no_ts"), F.col("_raw")).otherwise(F.col("energy"))).drop("_no_ts", "_raw")
     return df
 
 
+def parse_time(c, formats):
+    """TIMESTAMP_NTZ of a time string: the first format that fits, then ISO forms."""
+    text = F.trim(c.cast("string"))
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats],
+                      text.try_cast("timestamp_ntz"))
+
+
 def split_rejects(df: DataFrame):
     """(good, rejects): rows whose time did not parse are quarantined (A4)."""
     return df.where(F.col("ts").isNotNull()), df.where(F.col("ts").isNull())
@@ -98,10 +161,11 @@ def load_meter_data(spark: SparkSession, path, fmt: str | None = "csv", **kw) ->
         return {"success": False, "error": str(e).splitlines()[0], "data": None}
 
 
-def register_to_interval(df: DataFrame, col: str = "energy", chunk: str | None = "auto") -> DataFrame:
+def register_to_interval(df: DataFrame, col: str = "energy", chunk: str | None = "auto",
+                         key="meter_id") -> DataFrame:
     """Cumulative register -> per-interval energy. The first row keeps the
     register value; a negative step (meter reset) restarts from the new value."""
-    x = sequential(df, lag=[col], chunk=chunk)
+    x = sequential(df, lag=[col], chunk=chunk, key=key)
     step = F.col(col) - F.col("prev_" + col)
     out = F.when(F.col("prev_" + col).isNull(), F.col(col)).when(step < 0, F.col(col)).otherwise(step)
     return x.withColumn(col, out).drop("prev_" + col)

@@ -15,10 +15,11 @@ from meterlake.functions.calendar import date_of
 
 def write_readings(m: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """A5: readings partitioned by meter-local ``date`` (partition pruning for
-    time-range queries), each partition sorted by (meter, ts, seq)."""
+    time-range queries), each file sorted by (meter, ts, seq). The rebalance hint lets
+    AQE cut a large day into several tasks and files and join small ones."""
     (m.withColumn("date", date_of("ts"))
-      .repartition("date")
-      .sortWithinPartitions("meter_id", "ts", "seq")
+      .hint("rebalance", "date")
+      .sortWithinPartitions("date", "meter_id", "ts", "seq")
       .write.mode(mode).format(fmt).option("header", True).partitionBy("date").save(path))
 
 

@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterlake.plans.reports import analysis_json
-from meterlake.schema import FILE_SCHEMA, TIME_FORMAT
-from meterlake.session import ensure_checkpoint_dir
-from meterlake.sources.meter import normalise
+from meterlake.schema import FILE_SCHEMA, TIME_FORMATS
+from meterlake.sources.meter import normalise, parse_time, read_meter_raw
 
 # every column read as text, then cast by name (bad cells become NULL, not errors)
 RAW_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in FILE_SCHEMA.fields])
@@ -25,22 +24,30 @@ RAW_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in FILE_S
 
 def meter_file_stream(spark: SparkSession, input_dir: str, fmt: str = "csv",
                       max_files_per_trigger: int | None = None) -> DataFrame:
+    """Rows of arriving files of one layout; a CSV whose header differs from
+    ``RAW_SCHEMA`` fails the stream instead of being read by position."""
     reader = spark.readStream.format(fmt).schema(RAW_SCHEMA)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("enforceSchema", False)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.load(input_dir)
 
 
-def analyse_uploads(spark: SparkSession, input_dir: str, output_dir: str, checkpoint: str | None = None,
+def analyse_uploads(spark: SparkSession, input_dir: str, output_dir: str, checkpoint: str,
                     available_now: bool = True, chunk: str | None = "auto"):
-    """Start the upload-analysis stream; returns the ``StreamingQuery``."""
-    checkpoint = checkpoint or ensure_checkpoint_dir(spark).rstrip("/") + "/meterlake-uploads"
-    raw = meter_file_stream(spark, input_dir).select("*", F.col("_metadata.file_name").alias("_file"))
+    """Start the upload-analysis stream; returns the ``StreamingQuery``. The stream
+    carries file paths only; each micro-batch scans its files by their own headers.
+    ``checkpoint``: a folder shared by the cluster, one per stream."""
+    raw = spark.readStream.format("binaryFile").schema(
+        "path string, modificationTime timestamp, length long, content binary").load(input_dir).select("path")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        m = normalise(batch, meter_id="_file", chunk=chunk).where(F.col("ts").isNotNull())
+        files = [r.path for r in batch.collect()]
+        if not files:
+            return
+        m = normalise(read_meter_raw(batch.sparkSession, files), meter_id="_file", chunk=chunk) \
+            .where(F.col("ts").isNotNull())
         (analysis_json(m, chunk=chunk).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").json(f"{output_dir}/batch_id={batch_id}"))
 
@@ -55,7 +62,7 @@ def daily_energy_stream(raw: DataFrame, meter_col: str | None = None, watermark:
     session-zone TIMESTAMP (watermarks need one); day windows start at 00:00 UTC."""
     mid = F.col(meter_col) if meter_col else F.col("_metadata.file_name")
     x = raw.select(mid.alias("meter_id"),
-                   F.try_to_timestamp(F.col("timestamp"), F.lit(TIME_FORMAT)).alias("ts"),
+                   parse_time(F.col("timestamp"), TIME_FORMATS).cast("timestamp").alias("ts"),
                    F.col("active_power").try_cast("double").alias("active_power"),
                    F.col("energy").try_cast("double").alias("energy"))
     return (x.where(F.col("ts").isNotNull()).withWatermark("ts", watermark)
