@@ -1,11 +1,9 @@
 """Anomaly detection and alerting.
 
 Statistics-then-filter: the per-meter mean / std is one small aggregate that
-is joined back to the readings on ``meter_id``. That side has one row per
-meter, so AQE turns the join into a broadcast when it is small and otherwise
-keeps a sort-merge join whose hot-meter partitions it splits (skew join). No
-per-meter window over raw readings is used; steps come from the chunked
-``sequential`` plan.
+is joined back to the readings on (meter, chunk) by ``join_stats``, so a hot
+meter is spread over its chunks whatever join Spark picks. No per-meter window
+over raw readings is used; steps come from the chunked ``sequential`` plan.
 """
 
 from __future__ import annotations
@@ -17,7 +15,7 @@ from meterlake import dims
 from meterlake.functions.numeric import div, pct, r
 from meterlake.operators.consumption import daily_totals
 from meterlake.operators.segments import power_steps
-from meterlake.plans.ordered import rolling
+from meterlake.plans.ordered import join_stats, rolling
 from meterlake.plans.quantiles import exact_quantile
 
 K = "meter_id"
@@ -35,7 +33,7 @@ def voltage_stats(m: DataFrame) -> DataFrame:
 
 def _with_voltage_flags(m: DataFrame, std_threshold: float) -> DataFrame:
     s = voltage_stats(m)
-    x = m.join(s, K)
+    x = join_stats(m, s)
     lo = F.col("v_mean") - std_threshold * F.col("v_std")
     hi = F.col("v_mean") + std_threshold * F.col("v_std")
     return x.select(
@@ -74,7 +72,7 @@ def voltage_flags(m: DataFrame, std_threshold: float = 3.0) -> DataFrame:
 def voltage_outliers(m: DataFrame, std_threshold: float = 3.0) -> DataFrame:
     """H3: statistical outliers outside mean +/- k * std, per meter."""
     s = voltage_stats(m)
-    x = m.join(s, K)
+    x = join_stats(m, s)
     lo = F.col("v_mean") - std_threshold * F.col("v_std")
     hi = F.col("v_mean") + std_threshold * F.col("v_std")
     return x.groupBy(K).agg(
@@ -114,14 +112,14 @@ def power_stats(m: DataFrame, q: float = 0.95, method: str = "selection") -> Dat
     if method == "approx":
         return m.groupBy(K).agg(*base, F.percentile_approx(P, q, 10000).cast("double").alias("p_q95"))
     # the other statistics ride along the quantile's first pass (one scan fewer)
-    q95 = exact_quantile(m, K, "active_power", q, out="p_q95", extra_aggs=base)
+    q95 = exact_quantile(m, K, "active_power", q, out="p_q95", extra_aggs=base, ts="ts")
     return q95.select(K, "n", "p_mean", "p_std", "p_min", "p_max", "p_q95")
 
 
 def high_power_threshold(m: DataFrame, q: float = 0.95, method: str = "selection") -> DataFrame:
     """q0.95 of power per meter and the readings above it."""
     s = power_stats(m, q, method)
-    x = m.select(K, "active_power").join(s.select(K, "p_q95"), K)
+    x = join_stats(m.select(K, "ts", "active_power"), s.select(K, "p_q95"))
     return x.groupBy(K).agg(r(F.first("p_q95")).alias("high_power_threshold"),
                             F.count_if(F.col("active_power") > F.col("p_q95")).alias("above_threshold_count"))
 
@@ -133,7 +131,7 @@ def power_step_anomalies(m: DataFrame, chunk: str | None = "auto") -> DataFrame:
     per-meter statistics ride along the one join with the steps."""
     s = power_stats(m)
     st = power_steps(m.select(K, "seq", "ts", "active_power"), chunk=chunk)
-    x = st.join(s, K)
+    x = join_stats(st, s, chunk=chunk)
     step, sd = F.col("power_step"), F.col("p_std")
     g = x.groupBy(K).agg(
         *[F.first(c).alias(c) for c in ("n", "p_mean", "p_std", "p_min", "p_max", "p_q95")],

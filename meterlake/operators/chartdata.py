@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.calendar import date_of, hour_of, period_label, period_of
 from meterlake.functions.numeric import r
-from meterlake.plans.ordered import sequential, top_n_per_group
+from meterlake.plans.ordered import join_stats, sequential, top_n_per_group
 
 K = "meter_id"
 
@@ -74,7 +74,7 @@ def histogram(m: DataFrame, col: str, bins: int) -> DataFrame:
     s = m.groupBy(K).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
     s = s.select(K, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"),
                  F.when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("hi"))
-    x = m.select(K, col).where(F.col(col).isNotNull()).join(s, K)
+    x = join_stats(m.select(K, "ts", col).where(F.col(col).isNotNull()), s)
     b = F.least(F.floor((F.col(col) - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1)) + 1
     counts = x.groupBy(K, b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = s.select(K, "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))

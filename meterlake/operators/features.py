@@ -18,7 +18,7 @@ from meterlake.functions.calendar import hour_of, is_weekend
 from meterlake.functions.derive import power_class
 from meterlake.functions.numeric import r
 from meterlake.operators.segments import change_points
-from meterlake.plans.ordered import sequential
+from meterlake.plans.ordered import join_stats, sequential
 from meterlake.sources.events import meter_readings_from_events
 
 K = "meter_id"
@@ -45,11 +45,11 @@ def union_samples(*frames: DataFrame) -> DataFrame:
 def feature_matrix(samples: DataFrame, threshold: float = 50.0, chunk: str | None = "auto") -> DataFrame:
     """L2: the nine model features per sample. ``duration_minutes`` and
     ``power_std`` describe the power segment the reading belongs to (segment
-    aggregates joined back on (meter, segment), not a window per segment)."""
+    aggregates joined back on (meter, segment, chunk), not a window per segment)."""
     cp = change_points(samples, threshold, chunk, keep=("voltage", "current", "power_factor", "reactive_power"))
     seg = cp.groupBy(K, "segment_id").agg(F.count(F.lit(1)).alias("duration_minutes"),
                                           F.stddev_samp("active_power").alias("power_std"))
-    x = cp.join(seg, [K, "segment_id"])
+    x = join_stats(cp, seg, [K, "segment_id"], chunk=chunk)
     return x.select(K, "seq", F.col("active_power").alias("power"), "voltage", "current", "power_factor",
                     "reactive_power", hour_of("ts").cast("long").alias("hour"),
                     is_weekend("ts").cast("long").alias("is_weekend"), "duration_minutes",
@@ -78,7 +78,7 @@ def sequences(m: DataFrame, length: int = 60, chunk: str | None = "auto") -> Dat
     steps; an incomplete tail is dropped."""
     x = sequential(m, row_number="_rn", chunk=chunk)
     n = m.groupBy(K).agg(F.count(F.lit(1)).alias("_n"))
-    x = x.join(n, K).where(F.col("_rn") <= F.floor(F.col("_n") / length) * length)
+    x = join_stats(x, n, chunk=chunk).where(F.col("_rn") <= F.floor(F.col("_n") / length) * length)
     pos = F.col("_rn") - 1
     return x.select(K, F.floor(pos / length).cast("long").alias("sequence_id"),
                     (pos % length).cast("long").alias("step"), "seq", "ts",

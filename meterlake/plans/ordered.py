@@ -100,10 +100,7 @@ def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = N
             extra.append(F.row_number().over(w).alias(row_number))
         return df.select(*base_cols, *extra)
 
-    # rows without a time form one chunk that sorts first, as NULLs do in the plain window
-    first = F.lit("0001-01-01")
-    d = df if _CH in df.columns else df.withColumn(_CH, chunk_of(F.col(order[0]), chunk)) \
-        .withColumn(_CH, F.coalesce(_CH, first.cast("date") if chunk == "day" else first.cast("timestamp_ntz")))
+    d = df if _CH in df.columns else _with_chunk(df, order[0], chunk)
     wl = Window.partitionBy(*keys, _CH).orderBy(*order)
     wlr = wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = d.select(
@@ -144,6 +141,27 @@ def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = N
     return j.select(*out)
 
 
+def _with_chunk(df: DataFrame, ts: str, chunk: str) -> DataFrame:
+    """Rows without a time form one chunk that sorts first, as NULLs do in the plain window."""
+    first = F.lit("0001-01-01").cast("date" if chunk == "day" else "timestamp_ntz")
+    return df.withColumn(_CH, F.coalesce(chunk_of(F.col(ts), chunk), first))
+
+
+def join_stats(df: DataFrame, stats: DataFrame, key=KEY, ts: str = "ts", chunk: str | None = "auto") -> DataFrame:
+    """Readings with the statistics of their group (one row per ``key``), columns of
+    both, without a task per group: the statistics are first joined to the group's
+    distinct chunks (a map-side combined list, one row per chunk), and that list is
+    joined to the readings on (key, chunk). A following aggregate per key combines
+    map-side before its shuffle, since the rows are spread by chunk."""
+    keys = [key] if isinstance(key, str) else list(key)
+    chunk = resolve_chunk(df, chunk)
+    if chunk is None:
+        return df.join(stats, keys)
+    d = _with_chunk(df.drop(_CH), ts, chunk)
+    cells = d.select(*keys, _CH).distinct().join(stats, keys)
+    return d.join(cells, [*keys, _CH]).drop(_CH)
+
+
 def rolling(df: DataFrame, aggs: dict, n: int = 60, *, key=KEY, order=ORDER,
             chunk: str | None = "auto", block: int = 1 << 16) -> DataFrame:
     """Row-based trailing window of ``n`` rows (current row included, at least

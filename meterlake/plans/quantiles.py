@@ -19,7 +19,9 @@ The smallest value above each selected bucket is carried along, so the value
 at rank ``t + 1`` needs no extra pass. The result equals Spark's
 ``percentile`` bit for bit (same position and interpolation arithmetic).
 Every window runs over at most ``buckets`` rows (or the distinct values left
-in the last bucket) per group; nothing grows with the group's size.
+in the last bucket) per group. The last bucket is small unless a few extreme
+outliers stretch the range in every round; then it holds the distinct values
+between them, which a larger ``rounds`` divides further.
 """
 
 from __future__ import annotations
@@ -27,16 +29,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlake.plans.ordered import join_stats
+
 _CARRY = ("_n", "_pos", "_t", "_base", "_next")
 
 
 def exact_quantile(df: DataFrame, keys, col: str, q: float, out: str = "quantile",
-                   buckets: int = 8192, rounds: int = 2, extra_aggs=()) -> DataFrame:
+                   buckets: int = 8192, rounds: int = 2, extra_aggs=(), ts: str | None = None) -> DataFrame:
     """``extra_aggs``: aggregate columns over ``df`` computed in the first pass
-    and returned next to the quantile (saves the caller a scan)."""
+    and returned next to the quantile (saves the caller a scan). ``ts``: time column
+    over whose chunks the rows of a large group are spread in the joins."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     extra_aggs = list(extra_aggs)
-    x = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
+    x = df.where(F.col(col).isNotNull()).select(*keys, *([ts] if ts else []), F.col(col).cast("double").alias("_v"))
+
+    def joined(rows, state):
+        return join_stats(rows, state, keys, ts) if ts else rows.join(state, keys)
+
     if extra_aggs:
         # first pass over all rows (NULL values included, as the extra aggregates expect)
         st = df.groupBy(*keys).agg(F.count(F.col(col)).alias("_n"), F.min(col).cast("double").alias("_lo"),
@@ -49,7 +58,7 @@ def exact_quantile(df: DataFrame, keys, col: str, q: float, out: str = "quantile
     state = st.select(*keys, "_n", "_lo", "_hi", *extra, pos.alias("_pos"), F.floor(pos).cast("long").alias("_t"),
                       F.lit(0).cast("long").alias("_base"), F.lit(None).cast("double").alias("_next"))
     for _ in range(rounds):
-        j = x.join(state, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        j = joined(x, state).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         width = F.col("_hi") - F.col("_lo")
         b = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets),
                                       F.lit(buckets - 1))).otherwise(F.lit(0))
@@ -63,7 +72,7 @@ def exact_quantile(df: DataFrame, keys, col: str, q: float, out: str = "quantile
         sel = c.where((below <= F.col("_t")) & (F.col("_t") < F.col("_base") + F.col("_cum")))
         state = sel.select(*keys, "_n", *extra, F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"), "_pos",
                            "_t", below.alias("_base"), F.coalesce(F.col("_nb"), F.col("_next")).alias("_next"))
-    j = x.join(state, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    j = joined(x, state).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
     d = j.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"), *[F.first(k).alias(k) for k in carry])
     w = Window.partitionBy(*keys).orderBy("_v")
     d = d.select("*", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_cum"),
