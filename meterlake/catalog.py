@@ -70,3 +70,4 @@ def with_mr(body: str, ctes: str = "") -> str:
 from meterlake import queries_meter  # noqa: E402,F401  (registers entries)
 from meterlake import queries_detect  # noqa: E402,F401
 from meterlake import queries_misc  # noqa: E402,F401
+from meterlake import queries_ingest  # noqa: E402,F401

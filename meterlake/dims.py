@@ -30,6 +30,22 @@ APPLIANCES = [
     ("electric_heater", "电暖器", 1000, 2000, 60, 480),
 ]
 
+# FIXED VALUES: (code, characteristics, usage pattern) of the catalogue.
+APPLIANCE_TRAITS = [
+    ("air_conditioner", ["周期性启停", "高功率", "夏季使用频繁"], "夏季高峰,昼夜持续"),
+    ("refrigerator", ["持续低功率", "间歇性启动", "全天运行"], "全年稳定,变化小"),
+    ("water_heater", ["高功率即热型", "短时运行", "用水时段集中"], "早晚用水高峰"),
+    ("washing_machine", ["周期性运行", "有明显启停", "单次运行时间长"], "白天使用,工作日规律"),
+    ("microwave", ["短时高功率", "瞬时开关", "功率波动大"], "餐时使用,随机性强"),
+    ("tv", ["稳定功率", "长时间运行", "晚间使用高峰"], "晚间使用高峰"),
+    ("lighting", ["可调节", "时间段明显", "多灯组合"], "早晚使用,季节影响大"),
+    ("electric_stove", ["高功率", "温度控制型", "餐时使用"], "餐时使用,功率恒定"),
+    ("rice_cooker", ["煮饭周期", "保温模式", "规律使用"], "早晚餐前使用"),
+    ("electric_heater", ["高功率", "恒温控制", "冬季使用"], "冬季使用,夜间持续"),
+]
+# FIXED VALUE: the sampling interval named in a data range.
+INTERVAL_LABEL = "1分钟"
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES: efficiency standards, 5 appliances x 4 levels.
 # (appliance code, level, metric name, metric value, power lo W, power hi W)
@@ -57,7 +73,6 @@ EFFICIENCY_STANDARDS = [
     ("tv", "poor", "power_per_inch", 0.3, 250, 350),
 ]
 EFFICIENCY_APPLIANCES = ["air_conditioner", "refrigerator", "water_heater", "washing_machine", "tv"]
-LEVELS = ["excellent", "good", "fair", "poor"]
 LEVEL_SCORES = {"excellent": 95, "good": 80, "fair": 65, "poor": 50}
 # FIXED VALUES: two suggestion strings per appliance efficiency level.
 LEVEL_SUGGESTIONS = {
@@ -148,8 +163,6 @@ ANOMALY_TYPES = [
      ["周末有额外电器使用", "工作日不在家", "统计周期内有假期"], "核实周末是否有新增电器使用"),
 ]
 ANOMALY_ORD = {t[0]: i + 1 for i, t in enumerate(ANOMALY_TYPES)}
-ANOMALY_RECOMMENDATION = {t[0]: t[5] for t in ANOMALY_TYPES}
-ANOMALY_DESCRIPTION = {t[0]: t[2] for t in ANOMALY_TYPES}
 
 # FIXED VALUES: overall alert levels (code, reference description, message).
 ALERT_LEVELS = [
@@ -171,6 +184,11 @@ IMPROVEMENT_RULES = [
     ("ok", ["能效表现良好，继续保持"]),
 ]
 
+# FIXED VALUES: texts of the period recommendations and of a missing standard.
+BEST_PERIOD_TEXT = "建议将大功率设备使用时间调整至 %s"
+WORST_PERIOD_TEXT = "%s 时段用电效率较低，建议减少该时段用电"
+NO_STANDARD_TEXT = "暂无 %s 的能效标准数据"
+
 # FIXED VALUES: status words of the reference reports.
 STATUS_LABELS = {
     "voltage_quality": {"good": "良好", "attention": "需关注"},
@@ -198,7 +216,6 @@ KEY_BAD_CHAR_PATTERN = r"[^A-Za-z0-9._\-/]"
 MAX_FILE_BYTES = 100 * 1024 * 1024
 
 # FIXED VALUES: voltage limits and thresholds.
-NOMINAL_V = 220.0
 V_MIN, V_MAX = 198.0, 242.0
 LOW_PF = 0.9
 
@@ -208,10 +225,15 @@ def as_df(spark: SparkSession, rows, schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
+def appliance_rows() -> list[tuple]:
+    """The catalogue with its order, bands and traits (characteristics joined by ' | ')."""
+    traits = {c: (" | ".join(words), usage) for c, words, usage in APPLIANCE_TRAITS}
+    return [(i + 1, *a, *traits[a[0]]) for i, a in enumerate(APPLIANCES)]
+
+
 def appliance_df(spark: SparkSession) -> DataFrame:
-    rows = [(i + 1, c, n, lo, hi, dlo, dhi) for i, (c, n, lo, hi, dlo, dhi) in enumerate(APPLIANCES)]
-    return as_df(spark, rows, "ord int, appliance string, appliance_name string, "
-                              "p_lo int, p_hi int, d_lo int, d_hi int")
+    return as_df(spark, appliance_rows(), "ord int, appliance string, appliance_name string, p_lo int, p_hi int, "
+                                          "d_lo int, d_hi int, characteristics string, usage_pattern string")
 
 
 def label_df(spark: SparkSession) -> DataFrame:

@@ -127,7 +127,7 @@ def high_power_threshold(m: DataFrame, q: float = 0.95, method: str = "selection
 def power_step_anomalies(m: DataFrame, chunk: str | None = "auto") -> DataFrame:
     """H8-H13 per meter: sudden changes |step| > 3 std, spikes step > 5 std,
     drops step < -5 std (std = sample std of the meter's power), counts,
-    shares, largest spike / drop, q0.95 threshold and power status. The
+    shares, largest spike / drop, kinds by severity, q0.95 threshold and power status. The
     per-meter statistics ride along the one join with the steps."""
     s = power_stats(m)
     st = power_steps(m.select(K, "seq", "ts", "active_power"), chunk=chunk)
@@ -147,6 +147,8 @@ def power_step_anomalies(m: DataFrame, chunk: str | None = "auto") -> DataFrame:
         "sudden_count", pct("sudden_count", "n").alias("sudden_percent"),
         "spike_count", pct("spike_count", "n").alias("spike_percent"), r("_max_spike").alias("max_spike"),
         "drop_count", pct("drop_count", "n").alias("drop_percent"), r(F.abs("_min_drop")).alias("max_drop"),
+        (F.col("spike_count") > 0).cast("long").alias("high_severity_count"),
+        ((F.col("sudden_count") > 0).cast("long") + (F.col("drop_count") > 0).cast("long")).alias("medium_severity_count"),
         F.when(F.col("spike_count") > 0, F.lit("abnormal")).otherwise(F.lit("normal")).alias("power_status"))
 
 
@@ -211,12 +213,13 @@ def _candidates():
     none = F.lit(None)
 
     def cand(t, present, count, percent, severity, magnitude):
-        _t, source, desc, _sev, _causes, rec = dims.ANOMALY_TYPES[dims.ANOMALY_ORD[t] - 1]
+        _t, source, desc, _sev, causes, rec = dims.ANOMALY_TYPES[dims.ANOMALY_ORD[t] - 1]
         return F.struct(F.lit(dims.ANOMALY_ORD[t]).cast("long").alias("ord"), F.lit(source).alias("source"),
                         F.lit(t).alias("type"), F.coalesce(present, F.lit(False)).alias("present"),
                         count.cast("double").alias("count"), percent.cast("double").alias("percentage"),
                         severity.cast("string").alias("severity"), magnitude.cast("double").alias("magnitude"),
-                        F.lit(desc).alias("description"), F.lit(rec).cast("string").alias("recommendation"))
+                        F.lit(desc).alias("description"),
+                        F.lit(" | ".join(causes) or None).cast("string").alias("possible_causes"), F.lit(rec).cast("string").alias("recommendation"))
     c = F.col
     return F.array(
         cand("voltage_out_of_range", c("out_of_range_count") > 0, c("out_of_range_count"),
@@ -242,9 +245,24 @@ def anomaly_union(m: DataFrame, std_threshold: float = 3.0, chunk: str | None =
     return j.select(K, F.inline(present)).drop("present")
 
 
+def anomaly_samples(m: DataFrame, std_threshold: float = 3.0) -> DataFrame:
+    """The evidence behind the rows of ``anomaly_union`` (same ``ord`` and ``type``): the
+    first readings of each voltage anomaly and every abnormal day, in time order."""
+    v = voltage_samples(m, std_threshold)
+    ords = F.create_map(*[F.lit(x) for t, i in dims.ANOMALY_ORD.items() for x in (t, i)])
+    v = v.select(K, ords[F.col("type")].cast("long").alias("ord"), "type", "sample_rank",
+                 F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), F.col("voltage").alias("value"))
+    kind = "daily_consumption_anomaly"
+    rank = F.row_number().over(Window.partitionBy(K).orderBy("date")).cast("long")  # a meter's abnormal days
+    d = daily_zscore(m).select(K, F.lit(dims.ANOMALY_ORD[kind]).cast("long").alias("ord"), F.lit(kind).alias("type"),
+                               rank.alias("sample_rank"), F.col("date").cast("string").alias("at"),
+                               F.col("energy").alias("value"), "z_score", "deviation")
+    return d.unionByName(v, allowMissingColumns=True)
+
+
 def alert_level(m: DataFrame, std_threshold: float = 3.0, chunk: str | None = "auto",
                 max_actions: int = 5, summary: DataFrame | None = None, details: int = 0) -> DataFrame:
-    """H17 + H18: per meter (clean meters included) the overall alert level,
+    """H17 + H18: per meter (clean meters included) the overall alert level with its text and message,
     counts by severity and source, the three statuses and the recommendations
     of the first five anomalies (``details`` > 0 adds the first ``details``
     anomalies as an array). One projection over the summary row: no
@@ -259,7 +277,10 @@ def alert_level(m: DataFrame, std_threshold: float = 3.0, chunk: str | None = "a
              .when(total > 0, F.lit("low")).otherwise(F.lit("none")))
     recs = F.transform(F.filter(F.slice(present, 1, max_actions), lambda a: a["recommendation"].isNotNull()),
                        lambda a: a["recommendation"])
-    return j.select(K, level.alias("alert_level"), total.alias("total_anomalies"), high.alias("high_priority"),
+    text = F.create_map(*[F.lit(x) for code, desc, _msg in dims.ALERT_LEVELS for x in (code, desc)])
+    message = F.create_map(*[F.lit(x) for code, _desc, msg in dims.ALERT_LEVELS for x in (code, msg)])
+    return j.select(K, level.alias("alert_level"), text[level].alias("alert_level_description"),
+                    message[level].alias("summary_message"), total.alias("total_anomalies"), high.alias("high_priority"),
                     medium.alias("medium_priority"),
                     n(lambda a: a["source"] == "voltage").alias("voltage_anomalies"),
                     n(lambda a: a["source"] == "power").alias("power_anomalies"),
@@ -281,4 +302,4 @@ def alerts(m: DataFrame, view: str = "all", **kw) -> DataFrame:
 
 __all__ = ["voltage_flags", "voltage_outliers", "voltage_samples", "power_stats", "high_power_threshold",
            "power_step_anomalies", "rolling_power", "daily_zscore", "consumption_summary", "anomaly_summary",
-           "anomaly_union", "alert_level", "alerts"]
+           "anomaly_union", "anomaly_samples", "alert_level", "alerts"]

@@ -37,10 +37,10 @@ def match_by_power(requests: DataFrame, power: str = "power", top: int = 3, keys
     j = requests.join(_dim(requests), (p >= F.col("p_lo")) & (p <= F.col("p_hi")))
     conf = r((F.lit(0.6) + F.lit(0.4) * ((p - F.col("p_lo")) / (F.col("p_hi") - F.col("p_lo")))) * 100.0, 1)
     j = j.select(*keys, "appliance", "appliance_name", "ord", conf.alias("confidence"),
-                 _band().alias("power_match"))
+                 _band().alias("power_match"), "characteristics", "usage_pattern")
     ranked = top_n_per_group(j, keys, [F.col("confidence").desc(), F.col("ord")], top)
     return ranked.select(*keys, F.col("rank").cast("long").alias("rank"), "appliance", "appliance_name",
-                         "confidence", "power_match")
+                         "confidence", "power_match", "characteristics", "usage_pattern")
 
 
 def distinct_powers(m: DataFrame) -> DataFrame:
@@ -58,10 +58,13 @@ def match_by_segment(segs: DataFrame, top: int = 3) -> DataFrame:
              + F.when((d >= F.col("d_lo")) & (d <= F.col("d_hi")), 30).otherwise(0)
              + F.when(F.col("power_change") > 100, 10).otherwise(0))
     j = j.select(K, "segment_id", "appliance", "appliance_name", "ord",
-                 F.least(score, F.lit(95)).cast("long").alias("confidence"))
+                 F.least(score, F.lit(95)).cast("long").alias("confidence"), "avg_power",
+                 F.col("duration_minutes").alias("duration"), _band().alias("power_range"), "characteristics",
+                 "usage_pattern")
     ranked = top_n_per_group(j, [K, "segment_id"], [F.col("confidence").desc(), F.col("ord")], top)
     return ranked.select(K, "segment_id", F.col("rank").cast("long").alias("rank"),
-                         "appliance", "appliance_name", "confidence")
+                         "appliance", "appliance_name", "confidence", "avg_power", "duration", "power_range",
+                         "characteristics", "usage_pattern")
 
 
 def segment_matches(m: DataFrame, threshold: float = 50.0, chunk: str | None = "auto") -> DataFrame:

@@ -34,14 +34,15 @@ def trend_tail(m: DataFrame, n: int = 200) -> DataFrame:
 
 
 def daily_bars(m: DataFrame) -> DataFrame:
-    """K2: energy per day (unrounded for the marks), the meter's average line,
-    and the highest / lowest day (earliest on ties)."""
+    """K2: energy per day (unrounded for the marks), the meter's average line
+    and total, and the highest / lowest day (earliest on ties)."""
     d = (m.where(F.col("ts").isNotNull()).groupBy(K, date_of("ts").alias("date"))
          .agg(F.coalesce(F.sum("energy"), F.lit(0.0)).alias("e")))
     w = Window.partitionBy(K)
     hi = Window.partitionBy(K).orderBy(F.col("e").desc(), F.col("date"))
     lo = Window.partitionBy(K).orderBy(F.col("e"), F.col("date"))
     return d.select(K, "date", r("e").alias("total_energy"), r(F.avg("e").over(w)).alias("average_energy"),
+                    r(F.sum("e").over(w)).alias("meter_total"),
                     (F.row_number().over(hi) == 1).alias("is_max"), (F.row_number().over(lo) == 1).alias("is_min"))
 
 

@@ -48,14 +48,15 @@ def level_of(appliance: str, avg):
     return out
 
 
-def appliance_efficiency(m: DataFrame, appliances=None, prefilter: str = "excellent") -> DataFrame:
+def appliance_efficiency(m: DataFrame, appliances=None, prefilter: str = "excellent",
+                         interval_minutes: float = 1.0) -> DataFrame:
     """I2 + I3: per (meter, appliance) average power, energy, daily usage
-    (energy / 30), operating hours (rows / 60), level, score and suggestions."""
-    appliances = appliances or dims.EFFICIENCY_APPLIANCES
-    unknown = [a for a in appliances if a not in dims.EFFICIENCY_APPLIANCES]
-    if unknown:
-        raise ValueError(f"no efficiency standard for {unknown}")
-    aggs = []
+    (energy / 30), operating hours (rows x interval), level, score and suggestions.
+    An appliance without a standard gets a ``no_standard`` row with an error text."""
+    appliances = list(appliances or dims.EFFICIENCY_APPLIANCES)
+    unlisted = [a for a in appliances if a not in dims.EFFICIENCY_APPLIANCES]
+    appliances = [a for a in appliances if a not in unlisted]
+    aggs = [F.count(F.lit(1)).alias("rows")]
     for i, a in enumerate(appliances):
         lo, hi = prefilter_range(a, prefilter)
         inb = (_P() >= lo) & (_P() <= hi)
@@ -65,8 +66,14 @@ def appliance_efficiency(m: DataFrame, appliances=None, prefilter: str = "excell
     g = m.groupBy(K).agg(*aggs)
     rows = F.array(*[F.struct(F.lit(a).alias("appliance"), F.lit(NAMES[a]).alias("appliance_name"),
                               F.col(f"n{i}").alias("n"), F.col(f"p{i}").alias("p"),
-                              F.col(f"e{i}").alias("e"), F.col(f"l{i}").alias("lvl"))
-                     for i, a in enumerate(appliances)])
+                              F.col(f"e{i}").alias("e"), F.col(f"l{i}").alias("lvl"),
+                              F.lit(None).cast("string").alias("error"))
+                     for i, a in enumerate(appliances)],
+                   *[F.struct(F.lit(a).alias("appliance"), F.lit(NAMES.get(a, a)).alias("appliance_name"),
+                              F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("p"),
+                              F.lit(None).cast("double").alias("e"), F.lit(None).cast("string").alias("lvl"),
+                              F.lit(dims.NO_STANDARD_TEXT % NAMES.get(a, a)).alias("error"))
+                     for a in unlisted])
     x = g.select(K, F.inline(rows))
     running = F.col("n") > 0
     score = F.coalesce(F.create_map(*[v for k, s in dims.LEVEL_SCORES.items() for v in (F.lit(k), F.lit(s))])
@@ -75,12 +82,13 @@ def appliance_efficiency(m: DataFrame, appliances=None, prefilter: str = "excell
     on = lambda c: F.when(running, c)
     return x.select(
         K, "appliance", "appliance_name",
-        F.when(running, F.lit("running")).otherwise(F.lit("not_running")).alias("status"),
+        F.when(running, F.lit("running")).when(F.col("error").isNotNull(), F.lit("no_standard"))
+         .otherwise(F.lit("not_running")).alias("status"),
         on(F.col("lvl")).alias("efficiency_level"), on(score).cast("double").alias("efficiency_score"),
         on(r("p")).alias("avg_power"), on(r("e")).alias("total_energy"),
         on(r(F.col("e") / 30.0)).alias("estimated_daily_usage"),
-        on(r(F.col("n") / 60.0, 1)).alias("operating_hours"),
-        on(F.coalesce(sugg[F.col("lvl")], F.lit(""))).alias("suggestions"))
+        on(r(F.col("n") * float(interval_minutes) / 60.0, 1)).alias("operating_hours"),
+        on(F.coalesce(sugg[F.col("lvl")], F.lit(""))).alias("suggestions"), "error")
 
 
 def overall_efficiency(m: DataFrame, calibrated: bool = False) -> DataFrame:
@@ -109,13 +117,16 @@ def overall_efficiency(m: DataFrame, calibrated: bool = False) -> DataFrame:
         F.when(F.coalesce(F.col("blr") > 0.3, F.lit(False)), F.array(F.lit("high_base_load"))).otherwise(F.array()),
         F.when(F.coalesce(peak > avg * 3, F.lit(False)), F.array(F.lit("high_peak"))).otherwise(F.array()))
     rules = F.when(F.size(rules) == 0, F.array(F.lit("ok"))).otherwise(rules)
+    words = F.create_map(*[F.lit(x) for code, texts in dims.IMPROVEMENT_RULES for x in (code, " | ".join(texts))])
+    labels = F.create_map(*[F.lit(x) for code, _cut, text in dims.OVERALL_LEVELS for x in (code, text)])
     color = F.when(s >= 85, F.lit("green")).when(s >= 70, F.lit("amber")).otherwise(F.lit("red"))
     return x.select(
         K, r("score", 1).alias("overall_score"), r("raw", 1).alias("raw_score"), level.alias("efficiency_level"),
-        r("eu", 3).alias("energy_utilization"), r("lf", 3).alias("load_factor"),
+        labels[level].alias("level_description"), r("eu", 3).alias("energy_utilization"), r("lf", 3).alias("load_factor"),
         r("blr", 3).alias("base_load_ratio"), r("avg").alias("average_power"), r("peak").alias("peak_power"),
         F.coalesce(r("base"), F.lit(0.0)).alias("base_load"), r("te").alias("total_energy"),
-        F.array_join(rules, ",").alias("suggestions"), color.alias("gauge_color"))
+        F.array_join(rules, ",").alias("suggestions"),
+        F.array_join(F.transform(rules, lambda c: words[c]), " | ").alias("improvement_suggestions"), color.alias("gauge_color"))
 
 
 def period_efficiency(m: DataFrame) -> DataFrame:
@@ -136,7 +147,7 @@ def period_efficiency(m: DataFrame) -> DataFrame:
 
 
 def best_worst_period(m: DataFrame) -> DataFrame:
-    """I8: lowest / highest mean-power period; ties go to the period the
+    """I8: lowest / highest mean-power period and the advice for each; ties go to the period the
     reference lists first (its label order)."""
     p = period_efficiency(m)
     tie = F.create_map(*[v for k, i in dims.PERIOD_TIE_ORDER.items() for v in (F.lit(k), F.lit(i))])[F.col("period")]
@@ -145,4 +156,6 @@ def best_worst_period(m: DataFrame) -> DataFrame:
                          F.max_by(rec, F.struct(F.col("avg_power"), -tie)).alias("w"))
     return g.select(K, F.col("b.period").alias("best_period"), F.col("b.avg_power").alias("best_avg_power"),
                     F.col("b.efficiency_score").alias("best_score"), F.col("w.period").alias("worst_period"),
-                    F.col("w.avg_power").alias("worst_avg_power"), F.col("w.efficiency_score").alias("worst_score"))
+                    F.col("w.avg_power").alias("worst_avg_power"), F.col("w.efficiency_score").alias("worst_score"),
+                    F.format_string(dims.BEST_PERIOD_TEXT, period_label(F.col("b.period"))).alias("best_recommendation"),
+                    F.format_string(dims.WORST_PERIOD_TEXT, period_label(F.col("w.period"))).alias("worst_recommendation"))

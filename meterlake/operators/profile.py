@@ -19,11 +19,11 @@ PROFILE_COLUMNS = ["voltage", "current", "active_power"]
 
 
 def data_range(m: DataFrame) -> DataFrame:
-    """B1: first / last time and row count per meter."""
+    """B1: first / last time, row count and the nominal interval's label per meter."""
     return m.groupBy(K).agg(
         F.date_format(F.min("ts"), TIME_FORMAT).alias("start"),
         F.date_format(F.max("ts"), TIME_FORMAT).alias("end"),
-        F.count(F.lit(1)).alias("total_records"))
+        F.count(F.lit(1)).alias("total_records"), F.lit(dims.INTERVAL_LABEL).alias("time_interval"))
 
 
 def profile_stats(m: DataFrame, columns=PROFILE_COLUMNS) -> DataFrame:

@@ -56,15 +56,16 @@ def analysis_json(m: DataFrame, chunk: str | None = "auto") -> DataFrame:
     """The file-analysis result (summary, daily, efficiency, alerts with the
     anomaly details) as one JSON document per meter."""
     rng = P.data_range(m)
-    daily = C.daily_summary(m).select(K, "total_days", "total_energy", "avg_daily_energy", "max_day", "min_day")
+    daily = C.daily_summary(m)
     eff = E.overall_efficiency(m).select(K, "overall_score", "efficiency_level", "load_factor", "base_load_ratio")
     alert = H.alert_level(m, chunk=chunk, details=10)  # first ten anomalies from the same summary row
     j = rng.join(daily, K, "left").join(eff, K, "left").join(alert, K, "left")
     doc = F.struct(
         F.struct("start", "end", "total_records").alias("data_summary"),
-        F.struct("total_days", "total_energy", "avg_daily_energy", "max_day", "min_day").alias("daily"),
+        F.struct("total_days", "total_energy", "avg_daily_energy", "max_daily_energy", "min_daily_energy",
+                 "energy_variance", "max_day", "min_day").alias("daily"),
         F.struct("overall_score", "efficiency_level", "load_factor", "base_load_ratio").alias("efficiency"),
-        F.struct("alert_level", "total_anomalies", "high_priority", "medium_priority", "voltage_status",
+        F.struct("alert_level", "alert_level_description", "summary_message", "total_anomalies", "high_priority", "medium_priority", "voltage_status",
                  "power_status", "consumption_status", "recommended_actions",
                  F.coalesce(F.col("details"), F.array()).alias("details")).alias("alerts"))
     # NULL fields stay in the document (explicit nulls, as in the reference's JSON)

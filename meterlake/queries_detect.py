@@ -8,8 +8,8 @@ from meterlake.operators import appliances as A
 from meterlake.operators import segments as S
 
 APPLIANCES_SQL = dims.sql_values(
-    [(i + 1, c, n, lo, hi, dlo, dhi) for i, (c, n, lo, hi, dlo, dhi) in enumerate(dims.APPLIANCES)],
-    ["ord", "appliance", "appliance_name", "p_lo", "p_hi", "d_lo", "d_hi"])
+    dims.appliance_rows(),
+    ["ord", "appliance", "appliance_name", "p_lo", "p_hi", "d_lo", "d_hi", "characteristics", "usage_pattern"])
 
 STEPS_CTE = """
 steps AS (
@@ -38,19 +38,23 @@ SELECT meter_id, seq, strftime(ts, '{TS_SQL}') AS ts, active_power, power_step F
     on_readings(lambda m: S.power_steps(m.select("meter_id", "seq", "ts", "active_power"))))
 
 register("match_by_power", with_mr(f"""
-SELECT power, rank, appliance, appliance_name, confidence, power_match FROM (
+SELECT power, rank, appliance, appliance_name, confidence, power_match, characteristics, usage_pattern FROM (
   SELECT *, row_number() OVER (PARTITION BY power ORDER BY confidence DESC, ord) AS rank FROM (
     SELECT p.power, a.appliance, a.appliance_name, a.ord,
            round_even((CAST(0.6 AS DOUBLE) + CAST(0.4 AS DOUBLE) * ((p.power - a.p_lo) / (a.p_hi - a.p_lo))) * 100.0, 1) AS confidence,
-           CAST(a.p_lo AS VARCHAR) || '-' || CAST(a.p_hi AS VARCHAR) || 'W' AS power_match
+           CAST(a.p_lo AS VARCHAR) || '-' || CAST(a.p_hi AS VARCHAR) || 'W' AS power_match,
+           a.characteristics, a.usage_pattern
     FROM (SELECT DISTINCT active_power AS power FROM meter_readings WHERE active_power IS NOT NULL) p
     JOIN {APPLIANCES_SQL} ON p.power >= a.p_lo AND p.power <= a.p_hi) j) WHERE rank <= 3""".replace(
     "AS t(ord", "AS a(ord")))(on_readings(lambda m: A.match_by_power(A.distinct_powers(m))))
 
 register("match_by_segment", with_mr(f"""
-SELECT meter_id, segment_id, rank, appliance, appliance_name, confidence FROM (
+SELECT meter_id, segment_id, rank, appliance, appliance_name, confidence, avg_power, duration, power_range,
+       characteristics, usage_pattern FROM (
   SELECT *, row_number() OVER (PARTITION BY meter_id, segment_id ORDER BY confidence DESC, ord) AS rank FROM (
-    SELECT s.meter_id, s.segment_id, a.appliance, a.appliance_name, a.ord,
+    SELECT s.meter_id, s.segment_id, a.appliance, a.appliance_name, a.ord, s.avg_power,
+           s.duration_minutes AS duration, CAST(a.p_lo AS VARCHAR) || '-' || CAST(a.p_hi AS VARCHAR) || 'W' AS power_range,
+           a.characteristics, a.usage_pattern,
            CAST(least(50 + CASE WHEN s.duration_minutes >= a.d_lo AND s.duration_minutes <= a.d_hi THEN 30 ELSE 0 END
                          + CASE WHEN s.power_change > 100 THEN 10 ELSE 0 END, 95) AS BIGINT) AS confidence
     FROM segments s JOIN {APPLIANCES_SQL} ON s.avg_power >= a.p_lo AND s.avg_power <= a.p_hi) j)
@@ -130,6 +134,8 @@ pw AS (SELECT meter_id, round_even(p_mean, 2) AS power_mean, round_even(p_std, 2
               round_even(max_spike_raw, 2) AS max_spike,
               drop_count, round_even(CAST(drop_count AS DOUBLE) / n * 100.0, 2) AS drop_percent,
               round_even(abs(min_drop_raw), 2) AS max_drop,
+              CAST(spike_count > 0 AS BIGINT) AS high_severity_count,
+              CAST(sudden_count > 0 AS BIGINT) + CAST(drop_count > 0 AS BIGINT) AS medium_severity_count,
               CASE WHEN spike_count > 0 THEN 'abnormal' ELSE 'normal' END AS power_status
        FROM pa JOIN ps USING (meter_id))"""
 
@@ -152,8 +158,8 @@ cs AS (SELECT meter_id, round_even(d_mean, 2) AS daily_mean, round_even(d_std, 2
               CASE WHEN abnormal_days > 1 THEN 'abnormal' ELSE 'normal' END AS consumption_status
        FROM cg)"""
 
-ANOMALY_TYPES_SQL = dims.sql_values([(t[0], t[1], t[2], t[5]) for t in dims.ANOMALY_TYPES],
-                                    ["type", "source", "description", "recommendation"])
+ANOMALY_TYPES_SQL = dims.sql_values([(t[0], t[1], t[2], " | ".join(t[4]) or None, t[5]) for t in dims.ANOMALY_TYPES],
+                                    ["type", "source", "description", "possible_causes", "recommendation"])
 
 UNION_CTES = _voltage_ctes(3.0) + ",\n" + POWER_CTES + ",\n" + CONSUMPTION_CTES + """,
 j AS (SELECT * FROM vf FULL JOIN pw USING (meter_id) FULL JOIN cs USING (meter_id)),
@@ -171,7 +177,7 @@ u0 AS (
 anomaly_union AS (
   SELECT u0.meter_id, CAST(u0.ord AS BIGINT) AS ord, t.source, u0.type, CAST(u0.count AS DOUBLE) AS count,
          CAST(u0.percentage AS DOUBLE) AS percentage, CAST(u0.severity AS VARCHAR) AS severity,
-         CAST(u0.magnitude AS DOUBLE) AS magnitude, t.description, t.recommendation
+         CAST(u0.magnitude AS DOUBLE) AS magnitude, t.description, t.possible_causes, t.recommendation
   FROM u0 JOIN """ + ANOMALY_TYPES_SQL + " USING (type))"
 
 register("voltage_flags", with_mr("SELECT * FROM vf", _voltage_ctes(3.0)))(on_readings(H.voltage_flags))
@@ -213,6 +219,20 @@ SELECT meter_id, CAST(date AS VARCHAR) AS date, round_even(total_energy, 2) AS e
        round_even(z, 2) AS z_score, CASE WHEN z > 0 THEN 'high' ELSE 'low' END AS deviation
 FROM dz WHERE abs(z) > 2""", CONSUMPTION_CTES))(on_readings(H.daily_zscore))
 
+register("anomaly_samples", with_mr(f"""
+SELECT meter_id, CASE type WHEN 'voltage_out_of_range' THEN 1 WHEN 'voltage_sag' THEN 2 ELSE 3 END::BIGINT AS ord, type,
+       sample_rank, strftime(ts, '{TS_SQL}') AS at, voltage AS value, CAST(NULL AS DOUBLE) AS z_score,
+       CAST(NULL AS VARCHAR) AS deviation FROM (
+  SELECT *, row_number() OVER (PARTITION BY meter_id, type ORDER BY ts, seq) AS sample_rank FROM (
+    SELECT meter_id, ts, seq, voltage, 'voltage_out_of_range' AS type, 5 AS k FROM vx WHERE is_out_of_range
+    UNION ALL SELECT meter_id, ts, seq, voltage, 'voltage_sag', 3 FROM vx WHERE is_sag
+    UNION ALL SELECT meter_id, ts, seq, voltage, 'voltage_swell', 3 FROM vx WHERE is_swell) s) t
+WHERE sample_rank <= k
+UNION ALL
+SELECT meter_id, 7, 'daily_consumption_anomaly', row_number() OVER (PARTITION BY meter_id ORDER BY date),
+       CAST(date AS VARCHAR), round_even(total_energy, 2), round_even(z, 2), CASE WHEN z > 0 THEN 'high' ELSE 'low' END
+FROM dz WHERE abs(z) > 2""", _voltage_ctes(3.0) + ",\n" + CONSUMPTION_CTES))(on_readings(H.anomaly_samples))
+
 register("weekend_pattern", with_mr("SELECT * FROM cs", CONSUMPTION_CTES))(on_readings(H.consumption_summary))
 
 register("anomaly_union", with_mr("SELECT * FROM anomaly_union", UNION_CTES))(on_readings(H.anomaly_union))
@@ -220,8 +240,9 @@ register("anomaly_union", with_mr("SELECT * FROM anomaly_union", UNION_CTES))(on
 register("alerts_high", with_mr("SELECT * FROM anomaly_union WHERE severity = 'high'", UNION_CTES))(
     on_readings(H.alerts, view="high"))
 
-register("alert_level", with_mr("""
-SELECT meters.meter_id,
+_LEVELS_SQL = dims.sql_values(dims.ALERT_LEVELS, ["alert_level", "alert_level_description", "summary_message"])
+register("alert_level", with_mr(f"""
+SELECT * FROM (SELECT meters.meter_id,
        CASE WHEN coalesce(high_priority, 0) > 0 THEN 'high' WHEN coalesce(medium_priority, 0) > 3 THEN 'medium'
             WHEN coalesce(total_anomalies, 0) > 0 THEN 'low' ELSE 'none' END AS alert_level,
        coalesce(total_anomalies, 0) AS total_anomalies, coalesce(high_priority, 0) AS high_priority,
@@ -239,4 +260,4 @@ LEFT JOIN (
          string_agg(recommendation, ' | ' ORDER BY ord) FILTER (WHERE rk <= 5 AND recommendation IS NOT NULL)
            AS recommended_actions
   FROM (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY ord) AS rk FROM anomaly_union) a
-  GROUP BY 1) g USING (meter_id)""", UNION_CTES))(on_readings(H.alert_level))
+  GROUP BY 1) g USING (meter_id)) x JOIN {_LEVELS_SQL} USING (alert_level)""", UNION_CTES))(on_readings(H.alert_level))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from meterlake import dims
 from meterlake.catalog import on_readings, register, with_mr
 from meterlake.operators import consumption as C
 from meterlake.operators import profile as P
@@ -86,7 +87,8 @@ FROM (SELECT meter_id, avg(CASE WHEN NOT is_weekend THEN total_energy END) AS wd
 
 register("data_range", with_mr("""
 SELECT meter_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start,
-       strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS total_records
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS total_records,
+       '""" + dims.INTERVAL_LABEL + """' AS time_interval
 FROM meter_readings GROUP BY 1"""))(on_readings(P.data_range))
 
 register("profile_stats", with_mr("""
@@ -126,7 +128,6 @@ FROM (
 # --------------------------------------------------------------------------
 # efficiency
 # --------------------------------------------------------------------------
-from meterlake import dims  # noqa: E402
 from meterlake.operators import efficiency as E  # noqa: E402
 
 
@@ -135,7 +136,7 @@ def _level_case(appliance: str, col: str) -> str:
     return f"CASE {whens} ELSE 'unknown' END"
 
 
-def _appliance_eff_sql() -> str:
+def _appliance_eff_sql(unlisted=()) -> str:
     aggs, parts = [], []
     scores = " ".join(f"WHEN '{k}' THEN {v}" for k, v in dims.LEVEL_SCORES.items())
     suggs = " ".join(f"WHEN '{k}' THEN '{' | '.join(v)}'" for k, v in dims.LEVEL_SUGGESTIONS.items())
@@ -154,13 +155,24 @@ def _appliance_eff_sql() -> str:
             f"CASE WHEN n{i} > 0 THEN round_even(e{i}, 2) END AS total_energy, "
             f"CASE WHEN n{i} > 0 THEN round_even(e{i} / 30.0, 2) END AS estimated_daily_usage, "
             f"CASE WHEN n{i} > 0 THEN round_even(CAST(n{i} AS DOUBLE) / 60.0, 1) END AS operating_hours, "
-            f"CASE WHEN n{i} > 0 THEN coalesce(CASE {lvl} {suggs} END, '') END AS suggestions FROM g")
+            f"CASE WHEN n{i} > 0 THEN coalesce(CASE {lvl} {suggs} END, '') END AS suggestions, CAST(NULL AS VARCHAR) AS error FROM g")
+    for a in unlisted:
+        parts.append(f"SELECT meter_id, '{a}', '{E.NAMES[a]}', 'no_standard', NULL, NULL, NULL, NULL, NULL, NULL, NULL, "
+                     f"'{dims.NO_STANDARD_TEXT % E.NAMES[a]}' FROM g")
     return with_mr("\nUNION ALL\n".join(parts),
                    f"g AS (SELECT meter_id, {', '.join(aggs)} FROM meter_readings GROUP BY 1)")
 
 
 register("appliance_efficiency", _appliance_eff_sql())(on_readings(E.appliance_efficiency))
 
+_CATALOGUE = [a for a, *_ in dims.APPLIANCES]
+register("appliance_efficiency_all", _appliance_eff_sql([a for a in _CATALOGUE if a not in dims.EFFICIENCY_APPLIANCES]))(
+    on_readings(E.appliance_efficiency, appliances=_CATALOGUE))
+
+
+_OVERALL = {code: text for code, _cut, text in dims.OVERALL_LEVELS}
+_RULES = {code: " | ".join(texts) for code, texts in dims.IMPROVEMENT_RULES}
+
 
 def _overall_sql(calibrated: bool) -> str:
     energy = "te * 1000.0" if calibrated else "te"
@@ -169,6 +181,12 @@ def _overall_sql(calibrated: bool) -> str:
 SELECT meter_id, round_even(score, 1) AS overall_score, round_even(raw, 1) AS raw_score,
        CASE WHEN score >= 85 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 55 THEN 'fair' ELSE 'poor' END
          AS efficiency_level,
+       """ + f"CASE WHEN score >= 85 THEN '{_OVERALL['excellent']}' WHEN score >= 70 THEN '{_OVERALL['good']}' "
+             f"WHEN score >= 55 THEN '{_OVERALL['fair']}' ELSE '{_OVERALL['poor']}' END" + """ AS level_description,
+       coalesce(nullif(concat_ws(' | ', CASE WHEN lf < 0.5 THEN '""" + _RULES["low_load_factor"] + """' END,
+                                        CASE WHEN blr > 0.3 THEN '""" + _RULES["high_base_load"] + """' END,
+                                        CASE WHEN peak > avg * 3 THEN '""" + _RULES["high_peak"] + """' END), ''),
+                '""" + _RULES["ok"] + """') AS improvement_suggestions,
        round_even(eu, 3) AS energy_utilization, round_even(lf, 3) AS load_factor, round_even(blr, 3) AS base_load_ratio,
        round_even(avg, 2) AS average_power, round_even(peak, 2) AS peak_power,
        coalesce(round_even(base, 2), 0.0) AS base_load, round_even(te, 2) AS total_energy,
@@ -209,7 +227,10 @@ pe AS (SELECT meter_id, period,
 register("period_efficiency", with_mr("SELECT * FROM pe", PERIOD_EFF_CTE))(on_readings(E.period_efficiency))
 
 _TIE_SQL = dims.sql_values(sorted(dims.PERIOD_TIE_ORDER.items()), ["period", "tie"])
+_PERIOD_TEXT = "CASE {} " + " ".join(f"WHEN '{c}' THEN '{zh}'" for c, _s, zh, _ch in dims.PERIODS) + " END"
 register("best_worst_period", with_mr(f"""
+SELECT *, replace('{dims.BEST_PERIOD_TEXT}', '%s', {_PERIOD_TEXT.format("best_period")}) AS best_recommendation,
+       replace('{dims.WORST_PERIOD_TEXT}', '%s', {_PERIOD_TEXT.format("worst_period")}) AS worst_recommendation FROM (
 SELECT meter_id,
        first(period ORDER BY avg_power ASC, tie ASC) AS best_period,
        first(avg_power ORDER BY avg_power ASC, tie ASC) AS best_avg_power,
@@ -217,4 +238,4 @@ SELECT meter_id,
        first(period ORDER BY avg_power DESC, tie ASC) AS worst_period,
        first(avg_power ORDER BY avg_power DESC, tie ASC) AS worst_avg_power,
        first(efficiency_score ORDER BY avg_power DESC, tie ASC) AS worst_score
-FROM pe JOIN {_TIE_SQL} USING (period) GROUP BY 1""", PERIOD_EFF_CTE))(on_readings(E.best_worst_period))
+FROM pe JOIN {_TIE_SQL} USING (period) GROUP BY 1) b""", PERIOD_EFF_CTE))(on_readings(E.best_worst_period))

@@ -8,7 +8,7 @@ from meterlake.operators import chartdata as K
 from meterlake.operators import derived as D
 from meterlake.operators import features as L
 from meterlake.operators import inventory as M
-from meterlake.queries_detect import SEGMENTS_CTE
+from meterlake.queries_detect import APPLIANCES_SQL, SEGMENTS_CTE
 from meterlake.sources.events import (FILE_INVENTORY_SQL, OBJECT_KEYS_SQL, file_inventory, object_keys,
                                       read_table)
 
@@ -63,6 +63,7 @@ WHERE tail_rank <= 200"""))(on_readings(K.trend_tail))
 register("daily_bars", with_mr("""
 SELECT meter_id, CAST(date AS VARCHAR) AS date, round_even(e, 2) AS total_energy,
        round_even(avg(e) OVER (PARTITION BY meter_id), 2) AS average_energy,
+       round_even(sum(e) OVER (PARTITION BY meter_id), 2) AS meter_total,
        row_number() OVER (PARTITION BY meter_id ORDER BY e DESC, date) = 1 AS is_max,
        row_number() OVER (PARTITION BY meter_id ORDER BY e, date) = 1 AS is_min
 FROM (SELECT meter_id, CAST(ts AS DATE) AS date, coalesce(sum(energy), 0) AS e
@@ -265,15 +266,17 @@ def _report_text_sql() -> str:
 
 register("consumption_report_text", _report_text_sql())(on_readings(J.consumption_report_text))
 _DETAIL = ", ".join(f"'{f}': {f}" for f in ("ord", "source", "type", "count", "percentage", "severity", "magnitude",
-                                             "description", "recommendation"))
+                                             "description", "possible_causes", "recommendation"))
 register("analysis_json", f"""
 SELECT r.meter_id, CAST(to_json({{
   'data_summary': {{'start': r.start, 'end': r."end", 'total_records': r.total_records}},
   'daily': {{'total_days': d.total_days, 'total_energy': d.total_energy, 'avg_daily_energy': d.avg_daily_energy,
-             'max_day': d.max_day, 'min_day': d.min_day}},
+             'max_daily_energy': d.max_daily_energy, 'min_daily_energy': d.min_daily_energy,
+             'energy_variance': d.energy_variance, 'max_day': d.max_day, 'min_day': d.min_day}},
   'efficiency': {{'overall_score': e.overall_score, 'efficiency_level': e.efficiency_level,
                   'load_factor': e.load_factor, 'base_load_ratio': e.base_load_ratio}},
-  'alerts': {{'alert_level': a.alert_level, 'total_anomalies': a.total_anomalies, 'high_priority': a.high_priority,
+  'alerts': {{'alert_level': a.alert_level, 'alert_level_description': a.alert_level_description,
+              'summary_message': a.summary_message, 'total_anomalies': a.total_anomalies, 'high_priority': a.high_priority,
               'medium_priority': a.medium_priority, 'voltage_status': a.voltage_status,
               'power_status': a.power_status, 'consumption_status': a.consumption_status,
               'recommended_actions': a.recommended_actions, 'details': coalesce(t.details, [])}}}}) AS VARCHAR) AS analysis
@@ -293,6 +296,29 @@ LEFT JOIN (SELECT meter_id, string_agg({_STAT_LINE}, '; ' ORDER BY {_STAT_LINE})
            FROM ({ORACLE['profile_stats']}) p GROUP BY 1) s USING (meter_id)""")(on_readings(J.load_summary))
 
 register("efficiency_overview", f"""
-SELECT o.*, b.best_period, b.best_avg_power, b.best_score, b.worst_period, b.worst_avg_power, b.worst_score
+SELECT o.*, b.best_period, b.best_avg_power, b.best_score, b.worst_period, b.worst_avg_power, b.worst_score,
+       b.best_recommendation, b.worst_recommendation
 FROM ({ORACLE['overall_efficiency']}) o
 LEFT JOIN ({ORACLE['best_worst_period']}) b USING (meter_id)""")(on_readings(J.efficiency_view))
+
+# one query per branch of the dispatcher (F9), and identification requests
+for _kind, _name in (("daily", "daily_stats"), ("hourly", "hourly_profile"), ("weekly", "weekday_breakdown"),
+                     ("quality", "power_quality"), ("full", "consumption_report")):
+    register(f"analyze_{_kind}", ORACLE[_name])(on_readings(J.analyze, kind=_kind))
+
+REQUESTS_CTE = "requests AS (SELECT DISTINCT value * 150 - 100 AS power FROM events)"
+register("identify_requests", f"""WITH {REQUESTS_CTE}
+SELECT power, rank, appliance, appliance_name, confidence, power_match, characteristics, usage_pattern, 'matched' AS status
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY power ORDER BY confidence DESC, ord) AS rank FROM (
+    SELECT p.power, a.*, CAST(a.p_lo AS VARCHAR) || '-' || CAST(a.p_hi AS VARCHAR) || 'W' AS power_match,
+           round_even((CAST(0.6 AS DOUBLE) + CAST(0.4 AS DOUBLE) * ((p.power - a.p_lo) / (a.p_hi - a.p_lo))) * 100.0, 1)
+             AS confidence
+    FROM requests p JOIN {APPLIANCES_SQL.replace("AS t(", "AS a(")} ON p.power BETWEEN a.p_lo AND a.p_hi
+    WHERE p.power BETWEEN 0 AND 50000) j) x
+WHERE rank <= 3
+UNION ALL
+SELECT power, 0, NULL, NULL, NULL, NULL, NULL, NULL, 'rejected' FROM requests WHERE power < 0 OR power > 50000""")(
+    # requests on both sides of the accepted range; a rejected one shows as rank 0
+    lambda spark, sf_dir: J.identify(read_table(spark, sf_dir, "events").selectExpr("value * 150 - 100 AS power").distinct())
+    .na.fill({"rank": 0}))

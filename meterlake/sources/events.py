@@ -73,6 +73,36 @@ meter_readings AS (
          value * CAST(7.0 AS DOUBLE) * uplift / CAST(60.0 AS DOUBLE) / CAST(1000.0 AS DOUBLE) AS energy
   FROM mr_base)"""
 
+def raw_meter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meter files as text, derived from ``events``: several time forms, tied, missing and
+    unreadable times, holes, words and non-finite numbers among the cells. ``register`` is a
+    counter that starts again every 500 events; ``exact_time`` has no ties."""
+    n = F.col("event_id")
+    time = lambda form: F.date_format("ts", form)
+    stamp = (F.when(n % 8 == 0, F.lit(None)).when(n % 8 == 1, F.lit("not a time"))
+             .when(n % 8 == 2, time("yyyy-MM-dd'T'HH:mm:ss")).when(n % 8 == 3, time("yyyy/MM/dd HH:mm:ss"))
+             .when(n % 8 == 4, time("yyyyMMdd HH:mm:ss")).when(n % 8 == 5, time("yyyy-MM-dd HH:mm"))
+             .when(n % 8 == 6, F.concat(F.lit("  "), time("yyyy-MM-dd HH:mm:ss"))).otherwise(time("yyyy-MM-dd HH:mm:ss")))
+    volt = (F.when(n % 11 == 0, F.lit("")).when(n % 11 == 1, F.lit("n/a")).when(n % 11 == 2, F.lit("NaN"))
+            .when(n % 11 == 3, F.lit("Infinity")).otherwise((190 + (n * 37) % 61).cast("string")))
+    watt = F.when(n % 13 == 5, F.lit("-Infinity")).otherwise(F.floor(F.col("value") * 100).cast("string"))
+    return read_table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 10).cast("string").alias("meter"), stamp.alias("timestamp"), volt.alias("voltage"),
+        watt.alias("active_power"), (n % 500).cast("string").alias("register"),
+        F.when(n % 8 != 0, time("yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("exact_time"))
+
+
+# What those cells mean: the readings a reader must get (rows without a time are rejects).
+RAW_METER_SQL = """
+raw_readings AS (
+  SELECT CAST(user_id % 10 AS VARCHAR) AS meter_id,
+         CASE WHEN event_id % 8 IN (0, 1) THEN NULL WHEN event_id % 8 = 5 THEN date_trunc('minute', ts)
+              ELSE date_trunc('second', ts) END AS ts,
+         CASE WHEN event_id % 11 > 3 THEN CAST(190 + (event_id * 37) % 61 AS DOUBLE) END AS voltage,
+         CASE WHEN event_id % 13 <> 5 THEN CAST(floor(value * 100) AS DOUBLE) END AS active_power,
+         CAST(event_id % 500 AS DOUBLE) AS register, CASE WHEN event_id % 8 <> 0 THEN ts END AS exact_time
+  FROM events)"""
+
 # Synthetic file paths: one per event, extension chosen by event_id % 8, a
 # query string on every fifth one.
 _SUFFIXES = [".csv", ".JPG", ".tar.gz", "", ".mp4", ".wav", ".PDF", ".bin"]

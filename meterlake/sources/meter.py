@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from meterlake.functions.derive import interval_energy
 from meterlake.functions.numeric import nan_to_null
+from meterlake.operators.profile import data_range, null_counts, profile_stats
 from meterlake.plans.ordered import sequential
 from meterlake.schema import MEASURES, TIME_FORMATS
 
@@ -152,11 +153,14 @@ def read_meter(spark: SparkSession, path, fmt: str | None = "csv", **kw) -> Data
 
 
 def load_meter_data(spark: SparkSession, path, fmt: str | None = "csv", **kw) -> dict:
-    """Status record instead of an exception for a missing path or unreadable file (A3)."""
+    """Status record instead of an exception for a missing path or unreadable file (A3):
+    the readings with their range and statistics, the rejected rows, and the missing
+    values of all rows, each a DataFrame that nothing computes before it is used."""
     try:
-        df = read_meter(spark, path, fmt, **kw)
-        df.schema  # forces analysis: missing paths fail here, not in a later job
-        return {"success": True, "error": None, "data": df}
+        rows = normalise(read_meter_raw(spark, path, fmt), **kw)  # analysed here: a missing path fails now
+        good, rejects = split_rejects(rows)
+        return {"success": True, "error": None, "data": good, "rejects": rejects, "data_range": data_range(good),
+                "stats": profile_stats(good), "missing_data": null_counts(rows)}
     except AnalysisException as e:
         return {"success": False, "error": str(e).splitlines()[0], "data": None}
 
