@@ -8,10 +8,13 @@ indexed. Held-back sample queries tell how many leaves must be visited until ``t
 of their true neighbours are found; that number then holds for all queries, which also go
 on until their leaves hold enough rows.
 
-Leaves are cut into blocks of about ``BLOCK`` rows and queries into blocks of about
-``QUERY_BLOCK``, so a leaf of any size (say, one vector that a third of the rows share) is
-spread over many tasks; a block pair is one matrix product. Each task keeps the best k of
-each query, and the final choice reads only those.
+Leaves meet their queries in ``GROUPS`` groups of leaves, so that a query travels once per
+group and not once per leaf. A group with more than twice its share of the rows (say, one
+vector that a third of the rows share) is dealt over several cells, which each get its
+queries; as only such groups are split, the copies stay in proportion. Within a cell, blocks
+of about ``BLOCK`` rows meet blocks of about ``QUERY_BLOCK`` queries in one matrix product
+each, of which the leaves that a query does not visit are left out. Each task keeps the
+best k of each query, and the final choice reads only those.
 
 Defined results: vectors that are NULL, zero, or hold a NULL or non-finite component take
 no part, nor do vectors of another length than the most frequent one; rows without an id
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from meterlake.llm.common import cut, sample_ids
 
 SAMPLE_ROWS, LEAF, BRANCH = 16_384, 64, 8
-BLOCK, QUERY_BLOCK = 2048, 1024
+BLOCK, QUERY_BLOCK, GROUPS = 2048, 1024, 64
 TARGET, CALIBRATION = 0.96, 256
 #: Rows of (query, candidate) that a task holds before it keeps the best k only.
 HELD = 1_000_000
@@ -151,7 +154,7 @@ def _leaf_udf(tree, top: float):
 
 
 def _visit_udf(tree, visits: int, sizes: dict, enough: int):
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<struct<group:int,leaves:array<int>>>")
     def visit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vecs in batches:
             out = []
@@ -162,7 +165,11 @@ def _visit_udf(tree, visits: int, sizes: dict, enough: int):
                         break
                     leaves.append(leaf)
                     held += sizes.get(leaf, 0)
-                out.append([x for x in leaves if sizes.get(x)])
+                groups: dict = {}
+                for x in leaves:
+                    if sizes.get(x):
+                        groups.setdefault(x % GROUPS, []).append(x)
+                out.append([{"group": g, "leaves": x} for g, x in groups.items()])
             yield pd.Series(out)
     return visit
 
@@ -177,6 +184,18 @@ def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
     return q[keep], v[keep], s[keep]
 
 
+def _visited(visits, leaves: np.ndarray) -> np.ndarray:
+    """(query, row): does the query visit the leaf of the row."""
+    some, at = np.unique(leaves, return_inverse=True)
+    asked = np.concatenate([np.asarray(x, np.int64) for x in visits])
+    query = np.repeat(np.arange(len(visits)), [len(x) for x in visits])
+    place = np.minimum(np.searchsorted(some, asked), len(some) - 1)
+    here = some[place] == asked
+    out = np.zeros((len(visits), len(some)), bool)
+    out[query[here], place[here]] = True
+    return out[:, at]
+
+
 def _score(k: int):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
@@ -192,6 +211,7 @@ def _score(k: int):
                 q, v = _matrix(r.queries), _matrix(r.vecs)
                 s = q @ v.T
                 s[qids[:, None] == ids[None, :]] = -np.inf
+                s[~_visited(r.visits, np.asarray(r.leaves, np.int64))] = -np.inf
                 if len(ids) > k:  # the product may differ in the last bits between equal vectors
                     floor = -np.partition(-s, k - 1, axis=1)[:, k - 1]
                     a, b = np.nonzero(s >= (floor - 1e-9 * np.maximum(1.0, np.abs(floor)))[:, None])
@@ -215,10 +235,11 @@ def _score(k: int):
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v) of the vectors that take part."""
+    """(vec_id, v) of the vectors that take part; single-precision vectors stay so until they are multiplied."""
     v = F.col("v")
+    wide = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")) \
+    good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(wide).alias("v")) \
         .where(F.col("vec_id").isNotNull() & v.isNotNull()).where(finite & F.exists(v, lambda x: x != 0))
     sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     return good.where(F.size("v") == (sizes[0].d if sizes else 0))
@@ -229,7 +250,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, i
     """query_id, rank, vec_id, score: the k best found of each query; ``queries`` has the ids to search for (all, if None)."""
     spark = vectors.sparkSession
     good = usable(vectors, id_col, vec_col)
-    top = good.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
+    top = good.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0]
     schema = "query_id long, vec_id long, score double"
     if top is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -243,18 +264,28 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, i
     indexed = cut(good.withColumn("leaf", _leaf_udf(held, top)("v")))
     # one row per leaf of the bounded tree
     sizes = {r.leaf: r["count"] for r in indexed.groupBy("leaf").count().collect()}
-    parts = F.create_map(*[F.lit(y) for leaf, n in sizes.items() for y in (leaf, -(-n // BLOCK))])
-    blocks = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.element_at(parts, F.col("leaf")))) \
-        .groupBy("leaf", "part").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
+    group_rows: dict = {}
+    for leaf, n in sizes.items():
+        group_rows[leaf % GROUPS] = group_rows.get(leaf % GROUPS, 0) + n
+    share = max(BLOCK, 2 * sum(sizes.values()) // GROUPS)
+    cells = {g: -(-n // share) for g, n in group_rows.items()}
+    of_group = lambda values: F.element_at(F.create_map(*[F.lit(y) for pair in values.items() for y in pair]), F.col("group"))
+    parts = {g: cells[g] * -(-n // (cells[g] * BLOCK)) for g, n in group_rows.items()}
+    blocks = indexed.withColumn("group", F.pmod("leaf", F.lit(GROUPS))) \
+        .withColumn("part", F.pmod(F.xxhash64("vec_id"), of_group(parts)).cast("int")) \
+        .withColumn("cell", F.pmod("part", of_group(cells))) \
+        .groupBy("group", "cell", "part").agg(F.collect_list(F.struct("vec_id", "v", "leaf")).alias("rows"))
     asked = indexed if queries is None else indexed.join(queries.select(F.col(id_col).alias("vec_id")).distinct(), "vec_id", "left_semi")
-    asked = asked.select("vec_id", "v").dropDuplicates(["vec_id"])
+    asked = cut(asked.select("vec_id", "v").dropDuplicates(["vec_id"]))
     n = max(1, -(-asked.count() // QUERY_BLOCK))
-    visited = asked.withColumn("leaf", F.explode(_visit_udf(held, visits, sizes, k + 1)("v"))) \
+    visited = asked.repartition(n, "vec_id").select("vec_id", "v", F.explode(_visit_udf(held, visits, sizes, k + 1)("v")).alias("g")) \
+        .select("vec_id", "v", "g.group", "g.leaves") \
+        .withColumn("cell", F.explode(F.sequence(F.lit(0), of_group(cells) - 1))) \
         .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n))) \
-        .groupBy("leaf", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
-    pairs = blocks.join(visited, "leaf").select(
-        F.col("asked.vec_id").alias("query_ids"), F.col("asked.v").alias("queries"),
-        F.col("rows.vec_id").alias("ids"), F.col("rows.v").alias("vecs"))
+        .groupBy("group", "cell", "block").agg(F.collect_list(F.struct("vec_id", "v", "leaves")).alias("asked"))
+    pairs = blocks.join(visited, ["group", "cell"]).select(
+        F.col("asked.vec_id").alias("query_ids"), F.col("asked.v").alias("queries"), F.col("asked.leaves").alias("visits"),
+        F.col("rows.vec_id").alias("ids"), F.col("rows.v").alias("vecs"), F.col("rows.leaf").alias("leaves"))
     found = pairs.mapInPandas(_score(k), schema)
     return found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)")) \
         .where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
