@@ -6,11 +6,13 @@ marks), each adding its per-language log frequency. The language with the larges
 wins; ``score`` is its posterior probability under equal priors and a per-word mean that
 keeps long texts from saturating.
 
-The classifier is fitted on a bounded sample of the labelled rows: ``sample_rows`` ids
-with the smallest hashes, at most ``max_words`` words and ``max_grams`` n-grams
-of each length per language, and the ``max_langs`` most frequent languages. The model is
+The classifier is fitted on a bounded sample of the labelled rows: ``sample_rows`` ids, dealt
+over the languages so that a rare one keeps all its rows and the others share the rest evenly
+(the ids with the smallest hashes of each), at most ``max_words`` words and ``max_grams``
+n-grams of each length per language, and the ``max_langs`` most frequent languages. The model is
 therefore small whatever the corpus, and is broadcast; counting runs on the executors with
-map-side totals. Prediction reads whole texts and nothing else.
+map-side totals. Prediction reads whole texts and nothing else. Frequencies are smoothed by one
+count per item of the kind, and only languages with counts are predicted.
 
 Defined results: NULL texts, texts without a letter and an empty training set give ``und``
 with score 0; ties go to the first language in alphabetical order; rows with a NULL id or
@@ -26,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import id_bucket, sample_ids
+from meterlake.llm.common import id_bucket
 
 ORDERS = (4, 3, 2, 1)
 SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS, MAX_LANGS = 20_000, 20_000, 10_000, 100
@@ -75,17 +77,39 @@ def _count_udf(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*key, n) for key, n in total.items()], columns=["lang", "kind", "item", "n"])
 
 
+def quotas(counts: dict[str, int], size: int) -> dict[str, int]:
+    """Rows of each language in a sample of ``size``: all of the rare ones, equal shares of the others."""
+    out: dict[str, int] = {}
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, (size - sum(out.values())) // (len(counts) - k)))
+    return out
+
+
+def sample_by_language(named: DataFrame, counts: dict[str, int], size: int) -> DataFrame:
+    """(lang, id) of a bounded sample: the smallest id hashes of each language.
+
+    Rows that cannot be among them go before the exchange: twice the quota is expected to stay."""
+    quota = quotas(counts, size)
+    plan = named.sparkSession.createDataFrame(
+        [(lang, q, min(1.0, (2 * q + 100) / counts[lang])) for lang, q in quota.items()], "lang string, quota long, share double")
+    place = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 40))
+    near = named.select("lang", "id").join(F.broadcast(plan), "lang") \
+        .where(place < F.col("share") * float(1 << 40)).distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))
+    return near.withColumn("rank", first).where("rank <= quota").select("lang", "id")
+
+
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS,
         max_langs: int = MAX_LANGS) -> dict:
     """Word and n-gram log frequencies by language, from the given training rows."""
     named = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")) \
         .where("lang is not null and text is not null and id is not null")
-    langs = sorted(r.lang for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
-    if not langs:
+    held = {r.lang: r["count"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    if not held:
         return {"langs": []}
-    taught = sample_ids(named.where(F.col("lang").isin(langs)).select("id"), sample_rows).distinct()
-    some = named.where(F.col("lang").isin(langs)).join(F.broadcast(taught), "id").select("lang", "text")
+    taught = sample_by_language(named, held, sample_rows)
+    some = named.join(F.broadcast(taught), ["lang", "id"]).select("lang", "text")
     counts = some.mapInPandas(_count_udf, "lang string, kind int, item string, n long") \
         .groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     totals = F.expr("sum(n) over (partition by lang, kind)")
@@ -93,6 +117,7 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         "rank", F.expr("row_number() over (partition by lang, kind order by n desc, item)")) \
         .where((F.col("rank") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams)))
     table = top.select("lang", "kind", "item", "n", "total").toPandas()
+    langs = sorted(set(table["lang"]))
     at = {x: i for i, x in enumerate(langs)}
     model: dict = {"langs": langs}
     for name, part in (("words", table[table.kind == 0]), ("grams", table[table.kind > 0])):
@@ -101,8 +126,9 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         size = np.ones((len(items), len(langs)))
         total = {(r.lang, r.kind): r.total for r in part.drop_duplicates(["lang", "kind"]).itertuples()}
         kinds = {x: 0 if name == "words" else len(x) for x in items}
+        vocabulary = Counter(kinds.values())
         for x, i in items.items():
-            size[i] = [total.get((lang, kinds[x]), 0) + 2 for lang in langs]
+            size[i] = [total.get((lang, kinds[x]), 0) + vocabulary[kinds[x]] for lang in langs]
         for r in part.itertuples():
             floor[items[r.item], at[r.lang]] = r.n + 1
         model[name] = items

@@ -154,6 +154,21 @@ def test_language_backoff(spark, docs):
     assert language_id.language_report(docs).count() == len(TEXTS)
 
 
+def test_one_rare_language(spark):
+    """A language with one row neither wins texts of the others nor is lost, whatever the sample."""
+    taught = [(i, f"the cat and the dog sat on mat{i % 7}", "en") for i in range(300)] \
+        + [(1000 + i, f"der hund und die katze auf matte{i % 5}", "de") for i in range(300)] + [(5000, "saluton al la tuta mondo", "xx")]
+    df = spark.createDataFrame(taught, "doc_id long, text string, lang string")
+    assert language_id.quotas({"en": 300, "de": 300, "xx": 1}, 40) == {"xx": 1, "de": 19, "en": 20}
+    model = language_id.fit(df, sample_rows=40)
+    assert model["langs"] == ["de", "en", "xx"]
+    asked = spark.createDataFrame([(1, "the dog and the cat"), (2, "der hund"), (3, "catting dogged"), (4, "saluton mondo")], "doc_id long, text string")
+    got = {r.doc_id: r.language.lang_pred for r in language_id.identify(asked, model).collect()}
+    assert got == {1: "en", 2: "de", 3: "en", 4: "xx"}
+    silent = df.unionByName(spark.createDataFrame([(6000, "123 456", "yy")], df.schema))
+    assert "yy" not in language_id.fit(silent)["langs"]
+
+
 @pytest.mark.parametrize("name, least", [("op3_language_id", 0.97), ("op8_toxicity", 0.9)])
 def test_held_out_accuracy(spark, name, least):
     d = "/root/testdata/sf0.01"
