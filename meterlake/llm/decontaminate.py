@@ -9,8 +9,10 @@ equal range over the first ``window`` words gives all places of that window.
 Positions inside a run of known words shorter than the shortest window cannot start a
 match and stay out of the array; that bound is exact and leaves it small. Documents are
 never shuffled: each shard is searched where it is read, so a passage in a third of all
-documents costs nothing extra. The benchmark travels as broadcast blocks of at most
-``block_bytes`` of text each; a larger benchmark is searched block after block.
+documents costs nothing extra. The benchmark travels as broadcast blocks of about
+``block_bytes`` of text each; a larger benchmark is searched block after block. A block is
+one flat array of word ids and a few numbers per word, so its memory is linear in its words
+however long an item is.
 
 Defined results: NULL or word-less texts have no words and no hits; items without words
 or with a NULL text have no window; an item with a NULL id hits words but is not counted
@@ -42,22 +44,17 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 def pack_items(items: list[tuple[str | None, str | None]], window: int) -> dict:
-    """The test side of the search: vocabulary, item ids, and one row of ids per test suffix."""
+    """The test side of the search: vocabulary, item ids, the word ids of all items one after
+    another, and the end of its item and the words it needs for each test suffix (one per word)."""
     vocab: dict[bytes, int] = {}
     rows = sorted({(i is None, i or "", tuple(w)) for i, t in items if (w := item_words(t))})
-    names, owner, need, suffixes = [], [], [], []
-    depth = max((len(w) for *_, w in rows), default=0)
-    for _, name, words in rows:
-        ids = [vocab.setdefault(w, len(vocab) + 1) for w in words]
-        size = min(window, len(ids))
-        for at in range(len(ids)):
-            suffixes.append(ids[at:] + [-1] * (depth - len(ids) + at))
-            owner.append(len(names))
-            need.append(size if at + size <= len(ids) else 0)
-        names.append(name if not _ else None)
-    return {"vocab": vocab, "names": names, "owner": np.array(owner, np.int64), "need": np.array(need, np.int64),
-            "suffixes": np.array(suffixes, np.int32).reshape(len(owner), depth),
-            "least": min((min(window, len(w)) for *_, w in rows), default=0)}
+    sizes = np.array([len(w) for *_, w in rows], np.int64)
+    flat = np.fromiter((vocab.setdefault(w, len(vocab) + 1) for *_, words in rows for w in words), np.int32, int(sizes.sum()))
+    stop = np.repeat(np.cumsum(sizes), sizes)
+    size = np.repeat(np.minimum(sizes, window), sizes)
+    return {"vocab": vocab, "names": [None if none else name for none, name, _ in rows], "flat": flat, "stop": stop,
+            "owner": np.repeat(np.arange(len(rows)), sizes), "need": np.where(np.arange(len(flat)) + size <= stop, size, 0),
+            "depth": int(sizes.max(initial=0)), "least": int(np.minimum(sizes, window).min()) if len(rows) else 0}
 
 
 def suffix_array(ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -76,21 +73,21 @@ def suffix_array(ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     return starts[np.lexsort((starts, rank[starts]))]
 
 
-def _compare(ids: np.ndarray, at: np.ndarray, test: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    """Sign of (text suffix at ``at``) against the first ``depth`` words of each test suffix; 0: it begins with them."""
+def _compare(ids: np.ndarray, at: np.ndarray, flat: np.ndarray, test: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Sign of (text suffix at ``at``) against the ``depth`` words of ``flat`` from ``test``; 0: it begins with them."""
     sign = np.zeros(len(at), np.int64)
     open_ = np.arange(len(at))
-    for t in range(test.shape[1]):
+    for t in range(int(depth.max(initial=0))):
         open_ = open_[depth[open_] > t]
         if not len(open_):
             break
-        diff = np.sign(ids[at[open_] + t] - test[open_, t].astype(np.int64))
+        diff = np.sign(ids[at[open_] + t] - flat[test[open_] + t])
         sign[open_] = diff
         open_ = open_[diff == 0]
     return sign
 
 
-def _bound(ids: np.ndarray, sa: np.ndarray, test: np.ndarray, depth: np.ndarray, upper: bool) -> np.ndarray:
+def _bound(ids: np.ndarray, sa: np.ndarray, flat: np.ndarray, test: np.ndarray, depth: np.ndarray, upper: bool) -> np.ndarray:
     """Binary search of all test suffixes at once."""
     lo, hi = np.zeros(len(test), np.int64), np.full(len(test), len(sa), np.int64)
     while True:
@@ -98,18 +95,19 @@ def _bound(ids: np.ndarray, sa: np.ndarray, test: np.ndarray, depth: np.ndarray,
         if not len(open_):
             return lo
         mid = (lo[open_] + hi[open_]) // 2
-        sign = _compare(ids, sa[mid], test[open_], depth[open_])
+        sign = _compare(ids, sa[mid], flat, test[open_], depth[open_])
         right = sign <= 0 if upper else sign < 0
         lo[open_] = np.where(right, mid + 1, lo[open_])
         hi[open_] = np.where(right, hi[open_], mid)
 
 
-def _common(ids: np.ndarray, at: np.ndarray, test: np.ndarray) -> np.ndarray:
+def _common(ids: np.ndarray, at: np.ndarray, flat: np.ndarray, test: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """Words that the text at ``at`` and each test suffix have in common."""
     n = np.zeros(len(at), np.int64)
     open_ = np.arange(len(at))
-    for t in range(test.shape[1]):
-        open_ = open_[(ids[at[open_] + t] == test[open_, t]) & (test[open_, t] > 0)]
+    for t in range(int(depth.max(initial=0))):
+        open_ = open_[depth[open_] > t]
+        open_ = open_[ids[at[open_] + t] == flat[test[open_] + t]]
         if not len(open_):
             break
         n[open_] += 1
@@ -122,8 +120,8 @@ def search_shard(texts: list, pack: dict) -> tuple[np.ndarray, list[tuple[int, i
     get = pack["vocab"].get
     words = [item_words(t) for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
-    test, least, depth = pack["suffixes"], pack["least"], pack["suffixes"].shape[1]
-    if not len(test) or not counts.sum():
+    flat, least, depth = pack["flat"], pack["least"], pack["depth"]
+    if not len(flat) or not counts.sum():
         return counts, [], []
     begin = np.concatenate([[0], np.cumsum(counts + 1)])
     ids = np.zeros(begin[-1] + depth, np.int64)
@@ -147,12 +145,15 @@ def search_shard(texts: list, pack: dict) -> tuple[np.ndarray, list[tuple[int, i
     back = np.zeros(len(dense), np.int64)
     back[place] = spot
     sa = suffix_array(dense, place[np.isin(spot, starts, assume_unique=True)], depth)
-    full = (test > 0).sum(axis=1)
-    at = _bound(dense, sa, test, full, upper=False)
-    longest = np.maximum(_common(dense, sa[np.minimum(at, len(sa) - 1)], test), _common(dense, sa[np.maximum(at - 1, 0)], test))
-    near = np.where(_common(dense, sa[np.minimum(at, len(sa) - 1)], test) == longest, np.minimum(at, len(sa) - 1), np.maximum(at - 1, 0))
+    test = np.arange(len(flat))
+    full = pack["stop"] - test
+    at = _bound(dense, sa, flat, test, full, upper=False)
+    after, before = np.minimum(at, len(sa) - 1), np.maximum(at - 1, 0)
+    ahead = _common(dense, sa[after], flat, test, full)
+    longest = np.maximum(ahead, _common(dense, sa[before], flat, test, full))
+    near = np.where(ahead == longest, after, before)
     hit = np.flatnonzero((pack["need"] > 0) & (longest >= pack["need"]))
-    lo, hi = (_bound(dense, sa, test[hit], pack["need"][hit], upper=u) for u in (False, True))
+    lo, hi = (_bound(dense, sa, flat, hit, pack["need"][hit], upper=u) for u in (False, True))
     n = hi - lo
     which = np.repeat(hit, n)
     pos = back[sa[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]] if len(hit) else np.empty(0, np.int64)

@@ -132,6 +132,20 @@ def test_longest_match_and_places():
     assert (0, 11, 10, 0) in places and max(n for _, n, _ in matches) == 20
 
 
+def test_very_long_item_is_packed_linearly():
+    long = [f"v{i * 7919 % 30011}" for i in range(50_000)]
+    pack = decontaminate.pack_items([("1", " ".join(long)), ("2", "one two"), (None, "two three")], 10)
+    assert sum(x.nbytes for x in pack.values() if isinstance(x, np.ndarray)) < 50 * 50_004
+    texts = ["zz " + " ".join(long[40_000:40_060]) + " zz one two three", " ".join(long[49_990:]), " ".join(long[49_991:])]
+    counts, places, matches = decontaminate.search_shard(texts, pack)
+    assert counts.tolist() == [65, 10, 9]
+    name = pack["names"].index("1")
+    found = {(d, a) for d, a, n, item in places if item == name and n == 10}
+    want = {(d, a) for d, t in enumerate(texts) for a in range(len(t.split()) - 9) if " ".join(t.split()[a:a + 10]) in " ".join(long)}
+    assert found == want and {(0, 1), (1, 0)} <= found and max(n for _, n, _ in matches) == 60
+    assert {(0, 62, 2, pack["names"].index("2")), (0, 63, 2, pack["names"].index(None))} <= set(places)
+
+
 def test_empty_tables(spark, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
