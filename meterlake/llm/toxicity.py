@@ -12,7 +12,8 @@ counts and of how far weak insults exceed their chance number in a text of that
 Learned from a bounded sample of ``sample_rows`` labels: the insult lexicon
 (at most ``max_lexicon`` words or stems far more frequent in toxic texts, next to a few
 fixed seed words) and the event weights (ridge-penalised towards the grammar's prior).
-Near copies in the sample count once: texts that share the smallest word hash are one.
+Near copies in the sample count once per label: the components of ``near_dup`` (confirmed
+similarity of 0.8 over four-word shingles), each by its first row; texts without words are one.
 
 Defined results: NULL and empty texts score as texts without events; labels that are NULL
 or have a NULL id teach nothing; conflicting labels of one id each count; scoring reads the
@@ -28,11 +29,11 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm.common import cut, id_bucket, sample_ids
+from meterlake.llm.near_dup import near_duplicates
 
 SAMPLE_ROWS, MAX_LEXICON = 10_000, 200
 
@@ -164,14 +165,13 @@ def _features(counts, weak, words, chance: float) -> np.ndarray:
                             np.minimum(counts, CAP) ** 0.5])
 
 
-def _sketch_udf():
-    @F.pandas_udf("sketch long, patterns array<string>")
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        """Words and stems of each text (``#2``: those that occur twice), and the smallest hash of its words."""
-        sketches, patterns = [], []
+def _pattern_udf():
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        """Words and stems of each text (``#2``: those that occur twice)."""
+        patterns = []
         for t in texts:
             words = Counter(w for w in TOKEN.findall((t or "").lower()) if w not in ENDS)
-            sketches.append(min((xxhash.xxh3_64_intdigest(w) >> 1 for w in words), default=0))
             seen: Counter = Counter()
             for w, n in words.items():
                 if len(w) >= STEM[0]:
@@ -179,8 +179,18 @@ def _sketch_udf():
                     for k in range(STEM[0], min(STEM[-1], len(w)) + 1):
                         seen[w[:k]] += n
             patterns.append([*seen, *(p + "#2" for p, n in seen.items() if n > 1)])
-        return pd.DataFrame({"sketch": sketches, "patterns": patterns})
-    return sketch
+        return pd.Series(patterns)
+    return found
+
+
+def without_copies(labelled: DataFrame) -> DataFrame:
+    """One (toxic, text) row of each group of near copies and label of the bounded sample."""
+    # the row number is fixed by the checkpoint
+    rows = cut(labelled.select(F.col("toxic").cast("int").alias("toxic"), "text").withColumn("row", F.monotonically_increasing_id()))
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(-1)
+    copies = near_duplicates(rows, "row", shingle=4).select(F.col("doc_id").alias("row"), group.alias("copy"))
+    first = rows.select("row", "toxic").join(copies, "row").groupBy("copy", "toxic").agg(F.min("row").alias("row")).select("row")
+    return rows.join(first, "row", "left_semi").select("toxic", "text")
 
 
 def learn_insults(some: DataFrame, max_lexicon: int) -> list[tuple[str, int]]:
@@ -188,12 +198,11 @@ def learn_insults(some: DataFrame, max_lexicon: int) -> list[tuple[str, int]]:
 
     Ranked by the log-likelihood ratio of the two rates of texts that hold them once, or
     twice, at least; nested patterns are taken once."""
-    sketches = some.select("toxic", "s.sketch", "s.patterns").groupBy("sketch", "toxic").agg(F.min("patterns").alias("patterns"))
-    n = {r.toxic: r["count"] for r in sketches.groupBy("toxic").count().collect()}
+    n = {r.toxic: r["count"] for r in some.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
         return []
-    rows = sketches.select("toxic", F.explode("patterns").alias("p")).groupBy("p").agg(
+    rows = some.select("toxic", F.explode("patterns").alias("p")).groupBy("p").agg(
         F.sum(F.col("toxic")).alias("a"), F.sum(1 - F.col("toxic")).alias("b")) \
         .where((F.col("a") >= max(5, 0.005 * bad)) & (F.col("a") * good > 6 * F.col("b") * bad))
     part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
@@ -239,12 +248,11 @@ def _event_udf(patterns):
 
 def fit(labelled: DataFrame, max_lexicon: int = MAX_LEXICON) -> dict:
     """Lexicon and event weights from a bounded sample of (text, toxic) rows."""
-    some = cut(labelled.select(F.col("toxic").cast("int").alias("toxic"), "text").withColumn("s", _sketch_udf()("text")))
+    some = cut(without_copies(labelled).withColumn("patterns", _pattern_udf()("text")))
     patterns = lexicon(learn_insults(some, max_lexicon))
     held = some.sparkSession.sparkContext.broadcast(patterns)
-    # one small row per sketch and label of the bounded sample
-    seen = some.select("toxic", "s.sketch", _event_udf(held)("text").alias("e")) \
-        .groupBy("sketch", "toxic").agg(F.max("e").alias("e")).select("toxic", "e.*").toPandas()
+    # one small row per text of the bounded sample
+    seen = some.select("toxic", _event_udf(held)("text").alias("e")).select("toxic", "e.*").toPandas()
     prior = prior_weights()
     clean = seen[seen.toxic == 0]
     chance = float(clean["weak"].sum() / max(1, clean["words"].sum()))

@@ -195,6 +195,15 @@ def test_held_out_accuracy(spark, name, least):
     assert hits and sum(hits) / len(hits) >= least
 
 
+def test_only_copies_count_once(spark):
+    """Unlike texts that share common words all teach; near copies teach once per label."""
+    unlike = [(0, f"it is {' '.join(f'u{i}x{j}' for j in range(12))}") for i in range(30)]
+    copies = [(0, near(i, 1)) for i in range(5)] + [(1, near(7, 1)), (0, ""), (0, None)]
+    got = Counter((r.toxic, "copy" if len(r.text or "") > 999 else (r.text or "")[:3]) for r in toxicity.without_copies(
+        spark.createDataFrame(unlike + copies, "toxic int, text string")).collect())
+    assert got == {(0, "it "): 30, (0, "copy"): 1, (1, "copy"): 1, (0, ""): 1}
+
+
 def test_grammar_reads_clauses():
     lex = toxicity.Lexical(toxicity.lexicon([("blork", toxicity.WEAK)]))
     event = lambda t: {toxicity.EVENTS[i] for i in np.flatnonzero(toxicity.events_of(t, lex)[0])}
