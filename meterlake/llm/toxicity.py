@@ -4,10 +4,10 @@ A lexical transducer (whole words and word stems) maps words to classes: insult,
 insult (a stem that clean texts hold by chance, too), threat, target, negation, reported
 speech, clause end, other. Small machines read the class string: one remembers a target,
 one a negation in the last words, one a reporting verb of the clause. They are composed
-once into a single deterministic machine, and an insult or threat emits an event that
+once into a single deterministic machine, and an insult (weak or not) or threat emits an event that
 carries the context (targeted, negated, reported) of its clause, so clauses are scored
 and not isolated words. A document's score is the logistic function of the weighted event
-counts and of how far weak insults exceed their chance number in a text of that length.
+counts and of how far weak insults that are neither negated nor reported exceed their chance number in a text of that length.
 
 Learned from a bounded sample of ``sample_rows`` labels: the insult lexicon
 (at most ``max_lexicon`` words or stems far more frequent in toxic texts, next to a few
@@ -62,8 +62,8 @@ TARGET_MACHINE = {0: {TARGET: 1}, 1: {END: 0}}
 REPORT_MACHINE = {0: {REPORT: 1}, 1: {END: 0}}
 NEGATION_MACHINE = {0: {NEGATION: SCOPE}} | {
     s: {NEGATION: SCOPE, END: 0} | {c: s - 1 for c in (OTHER, INSULT, WEAK, THREAT, TARGET, REPORT)} for s in range(1, SCOPE + 1)}
-#: Events: (class, targeted, negated, reported); a threat needs a target to count as one.
-EVENTS = list(product((INSULT, THREAT), (0, 1), (0, 1), (0, 1)))
+#: Events: (class, targeted, negated, reported); a threat needs a target to count as one, the weight of weak insults is learned alone.
+EVENTS = list(product((INSULT, THREAT, WEAK), (0, 1), (0, 1), (0, 1)))
 #: Letters of a learned stem.
 STEM = range(3, 11)
 #: Words whose class a task may remember.
@@ -75,7 +75,7 @@ PRIOR_BIAS = -3.0
 def prior_weights() -> np.ndarray:
     out = []
     for kind, targeted, negated, reported in EVENTS:
-        w = (3.0 + targeted) if kind == INSULT else (3.5 if targeted else 0.0)
+        w = (3.0 + targeted) if kind == INSULT else 3.5 if kind == THREAT and targeted else 0.0
         out.append(w * (0.4 if negated else 1.0) * (0.4 if reported else 1.0))
     return np.array([PRIOR_BIAS, 0.0, 0.0, *out])
 
@@ -145,10 +145,9 @@ def events_of(text: str | None, lexical: Lexical) -> tuple[np.ndarray, int, int]
             state = TABLE[state][OTHER]
         before = i
         targeted, negation, reported = STATES[state]
-        if c in (INSULT, THREAT):
+        if c in (INSULT, THREAT, WEAK):
             clause.append((c, int(negation > 0), reported))
-        elif c == WEAK:
-            weak += 1
+            weak += c == WEAK and not negation and not reported
         elif c == END:
             for kind, negated, said in clause:
                 counts[EVENT_AT[kind, targeted, negated, said]] += 1

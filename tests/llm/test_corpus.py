@@ -215,6 +215,15 @@ def test_grammar_reads_clauses():
     assert toxicity.events_of("blorky thing", lex)[1:] == (1, 2) and event(None) == set()
 
 
+def test_weak_insults_are_read_by_clause():
+    lex = toxicity.Lexical(toxicity.lexicon([("blork", toxicity.WEAK)]))
+    for text, context, weak in [("You are a blorky thing.", (1, 0, 0), 1), ("You are not a blorky thing.", (1, 1, 0), 0),
+                                ("He said blorky things.", (1, 0, 1), 0), ("A blorky thing. You said so.", (0, 0, 0), 1)]:
+        counts, plain, _ = toxicity.events_of(text, lex)
+        assert {toxicity.EVENTS[i] for i in np.flatnonzero(counts)} == {(toxicity.WEAK, *context)} and plain == weak
+    assert len(toxicity.prior_weights()) == 3 + len(toxicity.EVENTS)
+
+
 def test_pieces_agree_with_the_library(spark, docs):
     path = registry.piece_model()
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
