@@ -2,7 +2,12 @@
 word bigrams, on built-in functions only.
 
 Texts are lower-cased and reduced to words of letters and digits. Units of comparison are
-the lines, the paragraphs and the whole text. A template can reach the threshold ``t``
+the lines, the paragraphs and the whole text, and inside them the sentences and the word
+windows of each template's length. A window that reaches the threshold shares enough bigrams that
+one of them is among the ``marks`` of the template (its rarest-looking bigrams, by the same
+bound), so only windows that contain such a bigram are compared, and only in texts that have one
+and whose outer units do not match exactly already. Comment leaders fall to the word rule;
+``rem`` and ``dnl`` at the start of a line are dropped for the windows. A template can reach the threshold ``t``
 only for units whose bigram count lies between t/(2-t) and (2-t)/t times its own, so other
 templates are pruned by size. A unit that reaches it also shares enough bigrams that one of
 them contains an anchor word of the template (the bound is checked when the templates are
@@ -12,7 +17,8 @@ Everything is computed inside the row: no shuffle, and no group to be skewed. Th
 templates are a fixed short list, or a caller's list of at most ``MAX_TEMPLATES``.
 
 Defined results: NULL, empty and license-free texts give no license and a Dice of 0; ties go
-to the first template name in order; units of one word have no bigrams and never match;
+to the outer units, there to the first template name in order, and inside to the longest
+template; units of one word have no bigrams and never match;
 repeated rows get equal results; only the id and the text column are read.
 """
 
@@ -83,6 +89,13 @@ def anchors_of(templates: dict[str, str], threshold: float) -> list[str]:
     return sorted(set(need))
 
 
+def marks_of(text: str, threshold: float) -> list[str]:
+    """Bigrams one of which every unit shares that reaches the threshold; those with long and anchor words first."""
+    grams = template_bigrams(text)
+    least = len(grams) - math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9) + 1
+    return sorted(grams, key=lambda g: (not any(w in ANCHORS for w in g.split()), -len(g), g))[:least]
+
+
 def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
@@ -93,6 +106,55 @@ def _bigrams(words: Column) -> Column:
                                        lambda a, b: F.concat_ws(" ", a, b)))
 
 
+#: Between words; a leader word of a comment line goes with the blanks before it.
+GAP = r"[^a-z0-9]+(?:(?:rem|dnl)(?<=\n[ \t]{0,20}(?:rem|dnl))[^a-z0-9]+)*"
+SENTENCE_END = r"(?<=[.!?])\s+"
+
+
+def _inner_license(text: Column, templates: dict[str, str], threshold: float) -> Column:
+    """struct<dice, license>: the best template of any sentence or template-sized window of words."""
+    held = {n: t for n, t in sorted(templates.items(), key=lambda x: (-len(template_bigrams(x[1])), x[0])) if template_bigrams(t)}
+    result = "struct<dice:double,license:string>"
+    none = F.struct(F.lit(0.0).alias("dice"), F.lit(None).cast("string").alias("license")).cast(result)
+    if not held:
+        return none
+    plan = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(len(template_words(t))).alias("size"),
+                              F.array(*[F.lit(g) for g in template_bigrams(t)]).alias("own"),
+                              F.array(*[F.lit(g) for g in marks_of(t, threshold)]).alias("marks")) for n, t in held.items()])
+    after: dict[str, set] = {}
+    for t in held.values():
+        for a, b in (g.split() for g in marks_of(t, threshold)):
+            after.setdefault(a, set()).add(b)
+    mark = "(?:^| )(?:" + "|".join(f"{a} (?:{'|'.join(sorted(b))})" for a, b in sorted(after.items())) + ")(?: |$)"
+    bind = lambda value, fn: F.element_at(F.transform(F.array(value), fn), 1)
+    dice = lambda g, t: 2.0 * F.size(F.array_intersect(g, t["own"])) / (F.size(g) + F.size(t["own"]))
+    zero = F.lit(0.0)
+
+    def windows(words: Column, pairs: Column, t: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(pairs)), lambda i: F.array_contains(t["marks"], F.element_at(pairs, i)))
+        last = F.size(words) - t["size"] + 1
+        starts = F.array_distinct(F.flatten(F.transform(F.filter(at, lambda i: last >= 1), lambda i: F.sequence(
+            F.least(F.greatest(i - t["size"] + 2, F.lit(1)), last), F.least(i, last)))))
+        return F.aggregate(starts, zero, lambda best, k: F.greatest(best, dice(
+            F.array_distinct(F.slice(pairs, k, t["size"] - 1)), t)))
+
+    def search(norm: Column) -> Column:
+        def of_pairs(words, pairs, sentences):
+            def of_template(best, t):
+                inside = F.aggregate(sentences, zero, lambda a, g: F.greatest(a, dice(g, t)))
+                found = F.when(F.arrays_overlap(pairs, t["marks"]), F.greatest(windows(words, pairs, t), inside)).otherwise(zero)
+                return bind(found, lambda x: F.when((x >= threshold) & (x > best["dice"]), F.struct(
+                    x.alias("dice"), t["license"].alias("license")).cast(result)).otherwise(best))
+            return F.aggregate(plan, none, of_template)
+        pair = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1),
+                                    lambda a, b: F.concat_ws(" ", a, b))
+        sentences = F.transform(F.split(text, SENTENCE_END), lambda u: _bigrams(F.split(normalise(u), " ")))
+        return bind(F.split(norm, " "), lambda w: bind(pair(w), lambda g: bind(
+            F.filter(sentences, lambda x: F.size(x) > 0), lambda x: of_pairs(w, g, x))))
+
+    return bind(F.trim(F.regexp_replace(F.lower(text), GAP, " ")), lambda norm: F.when(norm.rlike(mark), search(norm)).otherwise(none))
+
+
 def best_license(text: Column, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
     """struct<dice, license>: the best template of any unit, NULL below the threshold."""
     if len(templates) > MAX_TEMPLATES:
@@ -124,6 +186,9 @@ def best_license(text: Column, templates: dict[str, str] = TEMPLATES, threshold:
     none = F.struct(F.lit(0.0).alias("dice"), F.lit(None).cast("string").alias("license")).cast(result)
     best = F.aggregate(every, none, lambda a, b: F.when((b["dice"] >= threshold) & (
         (b["dice"] > a["dice"]) | ((b["dice"] == a["dice"]) & (b["license"] < a["license"]))), b).otherwise(a))
+    pick = lambda outer: F.when(outer["dice"] >= 1.0, outer).otherwise(F.element_at(F.transform(
+        F.array(_inner_license(text, templates, threshold)), lambda i: F.when(i["dice"] > outer["dice"], i).otherwise(outer)), 1))
+    best = F.element_at(F.transform(F.array(best), pick), 1)
     lowered = F.lower(text)
     any_anchor = lowered.contains(anchors[0])
     for a in anchors[1:]:

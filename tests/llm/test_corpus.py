@@ -287,6 +287,21 @@ def test_licenses(spark):
     assert got == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: "MIT-text", 7: None}
 
 
+def test_licenses_inside_other_words(spark):
+    mit = licenses.TEMPLATES["MIT-text"].split()
+    lines = [" ".join(mit[i:i + 9]) for i in range(0, len(mit), 9)]
+    body = ["Copyright (c) 2020 Some Body", "", *lines, "", "The above copyright notice shall be included in all copies.", "", "THE SOFTWARE IS PROVIDED AS IS"]
+    block = lambda lead: "import os\n" + "\n".join(f"{lead} {x}" for x in body) + "\ncode = 1\n"
+    texts = [(1, block("//")), (2, block(" *")), (3, block("REM")), (7, None), (8, "The mit of a license and the apache way."),
+             (4, "We share this file. Licensed under the Apache License, Version 2.0. See our page for more of it."),
+             (5, "a b c released under the MIT license and many other words that follow it here"),
+             (6, "Some words here. " + licenses.TEMPLATES["Apache-2.0-notice"] + " and some others.")]
+    got = {r.doc_id: (r.license, r.dice) for r in licenses.license_report(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in (1, 2, 3, 4, 5, 6)} == {1: ("MIT-text", 1.0), 2: ("MIT-text", 1.0), 3: ("MIT-text", 1.0), 4: ("Apache-2.0", 1.0),
+                                                      5: ("MIT", 1.0), 6: ("Apache-2.0-notice", 1.0)}
+    assert got[7] == got[8] == (None, 0.0)
+
+
 def test_surrogates(spark):
     texts = [(1, "die.55@mail4.example.com, DIE.55@mail4.example.com"), (2, "+1 (017) 555-7713 or +1 017-555-7713"), (3, "4111 1111 1111 1111"),
              (4, "ip 97.51.17.173."), (5, None), (6, ""), (7, "clean 1.2.3 year 2024"), (8, "Frau Anna Müller, г-жа Иванова, 123-45-6789"), (1, "4111111111111111")]
