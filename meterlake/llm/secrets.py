@@ -67,7 +67,7 @@ def link_parts(found: DataFrame, scope: int) -> DataFrame:
         .groupBy("key", "block", "part").agg(F.min("start").alias("first"), F.max("end").alias("last"))
     weak = every.where(F.col("rank") >= 3)
     asked = weak.withColumn("block", F.explode(F.sequence(
-        F.floor(F.col("start") / scope) - 1, F.floor((F.col("end") - 1) / scope) + 1)))
+        F.floor((F.col("start") - scope - 1) / scope), F.floor((F.col("end") + scope) / scope))))
     met = asked.join(extent.withColumnRenamed("part", "other"), ["key", "block"]).where(F.col("part") != F.col("other"))
     own = (F.col("block") >= F.floor(F.col("start") / scope)) & (F.col("block") <= F.floor((F.col("end") - 1) / scope))
     after = (F.col("block") > F.floor((F.col("end") - 1) / scope)) & (F.col("first") - F.col("end") <= scope)
