@@ -106,7 +106,7 @@ def _fingerprint(keys: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(keys.tobytes())
 
 
-def _signature_udf(shingle: int, bands: int, rows: int):
+def signature_udf(shingle: int, bands: int, rows: int):
     @F.pandas_udf("n long, fp binary, bands array<long>, sketch binary")
     def signature(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memo = WordHash()
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document row."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(ids.withColumn("s", _signature_udf(shingle, bands, rows)("text")).select("doc_id", "s.n", "s.fp", "s.bands", "s.sketch"))
+    signed = cut(ids.withColumn("s", signature_udf(shingle, bands, rows)("text")).select("doc_id", "s.n", "s.fp", "s.bands", "s.sketch"))
     # the node number is fixed by the checkpoint
     classes = cut(signed.where("fp is not null").groupBy("fp")
                   .agg(F.min("doc_id").alias("first_id"), F.first("n").cast("int").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))

@@ -12,8 +12,8 @@ counts and of how far weak insults that are neither negated nor reported exceed
 Learned from a bounded sample of ``sample_rows`` labels: the insult lexicon
 (at most ``max_lexicon`` words or stems far more frequent in toxic texts, next to a few
 fixed seed words) and the event weights (ridge-penalised towards the grammar's prior).
-Near copies in the sample count once per label: the components of ``near_dup`` (confirmed
-similarity of 0.8 over four-word shingles), each by its first row; texts without words are one.
+Near copies in the sample count once per label: rows whose signatures over four-word shingles
+(those of ``near_dup``) agree on 0.8 of the slots, by the first of them; texts without words are one.
 
 Defined results: NULL and empty texts score as texts without events; labels that are NULL
 or have a NULL id teach nothing; conflicting labels of one id each count; scoring reads the
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm.common import cut, id_bucket, sample_ids
-from meterlake.llm.near_dup import near_duplicates
+from meterlake.llm.near_dup import signature_udf
 
 SAMPLE_ROWS, MAX_LEXICON = 10_000, 200
 
@@ -64,6 +64,8 @@ NEGATION_MACHINE = {0: {NEGATION: SCOPE}} | {
     s: {NEGATION: SCOPE, END: 0} | {c: s - 1 for c in (OTHER, INSULT, WEAK, THREAT, TARGET, REPORT)} for s in range(1, SCOPE + 1)}
 #: Events: (class, targeted, negated, reported); a threat needs a target to count as one, the weight of weak insults is learned alone.
 EVENTS = list(product((INSULT, THREAT, WEAK), (0, 1), (0, 1), (0, 1)))
+#: Bands and slots a band of the signatures that find near copies among the labelled rows, and the share of slots that must agree.
+COPY_BANDS, COPY_AGREEMENT = (40, 6), 0.8
 #: Letters of a learned stem.
 STEM = range(3, 11)
 #: Words whose class a task may remember.
@@ -182,14 +184,39 @@ def _pattern_udf():
     return found
 
 
+def copy_leaders(sketches: list[bytes]) -> list[int]:
+    """For every signature (one byte a slot) the place of the first one that agrees with it on
+    ``COPY_AGREEMENT`` of the slots and shares a band; its own place if there is none."""
+    width = COPY_BANDS[1]
+    slots = [np.frombuffer(s, np.uint8) for s in sketches]
+    buckets: dict[tuple[int, bytes], list[int]] = {}
+    out = []
+    for i, sketch in enumerate(sketches):
+        bands = [(b, sketch[b * width:(b + 1) * width]) for b in range(COPY_BANDS[0])]
+        seen = sorted({j for b in bands for j in buckets.get(b, ())})
+        lead = next((j for j in seen if (slots[i] == slots[j]).mean() >= COPY_AGREEMENT), i)
+        if lead == i:
+            for b in bands:
+                buckets.setdefault(b, []).append(i)
+        out.append(lead)
+    return out
+
+
 def without_copies(labelled: DataFrame) -> DataFrame:
-    """One (toxic, text) row of each group of near copies and label of the bounded sample."""
+    """One (toxic, text) row of each group of near copies and label of the bounded sample.
+
+    Only the signatures of the sample (240 bytes a row) are grouped, on the driver."""
     # the row number is fixed by the checkpoint
-    rows = cut(labelled.select(F.col("toxic").cast("int").alias("toxic"), "text").withColumn("row", F.monotonically_increasing_id()))
-    group = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(-1)
-    copies = near_duplicates(rows, "row", shingle=4).select(F.col("doc_id").alias("row"), group.alias("copy"))
-    first = rows.select("row", "toxic").join(copies, "row").groupBy("copy", "toxic").agg(F.min("row").alias("row")).select("row")
-    return rows.join(first, "row", "left_semi").select("toxic", "text")
+    rows = cut(labelled.select(F.col("toxic").cast("int").alias("toxic"), "text", signature_udf(4, *COPY_BANDS)("text").alias("s"))
+               .select("toxic", "text", F.col("s.sketch").alias("sketch")).withColumn("row", F.monotonically_increasing_id()))
+    found = sorted(rows.select("row", "toxic", "sketch").collect())
+    worded = [r for r in found if r.sketch is not None]
+    leaders = copy_leaders([bytes(r.sketch) for r in worded])
+    first: dict[tuple[int, int], int] = {}
+    for r, lead in [*zip(worded, leaders, strict=True), *((r, -1) for r in found if r.sketch is None)]:
+        first.setdefault((lead, r.toxic), r.row)
+    kept = rows.sparkSession.createDataFrame([(x,) for x in first.values()], "row long")
+    return rows.join(F.broadcast(kept), "row", "left_semi").select("toxic", "text")
 
 
 def learn_insults(some: DataFrame, max_lexicon: int) -> list[tuple[str, int]]:
