@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import ann, decontaminate, katz_lm, language_id, licenses, near_dup, pii, secrets, sentencepiece_codec, toxicity
+from meterlake.llm import ann, decontaminate, katz_lm, language_id, licenses, near_dup, packing, pii, secrets, \
+    sentencepiece_codec, toxicity
 from meterlake.llm.common import table
 
 #: Key of the surrogates in the registered queries; a deployment passes its own secret.
@@ -31,6 +32,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_model() -> str:
+    """The public byte-level vocabulary of 50k entries, installed like the piece model."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @query("op1_ann")
 def op1(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
@@ -82,6 +89,11 @@ def op10(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+@query("op13_best_fit_packing")
+def op13(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), byte_model())
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
