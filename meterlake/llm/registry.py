@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import ann, decontaminate, katz_lm, language_id, licenses, near_dup, packing, pii, secrets, \
+from meterlake.llm import alignment, ann, decontaminate, katz_lm, language_id, licenses, near_dup, packing, pii, secrets, \
     sentencepiece_codec, toxicity
 from meterlake.llm.common import table
 
@@ -89,6 +89,11 @@ def op10(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+@query("op12_token_alignment")
+def op12(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), byte_model(), piece_model())
+
+
 @query("op13_best_fit_packing")
 def op13(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), byte_model())
