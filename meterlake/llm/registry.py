@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import alignment, ann, decontaminate, katz_lm, language_id, licenses, near_dup, packing, pii, secrets, \
-    sentencepiece_codec, toxicity
+from meterlake.llm import alignment, ann, collocations, decontaminate, katz_lm, language_id, licenses, near_dup, packing, pii, \
+    secrets, sentencepiece_codec, toxicity
 from meterlake.llm.common import table
 
 #: Key of the surrogates in the registered queries; a deployment passes its own secret.
@@ -89,6 +89,11 @@ def op10(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+@query("op11_phrase_collocations")
+def op11(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op12_token_alignment")
 def op12(spark, sf_dir):
     return alignment.align(table(spark, sf_dir, "documents"), byte_model(), piece_model())
