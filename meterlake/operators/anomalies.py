@@ -8,14 +8,16 @@ over raw readings is used; steps come from the chunked ``sequential`` plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake import dims
+from meterlake.functions.calendar import date_of, is_weekend
 from meterlake.functions.numeric import div, pct, r
 from meterlake.operators.consumption import daily_totals
 from meterlake.operators.segments import power_steps
-from meterlake.plans.ordered import join_stats, rolling
+from meterlake.plans.cells import about_mean, moments, std_samp
+from meterlake.plans.ordered import ORDER, cell_columns, join_stats, locate, meter_columns, order_key, resolve_chunk, rolling
 from meterlake.plans.quantiles import exact_quantile
 
 K = "meter_id"
@@ -25,24 +27,32 @@ def _V():
     return F.col("voltage")
 
 
-
 def voltage_stats(m: DataFrame) -> DataFrame:
     return m.groupBy(K).agg(F.count(F.lit(1)).alias("n"), F.avg("voltage").alias("v_mean"),
                             F.stddev_samp("voltage").alias("v_std"))
 
 
 def _with_voltage_flags(m: DataFrame, std_threshold: float) -> DataFrame:
-    s = voltage_stats(m)
-    x = join_stats(m, s)
+    return join_stats(m, voltage_stats(m)).select("*", *_flags(std_threshold))
+
+
+def _flags(std_threshold: float) -> list:
+    """Flags of a reading that carries its meter's ``v_mean`` and ``v_std``."""
     lo = F.col("v_mean") - std_threshold * F.col("v_std")
     hi = F.col("v_mean") + std_threshold * F.col("v_std")
-    return x.select(
-        "*",
+    return [
         ((_V() < dims.V_MIN) | (_V() > dims.V_MAX)).alias("is_out_of_range"),
         (_V() < dims.V_MIN).alias("is_low"), (_V() > dims.V_MAX).alias("is_high"),
         ((_V() < lo) | (_V() > hi)).alias("is_outlier"),
         ((_V() < F.col("v_mean") * 0.9) & (_V() >= dims.V_MIN)).alias("is_sag"),
-        ((_V() > F.col("v_mean") * 1.1) & (_V() <= dims.V_MAX)).alias("is_swell"))
+        ((_V() > F.col("v_mean") * 1.1) & (_V() <= dims.V_MAX)).alias("is_swell")]
+
+
+def _flag_counts() -> list:
+    return [F.count_if("is_out_of_range").alias("out_of_range_count"),
+            F.count_if("is_low").alias("low_count"), F.count_if("is_high").alias("high_count"),
+            F.count_if("is_outlier").alias("outlier_count"),
+            F.count_if("is_sag").alias("sag_count"), F.count_if("is_swell").alias("swell_count")]
 
 
 def voltage_flags(m: DataFrame, std_threshold: float = 3.0) -> DataFrame:
@@ -53,20 +63,21 @@ def voltage_flags(m: DataFrame, std_threshold: float = 3.0) -> DataFrame:
     g = x.groupBy(K).agg(
         n.alias("n"),
         r(F.first("v_mean")).alias("voltage_mean"), r(F.first("v_std")).alias("voltage_std"),
-        r(F.min("voltage")).alias("voltage_min"), r(F.max("voltage")).alias("voltage_max"),
-        F.count_if("is_out_of_range").alias("out_of_range_count"),
-        F.count_if("is_low").alias("low_count"), F.count_if("is_high").alias("high_count"),
-        F.count_if("is_outlier").alias("outlier_count"),
-        F.count_if("is_sag").alias("sag_count"), F.count_if("is_swell").alias("swell_count"))
+        r(F.min("voltage")).alias("voltage_min"), r(F.max("voltage")).alias("voltage_max"), *_flag_counts())
+    return g.select(K, *_voltage_columns())
+
+
+def _voltage_columns() -> list:
+    """H1-H6 in one row: shares, severity and status from the counts."""
     share = div(F.col("out_of_range_count").cast("double"), F.col("n"))
-    return g.select(
-        K, F.col("n").alias("total_records"), "voltage_mean", "voltage_std", "voltage_min", "voltage_max",
+    return [
+        F.col("n").alias("total_records"), "voltage_mean", "voltage_std", "voltage_min", "voltage_max",
         "out_of_range_count", pct("out_of_range_count", "n").alias("out_of_range_percent"),
         F.when(share > 0.05, F.lit("high")).otherwise(F.lit("medium")).alias("out_of_range_severity"),
         "low_count", "high_count", "outlier_count",
         "sag_count", pct("sag_count", "n").alias("sag_percent"),
         "swell_count", pct("swell_count", "n").alias("swell_percent"),
-        F.when(share < 0.01, F.lit("normal")).otherwise(F.lit("attention")).alias("voltage_status"))
+        F.when(share < 0.01, F.lit("normal")).otherwise(F.lit("attention")).alias("voltage_status")]
 
 
 def voltage_outliers(m: DataFrame, std_threshold: float = 3.0) -> DataFrame:
@@ -134,22 +145,31 @@ def power_step_anomalies(m: DataFrame, chunk: str | None = "auto") -> DataFrame:
     x = join_stats(st, s, chunk=chunk)
     step, sd = F.col("power_step"), F.col("p_std")
     g = x.groupBy(K).agg(
-        *[F.first(c).alias(c) for c in ("n", "p_mean", "p_std", "p_min", "p_max", "p_q95")],
-        F.count_if(F.abs(step) > sd * 3).alias("sudden_count"),
-        F.count_if(step > sd * 5).alias("spike_count"),
-        F.count_if(step < -sd * 5).alias("drop_count"),
-        F.max(F.when(step > sd * 5, step)).alias("_max_spike"),
-        F.min(F.when(step < -sd * 5, step)).alias("_min_drop"))
-    return g.select(
-        K, r("p_mean").alias("power_mean"), r("p_std").alias("power_std"),
+        *[F.first(c).alias(c) for c in ("n", "p_mean", "p_std", "p_min", "p_max", "p_q95")], *_step_counts(step, sd))
+    own, status = _power_columns()[:4], _power_columns()[4:]
+    return g.select(K, *own, r("p_q95").alias("high_power_threshold"), *status)
+
+
+def _step_counts(step: Column, std: Column) -> list:
+    """Counts and extremes of steps against the meter's standard deviation."""
+    return [F.count_if(F.abs(step) > std * 3).alias("sudden_count"),
+            F.count_if(step > std * 5).alias("spike_count"),
+            F.count_if(step < -std * 5).alias("drop_count"),
+            F.max(F.when(step > std * 5, step)).alias("_max_spike"),
+            F.min(F.when(step < -std * 5, step)).alias("_min_drop")]
+
+
+def _power_columns() -> list:
+    """H8-H11, H13 in one row: statistics, shares and status from the counts."""
+    return [
+        r("p_mean").alias("power_mean"), r("p_std").alias("power_std"),
         r("p_min").alias("power_min"), r("p_max").alias("power_max"),
-        r("p_q95").alias("high_power_threshold"),
         "sudden_count", pct("sudden_count", "n").alias("sudden_percent"),
         "spike_count", pct("spike_count", "n").alias("spike_percent"), r("_max_spike").alias("max_spike"),
         "drop_count", pct("drop_count", "n").alias("drop_percent"), r(F.abs("_min_drop")).alias("max_drop"),
         (F.col("spike_count") > 0).cast("long").alias("high_severity_count"),
         ((F.col("sudden_count") > 0).cast("long") + (F.col("drop_count") > 0).cast("long")).alias("medium_severity_count"),
-        F.when(F.col("spike_count") > 0, F.lit("abnormal")).otherwise(F.lit("normal")).alias("power_status"))
+        F.when(F.col("spike_count") > 0, F.lit("abnormal")).otherwise(F.lit("normal")).alias("power_status")]
 
 
 def rolling_power(m: DataFrame, n: int = 60, chunk: str | None = "auto", block: int = 1 << 16) -> DataFrame:
@@ -190,21 +210,67 @@ def consumption_summary(m: DataFrame, z_threshold: float = 2.0, ratio_threshold:
         F.avg(F.when(~F.col("is_weekend"), F.col("total_energy"))).alias("wd"),
         F.avg(F.when(F.col("is_weekend"), F.col("total_energy"))).alias("we"),
         F.count_if(F.abs("z") > z_threshold).alias("abnormal_days"))
+    return g.select(K, *_consumption_columns(ratio_threshold))
+
+
+def _consumption_columns(ratio_threshold: float = 1.3) -> list:
+    """H14 + H15 in one row: ratio, pattern flag and status from the daily means and the abnormal days."""
     ratio = F.when(F.col("wd") > 0, F.col("we") / F.col("wd")).otherwise(F.lit(0.0))
-    return g.select(
-        K, r("d_mean").alias("daily_mean"), r("d_std").alias("daily_std"),
+    return [
+        r("d_mean").alias("daily_mean"), r("d_std").alias("daily_std"),
         r("wd").alias("weekday_avg"), r("we").alias("weekend_avg"), r(ratio).alias("ratio"),
         F.coalesce(ratio > ratio_threshold, F.lit(False)).alias("pattern_anomaly"),
-        "abnormal_days",
-        F.when(F.col("abnormal_days") > 1, F.lit("abnormal")).otherwise(F.lit("normal")).alias("consumption_status"))
-
-
-def anomaly_summary(m: DataFrame, std_threshold: float = 3.0, chunk: str | None = "auto") -> DataFrame:
-    """The three detectors side by side, one row per meter (each computed once)."""
-    vf = voltage_flags(m, std_threshold)
-    pw = power_step_anomalies(m, chunk)
-    cs = consumption_summary(m)
-    return vf.join(pw, K, "full").join(cs, K, "full")
+        F.col("abnormal_days"),
+        F.when(F.col("abnormal_days") > 1, F.lit("abnormal")).otherwise(F.lit("normal")).alias("consumption_status")]
+
+
+def anomaly_summary(m: DataFrame, std_threshold: float = 3.0, chunk: str | None = "auto",
+                    z_threshold: float = 2.0) -> DataFrame:
+    """The three detectors side by side, one row per meter, in two passes over the readings.
+
+    The first one aggregates cells per (meter, chunk): partial moments, the last power and the
+    energy; windows over a meter's cells give its statistics, its days and the power before
+    each chunk. The second one reads the readings by (meter, chunk), meets their cell's row and
+    counts voltage flags and power steps at once."""
+    unit = resolve_chunk(m, chunk)
+    unit = unit if unit in ("hour", "minute") else "day"  # a chunk lies within a day
+    d = locate(m.select(K, "seq", "ts", "voltage", "active_power", "energy"), [K], ORDER, unit)
+    cell, meter = cell_columns([K]), meter_columns([K])
+    last = F.max_by("active_power", order_key(d, ORDER) if order_key(d, ORDER) is not None else F.struct(*ORDER))
+    cells = d.groupBy(*cell).agg(F.count(F.lit(1)).alias("rows"), F.min(date_of("ts")).alias("date"), F.sum("energy").alias("energy"),
+                                 last.alias("last"), *moments(("voltage", "active_power")))
+    w = Window.partitionBy(*meter)
+    in_order = w.orderBy(*cell[len(meter):])
+    day = Window.partitionBy(*meter, "date")
+    cells = about_mean(cells, ("voltage", "active_power"), w)
+    is_day = F.col("date").isNotNull() & (F.row_number().over(day.orderBy(*cell[len(meter):])) == 1)
+    cells = cells.withColumn("day", F.when(is_day, F.coalesce(F.sum("energy").over(day), F.lit(0.0))))
+    weekend = is_weekend(F.col("date"))
+    std = lambda c: std_samp(F.sum(f"{c}__dev").over(w), F.sum(f"{c}__n").over(w))
+    cells = cells.select(
+        *cell, "day", F.lag("last").over(in_order).alias("before"), F.sum("rows").over(w).alias("n"),
+        F.col("voltage__mean").alias("v_mean"), std("voltage").alias("v_std"),
+        F.col("active_power__mean").alias("p_mean"), std("active_power").alias("p_std"),
+        F.min("active_power__min").over(w).alias("p_min"), F.max("active_power__max").over(w).alias("p_max"),
+        F.avg("day").over(w).alias("d_mean"), F.stddev_pop("day").over(w).alias("d_std"),
+        F.avg(F.when(~weekend, F.col("day"))).over(w).alias("wd"), F.avg(F.when(weekend, F.col("day"))).over(w).alias("we"))
+    z = F.when(F.col("d_std") > 0, (F.col("day") - F.col("d_mean")) / F.col("d_std")).otherwise(F.lit(0.0))
+    stats = ("n", "v_mean", "v_std", "p_mean", "p_std", "p_min", "p_max", "d_mean", "d_std", "wd", "we", "abnormal_days")
+    days = F.count(F.when(F.col("day").isNotNull() & (F.abs(z) > z_threshold), F.lit(1))).over(w)
+    carry = cells.select("*", days.alias("abnormal_days")).drop("day")
+    wl = Window.partitionBy(*cell).orderBy(*ORDER)
+    x = d.drop("energy").select("*", F.row_number().over(wl).alias("_rn"), F.lag("active_power").over(wl).alias("_prev")).join(carry, cell)
+    step = F.col("active_power") - F.when(F.col("_rn") == 1, F.col("before")).otherwise(F.col("_prev"))
+    g = x.select("*", step.alias("step"), *_flags(std_threshold)).groupBy(K).agg(
+        *[F.first(c).alias(c) for c in stats],
+        r(F.first("v_mean")).alias("voltage_mean"), r(F.first("v_std")).alias("voltage_std"),
+        r(F.min("voltage")).alias("voltage_min"), r(F.max("voltage")).alias("voltage_max"),
+        *_flag_counts(), *_step_counts(F.col("step"), F.col("p_std")))
+    # a meter without a day has no consumption part
+    has_day = F.col("d_mean").isNotNull()
+    late = [F.when(has_day, c).alias(name) for c, name in zip(_consumption_columns(), (
+        "daily_mean", "daily_std", "weekday_avg", "weekend_avg", "ratio", "pattern_anomaly", "abnormal_days", "consumption_status"), strict=True)]
+    return g.select(K, *_voltage_columns(), *_power_columns(), *late)
 
 
 def _candidates():

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.calendar import date_of, hour_of, period_label, period_of
 from meterlake.functions.numeric import r
-from meterlake.plans.ordered import join_stats, sequential, top_n_per_group
+from meterlake.plans.ordered import join_stats, null_safe_join, sequential, top_n_per_group
 
 K = "meter_id"
 
@@ -81,7 +81,7 @@ def histogram(m: DataFrame, col: str, bins: int) -> DataFrame:
     grid = s.select(K, "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     grid = grid.withColumn("bin", F.col("bin").cast("long"))
     width = (F.col("hi") - F.col("lo")) / bins
-    return grid.join(counts, [K, "bin"], "left").select(
+    return null_safe_join(grid, counts, [K, "bin"], "left").select(
         K, "bin", r(F.col("lo") + (F.col("bin") - 1) * width, 4).alias("bin_start"),
         r(F.col("lo") + F.col("bin") * width, 4).alias("bin_end"),
         F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))

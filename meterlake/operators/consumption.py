@@ -81,15 +81,24 @@ def peak_valley_hours(m: DataFrame, peak_q: float = 0.8, valley_q: float = 0.2)
         F.percentile("total_energy", peak_q).alias("pt"),
         F.percentile("total_energy", valley_q).alias("vt"),
         F.array_sort(F.collect_list(F.struct("hour", "total_energy"))).alias("hs"))
-    peaks = F.filter("hs", lambda x: x["total_energy"] >= F.col("pt"))
-    valleys = F.filter("hs", lambda x: x["total_energy"] <= F.col("vt"))
-    as_list = lambda a: F.array_join(F.transform(a, lambda x: x["hour"].cast("string")), ",")
+    peaks, valleys = peak_and_valley("hs", "pt", "vt")
+    as_list = hour_list
     return g.select(K, r("pt").alias("peak_threshold"), r("vt").alias("valley_threshold"),
                     as_list(peaks).alias("peak_hours"), as_list(valleys).alias("valley_hours"),
                     F.size(peaks).cast("long").alias("n_peak_hours"),
                     F.size(valleys).cast("long").alias("n_valley_hours"))
 
 
+def peak_and_valley(hours: str, peak: str, valley: str):
+    """Hours of an array of (hour, total_energy) at or above the peak, and at or below the valley threshold."""
+    return (F.filter(hours, lambda x: x["total_energy"] >= F.col(peak)),
+            F.filter(hours, lambda x: x["total_energy"] <= F.col(valley)))
+
+
+def hour_list(hours):
+    return F.array_join(F.transform(hours, lambda x: x["hour"].cast("string")), ",")
+
+
 def peak_valley_ratio(m: DataFrame) -> DataFrame:
     """max hour total / max(0.001, min hour total), 2 dp."""
     h = hourly_profile(m)

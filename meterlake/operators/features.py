@@ -76,9 +76,7 @@ def class_stats(samples: DataFrame) -> DataFrame:
 def sequences(m: DataFrame, length: int = 60, chunk: str | None = "auto") -> DataFrame:
     """Cut each meter's readings into consecutive sequences of ``length``
     steps; an incomplete tail is dropped."""
-    x = sequential(m, row_number="_rn", chunk=chunk)
-    n = m.groupBy(K).agg(F.count(F.lit(1)).alias("_n"))
-    x = join_stats(x, n, chunk=chunk).where(F.col("_rn") <= F.floor(F.col("_n") / length) * length)
+    x = sequential(m, row_number="_rn", row_total="_n", chunk=chunk).where(F.col("_rn") <= F.floor(F.col("_n") / length) * length)
     pos = F.col("_rn") - 1
     return x.select(K, F.floor(pos / length).cast("long").alias("sequence_id"),
                     (pos % length).cast("long").alias("step"), "seq", "ts",

@@ -62,9 +62,10 @@ def power_quality(m: DataFrame) -> DataFrame:
         low.alias("low_pf_count"), pct(low, n).alias("low_pf_percent"),
         r(F.avg("active_power")).alias("power_mean"), r(F.stddev_samp("active_power")).alias("power_std"),
         r(F.min("active_power")).alias("power_min"), r(F.max("active_power")).alias("power_max"))
-    return g.select(
-        "*",
-        F.when(F.col("out_of_range_percent") < 5, F.lit("good")).otherwise(F.lit("attention"))
-         .alias("voltage_stability"),
-        F.when(F.col("low_pf_percent") < 10, F.lit("good")).otherwise(F.lit("improve"))
-         .alias("pf_assessment"))
+    return g.select("*", *verdicts())
+
+
+def verdicts():
+    """Voltage and power factor in words."""
+    return [F.when(F.col("out_of_range_percent") < 5, F.lit("good")).otherwise(F.lit("attention")).alias("voltage_stability"),
+            F.when(F.col("low_pf_percent") < 10, F.lit("good")).otherwise(F.lit("improve")).alias("pf_assessment")]

@@ -34,7 +34,9 @@ from pyspark.sql import types as T
 
 KEY = "meter_id"
 ORDER = ("ts", "seq")
-_CH = "_chunk"
+_CH, _SUB, _NO_KEY = "_chunk", "_sub", "_no_key"
+#: Sequence numbers in one chunk of rows without a time.
+TIMELESS = 1 << 16
 
 
 CHUNK_CONF = "meterlake.chunk"
@@ -58,7 +60,7 @@ def chunk_of(ts: Column, chunk: str) -> Column:
     raise ValueError(f"unknown chunk unit {chunk!r}")
 
 
-def _order_key(d: DataFrame, order) -> Column | None:
+def order_key(d: DataFrame, order) -> Column | None:
     """One DECIMAL(38,0) that sorts exactly like (ts, seq) inside a chunk:
     microseconds since the chunk start x 1e20 + (seq + 2^63). A decimal is a
     mutable aggregation-buffer type, so ``max_by`` on it stays a hash aggregate
@@ -77,19 +79,20 @@ def _order_key(d: DataFrame, order) -> Column | None:
 
 
 def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = None,
-               key=KEY, order=ORDER, chunk: str | None = "auto", prefix: str = "prev_",
+               row_total: str | None = None, key=KEY, order=ORDER, chunk: str | None = "auto", prefix: str = "prev_",
                keep_chunk: bool = False) -> DataFrame:
     """Add ``prev_<c>`` (previous row's value) for every column in ``lag``,
     ``out`` = running sum of ``cumsum[out]`` (NULL where the input is NULL),
-    and a 1-based ``row_number`` column, per ``key`` in ``order``.
+    a 1-based ``row_number`` and the group's row count ``row_total``, per ``key`` in ``order``.
+    Rows with a NULL key are a group of their own, as in a plain window.
 
-    ``keep_chunk`` keeps the ``_chunk`` column; a following ``sequential`` call
+    ``keep_chunk`` keeps the chunk columns; a following ``sequential`` call
     on the result then reuses the existing (meter, chunk) partitioning."""
     chunk = resolve_chunk(df, chunk)
     lag = list(lag)
     cumsum = dict(cumsum or {})
     keys = [key] if isinstance(key, str) else list(key)
-    base_cols = [c for c in df.columns if c != _CH]
+    base_cols = [c for c in df.columns if c not in cell_columns(keys)]
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -98,10 +101,13 @@ def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = N
                   for o, c in cumsum.items()]
         if row_number:
             extra.append(F.row_number().over(w).alias(row_number))
+        if row_total:
+            extra.append(F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias(row_total))
         return df.select(*base_cols, *extra)
 
-    d = df if _CH in df.columns else _with_chunk(df, order[0], chunk)
-    wl = Window.partitionBy(*keys, _CH).orderBy(*order)
+    d = df if _CH in df.columns else locate(df, keys, order, chunk)
+    meter, cell = meter_columns(keys), cell_columns(keys)
+    wl = Window.partitionBy(*cell).orderBy(*order)
     wlr = wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = d.select(
         *d.columns,
@@ -110,7 +116,7 @@ def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = N
         *[F.sum(c).over(wlr).alias("_cs_" + o) for o, c in cumsum.items()],
     )
     aggs = [F.max("_rn").alias("_rows")]
-    key = _order_key(d, order)
+    key = order_key(d, order)
     numeric_lags = all(isinstance(d.schema[c].dataType, T.NumericType) for c in lag)
     if lag and key is not None and numeric_lags:
         # one hash-aggregatable max_by per column, packed into the struct afterwards
@@ -120,31 +126,71 @@ def sequential(df: DataFrame, *, lag=(), cumsum=None, row_number: str | None = N
                              F.struct(*[F.col(c) for c in order])).alias("_last"))
     aggs += [F.coalesce(F.sum(c), F.lit(0).cast(d.schema[c].dataType)).alias("_csum_" + o)
              for o, c in cumsum.items()]
-    summary = x.groupBy(*keys, _CH).agg(*aggs)
+    summary = x.groupBy(*cell).agg(*aggs)
     if lag and "_last" not in summary.columns:
         summary = summary.withColumn("_last", F.struct(*[F.col("_last_" + c).alias(c) for c in lag]))
-    wc = Window.partitionBy(*keys).orderBy(_CH)
+    wc = Window.partitionBy(*meter).orderBy(_CH, _SUB)
     before = wc.rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = [F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before")]
     if lag:
         carry_cols.append(F.lag("_last").over(wc).alias("_carry"))
     carry_cols += [F.coalesce(F.sum("_csum_" + o).over(before), F.lit(0)).alias("_cbefore_" + o) for o in cumsum]
-    carry = summary.select(*keys, _CH, *carry_cols)
-    j = x.join(carry, [*keys, _CH], "inner")
-    out = [F.col(c) for c in base_cols] + ([F.col(_CH)] if keep_chunk else [])
+    if row_total:
+        carry_cols.append(F.sum("_rows").over(Window.partitionBy(*meter)).alias(row_total))
+    carry = summary.select(*cell, *carry_cols)
+    j = x.join(carry, cell, "inner")
+    out = [F.col(c) for c in base_cols] + ([F.col(c) for c in cell] if keep_chunk else [])
     out += [F.when(F.col("_rn") == 1, F.col("_carry").getField(c)).otherwise(F.col("_l_" + c)).alias(prefix + c)
             for c in lag]
     out += [F.when(F.col(c).isNull(), F.lit(None)).otherwise(F.col("_cs_" + o) + F.col("_cbefore_" + o)).alias(o)
             for o, c in cumsum.items()]
     if row_number:
         out.append((F.col("_rn") + F.col("_rows_before")).alias(row_number))
+    if row_total:
+        out.append(F.col(row_total))
     return j.select(*out)
 
 
-def _with_chunk(df: DataFrame, ts: str, chunk: str) -> DataFrame:
-    """Rows without a time form one chunk that sorts first, as NULLs do in the plain window."""
+def meter_columns(keys) -> list[str]:
+    return [*(f"_key{i}" for i in range(len(keys))), _NO_KEY]
+
+
+def cell_columns(keys) -> list[str]:
+    return [*meter_columns(keys), _CH, _SUB]
+
+
+def _not_null(df: DataFrame, keys) -> DataFrame:
+    """``df`` with never-NULL copies of the keys and a bit per key that is NULL, so that plain equi-joins
+    on them match NULL with NULL (a null-safe join would not see the windows' partitioning)."""
+    copies, bits = {}, F.lit(0)
+    for i, k in enumerate(keys):
+        t = df.schema[k].dataType
+        c = F.col(k) if isinstance(t, (T.NumericType, T.StringType)) else F.col(k).cast("string")
+        copies[f"_key{i}"] = F.coalesce(c, F.lit(0).cast(t) if isinstance(t, T.NumericType) else F.lit(""))
+        bits = bits + F.when(F.col(k).isNull(), F.lit(1 << i)).otherwise(F.lit(0))
+    return df.withColumns(copies | {_NO_KEY: bits})
+
+
+def locate(df: DataFrame, keys, order, chunk: str) -> DataFrame:
+    """``df`` with the columns of its chunk. Rows without a time sort first, as NULLs do in the
+    plain window, in chunks of ``TIMELESS`` consecutive sequence numbers."""
+    ts, *more = order
     first = F.lit("0001-01-01").cast("date" if chunk == "day" else "timestamp_ntz")
-    return df.withColumn(_CH, F.coalesce(chunk_of(F.col(ts), chunk), first))
+    sub = F.lit(0).cast("long")
+    if more and more[0] in df.columns and isinstance(df.schema[more[0]].dataType, T.IntegralType):
+        sub = F.when(F.col(ts).isNull(), F.floor(F.col(more[0]) / TIMELESS)).otherwise(sub)
+    return _not_null(df, keys).withColumns({_CH: F.coalesce(chunk_of(F.col(ts), chunk), first), _SUB: F.coalesce(sub, F.lit(-(2 ** 62)))})
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` on the keys, which appear once; a NULL key matches a NULL key."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    meter = meter_columns(keys)
+    a, b = _not_null(left, keys), _not_null(right, keys)
+    b = b.select(*meter, *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    j = a.join(b, meter, how)
+    both = [F.coalesce(F.col(k), F.col(f"_r_{k}")).alias(k) if how in ("full", "right") else F.col(k) for k in keys]
+    return j.select(*both, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys])
 
 
 def join_stats(df: DataFrame, stats: DataFrame, key=KEY, ts: str = "ts", chunk: str | None = "auto") -> DataFrame:
@@ -152,14 +198,17 @@ def join_stats(df: DataFrame, stats: DataFrame, key=KEY, ts: str = "ts", chunk:
     both, without a task per group: the statistics are first joined to the group's
     distinct chunks (a map-side combined list, one row per chunk), and that list is
     joined to the readings on (key, chunk). A following aggregate per key combines
-    map-side before its shuffle, since the rows are spread by chunk."""
+    map-side before its shuffle, since the rows are spread by chunk. A NULL key is a group."""
     keys = [key] if isinstance(key, str) else list(key)
     chunk = resolve_chunk(df, chunk)
+    meter, cell = meter_columns(keys), cell_columns(keys)
+    df = df.select(*[c for c in df.columns if c not in cell])
     if chunk is None:
-        return df.join(stats, keys)
-    d = _with_chunk(df.drop(_CH), ts, chunk)
-    cells = d.select(*keys, _CH).distinct().join(stats, keys)
-    return d.join(cells, [*keys, _CH]).drop(_CH)
+        return null_safe_join(df, stats, keys)
+    d = locate(df, keys, (ts, ORDER[1]), chunk)
+    found = [c for c in stats.columns if c not in keys]
+    cells = d.select(*cell).distinct().join(_not_null(stats, keys).select(*meter, *found), meter)
+    return d.join(cells, cell).select(*keys, *[c for c in df.columns if c not in keys], *found)
 
 
 def rolling(df: DataFrame, aggs: dict, n: int = 60, *, key=KEY, order=ORDER,

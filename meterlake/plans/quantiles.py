@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlake.plans.ordered import join_stats
+from meterlake.plans.ordered import join_stats, null_safe_join
 
 _CARRY = ("_n", "_pos", "_t", "_base", "_next")
 
@@ -44,7 +44,7 @@ def exact_quantile(df: DataFrame, keys, col: str, q: float, out: str = "quantile
     x = df.where(F.col(col).isNotNull()).select(*keys, *([ts] if ts else []), F.col(col).cast("double").alias("_v"))
 
     def joined(rows, state):
-        return join_stats(rows, state, keys, ts) if ts else rows.join(state, keys)
+        return join_stats(rows, state, keys, ts) if ts else null_safe_join(rows, state, keys)
 
     if extra_aggs:
         # first pass over all rows (NULL values included, as the extra aggregates expect)
