@@ -172,7 +172,7 @@ def _power_columns() -> list:
         F.when(F.col("spike_count") > 0, F.lit("abnormal")).otherwise(F.lit("normal")).alias("power_status")]
 
 
-def rolling_power(m: DataFrame, n: int = 60, chunk: str | None = "auto", block: int = 1 << 16) -> DataFrame:
+def rolling_power(m: DataFrame, n: int = 60, chunk: str | None = "auto", block: int | None = None) -> DataFrame:
     """H7: trailing 60-row mean / sample std of power (rows, not time, at least
     one row). Every frame holds the same rows in the same order in both plans, so
     chunked and plain results agree bit for bit."""

@@ -18,10 +18,8 @@ two-level plan when ``chunk`` is set (default ``'day'``):
 
 The results equal the plain window exactly (lag, row_number) or up to float
 summation order (running sums); ``chunk=None`` selects the plain window.
-For ``rolling`` the global row number then cuts each meter into blocks of
-``block`` consecutive rows; the last ``n-1`` rows of a block are copied into
-the next block, so every frame is complete and every task holds at most
-``block + n - 1`` rows whatever the meter's size.
+``rolling`` gives each chunk a halo, the last ``n-1`` rows before it, so every
+frame is complete and every task holds a chunk and a halo whatever the meter's size.
 """
 
 from __future__ import annotations
@@ -212,15 +210,20 @@ def join_stats(df: DataFrame, stats: DataFrame, key=KEY, ts: str = "ts", chunk:
 
 
 def rolling(df: DataFrame, aggs: dict, n: int = 60, *, key=KEY, order=ORDER,
-            chunk: str | None = "auto", block: int = 1 << 16) -> DataFrame:
+            chunk: str | None = "auto", block: int | None = None) -> DataFrame:
     """Row-based trailing window of ``n`` rows (current row included, at least
-    one row). ``aggs`` = {out name: (aggregate function name, column)}."""
+    one row). ``aggs`` = {out name: (aggregate function name, column)}.
+
+    By default each chunk gets a halo: the last ``n-1`` rows before it, so the readings are
+    shuffled once. ``block`` cuts each meter into blocks of so many consecutive rows instead."""
     chunk = resolve_chunk(df, chunk)
     keys = [key] if isinstance(key, str) else list(key)
     fns = {name: getattr(F, fn)(col) for name, (fn, col) in aggs.items()}
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), Window.currentRow)
         return df.select("*", *[e.over(w).alias(name) for name, e in fns.items()])
+    if block is None:
+        return _rolling_halo(df, fns, {c for _, c in aggs.values()}, n, keys, order, chunk)
     if block < n - 1:
         raise ValueError("block must hold at least n-1 rows")
     base_cols = df.columns
@@ -234,6 +237,30 @@ def rolling(df: DataFrame, aggs: dict, n: int = 60, *, key=KEY, order=ORDER,
     return res.where(~F.col("_copy")).drop("_copy")
 
 
+def _rolling_halo(df: DataFrame, fns: dict, columns: set, n: int, keys, order, chunk: str) -> DataFrame:
+    """Frames over (meter, chunk) and the chunk's halo, in the order of the plain window.
+
+    A chunk's tail (its last ``n-1`` rows) is limited before its shuffle; a chunk's halo is
+    the end of the tails of the ``n-1`` chunks before it, as each holds a row at least: so
+    chunks that are shorter than the frame chain."""
+    if n < 2:
+        return df.select("*", *[e.over(Window.partitionBy(*keys, *order).orderBy(*order).rowsBetween(0, 0)).alias(name) for name, e in fns.items()])
+    meter, cell = meter_columns(keys), cell_columns(keys)
+    d = locate(df, keys, order, chunk)
+    held = [*order, *sorted(columns - set(order))]
+    back = Window.partitionBy(*cell).orderBy(*[F.desc_nulls_last(c) for c in order])
+    tail = d.select(*cell, *held).withColumn("_back", F.row_number().over(back)).where(F.col("_back") < n)
+    tails = tail.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("_at"), *held))).alias("_tail"))
+    before = Window.partitionBy(*meter).orderBy(_CH, _SUB).rowsBetween(-(n - 1), -1)
+    halo = tails.select(*cell, F.flatten(F.collect_list("_tail").over(before)).alias("_all"))
+    halo = halo.select(*cell, F.slice("_all", F.greatest(F.size("_all") - (n - 2), F.lit(1)), n - 1).alias("_all")) \
+        .select(*cell, F.posexplode("_all").alias("_pos", "_row")).select(*cell, "_pos", *[F.col("_row")[c].alias(c) for c in held])
+    u = d.withColumns({"_copy": F.lit(False), "_pos": F.lit(n)}).unionByName(halo.withColumn("_copy", F.lit(True)), allowMissingColumns=True)
+    w = Window.partitionBy(*cell).orderBy("_pos", *order).rowsBetween(-(n - 1), Window.currentRow)
+    res = u.select(*df.columns, "_copy", *[e.over(w).alias(name) for name, e in fns.items()])
+    return res.where(~F.col("_copy")).drop("_copy")
+
+
 def top_n_per_group(df: DataFrame, keys, order_cols, n: int, rank_col: str = "rank") -> DataFrame:
     """Keep the first ``n`` rows per group in ``order_cols`` order (ties broken by
     the given columns). Spark plans ``row_number() <= n`` as a WindowGroupLimit,

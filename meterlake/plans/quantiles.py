@@ -5,23 +5,23 @@ in one buffer, so one meter holding a third of the data would hold a third of
 the distinct readings in one task. ``exact_quantile`` finds the same value by
 selection instead:
 
-1. per group: n, min, max (partial aggregates); target rank
-   ``t = floor((n - 1) * q)``;
-2. ``rounds`` histogram rounds: the group's current candidate range is cut into
-   ``buckets`` equal-width buckets; counts (partial aggregates, at most
-   ``buckets`` rows per group) and a running sum over the buckets find the
-   bucket holding rank ``t``; its actual min / max become the next range and
-   the counts below it the rank offset. Buckets are monotone in the value, so
-   membership and ranks stay exact whatever the float rounding;
+1. per group: n, min, max and a mergeable quantile sketch (partial aggregates); target
+   rank ``t = floor((n - 1) * q)``;
+2. counting rounds: the group's current candidate range is cut into buckets; counts (partial
+   aggregates) and a running sum over the buckets find the bucket holding rank ``t``; its
+   actual min / max become the next range and the counts below it the rank offset. In the
+   first round the cuts are pivots of the sketch, closely around ``q``: they follow ranks and
+   not values, so a few extreme outliers cannot stretch a bucket, and what is left is a share
+   of about ``PIVOT_STEP`` of the rows (plus ties). The next ``rounds - 1`` cut that range into
+   ``buckets`` of equal width. Buckets are monotone in the value and their counts exact, so
+   a pivot that the sketch misplaces costs candidates, never the result;
 3. the remaining candidates are counted per distinct value and ranked.
 
 The smallest value above each selected bucket is carried along, so the value
 at rank ``t + 1`` needs no extra pass. The result equals Spark's
 ``percentile`` bit for bit (same position and interpolation arithmetic).
 Every window runs over at most ``buckets`` rows (or the distinct values left
-in the last bucket) per group. The last bucket is small unless a few extreme
-outliers stretch the range in every round; then it holds the distinct values
-between them, which a larger ``rounds`` divides further.
+in the last bucket) per group.
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 
 from meterlake.plans.ordered import join_stats, null_safe_join
 
+#: Ranks between two pivots, as a share of the rows; pivots on each side of the quantile; accuracy of the sketch.
+PIVOT_STEP, PIVOTS, ACCURACY = 1 / 1024, 4, 8192
+
 _CARRY = ("_n", "_pos", "_t", "_base", "_next")
 
 
@@ -46,22 +49,28 @@ def exact_quantile(df: DataFrame, keys, col: str, q: float, out: str = "quantile
     def joined(rows, state):
         return join_stats(rows, state, keys, ts) if ts else null_safe_join(rows, state, keys)
 
+    grid = sorted({min(1.0, max(0.0, q + i * PIVOT_STEP)) for i in range(-PIVOTS, PIVOTS + 1)})
+    sketch = F.percentile_approx(F.col(col).cast("double"), grid, ACCURACY).alias("_pivots")
     if extra_aggs:
         # first pass over all rows (NULL values included, as the extra aggregates expect)
         st = df.groupBy(*keys).agg(F.count(F.col(col)).alias("_n"), F.min(col).cast("double").alias("_lo"),
-                                   F.max(col).cast("double").alias("_hi"), *extra_aggs)
+                                   F.max(col).cast("double").alias("_hi"), sketch, *extra_aggs)
     else:
-        st = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    extra = [c for c in st.columns if c not in set(keys) | {"_n", "_lo", "_hi"}]
+        st = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                                  F.percentile_approx("_v", grid, ACCURACY).alias("_pivots"))
+    extra = [c for c in st.columns if c not in set(keys) | {"_n", "_lo", "_hi", "_pivots"}]
     carry = _CARRY + tuple(extra)
     pos = (F.col("_n") - 1) * float(q)
-    state = st.select(*keys, "_n", "_lo", "_hi", *extra, pos.alias("_pos"), F.floor(pos).cast("long").alias("_t"),
+    cuts = [F.element_at("_pivots", i + 1).alias(f"_p{i}") for i in range(len(grid))]
+    state = st.select(*keys, "_n", "_lo", "_hi", *cuts, *extra, pos.alias("_pos"), F.floor(pos).cast("long").alias("_t"),
                       F.lit(0).cast("long").alias("_base"), F.lit(None).cast("double").alias("_next"))
-    for _ in range(rounds):
+    for turn in range(rounds):
         j = joined(x, state).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         width = F.col("_hi") - F.col("_lo")
         b = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets),
                                       F.lit(buckets - 1))).otherwise(F.lit(0))
+        if turn == 0:
+            b = sum((F.when(F.col("_v") >= F.col(f"_p{i}"), F.lit(1)).otherwise(F.lit(0)) for i in range(len(grid))), F.lit(0))
         c = j.groupBy(*keys, b.alias("_b")).agg(
             F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"),
             *[F.first(k).alias(k) for k in carry])
