@@ -5,14 +5,16 @@
    map-side, so thousands of exact copies cost one representative.
 2. A SuperMinHash signature (one correlated permutation per element, early stop) is cut
    into bands; representatives that share a band are candidates.
-3. In every bucket the first member is compared with the others; links are confirmed on
-   the full sets with ``intersection * 100 >= threshold * union``.
+3. In every bucket the first member is compared with the others: by size and signature
+   first, and links are confirmed on the full sets with
+   ``intersection * 100 >= threshold * union``. Only sets of pairs whose signatures agree are built.
 4. Links are grouped by star contraction (distributed union-find). In buckets that still
    hold several groups, each member outside the largest group is compared with a member of
    it, drawn anew for every bucket; so a bucket of near copies costs a few linear passes.
    Then all remaining pairs of different groups in a bucket are compared by their
-   signatures, in bounded blocks, and those that agree like similar sets are confirmed
-   there. Pairs inside one group are never built, and only links leave a block.
+   signatures, in bounded blocks; the members that agree with one like similar sets meet
+   again, now with their sets, and are confirmed there. Pairs inside one group are never
+   built, and only links leave a block.
 
 With 40 bands of 6 slots a pair at similarity 0.80 shares no band with probability 5e-6.
 
@@ -32,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import WordHash, blank_words, cut, mix64, shingle_keys
+from meterlake.llm.common import WordHash, blank_words, cut, mix64, shingle_keys, unused
 
-BANDS, ROWS = 40, 6
+BANDS, ROWS, SHINGLE = 40, 6, 5
 #: Elements whose permutations are held at once (bytes = elements * slots).
 CHUNK = 100_000
 #: Rounds that compare with the largest group of a bucket before the exhaustive one.
@@ -125,6 +127,15 @@ def signature_udf(shingle: int, bands: int, rows: int):
     return signature
 
 
+def _fingerprint_udf(shingle: int):
+    @F.pandas_udf("binary")
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        memo = WordHash()
+        sets = (shingle_keys(memo.array(blank_words(t)), shingle) for t in texts)
+        return pd.Series([_fingerprint(s) if len(s) else None for s in sets])
+    return fingerprint
+
+
 def _set_udf(shingle: int):
     @F.pandas_udf("fp binary, keys array<long>")
     def full_set(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -157,6 +168,29 @@ def group_links(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _floor(threshold: int, slots: int) -> tuple[float, float]:
+    """Least share of agreeing slots of similar sets: for sets larger than the signature, and for smaller ones.
+
+    The agreement of ``slots`` slots (one byte each) has a variance of t(1-t)/slots at most,
+    and of half that for sets smaller than the signature, as its slots are correlated. At
+    4.5 deviations below the threshold a link is missed with probability 3e-6."""
+    t = threshold / 100
+    spread = 4.5 * (t * (1 - t) / slots) ** 0.5
+    return t - spread, t - spread * 0.5 ** 0.5
+
+
+def _agreeing(pairs: DataFrame, classes: DataFrame, threshold: int, slots: int) -> DataFrame:
+    """Pairs (a, b) whose signatures agree as those of similar sets do."""
+    large, small = _floor(threshold, slots)
+
+    @F.pandas_udf("boolean")
+    def agree(a: pd.Series, b: pd.Series, both: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), slots) for s in (a, b))
+        return pd.Series((x == y).mean(axis=1) >= np.where(both.to_numpy() <= slots, small, large))
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("sketch").alias("s" + c), F.col("n").alias("n" + c))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(agree("sa", "sb", F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a") \
@@ -181,59 +215,77 @@ def _largest_group_pairs(members: DataFrame, threshold: int, turn: int) -> DataF
         .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
-def _alike(threshold: int, slots: int):
-    """Links of a bucket's block pair: pairs whose signatures agree as those of similar sets
-    do, confirmed on the full sets where they lie, so that only links leave the block.
+def _block_pairs(pdf: pd.DataFrame, threshold: int, slots: int):
+    """(left rows, right rows, agreeing places (i, j)...) of a bucket's block pair, in bounded steps."""
+    large, small = _floor(threshold, slots)
+    lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+    left, right = (pdf[pdf["block"] == x] for x in (lo, hi))
+    a, b = (np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), slots) for x in (left, right))
+    na, nb, ra, rb, ia, ib = (x[c].to_numpy() for c in ("n", "root", "node") for x in (left, right))
+    steps = []
+    for i in range(0, len(a), 64):
+        rows = slice(i, i + 64)
+        ok = (ra[rows, None] != rb) & (np.minimum(na[rows, None], nb) * 100 >= np.maximum(na[rows, None], nb) * threshold)
+        if lo == hi:
+            ok &= ia[rows, None] < ib
+        x, y = np.nonzero(ok)
+        for at in range(0, len(x), 65536):
+            p, q = x[at:at + 65536] + i, y[at:at + 65536]
+            good = (a[p] == b[q]).mean(axis=1) >= np.where(na[p] + nb[q] <= slots, small, large)
+            steps.append((p[good], q[good]))
+    return left, right, steps
+
+
+def _worth_a_look(threshold: int, slots: int):
+    """Members of a block pair whose signature agrees with one of another group there."""
+    def members(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, steps = _block_pairs(pdf, threshold, slots)
+        found = pd.concat([left.iloc[np.unique(np.concatenate([p for p, _ in steps] or [np.empty(0, np.int64)]))],
+                           right.iloc[np.unique(np.concatenate([q for _, q in steps] or [np.empty(0, np.int64)]))]])
+        return found.drop_duplicates("node")[["key", "lo", "hi", "block", "node", "n", "root", "sketch"]]
+    return members
 
-    The agreement of ``slots`` slots (one byte each) has a variance of t(1-t)/slots at most,
-    and of half that for sets smaller than the signature, as its slots are correlated. At
-    4.5 deviations below the threshold a link is missed with probability 3e-6."""
-    t = threshold / 100
-    spread = 4.5 * (t * (1 - t) / slots) ** 0.5
 
+def _alike(threshold: int, slots: int):
+    """Links of a block pair, confirmed on the full sets where they lie, so that only links leave it."""
     def alike(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        left, right = (pdf[pdf["block"] == x] for x in (lo, hi))
-        a, b = (np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), slots) for x in (left, right))
-        na, nb, ra, rb, ia, ib = (x[c].to_numpy() for c in ("n", "root", "node") for x in (left, right))
+        left, right, steps = _block_pairs(pdf, threshold, slots)
+        na, nb, ia, ib = (x[c].to_numpy() for c in ("n", "node") for x in (left, right))
         ka, kb = left["keys"].to_list(), right["keys"].to_list()
         out = []
-        for i in range(0, len(a), 64):
-            rows = slice(i, i + 64)
-            ok = (ra[rows, None] != rb) & (np.minimum(na[rows, None], nb) * 100 >= np.maximum(na[rows, None], nb) * threshold)
-            if lo == hi:
-                ok &= ia[rows, None] < ib
-            x, y = np.nonzero(ok)
-            for at in range(0, len(x), 65536):
-                p, q = x[at:at + 65536] + i, y[at:at + 65536]
-                small = na[p] + nb[q] <= slots
-                good = (a[p] == b[q]).sum(axis=1) >= (t - spread * np.where(small, 0.5 ** 0.5, 1.0)) * slots
-                p, q = p[good], q[good]
-                for one in np.unique(p):  # one set against all its partners
-                    with_ = q[p == one]
-                    sizes = nb[with_]
-                    both = np.add.reduceat(np.isin(np.concatenate([kb[j] for j in with_]), ka[one]).astype(np.int64),
-                                           np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-                    linked = with_[both * 100 >= (na[one] + sizes - both) * threshold]
-                    out.append(np.column_stack([np.full(len(linked), ia[one]), ib[linked]]))
+        for p, q in steps:
+            for one in np.unique(p):  # one set against all its partners
+                with_ = q[p == one]
+                sizes = nb[with_]
+                both = np.add.reduceat(np.isin(np.concatenate([kb[j] for j in with_]), ka[one]).astype(np.int64),
+                                       np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                linked = with_[both * 100 >= (na[one] + sizes - both) * threshold]
+                out.append(np.column_stack([np.full(len(linked), ia[one]), ib[linked]]))
         found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": found.min(axis=1), "b": found.max(axis=1)} if len(found) else {"a": [], "b": []}).astype("int64")
     return alike
 
 
-def _links_between_groups(members: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int, slots: int) -> DataFrame:
-    """Links between different groups of a bucket, block against block."""
+def _links_between_groups(members: DataFrame, classes: DataFrame, sets_of, threshold: int, slots: int) -> DataFrame:
+    """Links between different groups of a bucket, block against block: signatures first, then the sets of those that agree."""
     sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / PAIR_BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    held = members.join(sizes, "key").join(sketches, "node").join(sets, "node") \
+    held = members.join(sizes, "key").join(classes.select("node", "sketch"), "node") \
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "root", "sketch", "keys") \
-        .groupBy("key", "lo", "hi").applyInPandas(_alike(threshold, slots), "a long, b long").distinct()
+    cols = ["key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "root", "sketch"]
+    some = cut(held.select(*cols).groupBy("key", "lo", "hi").applyInPandas(
+        _worth_a_look(threshold, slots), "key long, lo int, hi int, block int, node long, n int, root long, sketch binary"))
+    return some.join(sets_of(some.select("node")), "node").groupBy("key", "lo", "hi").applyInPandas(
+        _alike(threshold, slots), "a long, b long").distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                    threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document row."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                    threshold: int = 80, bands: int = BANDS, rows: int = ROWS, with_fp: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per document row (and ``fp``, the fingerprint of its set)."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(ids.withColumn("s", signature_udf(shingle, bands, rows)("text")).select("doc_id", "s.n", "s.fp", "s.bands", "s.sketch"))
     # the node number is fixed by the checkpoint
@@ -247,13 +299,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = cut(cells.join(shared, "key"))
     tested = cut(cells.where((F.col("node") != F.col("centre")) & _fits("n", "centre_n", threshold))
                  .select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    roots = None
-    if not tested.isEmpty():
-        need = cut(classes.join(cells.select("node").distinct(), "node", "left_semi").select("node", "fp", "first_id"))
+    slots = bands * rows
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, keys): the full sets of some nodes, from the text of one of their documents."""
+        need = cut(classes.join(nodes.distinct(), "node", "left_semi").select("node", "fp", "first_id"))
         texts = ids.join(need.select(F.col("first_id").alias("want")).distinct(), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
-        sets = cut(texts.select(_set_udf(shingle)("text").alias("s")).select("s.fp", "s.keys").join(need, "fp")
+        return cut(texts.select(_set_udf(shingle)("text").alias("s")).select("s.fp", "s.keys").join(need, "fp")
                    .groupBy("node").agg(F.first("keys").alias("keys")))
-        links = cut(_similar(tested, sets, threshold))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        close = cut(_agreeing(pairs, classes, threshold, slots))
+        return _similar(close, sets_of(_ends(close)), threshold)
+
+    roots = None
+    if not tested.isEmpty():
+        links = cut(confirmed(tested))
         roots = group_links(links)
         wide = cells.where("members > 2").select("key", "node", "n")
         for turn in range(TURNS + 1):
@@ -261,10 +322,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
             wide = cut(members.join(split, "key", "left_semi"))
             if turn == TURNS:
-                more = _links_between_groups(wide, classes.select("node", "sketch"), sets, threshold, bands * rows)
+                more = _links_between_groups(wide, classes, sets_of, threshold, slots)
             else:
-                pairs = cut(_largest_group_pairs(wide, threshold, turn).join(tested, ["a", "b"], "left_anti"))
-                more = _similar(pairs, sets, threshold)
+                more = confirmed(_largest_group_pairs(wide, threshold, turn).join(tested, ["a", "b"], "left_anti"))
             more = cut(more)
             wide = wide.select("key", "node", "n")
             if not more.isEmpty():
@@ -280,22 +340,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), *(["fp"] if with_fp else []))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """One row of each component, with all its columns; rows without words or without an id stay.
 
-    Only the removed ids and the (few) ids that occur on several rows are joined back, so
-    a NULL id is never matched and never dropped."""
-    found = cut(near_duplicates(docs, id_col, text_col, **kw))
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = found.where("kept and n_shingles > 0 and doc_id is not null")
-    twice = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
-    key = F.col(id_col).cast("long") == F.col("__gone")
-    rest = docs.join(gone, key, "left_anti")
-    if twice.isEmpty():
-        return rest
-    twice = cut(twice)
-    return rest.join(twice, key, "left_anti").unionByName(
-        rest.join(twice, key, "left_semi").dropDuplicates([id_col]))
+    A component keeps its smallest id; where rows of that id have other texts, too, they belong
+    to other components and stay. Only the removed ids and the (few) ids that occur on several
+    rows are joined back, the latter with the fingerprint of their set."""
+    shingle = kw.get("shingle", SHINGLE)
+    own, dup, mark = (unused(docs, name) for name in ("own", "id", "fp"))
+    found = cut(near_duplicates(docs, id_col, text_col, **kw, with_fp=True)).where("doc_id is not null")
+    several = cut(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias(dup)))
+    key = F.col(id_col).cast("long") == F.col(dup)
+    gone = found.where("not kept").select(F.col("doc_id").alias(dup)).distinct().join(several, dup, "left_anti")
+    single = docs.join(gone, key, "left_anti")
+    if several.isEmpty():
+        return single
+    # of such an id, one row of the component it stands for stays, and the rows without words
+    keep = found.where("kept and fp is not null").join(several, F.col("doc_id") == F.col(dup), "left_semi") \
+        .groupBy(F.col("doc_id").alias(dup)).agg(F.min("fp").alias(mark))
+    many = docs.join(several, key, "left_semi").select(F.struct(*docs.columns).alias(own), F.col(id_col).cast("long").alias(dup),
+                                                       _fingerprint_udf(shingle)(F.col(text_col)).alias(mark))
+    blank = many.where(F.col(mark).isNull())
+    worded = many.where(F.col(mark).isNotNull()).join(keep, [dup, mark], "left_semi").dropDuplicates([dup, mark])
+    return single.join(several, key, "left_anti").unionByName(worded.unionByName(blank).select(f"{own}.*"))
