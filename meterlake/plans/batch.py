@@ -34,7 +34,7 @@ def run_fleet_report(spark: SparkSession, input_path, output_path: str, fmt: str
                      meter_id: str | None = None, reports=None, **normalise_kw) -> dict:
     """Run the batch job; returns {report name: output folder}."""
     out = output_path.rstrip("/")
-    good, bad = split_rejects(normalise(read_meter_raw(spark, input_path, fmt), meter_id=meter_id, **normalise_kw))
+    good, bad = split_rejects(normalise(read_meter_raw(spark, input_path, fmt), meter_id=meter_id, reasons=True, **normalise_kw))
     write_readings(good, f"{out}/readings")
     write_table(bad, f"{out}/rejects")
     m = spark.read.parquet(f"{out}/readings").drop("date")

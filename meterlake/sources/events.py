@@ -73,7 +73,7 @@ meter_readings AS (
          value * CAST(7.0 AS DOUBLE) * uplift / CAST(60.0 AS DOUBLE) / CAST(1000.0 AS DOUBLE) AS energy
   FROM mr_base)"""
 
-def raw_meter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_meter_text(spark: SparkSession, sf_dir: str, keep=()) -> DataFrame:
     """Meter files as text, derived from ``events``: several time forms, tied, missing and
     unreadable times, holes, words and non-finite numbers among the cells. ``register`` is a
     counter that starts again every 500 events; ``exact_time`` has no ties."""
@@ -89,7 +89,7 @@ def raw_meter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select(
         (F.col("user_id") % 10).cast("string").alias("meter"), stamp.alias("timestamp"), volt.alias("voltage"),
         watt.alias("active_power"), (n % 500).cast("string").alias("register"),
-        F.when(n % 8 != 0, time("yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("exact_time"))
+        F.when(n % 8 != 0, time("yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("exact_time"), *keep)
 
 
 # What those cells mean: the readings a reader must get (rows without a time are rejects).
@@ -103,6 +103,30 @@ raw_readings AS (
          CAST(event_id % 500 AS DOUBLE) AS register, CASE WHEN event_id % 8 <> 0 THEN ts END AS exact_time
   FROM events)"""
 
+def raw_meter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines ``meter,timestamp,voltage,active_power`` of such files; one in nine has two cells too
+    many, one in nine a cell too few."""
+    raw = raw_meter_text(spark, sf_dir, keep=["event_id"])
+    cells = [F.coalesce(F.col(c), F.lit("")) for c in LINE_COLUMNS]
+    n = F.col("event_id") % 9
+    return raw.select(F.when(n == 0, F.concat_ws(",", *cells, F.lit("x"), F.lit("y"))).when(n == 1, F.concat_ws(",", *cells[:-1]))
+                      .otherwise(F.concat_ws(",", *cells)).alias(",".join(LINE_COLUMNS)))
+
+
+LINE_COLUMNS = ("meter", "timestamp", "voltage", "active_power")
+
+RAW_LINES_SQL = """
+cells AS (
+  SELECT event_id, CAST(user_id % 10 AS VARCHAR) AS meter,
+         CASE event_id % 8 WHEN 0 THEN '' WHEN 1 THEN 'not a time' WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+           WHEN 3 THEN strftime(ts, '%Y/%m/%d %H:%M:%S') WHEN 4 THEN strftime(ts, '%Y%m%d %H:%M:%S')
+           WHEN 5 THEN strftime(ts, '%Y-%m-%d %H:%M') WHEN 6 THEN '  ' || strftime(ts, '%Y-%m-%d %H:%M:%S')
+           ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS stamp,
+         CASE event_id % 11 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN 'NaN' WHEN 3 THEN 'Infinity'
+           ELSE CAST(190 + (event_id * 37) % 61 AS VARCHAR) END AS volt,
+         CASE WHEN event_id % 13 = 5 THEN '-Infinity' ELSE CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) END AS watt
+  FROM events)"""
+
 # Synthetic file paths: one per event, extension chosen by event_id % 8, a
 # query string on every fifth one.
 _SUFFIXES = [".csv", ".JPG", ".tar.gz", "", ".mp4", ".wav", ".PDF", ".bin"]

@@ -3,8 +3,8 @@
 Files are read by column *name*: CSV paths are grouped by header line and every group is
 scanned with its own schema, so files may order or omit columns as they like. Values are cast with ``try_cast`` so
 a bad cell becomes NULL instead of failing the job, and time strings are parsed
-by a list of formats, then by Spark's ISO cast; rows whose time does not parse go to a
-rejects frame.
+by a list of formats, then by Spark's ISO cast. Lines with too many or too few cells and rows
+without a meter or a readable time go to a rejects frame, with the reason, the file and the line.
 Many files / a directory / a glob form one fleet: ``meter_id`` comes from a
 column or from the file name.
 """
@@ -14,7 +14,8 @@ from __future__ import annotations
 import csv
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,10 @@ from meterlake.operators.profile import data_range, null_counts, profile_stats
 from meterlake.plans.ordered import sequential
 from meterlake.schema import MEASURES, TIME_FORMATS
 
+#: Column with the text of a line whose cells do not match its file's header.
+CORRUPT = "_corrupt"
+#: Why a row is a reject; the first that applies.
+REASONS = ("malformed", "no_meter", "no_time", "bad_time")
 FORMATS = ("csv", "parquet", "json", "orc")
 _SUFFIX_FORMAT = {".csv": "csv", ".txt": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "json",
                   ".orc": "orc"}
@@ -86,7 +91,9 @@ def _read_csv(spark: SparkSession, paths) -> DataFrame:
         raise ValueError("a CSV header has empty or repeated names")
     if not groups:
         return reader.csv(paths).withColumn("_file", F.col("_metadata.file_name"))
-    frames = [reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(files)
+    # every cell is parsed, or lines with too many or too few of them would go unnoticed
+    reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
+    frames = [reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])).csv(files)
               .withColumn("_file", F.col("_metadata.file_name")).withColumn("_has_energy", F.lit("energy" in names))
               for names, files in groups.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -94,7 +101,7 @@ def _read_csv(spark: SparkSession, paths) -> DataFrame:
 
 def normalise(raw: DataFrame, meter_id: str | None = None, time_col: str = "timestamp",
               time_format=TIME_FORMATS, energy: str = "interval",
-              interval_minutes: float = 1.0, chunk: str | None = "auto") -> DataFrame:
+              interval_minutes: float = 1.0, chunk: str | None = "auto", reasons: bool = False) -> DataFrame:
     """Raw scan -> ``meter_readings`` (meter_id, seq, ts, measures...).
 
     * ``meter_id``: name of an id column; default is the source file name.
@@ -104,6 +111,8 @@ def normalise(raw: DataFrame, meter_id: str | None = None, time_col: str = "time
       cumulative register into per-interval values (C6). Rows without a time take no
       part in that: they keep the register value, for the rejects.
     * ``seq`` keeps file order (used only to break timestamp ties).
+    * a malformed line has no time (its cells may belong to other columns), so it is a reject;
+      ``reasons`` adds ``file``, ``reason`` (NULL for a good row) and ``record``, the malformed line.
     """
     cols = set(raw.columns)
     mid = F.col(meter_id or ("_file" if "_file" in cols else "_metadata.file_name"))
@@ -111,10 +120,18 @@ def normalise(raw: DataFrame, meter_id: str | None = None, time_col: str = "time
     ts_raw = F.col(time_col)
     ts = ts_raw if dict(raw.dtypes).get(time_col, "").startswith("timestamp") \
         else parse_time(ts_raw, formats)
+    broken = F.col(CORRUPT).isNotNull() if CORRUPT in cols else F.lit(False)
+    ts = F.when(~broken, ts)
     sel = [mid.alias("meter_id"), F.monotonically_increasing_id().alias("seq"),
            ts.cast("timestamp_ntz").alias("ts")]
     if "_has_energy" in cols:
         sel.append(F.col("_has_energy"))
+    if reasons:
+        blank = lambda c: c.isNull() | (F.trim(c.cast("string")) == "")
+        tests = (broken, blank(mid), blank(ts_raw), ts.isNull())
+        reason = F.coalesce(*[F.when(t, F.lit(name)) for t, name in zip(tests, REASONS, strict=True)])
+        sel += [F.col("_file").alias("file") if "_file" in cols else F.lit(None).cast("string").alias("file"), reason.alias("reason"),
+                F.when(broken, F.col(CORRUPT) if CORRUPT in cols else F.lit(None)).cast("string").alias("record")]
     for m in MEASURES:
         if m in cols:
             sel.append(nan_to_null(F.col(m).try_cast("double")).alias(m))
@@ -142,27 +159,76 @@ def parse_time(c, formats):
 
 
 def split_rejects(df: DataFrame):
-    """(good, rejects): rows whose time did not parse are quarantined (A4)."""
+    """(good, rejects): rows whose time did not parse are quarantined (A4); with ``reasons``, every
+    row that has one, and the good ones come without the columns about it."""
+    if "reason" in df.columns:
+        return df.where(F.col("reason").isNull()).drop("file", "reason", "record"), df.where(F.col("reason").isNotNull())
     return df.where(F.col("ts").isNotNull()), df.where(F.col("ts").isNull())
 
 
+def reject_counts(rejects: DataFrame) -> DataFrame:
+    """Quarantined rows per file and reason."""
+    return rejects.groupBy("file", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def read_meter(spark: SparkSession, path, fmt: str | None = "csv", **kw) -> DataFrame:
-    """Scan + normalise; rows with an unparsable time are dropped (see ``split_rejects``)."""
-    good, _ = split_rejects(normalise(read_meter_raw(spark, path, fmt), **kw))
+    """Scan + normalise; malformed lines and rows without a meter or a readable time are dropped (see ``split_rejects``)."""
+    good, _ = split_rejects(normalise(read_meter_raw(spark, path, fmt), reasons=True, **kw))
     return good
 
 
-def load_meter_data(spark: SparkSession, path, fmt: str | None = "csv", **kw) -> dict:
-    """Status record instead of an exception for a missing path or unreadable file (A3):
-    the readings with their range and statistics, the rejected rows, and the missing
-    values of all rows, each a DataFrame that nothing computes before it is used."""
+def load_meter_data(spark: SparkSession, path, fmt: str | None = "csv", verify: bool = False, **kw) -> dict:
+    """Status record instead of an exception for a missing path or unreadable files (A3):
+    the readings with their range and statistics, the rejected rows and their counts by file
+    and reason, and the missing values of all rows, each a DataFrame that nothing computes
+    before it is used.
+
+    If the files cannot be opened together, each is tried alone (only then): ``files`` tells
+    which ones failed and why, and the others are loaded; a load without a readable file is no
+    success. ``verify`` reads all rows once first, so that damage inside a file is found, too."""
     try:
-        rows = normalise(read_meter_raw(spark, path, fmt), **kw)  # analysed here: a missing path fails now
-        good, rejects = split_rejects(rows)
-        return {"success": True, "error": None, "data": good, "rejects": rejects, "data_range": data_range(good),
-                "stats": profile_stats(good), "missing_data": null_counts(rows)}
-    except AnalysisException as e:
-        return {"success": False, "error": str(e).splitlines()[0], "data": None}
+        raw = _opened(spark, path, fmt, verify)
+        files = None
+    except (PySparkException, Py4JJavaError) as e:
+        try:
+            files = file_status(spark, path, fmt, verify)
+        except (PySparkException, Py4JJavaError):
+            files = []
+        readable = [f["file"] for f in files if f["success"]]
+        if not readable:
+            return {"success": False, "error": _reason(e), "data": None, "files": files}
+        raw = read_meter_raw(spark, readable, fmt)
+    rows = normalise(raw, reasons=True, **kw)
+    good, rejects = split_rejects(rows)
+    return {"success": True, "error": None, "data": good, "rejects": rejects, "reject_counts": reject_counts(rejects),
+            "data_range": data_range(good), "stats": profile_stats(good),
+            "missing_data": null_counts(rows.drop("file", "reason", "record")), "files": files}
+
+
+def file_status(spark: SparkSession, path, fmt: str | None = "csv", verify: bool = True) -> list[dict]:
+    """One record (file, success, error) per file of the paths, each opened alone."""
+    paths = [path] if isinstance(path, str) else list(path)
+    out = []
+    for row in spark.read.format("binaryFile").load(paths).select("path").orderBy("path").toLocalIterator():
+        try:
+            _opened(spark, row.path, fmt, verify)
+            out.append({"file": row.path, "success": True, "error": None})
+        except (PySparkException, Py4JJavaError) as e:
+            out.append({"file": row.path, "success": False, "error": _reason(e)})
+    return out
+
+
+def _opened(spark: SparkSession, path, fmt: str | None, verify: bool) -> DataFrame:
+    """The raw scan, analysed (a missing path, a bad footer or header fails now); ``verify`` reads every row."""
+    raw = read_meter_raw(spark, path, fmt)
+    if verify:
+        raw.write.format("noop").mode("overwrite").save()
+    return raw
+
+
+def _reason(e: Exception) -> str:
+    cause = e.java_exception.getCause() or e.java_exception if isinstance(e, Py4JJavaError) else e
+    return str(cause).strip().splitlines()[0]
 
 
 def register_to_interval(df: DataFrame, col: str = "energy", chunk: str | None = "auto",

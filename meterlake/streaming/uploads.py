@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from meterlake.plans.reports import analysis_json
 from meterlake.schema import FILE_SCHEMA, TIME_FORMATS
-from meterlake.sources.meter import normalise, parse_time, read_meter_raw
+from meterlake.sources.meter import normalise, parse_time, read_meter_raw, split_rejects
 
 # every column read as text, then cast by name (bad cells become NULL, not errors)
 RAW_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in FILE_SCHEMA.fields])
@@ -46,8 +46,7 @@ def analyse_uploads(spark: SparkSession, input_dir: str, output_dir: str, checkp
         files = [r.path for r in batch.collect()]
         if not files:
             return
-        m = normalise(read_meter_raw(batch.sparkSession, files), meter_id="_file", chunk=chunk) \
-            .where(F.col("ts").isNotNull())
+        m, _ = split_rejects(normalise(read_meter_raw(batch.sparkSession, files), meter_id="_file", chunk=chunk, reasons=True))
         (analysis_json(m, chunk=chunk).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").json(f"{output_dir}/batch_id={batch_id}"))
 
