@@ -10,19 +10,22 @@
    frequent ones.
 3. From these, intervals are extended to the left (three words) and then to the right (four
    words), as long as every two-word part is frequent. Counts are again summed over the shards.
+   On the way there and back a word or pair is one row per shard that holds it: one exchange
+   by phrase, a window that sums it, and one exchange by shard.
 4. The tables of frequent phrases carry the counts of all their first and last parts, so cuts,
    scores and containment need joins of phrases with their one-word-shorter parts only.
 
-Counts are exact; nothing but a shard (bounded by ``SHARD_CHARS``, or one document) is ever
+Counts are exact; nothing but a shard (bounded by ``SHARD_CHARS``, or one piece) is ever
 held by a task, and every shard names a phrase once, so a very common phrase is one row a shard.
 
 Defined results: NULL texts are empty; a NULL language is ``und``; repeated rows count again;
 an empty table, or one without frequent phrases, gives no rows; only language and text are
-read, so other columns cannot clash; very long texts are shards of their own.
+read, so other columns cannot clash; very long texts are cut at piece ends into several shards.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -42,7 +45,11 @@ DEPTH = 4
 #: Least count of a phrase; share (in percent) of its count from which a longer one replaces it.
 MIN_COUNT, COVERED = 30, 80
 
+#: Bits of a place (shard and number of a word or pair in it) that are the number.
+_PLACE_BITS = 24
+
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
+_PIECE_END = re.compile("[.,;:!?\n\x0b\x0c\r]")
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -92,28 +99,26 @@ class PhraseIndex:
         self.right, self.symbols = second + 1, symbols
         self.key = self.right * symbols + self.left
 
-    def name_of(self, left: np.ndarray, right: np.ndarray, names: np.ndarray) -> np.ndarray:
-        """Names of two-word phrases, -1 where they have none."""
+    def known(self, left: np.ndarray, right: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Whether two-word phrases are among the wanted ones."""
         key = right * self.symbols + left
         at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
-        return np.where(self.key[at] == key, names[at], -1) if len(self.key) else np.full(len(key), -1)
+        return (self.key[at] == key) & wanted[at] if len(self.key) else np.zeros(len(key), bool)
 
-    def longer(self, names: np.ndarray):
-        """(names of the first, second and third two-word part (-1: none), count) of the phrases
-        of three and four words whose two-word parts all have a name."""
-        live = np.flatnonzero(names >= 0)
-        owner, word, low, size, back = self.forward.extend(self.low[live], self.size[live], self.back[live])
+    def longer(self, wanted: np.ndarray):
+        """(four word symbols, the last 0 for phrases of three words; count) of the phrases of
+        three and four words whose two-word parts are all wanted."""
+        live = np.flatnonzero(wanted)
+        owner, first, low, size, back = self.forward.extend(self.low[live], self.size[live], self.back[live])
         owner = live[owner]
-        first = self.name_of(word, self.left[owner], names)
-        ok = first >= 0
+        ok = self.known(first, self.left[owner], wanted)
         owner, first, low, size, back = owner[ok], first[ok], low[ok], size[ok], back[ok]
-        three, last, _, count, _ = self.reverse.extend(back, size, low)
-        third = self.name_of(self.right[owner[three]], last, names)
-        ok = third >= 0
-        three, third, count = three[ok], third[ok], count[ok]
-        none = np.full(len(first), -1, np.int64)
-        return (np.concatenate([first, first[three]]), np.concatenate([names[owner], names[owner[three]]]),
-                np.concatenate([none, third]), np.concatenate([size, count]))
+        second, third = self.left[owner], self.right[owner]
+        three, fourth, _, count, _ = self.reverse.extend(back, size, low)
+        ok = self.known(third[three], fourth, wanted)
+        three, fourth, count = three[ok], fourth[ok], count[ok]
+        words = [np.concatenate([x, x[three]]) for x in (first, second, third)]
+        return (*words, np.concatenate([np.zeros(len(first), np.int64), fourth]), np.concatenate([size, count]))
 
 
 def _pack(symbols: np.ndarray) -> bytes:
@@ -146,9 +151,21 @@ class _Words(dict):
         return found[found >= 0]
 
 
+def _parts(text: str) -> Iterator[str]:
+    """The text, cut after piece ends if it is longer than a shard."""
+    at = 0
+    while len(text) - at > SHARD_CHARS:
+        end = _PIECE_END.search(text, at + SHARD_CHARS // 2)
+        if not end:
+            break
+        yield text[at:end.end()]
+        at = end.end()
+    yield text[at:]
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per shard: its words with their counts, and its packed text."""
-    number = TaskContext.get().partitionId() << 32  # the same when a task is repeated
+    number = TaskContext.get().partitionId() << 18  # the same when a task is repeated
     open_: dict[str, tuple[_Words, list, int]] = {}
 
     def close(lang):
@@ -164,14 +181,15 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = 0
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words, parts, chars = open_.get(lang) or (_Words(), [], 0)
-            parts.append(words.numbers(text))
-            open_[lang] = (words, parts, chars + len(text))
-            total += len(text)
-            while total >= SHARD_CHARS and open_:
-                largest = max(open_, key=lambda x: open_[x][2])
-                total -= open_[largest][2]
-                yield close(largest)
+            for part in _parts(text):
+                words, parts, chars = open_.get(lang) or (_Words(), [], 0)
+                parts.append(words.numbers(part))
+                open_[lang] = (words, parts, chars + len(part))
+                total += len(part)
+                while total >= SHARD_CHARS and open_:
+                    largest = max(open_, key=lambda x: open_[x][2])
+                    total -= open_[largest][2]
+                    yield close(largest)
     for lang in list(open_):
         yield close(lang)
 
@@ -184,16 +202,18 @@ def _pairs(shard: pa.Table, known: pa.Table) -> pa.Table:
     number[at + 1] = np.arange(1, len(at) + 1)
     text = _joined_ends(number[text])
     index = PhraseIndex(text, len(at) + 1)
-    return pa.table([shard.column("own"), pa.array([_pack(text)]), pa.array([len(at) + 1]), pa.array([ids[index.left - 1]]),
-                     pa.array([ids[index.right - 1]]), pa.array([index.size])], names=["shard", "text", "symbols", "x", "y", "n"])
+    return pa.table([shard.column("own"), pa.array([_pack(text)]), pa.array([ids], pa.list_(pa.int64())), pa.array([ids[index.left - 1]]),
+                     pa.array([ids[index.right - 1]]), pa.array([index.size])], names=["shard", "text", "ids", "x", "y", "n"])
 
 
 def _longer(shard: pa.Table, known: pa.Table) -> pa.Table:
-    """Phrases of three and four words of a shard, by the ids of their two-word parts."""
-    index = PhraseIndex(_unpack(shard.column("text")[0].as_py()), shard.column("symbols")[0].as_py())
-    names = np.full(len(index.key), -1, np.int64)
-    names[known.column("at").to_numpy()] = known.column("id").to_numpy()
-    return pa.table([pa.array(x) for x in index.longer(names)], names=["x", "y", "z", "n"])
+    """Phrases of three and four words of a shard, by the ids of their words (-1: no fourth)."""
+    ids = np.concatenate([[-1], shard.column("ids").combine_chunks()[0].values.to_numpy()])
+    index = PhraseIndex(_unpack(shard.column("text")[0].as_py()), len(ids))
+    wanted = np.zeros(len(index.key), bool)
+    wanted[known.column("at").to_numpy()] = True
+    *words, count = index.longer(wanted)
+    return pa.table([*(pa.array(ids[w]) for w in words), pa.array(count)], names=["x", "y", "z", "w", "n"])
 
 
 def _by_shard(shards: DataFrame, known: DataFrame, parts: int, fn, schema: str) -> DataFrame:
@@ -211,46 +231,62 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     named = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")) \
         .select("shard", "lang", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     totals = named.groupBy("lang").agg(F.sum("n").alias("n"))
-    # ids are fixed by the written tables
-    words = stored(named.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
-                   .withColumn("id", F.monotonically_increasing_id()), "phrase-words")
-    known = named.select("shard", "lang", "at", "word").join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "at", "id")
-    two = stored(_by_shard(shards.select("shard", "text"), known, parts, _pairs,
-                           "shard long, text binary, symbols long, x array<long>, y array<long>, n array<long>"), "phrase-pairs")
+    words = _frequent(named, ["lang", "word"], min_count, "phrase-words")
+    one = words.where("place = id").select("id", "lang", F.col("word").alias("phrase"), "a")
+    two = stored(_by_shard(shards.select("shard", "text"), words.select(*_where(), "id"), parts, _pairs,
+                           "shard long, text binary, ids array<long>, x array<long>, y array<long>, n array<long>"), "phrase-pairs")
     pairs = two.select("shard", F.posexplode(F.arrays_zip("x", "y", "n")).alias("at", "p")).select("shard", "at", "p.x", "p.y", "p.n")
-    frequent = stored(pairs.groupBy("x", "y").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
-                      .withColumn("id", F.monotonically_increasing_id()), "phrase-two")
-    known = pairs.select("shard", "at", "x", "y").join(frequent.select("x", "y", "id"), ["x", "y"]).select("shard", "at", "id")
-    more = _by_shard(two.select("shard", "text", "symbols"), known, parts, _longer, "x long, y long, z long, n long")
-    more = cut(more.groupBy("x", "y", "z").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count))
-    return totals, _with_parts(words, frequent, more)
-
-
-def _grown(rows: DataFrame, head: DataFrame, tail: DataFrame, keys: list[str]) -> DataFrame:
-    """Phrases named by their parts without the last (h_*) and without the first word (t_*)."""
-    h = head.select(*[F.col(k).alias(f"h_{k}") for k in keys], "lang", F.col("phrase").alias("_start"), F.col("heads").alias("_heads"), F.col("a").alias("_ha"))
-    t = tail.select(*[F.col(k).alias(f"t_{k}") for k in keys], F.col("last").alias("_last"), F.col("tails").alias("_tails"), F.col("a").alias("_ta"))
-    return rows.join(h, [f"h_{k}" for k in keys]).join(t, [f"t_{k}" for k in keys]).select(
-        *rows.columns, "lang", F.concat_ws(" ", "_start", "_last").alias("phrase"), F.col("_last").alias("last"),
+    pairs = _frequent(pairs, ["x", "y"], min_count, "phrase-two")
+    more = _by_shard(two.select("shard", "text", "ids"), pairs.select(*_where()), parts, _longer, "x long, y long, z long, w long, n long")
+    more = cut(more.groupBy("x", "y", "z", "w").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count))
+    return totals, _with_parts(one, pairs.where("place = id").select("x", "y", "a"), more)
+
+
+def _frequent(rows: DataFrame, keys: list[str], min_count: int, name: str) -> DataFrame:
+    """place, id, a and the keys of the rows (shard, at, keys, n) whose phrase is frequent; ``id`` is
+    the smallest place of the phrase, ``a`` its count, and only the row at that place has the keys."""
+    place = (F.shiftleft("shard", _PLACE_BITS) + F.col("at")).alias("place")
+    same = Window.partitionBy(*keys)
+    summed = rows.select(place, *keys, "n").withColumns({"a": F.sum("n").over(same), "id": F.min("place").over(same)})
+    first = [F.when(F.col("place") == F.col("id"), F.col(k)).alias(k) for k in keys]
+    return stored(summed.where(F.col("a") >= min_count).select("place", "id", "a", *first), name)
+
+
+def _where() -> list[Column]:
+    """Shard and number of a place."""
+    return [F.shiftright("place", _PLACE_BITS).alias("shard"), F.col("place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int").alias("at")]
+
+
+_IDS = ["x", "y", "z", "w"]
+
+
+def _grown(rows: DataFrame, parts: DataFrame, size: int) -> DataFrame:
+    """Phrases of ``size`` words with what their parts without the last and without the first word know."""
+    start, end = _IDS[:size - 1], _IDS[1:size]
+    h = parts.select(*start, "lang", F.col("phrase").alias("_start"), F.col("heads").alias("_heads"), F.col("a").alias("_ha"))
+    t = parts.select(*[F.col(k).alias(e) for k, e in zip(start, end, strict=True)], F.col("last").alias("_last"), F.col("tails").alias("_tails"),
+                     F.col("a").alias("_ta"))
+    return rows.join(h, start).join(t, end).select(
+        *_IDS[:size], "a", "lang", F.concat_ws(" ", "_start", "_last").alias("phrase"), F.col("_last").alias("last"),
         F.concat("_heads", F.array("_ha")).alias("heads"), F.concat(F.array("_ta"), "_tails").alias("tails"))
 
 
-def _with_parts(words: DataFrame, two: DataFrame, more: DataFrame) -> DataFrame:
+def _with_parts(one: DataFrame, two: DataFrame, more: DataFrame) -> DataFrame:
     none = F.array().cast("array<long>")
-    one = words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails"))
-    two = cut(_grown(two.select("id", "a", F.col("x").alias("h_id"), F.col("y").alias("t_id")), one, one, ["id"]))
-    three = more.where("z = -1").select("x", "y", "a", F.col("x").alias("h_id"), F.col("y").alias("t_id"))
-    three = cut(_grown(three, two, two, ["id"]))
-    four = more.where("z <> -1").select("a", F.col("x").alias("h_x"), F.col("y").alias("h_y"), F.col("y").alias("t_x"), F.col("z").alias("t_y"))
-    four = cut(_grown(four, three, three, ["x", "y"]))
-
-    def covered(short: DataFrame, long: DataFrame, keys: list[str]) -> DataFrame:
-        ends = [long.select(*[F.col(f"{side}_{k}").alias(k) for k in keys], F.col("a").alias("longer")) for side in "ht"]
-        return short.join(ends[0].unionAll(ends[1]).groupBy(*keys).agg(F.max("longer").alias("longer")), keys, "left")
-
-    out = [covered(two, three, ["id"]), covered(three, four, ["x", "y"]), four.withColumn("longer", F.lit(None).cast("long"))]
-    cols = ["lang", "phrase", "a", "heads", "tails", "longer"]
-    return out[0].select(*cols).unionAll(out[1].select(*cols)).unionAll(out[2].select(*cols))
+    sized = [one.select(F.col("id").alias("x"), "lang", "phrase", F.col("phrase").alias("last"), "a", none.alias("heads"), none.alias("tails"))]
+    for size, rows in ((2, two), (3, more.where("w = -1").drop("w")), (4, more.where("w <> -1"))):
+        sized.append(cut(_grown(rows, sized[-1], size)))
+    out = []
+    for size, phrases in enumerate(sized[1:], 2):
+        keys = _IDS[:size]
+        longest = F.lit(None).cast("long").alias("longer")
+        if size < DEPTH:
+            at_ends = [sized[size].select(*[F.col(k).alias(n) for k, n in zip(side, keys, strict=True)], F.col("a").alias("longer"))
+                       for side in (_IDS[:size], _IDS[1:size + 1])]
+            phrases = phrases.join(at_ends[0].unionAll(at_ends[1]).groupBy(*keys).agg(F.max("longer").alias("longer")), keys, "left")
+            longest = F.col("longer")
+        out.append(phrases.select("lang", "phrase", "a", "heads", "tails", longest))
+    return out[0].unionAll(out[1]).unionAll(out[2])
 
 
 def _weakest_cut() -> Column:

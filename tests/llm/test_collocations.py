@@ -72,12 +72,18 @@ def test_index_intervals():
     index = collocations.PhraseIndex(text, 6)
     grams = lambda k: Counter(t for t in zip(*(text[i:len(text) - k + 1 + i].tolist() for i in range(k))) if 0 not in t)
     assert {(a, b): n for a, b, n in zip(index.left.tolist(), index.right.tolist(), index.size.tolist())} == grams(2)
-    x, y, z, n = index.longer(np.arange(len(index.key)))
-    pair = list(zip(index.left.tolist(), index.right.tolist()))
-    got = {pair[a] + pair[b][1:] + (pair[c][1:] if c >= 0 else ()): k for a, b, c, k in zip(x, y, z, n.tolist())}
+    *words, n = index.longer(np.ones(len(index.key), bool))
+    got = {tuple(x for x in gram if x): k for *gram, k in zip(*(w.tolist() for w in words), n.tolist())}
     assert got == grams(3) + grams(4)
 
 
+def test_long_texts_are_cut_at_piece_ends(monkeypatch):
+    monkeypatch.setattr(collocations, "SHARD_CHARS", 20)
+    text = "a b c d e f g h i, j k l m n o p q r s t u v w. x" + " y" * 30
+    parts = list(collocations._parts(text))
+    assert "".join(parts) == text and len(parts) == 3 and parts[0].endswith(",") and parts[1].endswith(".")
+
+
 def test_scores_past_64_bits(spark):
     big = 9 * 10 ** 15
     df = spark.createDataFrame([(big, [big, big + 7], [big + 1, big])], "a long, heads array<long>, tails array<long>")
