@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns
 the columns of ``docs``; the last one adds the token columns. A stage's result is written
 to the shared folder and read again, so a lost executor costs one stage at most.
+
+Defined results: NULL and empty texts pass all stages (no toxic clause, no shingle, no window,
+no entity, no piece); rows that repeat are copies and one stays, unless their id is NULL; tied
+copies keep the smallest id; an empty table stays empty; further columns pass through, whatever
+their names, except the three that the last stage adds; texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm import decontaminate, near_dup, pii, sentencepiece_codec, toxicity
-from meterlake.llm.common import table
+from meterlake.llm.common import table, unused
 from meterlake.llm.registry import PII_KEY, piece_model
 from meterlake.session import ensure_checkpoint_dir
 
@@ -21,7 +26,8 @@ from meterlake.session import ensure_checkpoint_dir
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar, fitted on the labels, scores below one half."""
     model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score_documents(docs, model, result="__toxicity").where("__toxicity < 0.5").drop("__toxicity")
+    score = unused(docs, "score")
+    return toxicity.score_documents(docs, model, result=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +50,12 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of the pieces and of the decoded text."""
-    return docs.withColumn("__d", sentencepiece_codec.digest_udf(piece_model())(F.col("text"))).select(*docs.columns, "__d.*")
+    """Token count and digests of the pieces and of the decoded text; they replace columns of these names."""
+    digests = unused(docs, "digests")
+    found = docs.withColumn(digests, sentencepiece_codec.digest_udf(piece_model())(F.col("text")))
+    names = found.select(f"{digests}.*").columns
+    kept = [c for c in docs.columns if c.lower() not in names]
+    return found.select(*kept, f"{digests}.*")
 
 
 STAGES = [

@@ -16,7 +16,8 @@ however long an item is.
 
 Defined results: NULL or word-less texts have no words and no hits; items without words
 or with a NULL text have no window; an item with a NULL id hits words but is not counted
-or listed; repeated items count once; only the text column is read.
+or listed; repeated items count once; only the text column is read, and other columns may
+have any names; very long texts and items are searched whole.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import cut
+from meterlake.llm.common import cut, unused
 
 WINDOW = 10
 #: Benchmark text per broadcast block.
@@ -52,7 +53,7 @@ def pack_items(items: list[tuple[str | None, str | None]], window: int) -> dict:
     flat = np.fromiter((vocab.setdefault(w, len(vocab) + 1) for *_, words in rows for w in words), np.int32, int(sizes.sum()))
     stop = np.repeat(np.cumsum(sizes), sizes)
     size = np.repeat(np.minimum(sizes, window), sizes)
-    return {"vocab": vocab, "names": [None if none else name for none, name, _ in rows], "flat": flat, "stop": stop,
+    return {"vocab": vocab, "names": [None if none else name for none, name, _ in rows], "flat": flat, "stop": stop, "begin": stop - np.repeat(sizes, sizes),
             "owner": np.repeat(np.arange(len(rows)), sizes), "need": np.where(np.arange(len(flat)) + size <= stop, size, 0),
             "depth": int(sizes.max(initial=0)), "least": int(np.minimum(sizes, window).min()) if len(rows) else 0}
 
@@ -117,12 +118,18 @@ def _common(ids: np.ndarray, at: np.ndarray, flat: np.ndarray, test: np.ndarray,
 def search_shard(texts: list, pack: dict) -> tuple[np.ndarray, list[tuple[int, int, int, int]], list[tuple[int, int, int]]]:
     """Words per document; window places (document, first word, words, item); longest matches
     (test suffix, words, document) of the shard, for suffixes that match at least their window."""
+    return _search(texts, pack)[:3]
+
+
+def _search(texts: list, pack: dict):
+    """What ``search_shard`` tells, and the longest verbatim match of each document that has one:
+    {document: (words, first word in it, item, first word in the item)}, the first one on ties."""
     get = pack["vocab"].get
     words = [item_words(t) for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
     flat, least, depth = pack["flat"], pack["least"], pack["depth"]
     if not len(flat) or not counts.sum():
-        return counts, [], []
+        return counts, [], [], {}
     begin = np.concatenate([[0], np.cumsum(counts + 1)])
     ids = np.zeros(begin[-1] + depth, np.int64)
     for b, w in zip(begin.tolist(), words, strict=False):
@@ -132,7 +139,7 @@ def search_shard(texts: list, pack: dict) -> tuple[np.ndarray, list[tuple[int, i
     run = stop[np.searchsorted(stop, known)] - known
     starts = known[run >= least]
     if not len(starts):
-        return counts, [], []
+        return counts, [], [], {}
     # only the neighbourhoods of candidate positions take part in the sort
     keep = np.zeros(len(ids) + 1, np.int64)
     np.add.at(keep, starts, 1)
@@ -161,7 +168,13 @@ def search_shard(texts: list, pack: dict) -> tuple[np.ndarray, list[tuple[int, i
     places = list(zip(doc.tolist(), (pos - begin[doc]).tolist(), pack["need"][which].tolist(), pack["owner"][which].tolist(), strict=True))
     best = back[sa[near[hit]]]
     matches = list(zip(hit.tolist(), longest[hit].tolist(), (np.searchsorted(begin, best, side="right") - 1).tolist(), strict=True))
-    return counts, places, matches
+    # every longest match starts with a place of its first window, and goes on from there word by word
+    extent = _common(ids, pos, flat, which, pack["stop"][which] - which)
+    item, offset = pack["owner"][which], which - pack["begin"][which]
+    order = np.lexsort((offset, item, pos, -extent, doc))
+    order = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]
+    best_of = {d: row for d, *row in zip(*(x[order].tolist() for x in (doc, extent, pos - begin[doc], item, offset)), strict=True)}
+    return counts, places, matches, best_of
 
 
 def _covered(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -176,11 +189,14 @@ def _covered(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 #: Words searched at once.
 SHARD_WORDS = 400_000
+#: The longest verbatim match: its words, its first word in the document, the item (NULL: an item
+#: without an id) and its first word there.
+MATCH = "struct<words:long,start:long,item:string,item_start:long>"
 
 
 def _search_udf(packed):
-    """Per document: n_words, merged hit spans (word offsets), items, longest match in words."""
-    @F.pandas_udf("n_words long, spans array<struct<a:long,b:long>>, items array<string>, longest long")
+    """Per document: n_words, merged hit spans (word offsets), items, the longest verbatim match."""
+    @F.pandas_udf(f"n_words long, spans array<struct<a:long,b:long>>, items array<string>, match {MATCH}")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pack = packed.value
         for batch in batches:
@@ -192,18 +208,19 @@ def _search_udf(packed):
                 while end < len(texts) and (end == at or size < SHARD_WORDS * 6):
                     size += len(texts[end] or "")
                     end += 1
-                counts, places, _ = search_shard(texts[at:end], pack)
+                counts, places, _, best = _search(texts[at:end], pack)
                 spans: dict[int, list] = {}
                 items: dict[int, set] = {}
                 for d, a, n, item in places:
                     spans.setdefault(d, []).append((a, a + n))
                     items.setdefault(d, set()).add(pack["names"][item])
                 for d, n in enumerate(counts.tolist()):
-                    merged = _covered(spans.get(d, []))
-                    rows.append((n, merged, sorted(x for x in items.get(d, ()) if x is not None), max((b - a for a, b in merged), default=0)))
+                    words, start, item, item_start = best.get(d, (0, None, None, None))
+                    match = {"words": words, "start": start, "item": None if item is None else pack["names"][item], "item_start": item_start}
+                    rows.append((n, _covered(spans.get(d, [])), sorted(x for x in items.get(d, ()) if x is not None), match))
                 at = end
             yield pd.DataFrame({"n_words": [r[0] for r in rows], "spans": [[{"a": a, "b": b} for a, b in r[1]] for r in rows],
-                                "items": [r[2] for r in rows], "longest": [r[3] for r in rows]})
+                                "items": [r[2] for r in rows], "match": [r[3] for r in rows]})
     return search
 
 
@@ -227,36 +244,40 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
                        item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
                        result: str = "__leak") -> DataFrame:
-    """``docs`` with a struct column ``result``: n_words, spans, items, longest."""
+    """``docs`` with a struct column ``result``: n_words, spans, items, match."""
     sc = docs.sparkSession.sparkContext
+    more, joined = unused(docs, "more"), unused(docs, "joined")
     out = None
     for block in _blocks(benchmark, item_id, item_text, block_bytes):
         search = _search_udf(sc.broadcast(pack_items(block, window)))
         if out is None:
             out = docs.withColumn(result, search(F.col(text_col)))
             continue
-        both = cut(out).withColumn("__more", search(F.col(text_col)))
-        spans = _merge_udf()(F.concat(f"{result}.spans", "__more.spans"))
-        out = both.withColumn("__spans", spans).withColumn(result, F.struct(
-            F.col(f"{result}.n_words").alias("n_words"), F.col("__spans").alias("spans"),
-            F.array_sort(F.array_union(f"{result}.items", "__more.items")).alias("items"),
-            F.coalesce(F.array_max(F.transform("__spans", lambda s: s["b"] - s["a"])), F.lit(0).cast("long")).alias("longest"))) \
-            .drop("__more", "__spans")
+        both = cut(out).withColumn(more, search(F.col(text_col)))
+        spans = _merge_udf()(F.concat(f"{result}.spans", f"{more}.spans"))
+        out = both.withColumn(joined, spans).withColumn(result, F.struct(
+            F.col(f"{result}.n_words").alias("n_words"), F.col(joined).alias("spans"),
+            F.array_sort(F.array_union(f"{result}.items", f"{more}.items")).alias("items"),
+            F.when(F.col(f"{more}.match.words") > F.col(f"{result}.match.words"), F.col(f"{more}.match"))
+            .otherwise(F.col(f"{result}.match")).alias("match"))).drop(more, joined)
     return out
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, spans."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest (words of the longest verbatim
+    match), match (its places) and spans (merged hit words)."""
     found = find_contamination(docs.select(F.col(id_col).alias("doc_id"), F.col(kw.pop("text_col", "text")).alias("text")), benchmark, **kw)
     hit = F.aggregate("__leak.spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     return found.select(
         "doc_id", F.col("__leak.n_words").alias("n_words"), hit.alias("n_hit"),
         F.size("__leak.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("__leak.items", ",").cast("binary"), 256).alias("items_sha256"),
-        (hit > 0).alias("contaminated"), F.col("__leak.longest").alias("longest"))
+        (hit > 0).alias("contaminated"), F.col("__leak.match.words").alias("longest"), F.col("__leak.match").alias("match"),
+        F.col("__leak.spans").alias("spans"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents without any benchmark window, with their columns."""
-    return find_contamination(docs, benchmark, **kw).where(F.size("__leak.spans") == 0).drop("__leak")
+    leak = unused(docs, "leak")
+    return find_contamination(docs, benchmark, result=leak, **kw).where(F.size(f"{leak}.spans") == 0).drop(leak)
 

@@ -3,8 +3,8 @@
 Detected entities: e-mail addresses, phone numbers, IPv4 addresses, payment cards, social
 security numbers, IBANs, and names behind a title. Each gets a keyed replacement of the same
 type and format: numbers pass a keyed Feistel permutation of their digits (a bijection, so
-different numbers of one length stay different; Luhn-valid cards stay valid, IPv4 stays
-IPv4), separators stay, letters keep their script, names keep title and gender. The same
+different numbers of one length stay different; Luhn-valid cards and IBANs with right check
+digits stay valid, IPv4 stays IPv4), separators stay, letters keep their script, names keep title and gender. The same
 entity gets the same surrogate everywhere.
 
 Collision checks run over all distinct entities: a surrogate that equals a real entity of
@@ -14,7 +14,8 @@ zero (rare) are joined back by text.
 
 Defined results: NULL texts stay NULL, empty texts stay empty, texts without entities are
 unchanged; repeated rows get equal results; other columns pass through; the key decides all
-replacements, so equal keys give equal output.
+replacements, so equal keys give equal output; other columns may have any names; very long
+texts, addresses and hosts are replaced whole.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import cut
+from meterlake.llm.common import cut, unused
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 NAME = (r"(?<![\p{L}])(?:Mrs|Mr|Miss|Ms|Herr|Frau|Mme|Madame|Monsieur|Señora|Señor|Dr|Prof|г-н|г-жа)\.?\x20"
         r"\p{Lu}[\p{L}'’-]{1,40}(?:\x20\p{Lu}[\p{L}'’-]{1,40})?")
@@ -164,14 +165,35 @@ def _ssns(e: DataFrame, key: str) -> DataFrame:
     return e.withColumn("s", _refill(F.col("x"), _permute(F.col("canon"), key, F.concat(F.lit("ssn"), "salt"))))
 
 
+def _mod97(iban: Column) -> Column:
+    """The number that an IBAN without separators stands for (letters count from 10, the first four
+    characters go to the end), modulo 97; 1 for a valid one."""
+    turned = F.concat(F.substr(iban, F.lit(5), F.length(iban)), F.substr(iban, F.lit(1), F.lit(4)))
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(turned)), lambda i: value(F.substr(turned, i, F.lit(1)))),
+                       F.lit(0), lambda s, v: F.pmod(s * F.when(v > 9, 100).otherwise(10) + v, F.lit(97)))
+
+
 def _ibans(e: DataFrame, key: str) -> DataFrame:
-    """Country and letters kept; the digits are permuted in pieces that a long can hold."""
-    e = e.withColumn("digits", _digits(F.col("x"))).withColumn("half", F.floor(F.length("digits") / 2).cast("int")) \
+    """The country stays; digits after the check digits are permuted in pieces that a long can hold,
+    letters are shifted by keyed amounts; the check digits keep their distance from the right ones,
+    so that a valid IBAN stays valid."""
+    body = F.substr("canon", F.lit(5), F.length("canon"))
+    e = e.withColumn("digits", _digits(body)).withColumn("half", F.floor(F.length("digits") / 2).cast("int")) \
         .withColumn("left", F.substr("digits", F.lit(1), F.col("half"))) \
         .withColumn("right", F.substr("digits", F.col("half") + 1, F.length("digits"))) \
-        .withColumn("left", _permute(F.col("left"), key, F.concat(F.lit("iban"), "salt", "right"))) \
-        .withColumn("right", _permute(F.col("right"), key, F.concat(F.lit("iban"), "salt", "left")))
-    return e.withColumn("s", _refill(F.col("x"), F.concat("left", "right")))
+        .withColumn("left", F.when(F.length("left") > 0, _permute(F.col("left"), key, F.concat(F.lit("iban"), "salt", "right"))).otherwise("")) \
+        .withColumn("right", F.when(F.length("right") > 0, _permute(F.col("right"), key, F.concat(F.lit("iban"), "salt", "left"))).otherwise(""))
+    shift = lambda c, i: F.chr(F.pmod(F.ascii(c) - 65 + F.pmod(_hash(key, "iban", F.col("salt"), i, "digits"), F.lit(26)), F.lit(26)) + 65)
+    new = _refill(body, F.concat("left", "right"))
+    e = e.withColumn("body", F.array_join(F.transform(F.sequence(F.lit(1), F.length(new)), lambda i: F.when(
+        F.substr(new, i, F.lit(1)).rlike("[A-Z]"), shift(F.substr(new, i, F.lit(1)), i)).otherwise(F.substr(new, i, F.lit(1)))), ""))
+    right = lambda rest: F.lit(98) - _mod97(F.concat(F.substr("canon", F.lit(1), F.lit(2)), F.lit("00"), rest))
+    e = e.withColumn("check", F.pmod(F.substr("canon", F.lit(3), F.lit(2)).cast("int") - right(body) + right(F.col("body")) - 2, F.lit(97)) + 2)
+    e = e.withColumn("whole", F.concat(F.substr("canon", F.lit(1), F.lit(2)), F.lpad(F.col("check").cast("string"), 2, "0"), "body"))
+    place = lambda i: F.length(F.regexp_replace(F.substr("x", F.lit(1), i), "[^A-Z0-9]", ""))
+    return e.withColumn("s", F.array_join(F.transform(F.sequence(F.lit(1), F.length("x")), lambda i: F.when(
+        F.substr("x", i, F.lit(1)).rlike("[A-Z0-9]"), F.substr("whole", place(i), F.lit(1))).otherwise(F.substr("x", i, F.lit(1)))), ""))
 
 
 def _names(e: DataFrame, key: str) -> DataFrame:
@@ -233,17 +255,18 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", types_co
     """``docs`` with the entities of ``text_col`` replaced; ``types_col`` adds their types, in order."""
     text = F.col(text_col)
     has = F.coalesce(text.rlike(ENTITY), F.lit(False))
+    h, k, made, own = (unused(docs, name) for name in ("h", "k", "new", "found"))
     # equal texts take part once; two hashes stand for a text
-    seen = cut(docs.where(has).select(F.xxhash64(text_col).alias("__h"), F.xxhash64(F.lit("second"), text_col).alias("__k"),
-                                      entities_of(text).alias("found")).dropDuplicates(["__h", "__k"]))
+    seen = cut(docs.where(has).select(F.xxhash64(text_col).alias(h), F.xxhash64(F.lit("second"), text_col).alias(k),
+                                      entities_of(text).alias("found")).dropDuplicates([h, k]))
     new = surrogates(seen, key)
-    by_text = seen.select("__h", "__k", F.explode(F.array_distinct("found")).alias("x")).join(new, "x") \
-        .groupBy("__h", "__k").agg(F.map_from_entries(F.collect_list(F.struct("x", "s"))).alias("__new"))
-    touched = docs.where(has).withColumn("__found", entities_of(text)) \
-        .join(by_text, (F.xxhash64(text_col) == F.col("__h")) & (F.xxhash64(F.lit("second"), text_col) == F.col("__k")))
+    by_text = seen.select(h, k, F.explode(F.array_distinct("found")).alias("x")).join(new, "x") \
+        .groupBy(h, k).agg(F.map_from_entries(F.collect_list(F.struct("x", "s"))).alias(made))
+    touched = docs.where(has).withColumn(own, entities_of(text)) \
+        .join(by_text, (F.xxhash64(text_col) == F.col(h)) & (F.xxhash64(F.lit("second"), text_col) == F.col(k)))
     gaps = F.split(text, ENTITY, -1)
-    put = F.transform("__found", lambda x: F.element_at("__new", x))
-    kinds = [F.transform("__found", entity_type).alias(types_col)] if types_col else []
+    put = F.transform(own, lambda x: F.element_at(made, x))
+    kinds = [F.transform(own, entity_type).alias(types_col)] if types_col else []
     joined = F.array_join(F.zip_with(gaps, put, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     touched = touched.select(*[joined.alias(c) if c == text_col else F.col(c) for c in docs.columns], *kinds)
     rest = docs.where(~has)
