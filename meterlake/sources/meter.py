@@ -28,6 +28,8 @@ from meterlake.schema import MEASURES, TIME_FORMATS
 
 #: Column with the text of a line whose cells do not match its file's header.
 CORRUPT = "_corrupt"
+#: Bits of a row's place in its file within ``seq``.
+_PLACE_BITS = 43
 #: Why a row is a reject; the first that applies.
 REASONS = ("malformed", "no_meter", "no_time", "bad_time")
 FORMATS = ("csv", "parquet", "json", "orc")
@@ -47,7 +49,7 @@ def infer_format(path: str, default: str = "csv") -> str:
 def read_meter_raw(spark: SparkSession, path, fmt: str | None = "csv") -> DataFrame:
     """Scan meter files without touching the values (A1, A2); ``fmt=None``
     picks the format from the suffix, which all paths must share. ``_file`` is
-    the source file's name; ``_has_energy`` tells CSV files with that column."""
+    the source file's name, ``_order`` the row's place; ``_has_energy`` tells CSV files with that column."""
     paths = [path] if isinstance(path, str) else list(path)
     if fmt is None:
         found = {infer_format(p) for p in paths}
@@ -58,7 +60,18 @@ def read_meter_raw(spark: SparkSession, path, fmt: str | None = "csv") -> DataFr
         raise ValueError(f"unsupported format {fmt!r}; expected one of {FORMATS}")
     if fmt == "csv":
         return _read_csv(spark, paths)
-    return spark.read.format(fmt).load(paths).withColumn("_file", F.col("_metadata.file_name"))
+    return spark.read.format(fmt).load(paths).withColumns({"_file": F.col("_metadata.file_name"), "_order": _file_order(fmt)})
+
+
+def _file_order(fmt: str):
+    """A long that sorts rows by file (in the order of the paths' hashes) and by place in the file, the
+    same however the files are cut into splits: the row's number (parquet), or the first byte of its
+    split and its number in the task. A line has at least a byte, so a split's numbers end before the
+    next split begins; only a file's last split can share its task with other files."""
+    place = F.col("_metadata.row_index") if fmt == "parquet" else \
+        F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    file = F.xxhash64("_metadata.file_path").bitwiseAND(F.lit((1 << (63 - _PLACE_BITS)) - 1))
+    return F.shiftleft(file, _PLACE_BITS) + place
 
 
 def csv_headers(spark: SparkSession, paths) -> dict[tuple, list]:
@@ -90,11 +103,11 @@ def _read_csv(spark: SparkSession, paths) -> DataFrame:
     if any(len(set(names)) < len(names) or "" in names for names in groups):
         raise ValueError("a CSV header has empty or repeated names")
     if not groups:
-        return reader.csv(paths).withColumn("_file", F.col("_metadata.file_name"))
+        return reader.csv(paths).withColumns({"_file": F.col("_metadata.file_name"), "_order": _file_order("csv")})
     # every cell is parsed, or lines with too many or too few of them would go unnoticed
     reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
     frames = [reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])).csv(files)
-              .withColumn("_file", F.col("_metadata.file_name")).withColumn("_has_energy", F.lit("energy" in names))
+              .withColumns({"_file": F.col("_metadata.file_name"), "_order": _file_order("csv"), "_has_energy": F.lit("energy" in names)})
               for names, files in groups.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
@@ -110,7 +123,7 @@ def normalise(raw: DataFrame, meter_id: str | None = None, time_col: str = "time
       ``energy`` column get it from power (C4), ``energy='register'`` converts a
       cumulative register into per-interval values (C6). Rows without a time take no
       part in that: they keep the register value, for the rejects.
-    * ``seq`` keeps file order (used only to break timestamp ties).
+    * ``seq`` keeps file order (used only to break timestamp ties), whatever the splits.
     * a malformed line has no time (its cells may belong to other columns), so it is a reject;
       ``reasons`` adds ``file``, ``reason`` (NULL for a good row) and ``record``, the malformed line.
     """
@@ -122,7 +135,8 @@ def normalise(raw: DataFrame, meter_id: str | None = None, time_col: str = "time
         else parse_time(ts_raw, formats)
     broken = F.col(CORRUPT).isNotNull() if CORRUPT in cols else F.lit(False)
     ts = F.when(~broken, ts)
-    sel = [mid.alias("meter_id"), F.monotonically_increasing_id().alias("seq"),
+    order = F.col("_order") if "_order" in cols else F.monotonically_increasing_id()
+    sel = [mid.alias("meter_id"), order.alias("seq"),
            ts.cast("timestamp_ntz").alias("ts")]
     if "_has_energy" in cols:
         sel.append(F.col("_has_energy"))
