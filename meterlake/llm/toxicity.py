@@ -9,15 +9,14 @@ carries the context (targeted, negated, reported) of its clause, so clauses are
 and not isolated words. A document's score is the logistic function of the weighted event
 counts and of how far weak insults that are neither negated nor reported exceed their chance number in a text of that length.
 
-Learned from a bounded sample of ``sample_rows`` labels: the insult lexicon
-(at most ``max_lexicon`` words or stems far more frequent in toxic texts, next to a few
-fixed seed words) and the event weights (ridge-penalised towards the grammar's prior).
+Learned from a bounded sample of ``sample_rows`` labels, the only bound: the insult lexicon
+(words or stems far more frequent in toxic texts, next to a few fixed seed words) and the event weights (ridge-penalised towards the grammar's prior).
 Near copies in the sample count once per label: rows whose signatures over four-word shingles
 (those of ``near_dup``) agree on 0.8 of the slots, by the first of them; texts without words are one.
 
 Defined results: NULL and empty texts score as texts without events; labels that are NULL
 or have a NULL id teach nothing; conflicting labels of one id each count; scoring reads the
-whole text and no other column.
+whole text, however long, and no other column, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from meterlake.llm.common import cut, id_bucket, sample_ids
 from meterlake.llm.near_dup import signature_udf
 
-SAMPLE_ROWS, MAX_LEXICON = 10_000, 200
+SAMPLE_ROWS = 10_000
 
 OTHER, INSULT, WEAK, THREAT, TARGET, NEGATION, REPORT, END = range(8)
 #: Seed words of each class.
@@ -54,8 +53,6 @@ TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n]")
 ENDS = {".", "!", "?", ";", "\n"}
 #: Words after a negation that it still covers.
 SCOPE = 3
-#: An event of each kind counts so often at most.
-CAP = 5
 
 # Machines: state -> {class: next state}; a class that is not named keeps the state.
 TARGET_MACHINE = {0: {TARGET: 1}, 1: {END: 0}}
@@ -159,11 +156,11 @@ def events_of(text: str | None, lexical: Lexical) -> tuple[np.ndarray, int, int]
 
 
 def _features(counts, weak, words, chance: float) -> np.ndarray:
-    """Bias, weak insults, weak insults against their chance number, events (capped)."""
+    """Bias, weak insults, weak insults against their chance number, events (every one adds, by the square root of their number)."""
     counts, weak, words = np.atleast_2d(counts), np.atleast_1d(weak), np.atleast_1d(words)
     excess = np.where(weak > 0, np.log((weak + 0.5) / (words * chance + 0.5)), 0.0)
     return np.column_stack([np.ones(len(weak)), np.minimum(np.log1p(weak), 4.0), np.clip(excess, -3.0, 4.0),
-                            np.minimum(counts, CAP) ** 0.5])
+                            counts ** 0.5])
 
 
 def _pattern_udf():
@@ -219,7 +216,7 @@ def without_copies(labelled: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(kept), "row", "left_semi").select("toxic", "text")
 
 
-def learn_insults(some: DataFrame, max_lexicon: int) -> list[tuple[str, int]]:
+def learn_insults(some: DataFrame) -> list[tuple[str, int]]:
     """Words and stems far more frequent in toxic than in other texts of the sample, with their class.
 
     Ranked by the log-likelihood ratio of the two rates of texts that hold them once, or
@@ -235,13 +232,11 @@ def learn_insults(some: DataFrame, max_lexicon: int) -> list[tuple[str, int]]:
     a, b = F.col("a"), F.col("b")
     rate = (a + b) / (bad + good)
     gain = part(a, rate * bad) + part(b, rate * good) + part(bad - a, (1 - rate) * bad) + part(good - b, (1 - rate) * good)
-    top = rows.withColumn("gain", gain).where("gain > 12").orderBy(F.desc("gain"), F.length("p").desc(), "p").limit(5000).collect()
+    top = rows.withColumn("gain", gain).where("gain > 12").orderBy(F.desc("gain"), F.length("p").desc(), "p").collect()
     by_chance = {r.p: r.b for r in top}
     out: list[tuple[str, int]] = []
     for r in top:
         p = r.p.removesuffix("#2")
-        if len(out) == max_lexicon:
-            break
         if not any(q.startswith(p.rstrip("$")) or p.startswith(q.rstrip("$")) for q, _ in out):
             out.append((p, INSULT if by_chance.get(p, good) <= 0.0005 * good else WEAK))
     return out
@@ -267,15 +262,15 @@ def _event_udf(patterns):
         lexical = Lexical(patterns.value)
         for texts in batches:
             found = [events_of(t, lexical) for t in texts]
-            yield pd.DataFrame({"events": [np.minimum(x[0], CAP) for x in found], "weak": [x[1] for x in found],
+            yield pd.DataFrame({"events": [x[0] for x in found], "weak": [x[1] for x in found],
                                 "words": [x[2] for x in found]})
     return events
 
 
-def fit(labelled: DataFrame, max_lexicon: int = MAX_LEXICON) -> dict:
+def fit(labelled: DataFrame) -> dict:
     """Lexicon and event weights from a bounded sample of (text, toxic) rows."""
     some = cut(without_copies(labelled).withColumn("patterns", _pattern_udf()("text")))
-    patterns = lexicon(learn_insults(some, max_lexicon))
+    patterns = lexicon(learn_insults(some))
     held = some.sparkSession.sparkContext.broadcast(patterns)
     # one small row per text of the bounded sample
     seen = some.select("toxic", _event_udf(held)("text").alias("e")).select("toxic", "e.*").toPandas()
