@@ -19,7 +19,8 @@ driver; a full bit filter only means that more histories are sent.
 
 Defined results: NULL and empty texts are one end token; rows with a NULL id are scored but
 not learned from; with no training text the base counts are zero and the score uses an
-unknown-word probability of one; repeated rows are learned from and scored each.
+unknown-word probability of one; repeated rows are learned from and scored each; only id and
+text are read, so other columns may have any names; very long texts make a block of their own.
 """
 
 from __future__ import annotations

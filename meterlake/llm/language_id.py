@@ -16,7 +16,8 @@ count per item of the kind, and only languages with counts are predicted.
 
 Defined results: NULL texts, texts without a letter and an empty training set give ``und``
 with score 0; ties go to the first language in alphabetical order; rows with a NULL id or
-language are predicted but never learned from; repeated rows get equal results.
+language are predicted but never learned from; repeated rows get equal results; the report
+reads id, language and text only, so other columns may have any names; texts are read whole.
 """
 
 from __future__ import annotations
