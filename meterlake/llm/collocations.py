@@ -10,13 +10,16 @@
    frequent ones.
 3. From these, intervals are extended to the left (three words) and then to the right (four
    words), as long as every two-word part is frequent. Counts are again summed over the shards.
-   On the way there and back a word or pair is one row per shard that holds it: one exchange
-   by phrase, a window that sums it, and one exchange by shard.
+   On the way there and back a word is one row per shard that holds it: one exchange by word,
+   a window that sums it, and one exchange by shard. Phrases travel in runs: a shard deals its
+   phrases to buckets by a hash of their word ids, and each bucket's share is one row that packs
+   them in order; a bucket sums its runs and answers each with one bit per phrase.
 4. The tables of frequent phrases carry the counts of all their first and last parts, so cuts,
    scores and containment need joins of phrases with their one-word-shorter parts only.
 
 Counts are exact; nothing but a shard (bounded by ``SHARD_CHARS``, or one piece) is ever
-held by a task, and every shard names a phrase once, so a very common phrase is one row a shard.
+held by a task besides a bucket (about ``BUCKET_WORDS`` phrases), and every shard names a phrase
+once, so a very common phrase is one row, or one entry of a run, a shard.
 
 Defined results: NULL texts are empty; a NULL language is ``und``; repeated rows count again;
 an empty table, or one without frequent phrases, gives no rows; only language and text are
@@ -36,10 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import cut, stored
+from meterlake.llm.common import cut, mix64, stored
 
 #: Characters of text that a task gathers before its largest shard is closed.
 SHARD_CHARS = 12_000_000
+#: Words of the corpus for each bucket of phrases; a bucket holds at most about as many phrases of one length.
+BUCKET_WORDS = 1_000_000
 #: Words of the longest phrase: the depth to which the index is sorted.
 DEPTH = 4
 #: Least count of a phrase; share (in percent) of its count from which a longer one replaces it.
@@ -129,6 +134,66 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<i4")
 
 
+def _dealt(words: list[np.ndarray], buckets: int):
+    """(order, buckets, edges): the phrases (word ids by place) ordered by bucket, then by ids, the
+    buckets that have any, and where they start and end in that order. The same phrases give the same answer."""
+    key = np.full(len(words[0]), len(words), np.uint64)
+    for ids in words:
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64))
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort([*words[::-1], bucket])
+    starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    return order, bucket[order[starts]], np.append(starts, len(order))
+
+
+def _runs(words: list[np.ndarray], counts: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """The buckets that get some of the phrases, and the packed run for each: the bytes of equal weight
+    of a column lie together, and the first ids, which ascend, are differences."""
+    order, names, edges = _dealt(words, buckets)
+    columns, zstd = np.stack([*words, counts]).astype("<i8")[:, order], zstandard.ZstdCompressor(level=3)
+    out = []
+    for start, end in zip(edges[:-1], edges[1:], strict=True):
+        run = columns[:, start:end].copy()
+        run[0, 1:] -= run[0, :-1].copy()
+        out.append(zstd.compress(np.ascontiguousarray(run.view(np.uint8).reshape(len(run), -1, 8).transpose(0, 2, 1)).tobytes()))
+    return names, out
+
+
+def _run(packed: bytes, columns: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(columns, 8, -1)
+    run = planes.transpose(0, 2, 1).copy().view("<i8")[:, :, 0]
+    run[0] = np.cumsum(run[0])
+    return run
+
+
+def _summed(runs: pa.Table, size: int, min_count: int) -> pa.Table:
+    """A bucket's phrases of ``size`` ids that are frequent, with their counts; then, for runs that
+    name their shard, one bit per phrase of each run: whether it is frequent."""
+    parts = [_run(packed, size + 1) for packed in runs.column("packed").to_pylist()]
+    lengths = [p.shape[1] for p in parts]
+    rows = np.concatenate(parts, axis=1)
+    del parts
+    order = np.lexsort(rows[:size][::-1])
+    rows = rows[:, order]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[:size, 1:] != rows[:size, :-1]).any(axis=0)
+    starts = np.flatnonzero(new)
+    total = np.add.reduceat(rows[size], starts)
+    frequent = total >= min_count
+    found = rows[:size, starts[frequent]]
+    out = {**{k: pa.array(c) for k, c in zip(_IDS[:size], found, strict=True)}, "a": pa.array(total[frequent])}
+    if "shard" not in runs.column_names:
+        return pa.table(out)
+    known = np.empty(len(order), bool)
+    known[order] = np.repeat(frequent, np.diff(starts, append=len(order)))
+    bits = [np.packbits(part).tobytes() for part in np.split(known, np.cumsum(lengths)[:-1])]
+    answers = {"shard": runs.column("shard"), "bucket": runs.column("bucket"), "bits": pa.array(bits, pa.binary())}
+    types = {**{k: pa.int64() for k in out}, "shard": pa.int64(), "bucket": pa.int64(), "bits": pa.binary()}
+    both = [pa.table({k: t[k] if k in t else pa.nulls(n, types[k]) for k in types}).cast(pa.schema(types.items()))
+            for t, n in ((out, int(frequent.sum())), (answers, len(bits)))]
+    return pa.concat_tables(both)
+
+
 def _joined_ends(text: np.ndarray) -> np.ndarray:
     """The text with one 0 for each run of piece ends, and one at its end."""
     text = np.append(text, 0)
@@ -194,26 +259,32 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close(lang)
 
 
-def _pairs(shard: pa.Table, known: pa.Table) -> pa.Table:
-    """The shard's text over its frequent words, and its two-word phrases by their ids."""
+def _pairs(shard: pa.Table, known: pa.Table, buckets: int) -> pa.Table:
+    """The shard's text over its frequent words, and the runs of its two-word phrases."""
     at, ids = known.column("at").to_numpy(), known.column("id").to_numpy()
     text = _unpack(shard.column("text")[0].as_py())
     number = np.zeros(max(int(text.max()), int(at.max(initial=-1)) + 1) + 1, np.int64)
     number[at + 1] = np.arange(1, len(at) + 1)
     text = _joined_ends(number[text])
     index = PhraseIndex(text, len(at) + 1)
-    return pa.table([shard.column("own"), pa.array([_pack(text)]), pa.array([ids], pa.list_(pa.int64())), pa.array([ids[index.left - 1]]),
-                     pa.array([ids[index.right - 1]]), pa.array([index.size])], names=["shard", "text", "ids", "x", "y", "n"])
+    names, runs = _runs([ids[index.left - 1], ids[index.right - 1]], index.size, buckets)
+    return pa.table([shard.column("own"), pa.array([_pack(text)]), pa.array([ids], pa.list_(pa.int64())),
+                     pa.array([names], pa.list_(pa.int64())), pa.array([runs], pa.list_(pa.binary()))],
+                    names=["shard", "text", "ids", "buckets", "runs"])
 
 
-def _longer(shard: pa.Table, known: pa.Table) -> pa.Table:
-    """Phrases of three and four words of a shard, by the ids of their words (-1: no fourth)."""
+def _longer(shard: pa.Table, known: pa.Table, buckets: int) -> pa.Table:
+    """The runs of a shard's phrases of three and four words, by the ids of their words (-1: no fourth)."""
     ids = np.concatenate([[-1], shard.column("ids").combine_chunks()[0].values.to_numpy()])
     index = PhraseIndex(_unpack(shard.column("text")[0].as_py()), len(ids))
-    wanted = np.zeros(len(index.key), bool)
-    wanted[known.column("at").to_numpy()] = True
+    order, names, edges = _dealt([ids[index.left], ids[index.right]], buckets)
+    answers = dict(zip(known.column("bucket").to_pylist(), known.column("bits").to_pylist(), strict=True))
+    wanted = np.zeros(len(order), bool)
+    for name, start, end in zip(names.tolist(), edges[:-1], edges[1:], strict=True):
+        wanted[order[start:end]] = np.unpackbits(np.frombuffer(answers[name], np.uint8), count=end - start)
     *words, count = index.longer(wanted)
-    return pa.table([*(pa.array(ids[w]) for w in words), pa.array(count)], names=["x", "y", "z", "w", "n"])
+    names, runs = _runs([ids[w] for w in words], count, buckets)
+    return pa.table([pa.array(names, pa.int64()), pa.array(runs, pa.binary())], names=["bucket", "packed"])
 
 
 def _by_shard(shards: DataFrame, known: DataFrame, parts: int, fn, schema: str) -> DataFrame:
@@ -227,19 +298,27 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     (counts of its first and last parts, by cut), longer (largest count of a phrase that holds it with one word more)."""
     read = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shards = stored(read.mapInArrow(_shards, "shard long, lang string, words array<string>, counts array<long>, text binary"), "phrase-shards")
-    parts = min(-(-shards.count() // 3) + 1, 20_000)
+    size = shards.agg(F.count("*").alias("shards"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)).alias("words")).first()
+    parts, buckets = min(-(-size.shards // 3) + 1, 20_000), (size.words or 0) // BUCKET_WORDS + 1
     named = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")) \
         .select("shard", "lang", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     totals = named.groupBy("lang").agg(F.sum("n").alias("n"))
     words = _frequent(named, ["lang", "word"], min_count, "phrase-words")
     one = words.where("place = id").select("id", "lang", F.col("word").alias("phrase"), "a")
-    two = stored(_by_shard(shards.select("shard", "text"), words.select(*_where(), "id"), parts, _pairs,
-                           "shard long, text binary, ids array<long>, x array<long>, y array<long>, n array<long>"), "phrase-pairs")
-    pairs = two.select("shard", F.posexplode(F.arrays_zip("x", "y", "n")).alias("at", "p")).select("shard", "at", "p.x", "p.y", "p.n")
-    pairs = _frequent(pairs, ["x", "y"], min_count, "phrase-two")
-    more = _by_shard(two.select("shard", "text", "ids"), pairs.select(*_where()), parts, _longer, "x long, y long, z long, w long, n long")
-    more = cut(more.groupBy("x", "y", "z", "w").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count))
-    return totals, _with_parts(one, pairs.where("place = id").select("x", "y", "a"), more)
+    two = stored(_by_shard(shards.select("shard", "text"), words.select(*_where(), "id"), parts, lambda shard, known: _pairs(shard, known, buckets),
+                           "shard long, text binary, ids array<long>, buckets array<long>, runs array<binary>"), "phrase-pairs")
+    runs = two.select("shard", F.explode(F.arrays_zip("buckets", "runs")).alias("r")) \
+        .select("shard", F.col("r.buckets").alias("bucket"), F.col("r.runs").alias("packed"))
+    pairs = stored(_by_bucket(runs, buckets, lambda runs: _summed(runs, 2, min_count),
+                              "x long, y long, a long, shard long, bucket long, bits binary"), "phrase-two")
+    runs = _by_shard(two.select("shard", "text", "ids"), pairs.where("shard is not null").select("shard", "bucket", "bits"), parts,
+                     lambda shard, known: _longer(shard, known, buckets), "bucket long, packed binary")
+    more = cut(_by_bucket(runs, buckets, lambda runs: _summed(runs, 4, min_count), "x long, y long, z long, w long, a long"))
+    return totals, _with_parts(one, pairs.where("shard is null").select("x", "y", "a"), more)
+
+
+def _by_bucket(runs: DataFrame, buckets: int, fn, schema: str) -> DataFrame:
+    return runs.repartition(min(buckets, 20_000), "bucket").groupBy("bucket").applyInArrow(fn, schema)
 
 
 def _frequent(rows: DataFrame, keys: list[str], min_count: int, name: str) -> DataFrame:

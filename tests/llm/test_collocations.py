@@ -94,3 +94,41 @@ def test_scores_past_64_bits(spark):
 
 def test_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
+
+
+def test_runs_round_trip_and_sum():
+    """Runs of two shards: unpacked as dealt, summed, and answered phrase by phrase in the shard's own order."""
+    rng = np.random.default_rng(4)
+    shards = []
+    for _ in range(2):
+        pairs = np.array(sorted({(int(a), int(b)) for a, b in rng.integers(-1, 40, (300, 2))}), np.int64) * (1 << 40)
+        shards.append((pairs[rng.permutation(len(pairs))].T, rng.integers(1, 30, len(pairs))))
+    whole = Counter()
+    for words, counts in shards:
+        whole.update({tuple(p): n for p, n in zip(words.T.tolist(), counts.tolist())})
+    rows = [(k, name, run) for k, (words, counts) in enumerate(shards)
+            for name, run in zip(*collocations._runs(list(words), counts, 5))]
+    found, answers = {}, {}
+    for name in range(5):
+        mine = [r for r in rows if r[1] == name]
+        table_ = collocations.pa.table({"shard": [r[0] for r in mine], "bucket": [r[1] for r in mine], "packed": [r[2] for r in mine]})
+        for r in collocations._summed(table_, 2, 30).to_pylist():
+            if r["shard"] is None:
+                found[r["x"], r["y"]] = r["a"]
+            else:
+                answers[r["shard"], r["bucket"]] = r["bits"]
+    assert found == {p: n for p, n in whole.items() if n >= 30} and 0 < len(found) < len(whole)
+    for k, (words, _) in enumerate(shards):
+        order, names, edges = collocations._dealt(list(words), 5)
+        for name, start, end in zip(names, edges[:-1], edges[1:]):
+            bits = np.unpackbits(np.frombuffer(answers[k, name], np.uint8), count=end - start)
+            assert bits.tolist() == [whole[tuple(p)] >= 30 for p in words[:, order[start:end]].T.tolist()]
+
+
+def test_many_buckets(spark, monkeypatch):
+    """More buckets than phrases of a shard: some runs are missing, nothing is lost."""
+    monkeypatch.setattr(collocations, "SHARD_CHARS", 700)
+    monkeypatch.setattr(collocations, "BUCKET_WORDS", 40)
+    docs = hand_docs()
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(3)
+    assert result(collocations.collocations(df, min_count=5)) == brute(docs, 5)
