@@ -51,11 +51,11 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of the pieces and of the decoded text; they replace columns of these names."""
-    digests = unused(docs, "digests")
-    found = docs.withColumn(digests, sentencepiece_codec.digest_udf(piece_model())(F.col("text")))
-    names = found.select(f"{digests}.*").columns
-    kept = [c for c in docs.columns if c.lower() not in names]
-    return found.select(*kept, f"{digests}.*")
+    pieces = unused(docs, "pieces")
+    found = sentencepiece_codec.encode_documents(docs, piece_model(), "text", pieces, decoded=True)
+    digests = found.select(*sentencepiece_codec.digest_columns(pieces)).columns
+    kept = [c for c in docs.columns if c.lower() not in digests]
+    return found.select(*kept, *sentencepiece_codec.digest_columns(pieces))
 
 
 STAGES = [
